@@ -194,3 +194,17 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous)], [*names, "lang_pred", "score", "ambiguous"])
 
     return wanted.mapInArrow(tell, shape)
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs, unchanged, whose language the model tells with a score of `least` or more."""
+    names = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textscan.slices(batches, limit=1 << 20):
+            for i in range(0, part.num_rows, 256):
+                own = part.slice(i, 256)
+                lang, score, _ = model.predict(own.column("text"))
+                yield own.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(lang, score)], pa.bool_()))
+
+    return docs.select(*names).mapInArrow(keep, docs.schema)

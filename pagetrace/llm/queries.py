@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, order_minhash, sharding
-from .common import table
+from . import credentials, decontamination, language, mixture, order_minhash, range_join, sharding, token_store, warc, wrapper
+from .common import new_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,17 +17,102 @@ def op1_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(table(spark, sf_dir, "documents"), spark, new_dir(spark, "tokens"), vocabulary())
+
+
+def op3_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op5_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "warc")
+    index = warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(index, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(table(spark, sf_dir, "documents"))
+
+
+def op8_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs)
     return language.identify(docs, model, ["doc_id"]).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lpt_sharding, op4_order_minhash, op10_language_codes)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_lpt_sharding,
+        op2_token_store,
+        op3_simhash_windows,
+        op4_order_minhash,
+        op5_host_wrappers,
+        op6_warc_index,
+        op7_credential_links,
+        op8_pivot_range_join,
+        op9_mixture_packing,
+        op10_language_codes,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of those that SQL can express.
+ORACLES: dict[str, str] = {
+    "op8_pivot_range_join": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98
+), reach AS (
+  SELECT a AS vec_id, a AS other FROM links
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(least.component_id, v.vec_id) AS component_id,
+  coalesce(least.component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)
+""",
+    "op6_warc_index": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
+), d AS (
+  SELECT *, max(page_id) OVER (PARTITION BY x) AS last,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+      (CAST(('0x' || substr(x, CAST(1 + 10 * (i // 8) AS BIGINT), 10)) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS digest
+  FROM p
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+""",
+}
