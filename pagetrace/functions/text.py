@@ -1,7 +1,10 @@
-"""Column functions over paths, symbols and text; all stay in the JVM."""
+"""Column functions over paths, symbols and text; all but glob_regex stay in the JVM."""
 
 from __future__ import annotations
 
+import fnmatch
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,15 +16,15 @@ def _col(c: Column | str) -> Column:
 def glob_regex(pattern: Column | str) -> Column:
     """Regular expression of a shell glob: * crosses /, ? is one character, [..] and [!..] are sets.
 
-    A [ without a closing ] stands for itself.
+    A [ without a closing ] stands for itself.  Sets can't be rewritten by
+    regular expressions alone, so this runs in Python, on the few rows of rules.
     """
-    p = _col(pattern)
-    p = F.when(p.rlike(r"\[[^\]]+\]"), p).otherwise(F.regexp_replace(p, r"\[", r"[[]"))
-    p = F.regexp_replace(p, r"([\\.+^$(){}|])", r"\\$1")
-    p = F.regexp_replace(p, r"\[!", "[^")
-    p = F.regexp_replace(p, r"\?", ".")
-    p = F.regexp_replace(p, r"\*+", ".*")
-    return F.concat(F.lit(r"(?s)\A"), p, F.lit(r"\z"))
+
+    @F.pandas_udf("string")
+    def translated(globs: pd.Series) -> pd.Series:
+        return globs.map(lambda g: fnmatch.translate(g).removesuffix(r"\Z").removesuffix(r"\z") + r"\z", na_action="ignore")
+
+    return F.concat(F.lit(r"\A"), translated(_col(pattern)))
 
 
 def literal_prefix(pattern: Column | str) -> Column:

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 
 
+def in_blocks(rows: DataFrame, size: int = 5000) -> Iterator[DataFrame]:
+    """A stated set in blocks of at most `size` rows, each small enough to broadcast."""
+    held: list = []
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield rows.sparkSession.createDataFrame(held, rows.schema)
+            held = []
+    if held:
+        yield rows.sparkSession.createDataFrame(held, rows.schema)
+
+
 def match_globs(paths: DataFrame, rules: DataFrame, depth: int = 8) -> DataFrame:
     """All (path row, rule row) pairs whose path matches the rule's pattern; rows of both sides.
 
     paths: path, ...; rules: pattern, ...; no other column in common.  Rules are
     dealt to three joins, each into one: a pattern without wildcards is an
     equality; one with a literal directory meets the paths below that directory
-    by equality and is then tested; only the rest is tested against every path.
+    by equality and is then tested; only the rest is tested against every path, in
+    blocks of a size that can be broadcast.
     """
     rules = rules.withColumn("_rx", T.glob_regex("pattern"))
     directory = F.regexp_extract(T.literal_prefix("pattern"), r"\A(.+)/", 1)
@@ -25,8 +40,10 @@ def match_globs(paths: DataFrame, rules: DataFrame, depth: int = 8) -> DataFrame
     parts = F.split("path", "/")
     above = paths.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(depth), F.size(parts) - 1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     below = above.join(rules.where("_level > 0"), (F.col("_up") == F.col("_dir")) & F.rlike(F.col("path"), F.col("_rx")))
-    loose = paths.join(rules.where("_level = 0"), F.rlike(F.col("path"), F.col("_rx")))
-    return equal.select(*out).unionByName(below.select(*out)).unionByName(loose.select(*out))
+    found = equal.select(*out).unionByName(below.select(*out))
+    for block in in_blocks(rules.where("_level = 0")):
+        found = found.unionByName(paths.join(F.broadcast(block), F.rlike(F.col("path"), F.col("_rx"))).select(*out))
+    return found
 
 
 def match_symbols(symbols: DataFrame, rules: DataFrame) -> DataFrame:
@@ -34,16 +51,20 @@ def match_symbols(symbols: DataFrame, rules: DataFrame) -> DataFrame:
     out = [*symbols.columns, *rules.columns]
     wild = F.col("pattern").endswith("*")
     exact = symbols.join(rules.where(~wild), F.col("symbol") == F.col("pattern"))
-    prefix = symbols.join(rules.where(wild), T.symbol_matches("symbol", "pattern"))
-    return exact.select(*out).unionByName(prefix.select(*out))
+    found = exact.select(*out)
+    for block in in_blocks(rules.where(wild)):
+        found = found.unionByName(symbols.join(F.broadcast(block), T.symbol_matches("symbol", "pattern")).select(*out))
+    return found
 
 
 def in_scope(changes: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of a change (repo, ...) and a rule (rule_repo, ...): an empty rule_repo takes all, others equal keys."""
     out = [*changes.columns, *rules.columns]
     keyed = changes.withColumn("_key", T.repo_key("repo")).join(rules.where("rule_repo <> ''").withColumn("_rule_key", T.repo_key("rule_repo")), F.col("_key") == F.col("_rule_key"))
-    anywhere = changes.crossJoin(F.broadcast(rules.where("rule_repo = ''"))) if not rules.where("rule_repo = ''").isEmpty() else keyed
-    return keyed.select(*out).unionByName(anywhere.select(*out)) if anywhere is not keyed else keyed.select(*out)
+    found = keyed.select(*out)
+    for block in in_blocks(rules.where("rule_repo = ''")):
+        found = found.unionByName(changes.join(F.broadcast(block), F.col("rule_repo") == "").select(*out))
+    return found
 
 
 def scores(hits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 
-from .anchors import match_globs
+from .anchors import in_blocks, match_globs
 
 
 def route_of(path: Column) -> Column:
@@ -85,9 +85,12 @@ def live_globs(rules: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def missing_symbols(symbols: DataFrame, texts: DataFrame) -> DataFrame:
-    """Symbols (symbol; few) that no text contains: one pass that keeps which were seen."""
-    seen = texts.join(F.broadcast(symbols.select("symbol").distinct()), F.contains(F.col("text"), F.col("symbol"))).select("symbol").distinct()
-    return symbols.join(seen, "symbol", "left_anti")
+    """Symbols (symbol) that no text contains: a pass over the texts for each block of symbols."""
+    left = symbols
+    for block in in_blocks(symbols.select("symbol").distinct()):
+        seen = texts.join(F.broadcast(block), F.contains(F.col("text"), F.col("symbol"))).select("symbol").distinct()
+        left = left.join(seen, "symbol", "left_anti")
+    return left
 
 
 def missing_pages(rules: DataFrame, pages: DataFrame) -> DataFrame:
