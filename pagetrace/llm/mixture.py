@@ -4,8 +4,8 @@ Each round gives every source's queue its quantum, the queue's share of all
 tokens times the window, and the tokens that the quantum's fraction leaves over
 are carried to the next round as a deficit, so every window of the stream holds
 the target proportions to within a token of each queue and all queues end
-together.  After W rounds a queue with T of N rounds' tokens has been served
-floor(W * T / N); with that closed form the deficits at any round are known
+together.  After W rounds a queue has been served
+floor(W * quantum); with that closed form the deficits at any round are known
 without running the rounds before, and every partition of the documents cuts its
 own pieces.  Sequences are the stream cut every `window` tokens: all are full
 but the last.
@@ -56,22 +56,28 @@ def encoded(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
 
 
 class Rounds:
-    """How much of every queue the first W rounds have served."""
+    """How much of every queue the first W rounds have served: W quanta, rounded down; the last round serves what is left.
+
+    A quantum is the queue's share of a window, to 1/2**28 of a token.
+    """
+
+    BITS = 28
 
     def __init__(self, totals: list[int], window: int):
-        self.totals = totals
-        self.count = max(1, min(-(-sum(totals) // window), 1 << 31))
-        self.whole = np.array([t // self.count for t in totals], np.int64)
-        self.rest = np.array([t % self.count for t in totals], np.int64)
+        self.totals, self.count = totals, max(1, -(-sum(totals) // window))
+        self.rates = [(window * t << self.BITS) // max(1, sum(totals)) for t in totals]
+        self.whole = np.array([r >> self.BITS for r in self.rates], np.int64)
+        self.part = np.array([r & ((1 << self.BITS) - 1) for r in self.rates], np.int64)
 
     def served(self, rounds: np.ndarray) -> np.ndarray:
         """rounds x queues."""
-        w = rounds[:, None]
-        return w * self.whole + w * self.rest // self.count
+        w, totals = rounds[:, None], np.array(self.totals, np.int64)
+        return np.where(w < self.count, np.minimum(w * self.whole + (w * self.part >> self.BITS), totals), totals)
 
     def of(self, queue: int, token: int) -> int:
         """The round that serves a queue's token."""
-        return ((token + 1) * self.count - 1) // self.totals[queue]
+        rate = self.rates[queue]
+        return min(self.count - 1, ((token + 1 << self.BITS) - 1) // rate) if rate else self.count - 1
 
 
 def pieces(queue: np.ndarray, start: np.ndarray, size: np.ndarray, rounds: Rounds, window: int) -> tuple[np.ndarray, ...]:
