@@ -115,3 +115,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(i, j - i)
             i = j
+        del batch
+        pa.default_memory_pool().release_unused()

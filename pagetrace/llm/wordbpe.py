@@ -29,7 +29,7 @@ _BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not
 class WordEncoder:
     """Encodes Arrow string arrays to flat ids; keeps what it has met, up to `most` chunks."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -40,9 +40,10 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.count = self.used = 0
+        self.starts = np.empty(1 << 16, np.int64)
+        self.lengths = np.empty(1 << 16, np.int64)
+        self.ids = np.empty(1 << 18, np.uint32)
 
     def _of(self, chunk: bytes) -> list[int]:
         """Ids of one chunk."""
@@ -66,10 +67,17 @@ class WordEncoder:
     def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
         new = [self._of(c) for c in chunks]
         lengths = np.fromiter(map(len, new), np.int64, len(new))
-        entry = np.arange(len(self.starts), len(self.starts) + len(new))
-        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(lengths) - lengths]
-        self.lengths = np.r_[self.lengths, lengths]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(lengths.sum()))]
+        begin, count = self.used + np.cumsum(lengths) - lengths, self.count + len(new)
+        used = self.used + int(lengths.sum())
+        while len(self.starts) < count:  # in place where it can be: the arrays are large
+            self.starts.resize(2 * len(self.starts), refcheck=False)
+            self.lengths.resize(2 * len(self.lengths), refcheck=False)
+        while len(self.ids) < used:
+            self.ids.resize(2 * len(self.ids), refcheck=False)
+        self.starts[self.count : count], self.lengths[self.count : count] = begin, lengths
+        self.ids[self.used : used] = np.fromiter((i for x in new for i in x), np.uint32, used - self.used)
+        entry = np.arange(self.count, count)
+        self.count, self.used = count, used
         self.known.append((keys, entry))  # keys come sorted
         while len(self.known) > 1 and (len(self.known[-2][0]) < 4 * len(self.known[-1][0])):
             (a, x), (b, y) = self.known.pop(), self.known.pop()
@@ -96,7 +104,7 @@ class WordEncoder:
         distinct, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         first = np.empty(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        if len(self.starts) > self.most:
+        if self.count > self.most:
             self.forget()
         entry = self._find(distinct)
         if len(new := np.flatnonzero(entry < 0)):
