@@ -121,7 +121,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; all rows and columns stay, null texts stay null."""
-    found = scan(docs).where("size(found) > 0").select(F.col("_key").alias("_found_key"), "found").dropDuplicates(["_found_key"])
+    found = scan(docs).where("size(found) > 0").select(F.col("_key").alias("_found_key"), F.col("found").alias("_found")).dropDuplicates(["_found_key"])
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.xxhash64("doc_id", text, F.length(text))
 
@@ -130,6 +130,6 @@ def redacted(docs: DataFrame) -> DataFrame:
         mark = F.concat(F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit("]"))
         return F.when(s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), F.concat(acc["out"], before, mark).alias("out"))).otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
 
-    clean = F.aggregate("found", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
-    new = F.when(F.col("found").isNull() | F.col("text").isNull(), F.col("text")).otherwise(clean)
+    clean = F.aggregate("_found", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    new = F.when(F.col("_found").isNull() | F.col("text").isNull(), F.col("text")).otherwise(clean)
     return docs.join(found, key == F.col("_found_key"), "left").select(*(new.alias(c) if c == "text" else docs[c] for c in docs.columns))
