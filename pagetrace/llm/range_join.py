@@ -143,7 +143,7 @@ def links(vectors: DataFrame, least_cosine: float = 0.98, cell: int = 4096, bloc
         near = x[a] @ x[b].T >= least_cosine
         near &= home[a, None] | home[None, b]  # replicas meet each other where one of them is at home
         near &= rows[a, None] != rows[None, b]
-        left, right = _tie(near)
+        left, right = _tie(near if b is not a else near | np.eye(len(a), dtype=bool))  # within one block a row is its own column
         out = [(rows[a], near @ copies[b], rows[a][left])]
         if b is not a:
             out.append((rows[b], copies[a] @ near, rows[a][np.minimum(right, len(a) - 1)] if len(a) else rows[b]))

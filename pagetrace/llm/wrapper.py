@@ -241,7 +241,7 @@ def content_paths(wrapper: dict) -> dict[str, list[str]]:
     def boxed(node: dict) -> bool:
         return not node["k"].split("*")[0].endswith("!") and (node["k"].endswith("*") or any(map(boxed, node["s"])))
 
-    has_box = boxed(wrapper)
+    has_box, sizes = boxed(wrapper), [0, 0]  # characters of slots, of fixed texts
 
     def walk(node: dict, path: str, inside: bool) -> None:
         if node["k"].rstrip("*").endswith("!"):
@@ -258,11 +258,15 @@ def content_paths(wrapper: dict) -> dict[str, list[str]]:
                     fixed = out.setdefault(path, [])
                     if not inside and c["t"] is not None and c["n"] >= 3:
                         fixed.append(c["t"])
+                        sizes[1] += c["c"]
+                    else:
+                        sizes[0] += c["c"]
             else:
                 walk(c, f"{path}/{c['k']}", inside)
 
     walk(wrapper, "", False)
-    return out
+    # where most of the text never changes, the pages are copies of each other, not a template
+    return out if sizes[0] > sizes[1] else {k: [] for k in out}
 
 
 def extract(page: str, paths: dict[str, list[str]]) -> str:
