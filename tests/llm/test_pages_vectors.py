@@ -31,9 +31,9 @@ def test_copies_are_not_a_template(spark):
 
 
 def test_template_text_outside_an_article_goes(spark):
-    page = "<body><div class=top>Welcome to our site</div><div class=x><p>Story {n} goes on for a while</p><p>More {n}</p></div><div class=end>All rights kept</div></body>"
+    page = "<body><div class=top>Welcome to our site</div><div class=x><p>Story {n} goes on for a while and then for longer still</p><p>More {n}</p></div><div class=end>All rights kept</div></body>"
     got = texts(spark, [(i, "http://h.example/", page.format(n=i)) for i in range(5)])
-    assert {r["text"] for r in got.values()} == {f"Story {i} goes on for a while\nMore {i}" for i in range(5)}
+    assert {r["text"] for r in got.values()} == {f"Story {i} goes on for a while and then for longer still\nMore {i}" for i in range(5)}
 
 
 def test_odd_pages(spark):
