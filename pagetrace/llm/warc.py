@@ -157,4 +157,6 @@ def read(index: DataFrame, path: str, payloads: bool = False) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out))[: len(names)], kinds)], names)
 
-    return ranges(index).mapInArrow(rows, shape)
+    # The ranges are a few bytes each, but the reads behind them are not: as many tasks as there are 16 MB to read.
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // (16 << 20))
+    return ranges(index).repartition(max(1, tasks), "file", "begin").mapInArrow(rows, shape)
