@@ -80,14 +80,15 @@ def links(vectors: DataFrame, least_cosine: float = 0.98, cell: int = 4096, bloc
     """Of vectors (_row, label, embedding, copies): (_row, n) with how many others each vector links to, possibly in parts, and edges (a, b) that connect what is linked."""
     spark = vectors.sparkSession
     radius = float(np.sqrt(2 - 2 * least_cosine))
-    counts = {r["label"]: r["count"] for r in vectors.groupBy("label").count().collect()}  # a row for each label
-    total = sum(counts.values())
+    total = vectors.count()
     some = vectors.select("label", "embedding", F.xxhash64("_row").alias("_h")).where(F.pmod("_h", F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, sample / max(1, total)))))
-    got = some.orderBy("_h").select("label", "embedding").toArrow().combine_chunks()
+    got = some.orderBy("_h").limit(2 * sample).select("label", "embedding").toArrow().combine_chunks()
     taken: dict = {}
     if got.num_rows:
         names, column = np.array(got.column("label").to_pylist()), got.column("embedding").combine_chunks()
         taken = {k: unit(_matrix(column.take(pa.array(np.flatnonzero(names == k))))) for k in np.unique(names).tolist()}
+    # of the labels in the sample, so at most as many rows as that
+    counts = {r["label"]: r["count"] for r in vectors.where(F.col("label").isin(list(taken))).groupBy("label").count().collect()}
     pivots = choose_pivots(taken, counts, radius, cell)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,8 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98) -> DataFrame
     rows = embeddings.select("vec_id", "label", "embedding", good.alias("good"))
     usual = rows.where("good").groupBy("label", F.size("embedding").alias("size")).count().groupBy("label").agg(F.max_by("size", F.struct("count", "size")).alias("_size"))
     fits = F.col("good") & F.coalesce(F.size("embedding") == F.col("_size"), F.lit(False))
-    rows = stash(rows.join(F.broadcast(usual), "label", "left").select("vec_id", "label", "embedding", fits.alias("good")))  # broadcast: a row for each label
+    usual = F.broadcast(usual) if usual.count() <= 100_000 else usual  # a row for each label
+    rows = stash(rows.join(usual, "label", "left").select("vec_id", "label", "embedding", fits.alias("good")))
     # One of equal vectors stands for all.
     stands = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     stands = stash(stands.withColumn("_row", F.monotonically_increasing_id()))
