@@ -132,12 +132,12 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 15, rate: float = 2.0, d
     return LanguageModel(languages, code.astype(np.float32), weights, bias, trust / trust.mean())
 
 
-def train(docs: DataFrame, sample: int = 1000) -> LanguageModel:
+def train(docs: DataFrame, sample: int = 800) -> LanguageModel:
     """Fit on text and lang of a bounded sample of the rows that may be learnt from.
 
     Those are rows whose lang is not null and whose crc32(doc_id as text) mod 5
     is not 0 (a null doc_id counts as empty text).  About `sample` rows of each
-    language, and 6,000 rows in all,
+    language, and 4,000 rows in all,
     at most, chosen by hash, are read; the number of languages is taken
     to be small.
     """
@@ -145,8 +145,8 @@ def train(docs: DataFrame, sample: int = 1000) -> LanguageModel:
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return fit(np.zeros((0, FEATURES), np.float32), [])
-    share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, min(sample, 6000 / len(counts)) / n)))])
-    chosen = known.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
+    share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, min(sample, 4000 / len(counts)) / n)))])
+    chosen = known.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text", "_h")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.slices(batches, limit=1 << 20):
@@ -156,19 +156,21 @@ def train(docs: DataFrame, sample: int = 1000) -> LanguageModel:
                 row, col = np.nonzero(x)
                 cuts = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("lang"), pa.array(letters), pa.ListArray.from_arrays(cuts, pa.array(col.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(x[row, col]))],
-                    ["lang", "letters", "at", "value"],
+                    [own.column("lang"), own.column("_h"), pa.array(letters), pa.ListArray.from_arrays(cuts, pa.array(col.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(x[row, col]))],
+                    ["lang", "_h", "letters", "at", "value"],
                 )
 
-    got = chosen.mapInArrow(rows, "lang string, letters boolean, at array<int>, value array<float>").where("letters").toArrow().combine_chunks()
+    got = chosen.mapInArrow(rows, "lang string, _h long, letters boolean, at array<int>, value array<float>").where("letters").toArrow()
+    got = got.sort_by([("_h", "ascending"), ("lang", "ascending")]).combine_chunks()  # the same whatever order the rows came in
+    labels = got.column("lang").to_pylist()
     x = np.zeros((got.num_rows, FEATURES), np.float32)
     if got.num_rows:
         at, value = got.column("at").combine_chunks(), got.column("value").combine_chunks()
         lengths = at.value_lengths().to_numpy()
         x[np.repeat(np.arange(len(lengths)), lengths), at.flatten().to_numpy()] = value.flatten().to_numpy()
-    order = np.lexsort((x.argmax(1), x.max(1), np.array(got.column("lang").to_pylist(), dtype=object).astype(str))) if got.num_rows else []
-    labels = got.column("lang").to_pylist()
-    return fit(x[order], [labels[i] for i in order])  # the same whatever order the rows came in
+        del at, value
+    del got
+    return fit(x, labels)
 
 
 def held_out():
