@@ -49,12 +49,11 @@ def model_stages(usage: DataFrame) -> DataFrame:
 
 def usage_totals(usage: DataFrame) -> DataFrame:
     """model_stages and, in the row without either, the grand total (is_total 1)."""
-    usage.createOrReplaceTempView("_pagetrace_usage")
-    return usage.sparkSession.sql(
-        """SELECT model, stage, CAST(grouping(model) AS BIGINT) AS is_total, sum(calls) AS calls, sum(input_tokens) AS input_tokens,
-             sum(cache_write) AS cache_write, sum(cache_read) AS cache_read,
-             coalesce(try_divide(CAST(sum(cache_read) AS DOUBLE), sum(input_tokens + cache_write + cache_read)), 0D) AS hit_rate
-           FROM _pagetrace_usage GROUP BY GROUPING SETS ((model, stage), ())"""
+    rate = F.try_divide(F.sum("cache_read").cast("double"), F.sum(F.col("input_tokens") + F.col("cache_write") + F.col("cache_read")))
+    return usage.groupingSets([["model", "stage"], []], "model", "stage").agg(
+        F.grouping("model").cast("long").alias("is_total"),
+        *(F.sum(c).alias(c) for c in ("calls", "input_tokens", "cache_write", "cache_read")),
+        F.coalesce(rate, F.lit(0.0)).alias("hit_rate"),
     )
 
 
@@ -67,8 +66,8 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     models = usage.select(F.col("model")).distinct()
     named = models.join(F.broadcast(prices.where("not is_fallback")), F.startswith(F.col("model"), F.col("prefix")), "left")
     best = named.withColumn("_n", F.row_number().over(Window.partitionBy("model").orderBy(F.desc(F.length("prefix"))))).where("_n = 1").drop("_n", "is_fallback")
-    other = prices.where("is_fallback").select(*(F.col(c).alias("_" + c) for c in ("input", "output", "cache_write", "cache_read")))
-    best = best.crossJoin(F.broadcast(other)).select("model", "prefix", *(F.when(F.col("prefix").isNull(), F.col("_" + c)).otherwise(F.col(c)).alias("price_" + c) for c in ("input", "output", "cache_write", "cache_read")))
+    other = prices.where("is_fallback").first()
+    best = best.select("model", "prefix", *(F.when(F.col("prefix").isNull(), F.lit(other[c])).otherwise(F.col(c)).alias("price_" + c) for c in ("input", "output", "cache_write", "cache_read")))
     cost = sum((F.col(t) * F.col("price_" + p) for t, p in (("input_tokens", "input"), ("output_tokens", "output"), ("cache_write", "cache_write"), ("cache_read", "cache_read"))), F.lit(0.0)) / F.lit(1e6)
     return usage.join(best, usage["model"].eqNullSafe(best["model"])).drop(best["model"]).withColumn("cost", cost)
 

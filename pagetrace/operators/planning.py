@@ -105,7 +105,8 @@ def unmapped_repos(rules: DataFrame, checkouts: DataFrame) -> DataFrame:
 
 def healthy(missing: DataFrame, dead: DataFrame) -> DataFrame:
     """One row: counts and ok; symbols that are missing only warn."""
-    counts = missing.agg(F.count("*").alias("missing_pages")).crossJoin(dead.agg(F.count("*").alias("dead_globs")))  # one row each
+    both = missing.select(F.lit(1).alias("m"), F.lit(0).alias("d")).unionByName(dead.select(F.lit(0).alias("m"), F.lit(1).alias("d")))
+    counts = both.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("missing_pages"), F.coalesce(F.sum("d"), F.lit(0)).alias("dead_globs"))
     return counts.withColumn("ok", (F.col("missing_pages") == 0) & (F.col("dead_globs") == 0))
 
 
