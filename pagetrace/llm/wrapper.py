@@ -43,10 +43,12 @@ BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "he
 BOILER_NAMES = set(
     "nav navbar navigation menu submenu header masthead topbar footer foot colophon sidebar aside rail ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "breadcrumb breadcrumbs pagination pager widget widgets comment comments disqus respond toolbar skip hidden".split()
+    "breadcrumb breadcrumbs pagination pager widget widgets comment comments disqus respond toolbar toc skip hidden adsbygoogle".split()
 )
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu"}
 CONTENT_NAMES = set("article content main post entry story body-text post-content article-body entry-content main-content".split())
+#: Names of an <article> that is not the page's own.
+NO_ARTICLE = set("comment comments reply related teaser promo ad ads advert sponsored".split())
 MANY = 24
 
 
@@ -54,10 +56,12 @@ def _key(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Key of an element, whether it is boilerplate by name and whether it is a content container."""
     found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attributes)} if attributes else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
-    parts = {p for n in names for p in (n, *re.split(r"[-_]+", n))}
+    # has-sidebar is no sidebar
+    parts = {p for n in names if not re.match(r"(has|with|no|without|is)[-_]", n) for p in (n, *re.split(r"[-_]+", n))}
     content = tag in ("article", "main") or found.get("role") in ("main", "article") or (tag in ("div", "section") and bool(CONTENT_NAMES & set(names)))
     boiler = tag in BOILER_TAGS and tag != "header" or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in BOILER_ROLES or "display:none" in found.get("style", "").replace(" ", "")
-    boiler = boiler or (not content and bool(BOILER_NAMES & parts)) or tag == "header"
+    boiler = boiler or bool((NO_ARTICLE & set(names)) if content else (BOILER_NAMES & parts)) or tag == "header"
+    boiler = boiler and tag not in ("html", "body")
     return "".join((tag, *("." + n for n in sorted(re.sub(r"\d+", "#", n) for n in names)[:4]), *("!" * boiler), *("*" * content))), boiler, content
 
 
@@ -137,7 +141,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             flush()
             link = 0 if name != "li" else link
             stack.append((name, _key(name, attributes)[0]))
-        elif attributes.strip() and (named := _key(name, attributes))[1]:
+        elif (name in BOILER_TAGS or attributes.strip()) and (named := _key(name, attributes))[1]:
             flush()  # an inline element that is boilerplate by name
             stack.append((name, named[0]))
         if piece.endswith("/>") and stack and stack[-1][0] == name and name not in BLOCK:

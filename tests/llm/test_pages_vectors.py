@@ -25,6 +25,12 @@ def test_main_text_with_and_without_a_content_container(spark):
     assert all(r["text"] == TEXT.format(n=i) and r["n_chars"] == len(r["text"]) for i, r in got.items())
 
 
+def test_names_of_containers(spark):
+    page = "<body class='has-sidebar no-nav'><div class='page with-sidebar'><article class='post has-comments'><h1>T {n}</h1><p>A {n} <button>Buy</button></p></article><article class='comment'><p>c {n}</p></article></div><div class='site-footer'>f {n}</div></body>"
+    got = texts(spark, [(i, "http://n.example/", page.format(n=i)) for i in range(4)])
+    assert {r["text"] for r in got.values()} == {f"T {i}\nA {i}" for i in range(4)}
+
+
 def test_copies_are_not_a_template(spark):
     got = texts(spark, [(i, "http://same.example/", "<body><div class=x><p>All alike</p></div></body>") for i in range(6)])
     assert {r["text"] for r in got.values()} == {"All alike"}
