@@ -308,11 +308,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return salted.repartition("host").mapInArrow(lambda b: _folding(b, False), shape)
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
+def main_texts(pages: DataFrame, most: int = 16 << 20) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     A null or empty html has an empty text; pages with a null url share a host.
     Repeated rows and null page_ids are rows like any other.  No text is cut.
+    Decisions of up to `most` bytes are broadcast, more are joined by host.
     """
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +322,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(told, pa.string())], ["host", "paths"])
 
     decided = stash(wrappers(pages).mapInArrow(decide, "host string, paths string"))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host")).join(decided, "host", "left")
+    # A host's decisions are a few hundred bytes; while those of all hosts are small, no page is moved.
+    size = decided.agg(F.sum(F.length("host") + F.length("paths"))).first()[0] or 0
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host")).join(F.broadcast(decided) if size <= most else decided, "host", "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}

@@ -22,6 +22,8 @@ def texts(spark, rows):
 def test_main_text_with_and_without_a_content_container(spark):
     rows = [(i, f"https://{box}.example/{i}", PAGE.format(box=box, n=i)) for i, box in enumerate(["content", "x1"] * 6)]
     got = texts(spark, rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {tuple(r) for r in wrapper.main_texts(df, most=0).collect()} == {tuple(r) for r in got.values()}
     assert all(r["text"] == TEXT.format(n=i) and r["n_chars"] == len(r["text"]) for i, r in got.items())
 
 
