@@ -6,6 +6,7 @@ characters after lower-casing; all other ASCII characters separate them.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
 _B = 0x9E3779B97F4A7C15 | 1
 _POW = np.cumprod(np.r_[np.uint64(1), np.full(BLOCK - 1, _B, np.uint64)], dtype=np.uint64)
 _INV = np.cumprod(np.r_[np.uint64(1), np.full(BLOCK - 1, pow(_B, -1, 1 << 64), np.uint64)], dtype=np.uint64)
@@ -105,7 +107,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `limit` bytes of text (one row at least)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -116,4 +125,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(i, j - i)
             i = j
         del batch
-        pa.default_memory_pool().release_unused()
+        trim()

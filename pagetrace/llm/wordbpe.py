@@ -29,7 +29,7 @@ _BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not
 class WordEncoder:
     """Encodes Arrow string arrays to flat ids; keeps what it has met, up to `most` chunks."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
