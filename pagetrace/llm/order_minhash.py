@@ -8,9 +8,9 @@ Documents that agree in a sketch are candidates; a banded alignment of their
 words verifies that 1 - edits / words of the longer is at least the threshold.
 
 Equal word sequences are one class from the start.  Buckets of up to `small`
-classes give all their pairs, larger ones a star around their least member; what
-doesn't align with that member meets again in sub-buckets of those that agree in
-two large buckets.
+classes give all their pairs, larger ones a star around their least member.  A
+large bucket whose members are not all connected then gives all pairs of members
+that are not, but for those that lengths and word counts prove to be unlike.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import stash
 from .components import components
 
 K, SKETCHES, PICKED, SMALL, THRESHOLD = 5, 20, 3, 16, 0.8
+#: Bits of a bag, for words and for pairs of words in a row: which of so many bins of their hashes hold at least 1, 2 ... up to so many levels.
+BAGS = ((1, 512, 4), (2, 1024, 2))
 
 
 def _occurrences(keys: np.ndarray) -> np.ndarray:
@@ -91,6 +93,43 @@ def _unlike(a: np.ndarray, b: np.ndarray) -> int:
     return max(len(a), len(b)) - int(np.minimum(ca[i], cb[j]).sum())
 
 
+def bags(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bits of the BAGS of each text, as bytes.
+
+    Of each of the BAGS, the bits that two texts share, and the least of how many
+    n-grams each has beyond its bits, add up to no less than what they have in common.
+    """
+    count, out = len(at) - 1, []
+    text = np.repeat(np.arange(count), np.diff(at))
+    for n, bins, levels in BAGS:
+        grams = textscan.shingles(words, n)
+        own = text[: len(grams)] == text[n - 1 :]  # not across texts
+        many = np.bincount((text[: len(grams)] * bins + (grams >> np.uint64(40)).astype(np.int64) % bins)[own], minlength=count * bins).reshape(count, bins)
+        out += [many >= level for level in range(1, levels + 1)]
+    return np.packbits(np.concatenate(out, axis=1), axis=1)
+
+
+def may_align(bits: np.ndarray, n_words: np.ndarray, x: np.ndarray, y: np.ndarray, pairs: int = 1 << 15) -> np.ndarray:
+    """Which pairs (x, y) of texts may have a similarity of THRESHOLD by their bags (rows of 64-bit words).
+
+    Never denied wrongly: an edit changes at most n of the n-grams of the longer.
+    """
+    out, begin = np.ones(len(x), bool), 0
+    for n, bins, levels in BAGS:
+        part = np.ascontiguousarray(bits[:, begin : begin + bins * levels // 64])
+        begin += bins * levels // 64
+        grams = np.maximum(n_words - n + 1, 0)
+        rest = grams - np.bitwise_count(part).sum(1, dtype=np.int64)
+        left = np.flatnonzero(out)
+        for i in range(0, len(left), pairs):
+            k = left[i : i + pairs]
+            a, b = x[k], y[k]
+            common = np.bitwise_count(part[a] & part[b]).sum(1, dtype=np.int64) + np.minimum(rest[a], rest[b])
+            most = ((1 - THRESHOLD) * np.maximum(n_words[a], n_words[b]) + 1e-9).astype(np.int64)
+            out[k] = np.maximum(grams[a], grams[b]) - common <= n * most
+    return out
+
+
 def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Edits of every pair, exact if at most `band`, else more than that; all pairs row by row at once.
 
@@ -176,7 +215,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRES
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """id, d1, d2, n_words, sketches of every row that has both an id and a text."""
+    """id, d1, d2, n_words, sketches, bag of every row that has both an id and a text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.slices(batches):
@@ -187,12 +226,12 @@ def _sketches(docs: DataFrame) -> DataFrame:
             keys = np.concatenate([sketch(words[at[i] : at[i + 1]]) for i in np.flatnonzero(sizes)]) if len(words) else np.empty(0, np.uint64)
             cuts = np.r_[0, np.cumsum(np.where(sizes > 0, SKETCHES, 0))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64)))],
-                ["id", "d1", "d2", "n_words", "sketches"],
+                [part.column("doc_id"), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64))), pa.array([b.tobytes() for b in bags(words, at)], pa.binary())],
+                ["id", "d1", "d2", "n_words", "sketches", "bag"],
             )
 
     wanted = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return wanted.mapInArrow(rows, "id long, d1 long, d2 long, n_words int, sketches array<long>")
+    return wanted.mapInArrow(rows, "id long, d1 long, d2 long, n_words int, sketches array<long>, bag binary")
 
 
 def _near(x: str, y: str) -> str:
@@ -200,14 +239,54 @@ def _near(x: str, y: str) -> str:
 
 
 def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: key, id, n_words.  Pairs (a, b) with a < b, and the rows of buckets that gave only a star, with its centre."""
+    """rows: key, id, n_words.  Pairs (a, b) with a < b, and the rows of buckets that gave only a star."""
     count = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "n_words")).alias("first")).where("n > 1")
     held = stash(rows.join(count, "key").select("key", "id", "n_words", "n", F.col("first.id").alias("centre"), F.col("first.n_words").alias("centre_words")))
     star = held.where(f"id <> centre and {_near('n_words', 'centre_words')}").select(F.col("centre").alias("a"), F.col("id").alias("b"))
     few = held.where(f"n > 2 and n <= {SMALL} and id <> centre").select("key", "id", "n_words")
     other = few.select("key", F.col("id").alias("b"), F.col("n_words").alias("w"))
     pairs = few.join(other, "key").where(f"id < b and {_near('n_words', 'w')}").select(F.col("id").alias("a"), "b")
-    return star.union(pairs).distinct(), held.where(f"n > {SMALL} and id <> centre").select("key", "id", "n_words", "centre")
+    return star.union(pairs).distinct(), held.where(f"n > {SMALL}").select("key", "id", "n_words")
+
+
+def _open_pairs(wide: DataFrame, bag: DataFrame, found: DataFrame, block: int = 2048) -> DataFrame:
+    """a, b, ca, cb: all pairs of rows of one large bucket in two components (found: node, component) that may align.
+
+    Rows of a bucket meet by length: slot s has those of length classes s - 1 and s,
+    and only pairs with one of class s count there.  Slots of one component are
+    settled, those of the same rows are one; large ones are cut into pairs of blocks.
+    """
+    known = wide.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # lengths of a pair that may align are in one class or in two that follow each other
+    known = known.withColumn("class", F.floor(F.log("n_words") / float(np.log(1.001 / THRESHOLD))).cast("int"))
+    known = stash(known.select("key", "id", "n_words", "component", "class", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("slot")))
+    marks = (F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("class") == F.col("slot")).alias("own"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).alias("m2"))
+    slots = known.groupBy("key", "slot").agg(*marks).where("low <> high and own").groupBy("slot", "n", "m1", "m2").agg(F.min("key").alias("key"))
+    parts = slots.select("key", "slot", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    rows = known.join(parts, ["key", "slot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = sent.join(bag, "id").select("key", "slot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "n_words", "component", (F.col("class") == F.col("slot")).alias("own"), "bag")
+
+    def meet(group: pa.Table) -> pa.Table:
+        ids, n_words, component, own, at = (group.column(c).to_numpy() for c in ("id", "n_words", "component", "own", "block"))
+        bits = np.frombuffer(b"".join(group.column("bag").to_pylist()), np.uint64).reshape(len(ids), -1)
+        n_words, first, second = n_words.astype(np.int64), group.column("first")[0].as_py(), group.column("second")[0].as_py()
+        left, right, out = np.flatnonzero(at == first), np.flatnonzero(at == second), []
+        for i in range(0, len(left), 64):
+            a, b = left[i : i + 64, None], right[None, :]
+            near = (component[a] != component[b]) & (own[a] | own[b])
+            near &= np.minimum(n_words[a], n_words[b]) >= THRESHOLD * np.maximum(n_words[a], n_words[b]) - 1e-9
+            if first == second:
+                near &= ids[a] < ids[b]
+            x, y = np.nonzero(near)
+            x, y = left[i + x], right[y]
+            keep = may_align(bits, n_words, x, y)
+            out.append((x[keep], y[keep]))
+        x, y = (np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else ((), ())))
+        x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+        return pa.table({"a": ids[x], "b": ids[y], "ca": np.minimum(component[x], component[y]), "cb": np.maximum(component[x], component[y])})
+
+    return sent.groupBy("key", "slot", "first", "second").applyInArrow(meet, "a long, b long, ca long, cb long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -253,18 +332,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs, wide = _candidates(banded.select("key", "id", "n_words").distinct())
     pairs, wide = stash(pairs), stash(wide)
     links = _verified(pairs, docs)
-    # Of large buckets, what didn't align with the centre.  A pair that shares a small bucket has met
-    # there, so what is left to meet shares large buckets only: two of them make a sub-bucket.
-    left = wide.join(links.select(F.col("a").alias("centre"), F.col("b").alias("id")), ["centre", "id"], "left_anti").select("key", "id", "n_words")
-    after = Window.partitionBy("id").orderBy("key")
-    again = left.select("id", "n_words", "key", F.array(*(F.lead("key", d).over(after) for d in (1, 2, 3))).alias("further"))
-    again = again.select("id", "n_words", "key", F.explode("further").alias("other")).where("other is not null").select(F.xxhash64("key", "other").alias("key"), "id", "n_words")
-    more, _ = _candidates(again.distinct())
-    more = stash(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(_verified(more, docs))
     ties = links.select("a", "b").union(members.where("id <> rep").select("id", "rep").groupBy("id").agg(F.max("rep").alias("b"), F.min("rep").alias("c")).where("b <> c").select("c", "b"))
-    found = components(ties)
+    found = stash(components(ties))
+    # What the stars left open: a few pairs of any two components first, as one that aligns settles all of them.
+    left = stash(_open_pairs(wide, own.groupBy("id").agg(F.max("bag").alias("bag")), found).join(pairs, ["a", "b"], "left_anti"))
+    for few in (8, None):
+        if left.isEmpty():
+            break
+        share = left.groupBy("ca", "cb").agg((F.lit(float(few)) / F.count("*")).alias("share")) if few else None
+        dealt = stash(left.join(share, ["ca", "cb"]).withColumn("now", F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < F.col("share") * (1 << 20))) if few else left.withColumn("now", F.lit(True))
+        links = _verified(dealt.where("now").select("a", "b"), docs)
+        if not links.isEmpty():
+            found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))))
+        if few:
+            rest = dealt.where("not now").select("a", "b")
+            for side in ("a", "b"):
+                rest = rest.join(found.select(F.col("node").alias(side), F.col("component").alias("c" + side)), side, "left").withColumn("c" + side, F.coalesce("c" + side, side))
+            left = stash(rest.where("ca <> cb"))
     whole = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     seen = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("rows"))
     least = whole.groupBy("id").agg(F.min("class_id").alias("class_id"))

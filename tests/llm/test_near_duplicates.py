@@ -104,3 +104,40 @@ def test_recall_at_word_shingle_similarity(spark):
     far = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) < 0.1 * len(sets[a] | sets[b])]
     assert len(near) > 20 and all(cls[a] == cls[b] for a, b in near)
     assert not [p for p in far if cls[p[0]] == cls[p[1]]]
+
+
+def test_longer_copies_do_not_part_base_and_shorter_copy(spark):
+    base = texts(1, 11)[0].split()[:80]
+    tail = [" ".join(f"t{i}x{j}" for j in range(16)) for i in range(60)]
+    rows = [(i, " ".join(base) + " " + t) for i, t in enumerate(tail)] + [(100, " ".join(base)), (101, " ".join(base[:68]))]
+    got = om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0}
+
+
+def test_large_buckets_equal_brute_force(spark):
+    """Classes are those of all pairs that agree in a sketch and align."""
+    draw, rows = np.random.default_rng(5), []
+    for family in range(3):
+        base = [f"f{family}x{i}" for i in range(90)]
+        for _ in range(60):  # prefixes and suffixes of many lengths, with other words beyond them
+            a, b = int(draw.integers(0, 14)), int(draw.integers(76, 91))
+            rows.append((len(rows), " ".join([*(f"n{x}" for x in draw.integers(0, 10**6, draw.integers(0, 25))), *base[a:b], *(f"n{x}" for x in draw.integers(0, 10**6, draw.integers(0, 12)))])))
+    words, at = textscan.words(pa.array([t for _, t in rows]))
+    words = [words[at[i] : at[i + 1]] for i in range(len(rows))]
+    keys, parent = [om.sketch(w) for w in words], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if (keys[i] == keys[j]).any()]
+    alike = om.similar([((words[i] >> np.uint64(32)).astype(np.uint32), (words[j] >> np.uint64(32)).astype(np.uint32)) for i, j in pairs])
+    for (i, j), s in zip(pairs, alike):
+        if s >= 0:
+            i, j = sorted((root(i), root(j)))
+            parent[j] = i
+    bits, n_words = om.bags(np.concatenate(words), at).view(np.uint64), np.diff(at)
+    assert om.may_align(bits, n_words, *np.array(pairs)[alike >= 0].T).all()
+    got = {r["doc_id"]: r["class_id"] for r in om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: root(i) for i in range(len(rows))} and 3 < len(set(got.values())) < 100
