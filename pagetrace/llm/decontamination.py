@@ -1,18 +1,16 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Windows of the documents have the sizes of the benchmark's items and of their
-halves, rounded down to a grid, and begin at every `stride`-th word; each item
-has windows at as many offsets as a stride has, so that one of them lies on the
-documents' grid wherever a passage begins.  Each window has a 64-bit SimHash of
+Windows of the documents begin at every `stride`-th word, and each item has
+windows of one size at all of its offsets.  Each window has a 64-bit SimHash of
 its five-word shingles.  A multi-index over four 16-bit blocks finds all pairs
 of windows within RADIUS = 3 bits (two fingerprints that differ in at most three
 bits agree in one of four blocks).  Every candidate is then verified by the
 exact weighted Jaccard similarity of the whole item's shingles with those of the
-item-sized passage of the document; only 0.8 or more is reported.
+passages of the document around it; only 0.8 or more is reported.
 
-An unbroken half suffices to find a passage: at a similarity of 0.8 there is
-about one changed word in 45, so that of an item of up to some 90 words one half
-is whole; longer items have further windows of GRID[-1] words all along.
+The size follows from that: a similarity of 0.8 leaves only so many changes, and
+between them a run of `unbroken` words stays whole, so a size is taken of which
+one window on the documents' grid fits into such a run wherever it begins.
 """
 
 from __future__ import annotations
@@ -36,6 +34,21 @@ def stride(size: int) -> int:
     return max(1, size // 4)
 
 
+def unbroken(n: int) -> int:
+    """Words in a row that an item of n words has in common with every passage of similarity THRESHOLD or more.
+
+    Of the item's m shingles and e others, THRESHOLD allows to lose l with
+    l + THRESHOLD * e <= (1 - THRESHOLD) * m.  Every break within the passage loses
+    WORDS - 1 and adds as many at least; c breaks leave c + 1 runs.
+    """
+    if n < WORDS:
+        return n
+    m, least = n - WORDS + 1, WORDS - 1
+    most = int((1 - THRESHOLD) * m / (least * (1 + THRESHOLD)) + 1e-9)
+    kept = min((THRESHOLD * m + THRESHOLD * least * c) / (c + 1) for c in range(most + 1))
+    return int(np.ceil(kept - 1e-9)) + WORDS - 1
+
+
 def _largest(fits) -> int | None:
     return max((w for w in GRID if fits(w)), default=None)
 
@@ -125,12 +138,9 @@ class Index:
         found: dict[int, set[tuple[int, int]]] = {}
         for i, w in enumerate(self.words):
             n = len(w)
-            if (size := _largest(lambda s: s + stride(s) - 1 <= n)) is not None:
-                places = set(range(stride(size))) | (set(range(n - size + 1)) if size == GRID[-1] else set())
-                found.setdefault(size, set()).update((i, o) for o in places)
-            if n >= 2 * WORDS and (size := _largest(lambda s: 2 * (s + stride(s) - 1) <= n)) is not None and size >= WORDS:
-                k = stride(size)
-                found.setdefault(size, set()).update((i, o) for o in (*range(k), *range(n - size - k + 1, n - size + 1)))
+            run = unbroken(n)
+            if (size := _largest(lambda s: s + stride(s) - 1 <= run)) is not None:
+                found.setdefault(size, set()).update((i, o) for o in range(n - size + 1))
         self.probes = []
         for size, pairs in sorted(found.items()):
             items, offsets = np.array(sorted(pairs)).T
@@ -138,16 +148,38 @@ class Index:
             self.probes.append(Probes(size, prints, items, offsets))
 
     def verify(self, item: int, words: np.ndarray, start: int) -> tuple[float, int, int]:
-        """Greatest similarity of the item with a passage at about `start`, and that passage."""
+        """Greatest similarity of the item with a passage that meets it at `start`, and that passage (0 if it is under THRESHOLD for sure)."""
         n, bag, best = len(self.words[item]), self.bags[item], (0.0, 0, 0)
-        slack = [0, *(x for d in range(1, 1 + max(1, n // 20)) for x in (d, -d))]
-        for left in slack:
-            for right in slack:
-                a, b = max(0, start + left), min(len(words), start + n + right)
-                if b - a >= min(n, WORDS):
-                    s = weighted_jaccard(bag, _bag(words[a:b]))
-                    if s > best[0]:
-                        best = (s, a, b - a)
+        size = min(n, WORDS)
+        # a passage has at most 1 / THRESHOLD of the item's shingles, and may hold the item's parts in another order
+        most = int(len(bag) / THRESHOLD + 1e-9) + WORDS - 1 if n >= WORDS else 0
+        low, high = max(0, start - most), min(len(words), start + n + most)
+        if high - low < size:
+            return best
+        kinds, has = np.unique(bag, return_counts=True)
+        grams = textscan.shingles(words[low:high], size)
+        kind = np.minimum(np.searchsorted(kinds, grams), len(kinds) - 1)
+        of_item = np.flatnonzero(kinds[kind] == grams)
+        kind = kind[of_item]
+        if np.minimum(np.bincount(kind, minlength=len(kinds)), has).sum() < THRESHOLD * len(bag) - 1e-9:
+            return best
+        order = np.argsort(kind, kind="stable")
+        by_kind = np.searchsorted(kind[order], np.arange(len(kinds)))
+        place = np.empty(len(kind), np.int64)
+        place[order] = np.arange(len(kind)) - by_kind[kind[order]]  # how often the shingle has come before
+        for a in sorted(range(low, min(start + n if most else start, high - size) + 1), key=lambda a: abs(a - start)):
+            first = a - low
+            later = of_item >= first
+            before = np.bincount(kind[~later], minlength=len(kinds))
+            counts = np.zeros(len(grams) - first, np.int64)
+            counts[of_item[later] - first] = place[later] - before[kind[later]] < has[kind[later]]
+            both, many = np.cumsum(counts), np.arange(1, len(counts) + 1)
+            if n < WORDS:  # only n words have a shingle of n
+                both, many = both[:1], many[:1]
+            s = both / (len(bag) + many - both)
+            k = int(s.argmax())
+            if s[k] > best[0]:
+                best = (float(s[k]), a, k + size)
             if best[0] == 1.0:
                 break
         return best

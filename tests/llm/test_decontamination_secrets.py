@@ -51,6 +51,51 @@ def test_edited_passages_by_exact_similarity(spark, bench):
     assert len(got - want) <= 0.1 * len(rows)  # a passage a word or two shorter may be more similar
 
 
+def test_changed_passages_equal_brute_force():
+    """Several changed words, changed or missing edges and moved halves, at all start positions."""
+    draw, sizes = np.random.default_rng(4), (5, 7, 10, 15, 22, 40, 41, 60, 100, 150)
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate(sizes)]
+    items.append(items[5][:12] * 3)  # repeated words
+    index, docs = dc.Index(list(range(len(items))), [" ".join(w) for w in items]), []
+    for at, k in (((37, 75, 112), 9), ((33, 66), 8), ((0, 14), 3)):
+        docs += [(k, ["pre"] * lead + [f"c{j}" if j in at else w for j, w in enumerate(items[k])] + ["post"] * 9) for lead in range(16)]
+    docs += [(3, ["pre"] * lead + items[3][1:-1] + ["post"] * 9) for lead in range(16)]
+    for _ in range(400):
+        k = int(draw.integers(0, len(items)))
+        w = list(items[k])
+        w = w[int(draw.integers(0, 1 + len(w) // 7)) :]
+        w = w[: len(w) - int(draw.integers(0, 1 + len(w) // 7))]
+        if draw.random() < 0.1:
+            cut = int(draw.integers(0, len(w)))
+            w = w[cut:] + w[:cut]
+        for _ in range(int(draw.integers(0, 1 + len(w) // 30))):
+            j = int(draw.integers(0, len(w)))
+            w[j : j + 1] = ([f"n{j}"], [], [w[j], f"n{j}"])[int(draw.integers(0, 3))]
+        docs.append((k, [f"p{j}" for j in range(int(draw.integers(0, 30)))] + w + [f"q{j}" for j in range(int(draw.integers(0, 30)))]))
+
+    def brute(item, words):
+        bag, best = dc._bag(item), 0.0
+        for a in range(len(words)):
+            have, left = 0, dict(zip(*(c.tolist() for c in np.unique(bag, return_counts=True))))
+            for many, gram in enumerate(textscan.shingles(words[a:], dc.WORDS).tolist(), 1):
+                if left.get(gram, 0):
+                    left[gram] -= 1
+                    have += 1
+                best = max(best, have / (len(bag) + many - have))
+        return best
+
+    texts = pa.array([" ".join(w) for _, w in docs])
+    got = {(row, item): s for row, item, s, _, _ in index.search(texts)}
+    words, at = textscan.words(texts)
+    want = {}
+    for row, (k, _) in enumerate(docs):
+        s = brute(index.words[k], words[at[row] : at[row + 1]])
+        if s >= dc.THRESHOLD:
+            want[row, k] = s
+    assert all((row, docs[row][0]) in want for row in range(64)) and len(want) > 200
+    assert {key: s for key, s in got.items() if docs[key[0]][0] == key[1]} == pytest.approx(want)
+
+
 def test_odd_rows_and_tables(spark, bench):
     docs = spark.createDataFrame([(None, leak(5, 3, 3)), (1, None), (2, ""), (3, passage(20_000, 999)), (4, leak(5, 0, 0)), (4, leak(5, 0, 0)), (5, passage(15, 1234))], "doc_id long, text string")
     got = dc.contaminations(docs, bench).collect()
