@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .common import in_batches
 
 WORDS, RADIUS, BLOCKS, THRESHOLD = 5, 3, 4, 0.8
 #: Window sizes in words; under five words there is one shingle of them all.
@@ -232,11 +233,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     All rows of docs are searched; a row with a null or empty text, an item with
     none, and empty tables give no rows.  Repeated rows give their own results.
     """
-    out = None
+    out, docs = None, in_batches(docs)
     for index in indexes(benchmark):
 
         def rows(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for part in textscan.slices(batches, limit=1 << 20):
+            for part in textscan.slices(batches):
                 found = index.search(part.column("text"))
                 if found:
                     row, item, similarity, first, many = zip(*found)
@@ -252,10 +253,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark passage, unchanged; no shuffle."""
+    docs = in_batches(docs)
     for index in indexes(benchmark):
 
         def rows(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for part in textscan.slices(batches, limit=1 << 20):
+            for part in textscan.slices(batches):
                 keep = np.ones(part.num_rows, bool)
                 keep[[f[0] for f in index.search(part.column("text"))]] = False
                 yield part.filter(pa.array(keep))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .common import in_batches
 
 UNKNOWN = "und"
 FEATURES = 1 << 13
@@ -141,7 +142,7 @@ def train(docs: DataFrame, sample: int = 800) -> LanguageModel:
     at most, chosen by hash, are read; the number of languages is taken
     to be small.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64("doc_id", F.length("text")).alias("_h"))
+    known = in_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64("doc_id", F.length("text")).alias("_h"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return fit(np.zeros((0, FEATURES), np.float32), [])
@@ -149,9 +150,9 @@ def train(docs: DataFrame, sample: int = 800) -> LanguageModel:
     chosen = known.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text", "_h")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textscan.slices(batches, limit=1 << 20):
-            for i in range(0, part.num_rows, 256):
-                own = part.slice(i, 256)
+        for part in textscan.slices(batches, limit=1 << 18):
+            for i in range(0, part.num_rows, 64):
+                own = part.slice(i, 64)
                 x, letters = features(own.column("text"))
                 row, col = np.nonzero(x)
                 cuts = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
@@ -184,14 +185,15 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     text if the model has met no language.
     """
     names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score", "ambiguous")]
+    docs = in_batches(docs)
     wanted = docs.select(*names) if "text" in names else docs.select(*names, "text")
     fields = [f for f in wanted.schema.fields if f.name in names]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, ambiguous boolean"
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textscan.slices(batches, limit=1 << 20):
-            for i in range(0, part.num_rows, 256):
-                own = part.slice(i, 256)
+        for part in textscan.slices(batches, limit=1 << 18):
+            for i in range(0, part.num_rows, 64):
+                own = part.slice(i, 64)
                 lang, score, ambiguous = model.predict(own.column("text"))
                 yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous)], [*names, "lang_pred", "score", "ambiguous"])
 
@@ -203,10 +205,10 @@ def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataF
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textscan.slices(batches, limit=1 << 20):
-            for i in range(0, part.num_rows, 256):
-                own = part.slice(i, 256)
+        for part in textscan.slices(batches, limit=1 << 18):
+            for i in range(0, part.num_rows, 64):
+                own = part.slice(i, 64)
                 lang, score, _ = model.predict(own.column("text"))
                 yield own.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(lang, score)], pa.bool_()))
 
-    return docs.select(*names).mapInArrow(keep, docs.schema)
+    return in_batches(docs).select(*names).mapInArrow(keep, docs.schema)

@@ -15,7 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+#: Bytes of text that are worked on at once (one row at least).
+SLICE = 1 << 19
+_LIBC = ctypes.CDLL(None)
+_TRIM, _OPTION = getattr(_LIBC, "malloc_trim", None), getattr(_LIBC, "mallopt", None)  # of the GNU library only
 _B = 0x9E3779B97F4A7C15 | 1
 _POW = np.cumprod(np.r_[np.uint64(1), np.full(BLOCK - 1, _B, np.uint64)], dtype=np.uint64)
 _INV = np.cumprod(np.r_[np.uint64(1), np.full(BLOCK - 1, pow(_B, -1, 1 << 64), np.uint64)], dtype=np.uint64)
@@ -114,8 +117,16 @@ def trim() -> None:
         _TRIM(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def lean() -> None:
+    """Have large arrays go back to the system once they are freed, Arrow's too."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if _OPTION is not None:
+        _OPTION(-3, 1 << 20)  # M_MMAP_THRESHOLD; a set one no longer grows
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `limit` bytes of text (one row at least)."""
+    lean()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, i = np.cumsum(sizes), 0

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import stash
-from .wordbpe import encoder
+from .common import in_batches, stash
+from .wordbpe import encoding
 
 MAGIC = b"PTTOKEN1"
 HEADER = np.dtype([("magic", "S8"), ("dictionary", "V32"), ("count", "<u8")])
@@ -62,8 +62,7 @@ def train(docs: DataFrame, vocabulary: str, end: int) -> bytes:
     """The dictionary's bytes; from the SAMPLE texts of up to SAMPLE_BYTES with the least hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textscan.slices(batches):
-            ids, at = encoder(vocabulary).encode(part.column("text"))
+        for _, ids, at in encoding(vocabulary, batches):
             yield pa.RecordBatch.from_arrays([pa.array([_serialized(np.r_[ids[i:j], np.uint32(end)])[0] for i, j in zip(at, at[1:])], pa.binary())], ["ids"])
 
     some = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h").limit(SAMPLE).select("text")
@@ -78,13 +77,13 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if len(raw) >= 8 else None
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> DataFrame:
+def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2, part_bytes: int = 32 << 20) -> DataFrame:
     """Writes a store of all rows of docs; returns part, file, docs, tokens for each part.
 
     A null text counts as empty.  Rows are in the order of doc_id (nulls first),
-    those with one doc_id in the order of a hash of their text.
+    those with one doc_id in the order of a hash of their text.  There are as many
+    parts as there are `part_bytes` bytes of text, whatever the session's settings.
     """
-    spark = docs.sparkSession
     raw = train(docs, vocabulary, end)
     _fs(path)[0].create_dir(_fs(path)[1], recursive=True)
     write_file(f"{path}/dictionary", raw)
@@ -97,9 +96,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> DataFram
         entries, at, tokens, out = [], 0, 0, None
         fs, base = _fs(f"{path}/part-{part:05d}")
         draft = f"{base}.{TaskContext.get().taskAttemptId()}"
-        for batch in textscan.slices(batches):
+        for batch, ids, begin in encoding(vocabulary, batches):
             out = out or fs.open_output_stream(draft)
-            ids, begin = encoder(vocabulary).encode(batch.column("text"))
             for doc_id, i, j in zip(batch.column("doc_id").to_pylist(), begin, begin[1:]):
                 data, width = _serialized(np.r_[ids[i:j], np.uint32(end)])
                 frame = packer.compress(data)
@@ -115,8 +113,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> DataFram
         fs.move(draft, f"{base}.tok")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"part-{part:05d}"]), pa.array([len(entries)], pa.int64()), pa.array([tokens], pa.int64())], ["part", "file", "docs", "tokens"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
-    ordered = wanted.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    wanted = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = wanted.repartitionByRange(max(1, -(-size // part_bytes)), "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     return stash(ordered.mapInArrow(rows, "part long, file string, docs long, tokens long"))
 
 

@@ -2,12 +2,17 @@
 
 The vocabulary splits at white space before it merges, so a text's ids are the
 ids of its white-space-separated chunks in turn.  Each distinct chunk is encoded
-once in a worker and the ids of all texts are gathered from those.
+once in a task and the ids of all texts are gathered from those.  Chunks are
+found by a 64-bit hash and count as known only if their bytes agree.  That holds
+for vocabularies with the normaliser and pre-tokenizer below; any other is
+encoded text by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +31,35 @@ _BYTES = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256
 _BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)}
 
 
+#: What a vocabulary does before it merges, if chunks can be encoded by themselves.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _by_chunk(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    normal, cut = rules.get("normalizer") or {}, (rules.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        normal.get("normalizers") == NORMALIZERS
+        and [x.get("type") for x in cut] == ["Split", "ByteLevel"]
+        and (cut[0].get("pattern"), cut[0].get("behavior"), cut[0].get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        and not (cut[1].get("add_prefix_space") or cut[1].get("use_regex"))
+        and rules.get("model", {}).get("type") == "BPE"
+        and not rules["model"].get("dropout")
+        and all(x["content"].startswith("<|") for x in rules.get("added_tokens", []))
+    )
+
+
 class WordEncoder:
     """Encodes Arrow string arrays to flat ids; keeps what it has met, up to `most` chunks."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.most = most
+        self.most, self.by_chunk = most, _by_chunk(path)
         self.stops = {c: self.whole.encode(chr(c), add_special_tokens=False).ids for c in (44, 46)}
         self.forget()
 
@@ -44,6 +69,9 @@ class WordEncoder:
         self.starts = np.empty(1 << 16, np.int64)
         self.lengths = np.empty(1 << 16, np.int64)
         self.ids = np.empty(1 << 18, np.uint32)
+        self.byte_starts = np.empty(1 << 16, np.int64)
+        self.bytes = np.empty(1 << 18, np.uint8)
+        self.byte_used = 0
 
     def _of(self, chunk: bytes) -> list[int]:
         """Ids of one chunk."""
@@ -76,8 +104,18 @@ class WordEncoder:
             self.ids.resize(2 * len(self.ids), refcheck=False)
         self.starts[self.count : count], self.lengths[self.count : count] = begin, lengths
         self.ids[self.used : used] = np.fromiter((i for x in new for i in x), np.uint32, used - self.used)
+        held = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        while len(self.byte_starts) <= count:
+            self.byte_starts.resize(2 * len(self.byte_starts), refcheck=False)
+        while len(self.bytes) < self.byte_used + int(held.sum()):
+            self.bytes.resize(2 * len(self.bytes), refcheck=False)
+        self.byte_starts[self.count : count + 1] = self.byte_used + np.r_[0, np.cumsum(held)]
+        self.bytes[self.byte_used : self.byte_used + int(held.sum())] = np.frombuffer(b"".join(chunks), np.uint8)
+        self.byte_used += int(held.sum())
         entry = np.arange(self.count, count)
         self.count, self.used = count, used
+        if not len(keys):
+            return
         self.known.append((keys, entry))  # keys come sorted
         while len(self.known) > 1 and (len(self.known[-2][0]) < 4 * len(self.known[-1][0])):
             (a, x), (b, y) = self.known.pop(), self.known.pop()
@@ -85,8 +123,27 @@ class WordEncoder:
             order = np.argsort(both, kind="stable")
             self.known.append((both[order], places[order]))
 
+    def _differ(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """Places of the chunks whose bytes are not those that their entry was learnt from."""
+        first = self.byte_starts[entry]
+        wrong = self.byte_starts[entry + 1] - first != lengths
+        rest = np.flatnonzero(~wrong)
+        same = fold[data[textscan.ragged(starts[rest], lengths[rest])]] == fold[self.bytes[textscan.ragged(first[rest], lengths[rest])]]
+        if not same.all():
+            wrong[rest[np.unique(np.searchsorted(np.cumsum(lengths[rest]), np.flatnonzero(~same), "right"))]] = True
+        return np.flatnonzero(wrong)
+
+    def _apart(self, chunks: list[bytes]) -> np.ndarray:
+        """Entries of chunks that no key leads to."""
+        begin = self.count
+        self._learn(np.empty(0, np.uint64), chunks)
+        return np.arange(begin, self.count)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and where each text's ids begin (one more entry: the end)."""
+        if not self.by_chunk:
+            found = [e.ids for e in self.whole.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.fromiter((i for x in found for i in x), np.uint32), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
         data, at = textscan.joined(texts)
         starts, ends = textscan.runs(_SPACE[data])
         if not len(starts):
@@ -97,7 +154,8 @@ class WordEncoder:
         cut[cut] = _ALNUM[data[ends[cut] - 2]]
         core = ends - cut
         marked = b"<|" in data.tobytes()  # special tokens are told apart by case
-        keys = textscan.run_hashes(data, starts, core, _RAW if marked else textscan.LOWER) ^ (core - starts).astype(np.uint64)
+        fold = _RAW if marked else textscan.LOWER
+        keys = textscan.run_hashes(data, starts, core, fold) ^ (core - starts).astype(np.uint64)
         if marked:
             keys = ~keys
         coded = pa.array(keys).dictionary_encode()
@@ -112,6 +170,8 @@ class WordEncoder:
             self._learn(distinct[new], [bytes(view[starts[i] : core[i]]) for i in first[new]])
             entry = self._find(distinct)
         entry = entry[code]
+        if len(other := self._differ(data, starts, core - starts, entry, fold)):  # two chunks with one hash
+            entry[other] = self._apart([data[starts[i] : core[i]].tobytes() for i in other])
         lengths = self.lengths[entry]
         # a mark has one id, after those of its word
         total = lengths + cut
@@ -127,8 +187,18 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for the vocabulary file at path."""
+def encoding(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches, the flat ids of their texts and where each text's ids begin.
+
+    The vocabulary stays with the worker, which outlives its tasks; what was
+    learnt goes with the task.
+    """
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    encoder = _ENCODERS[path]
+    try:
+        for part in textscan.slices(batches, limit=textscan.SLICE):
+            yield part, *encoder.encode(part.column("text"))
+    finally:
+        encoder.forget()
+        textscan.trim()
