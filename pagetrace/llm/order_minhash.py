@@ -6,11 +6,15 @@ text order, so two documents agree in a sketch only if they share those k-mers
 in the same order: the sketch follows edit similarity, not just overlap.
 Documents that agree in a sketch are candidates; a banded alignment of their
 words verifies that 1 - edits / words of the longer is at least the threshold.
-
-Equal word sequences are one class from the start.  Buckets of up to `small`
-classes give all their pairs, larger ones a star around their least member.  A
-large bucket whose members are not all connected then gives all pairs of members
-that are not, but for those that lengths and word counts prove to be unlike.
+Two documents with a share r of edited words share s = (1 - r) ** k of their
+k-mers and agree in a sketch with about (s / (2 - s)) ** picked, so SKETCHES = 60
+find nine of ten pairs at a similarity of 0.8 and nearly all from 0.85 on.
+
+Equal word sequences are one class from the start.  Buckets of up to SMALL
+classes give all their pairs, larger ones a star around their least member.  The
+members of large buckets that are then not all connected go through an exact
+join: of two texts that similar, one of the rarest fifth of the words (and one
+more) of each is common to both.
 """
 
 from __future__ import annotations
@@ -19,14 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import stash
+from .common import in_batches, stash
 from .components import components
 
-K, SKETCHES, PICKED, SMALL, THRESHOLD = 5, 20, 3, 16, 0.8
+K, SKETCHES, PICKED, SMALL, THRESHOLD = 5, 60, 2, 16, 0.8
+#: Words whose frequency orders the rarest words of a text; any others count as rare.  Only speed depends on it.
+FREQUENT = 1 << 17
+#: Wanted rows of up to this number are broadcast to the texts, more are joined with a shuffle.
+FEW_ROWS = 500_000
 #: Bits of a bag, for words and for pairs of words in a row: which of so many bins of their hashes hold at least 1, 2 ... up to so many levels.
 BAGS = ((1, 512, 4), (2, 1024, 2))
 
@@ -47,12 +55,17 @@ def sketch(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picked: int
     grams = textscan.shingles(words, min(k, max(1, len(words))))
     grams = textscan.mix(grams + _occurrences(grams).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     seeds = textscan.mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    short, salt = (grams >> np.uint64(32)).astype(np.uint32), (seeds >> np.uint64(32)).astype(np.uint32)
     n, width = min(picked, len(grams)), max(1, (1 << 18) // len(grams))
     least = np.empty((sketches, n), np.int64)
     for s in range(0, sketches, width):
-        ranked = (grams[None, :] ^ seeds[s : s + width, None]) * np.uint64(0xFF51AFD7ED558CCD)
-        ranked ^= ranked >> np.uint64(32)
-        least[s : s + width] = np.argpartition(ranked, n - 1, axis=1)[:, :n] if n < len(grams) else np.arange(n)
+        ranked = (short[None, :] ^ salt[s : s + width, None]) * np.uint32(0x85EBCA6B)
+        ranked ^= ranked >> np.uint32(15)
+        ranked *= np.uint32(0xC2B2AE35)
+        row = np.arange(len(ranked))
+        for i in range(n):
+            least[s : s + width, i] = at = ranked.argmin(1)
+            ranked[row, at] = 0xFFFFFFFF
     drawn, out = grams[np.sort(least, axis=1)], seeds.copy()
     for i in range(n):
         out = (out ^ drawn[:, i]) * np.uint64(0x9FB21C651E98DF25)
@@ -169,7 +182,7 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray
 def edits(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int], cells: int = 1 << 17, words: int = 1 << 20) -> np.ndarray:
     """Insertions, deletions and substitutions that turn a into b, for each pair; -1 if more than its `most`.
 
-    Banded alignment: a narrow band first, the whole one for what it leaves open.
+    Banded alignment: a narrow band first, four times as wide for what it leaves open.
     As many pairs go together as make `cells` cells a row and `words` words padded.
     """
     out = np.full(len(pairs), -1, np.int64)
@@ -183,27 +196,29 @@ def edits(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int], cells: in
         elif _unlike(a, b) <= limit[k]:
             cut[k] = (a, b)
     out[out > limit] = -1
-    for narrow in (True, False):
-        todo = sorted(cut, key=lambda k: (min(limit[k], 32) if narrow else limit[k], len(cut[k][0])))
+    widest = 32
+    while cut:
+        todo = sorted(cut, key=lambda k: (min(limit[k], widest), len(cut[k][0])))
         while todo:
-            band = int(min(limit[todo[0]], 32) if narrow else limit[todo[0]])
+            band = int(min(limit[todo[0]], widest))
             size, tall = 1, sum(map(len, cut[todo[0]])) + band
             while size < len(todo) and size < max(1, cells // (2 * band + 1)):
                 tall = max(tall, sum(map(len, cut[todo[size]])) + band)
                 if (size + 1) * tall > words:
                     break
-                next_band = int(min(limit[todo[size]], 32) if narrow else limit[todo[size]])
+                next_band = int(min(limit[todo[size]], widest))
                 if next_band > 1.25 * band + 4:
                     break
                 size += 1
             part, todo = todo[:size], todo[size:]
-            band = max(int(min(limit[k], 32) if narrow else limit[k]) for k in part)
+            band = max(int(min(limit[k], widest)) for k in part)
             for k, e in zip(part, _banded([cut[k] for k in part], band).tolist()):
                 if e <= min(band, limit[k]):
                     out[k] = e
                     del cut[k]
                 elif band >= limit[k]:
                     del cut[k]
+        widest *= 4
     return out
 
 
@@ -214,8 +229,16 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRES
     return np.where(found >= 0, 1 - found / np.maximum(longer, 1), -1.0)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), "text")
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """id, d1, d2, n_words, sketches, bag of every row that has both an id and a text."""
+    """doc_id, text_hash, d1, d2, n_words, sketches of every row that has a text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.slices(batches):
@@ -226,12 +249,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
             keys = np.concatenate([sketch(words[at[i] : at[i + 1]]) for i in np.flatnonzero(sizes)]) if len(words) else np.empty(0, np.uint64)
             cuts = np.r_[0, np.cumsum(np.where(sizes > 0, SKETCHES, 0))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64))), pa.array([b.tobytes() for b in bags(words, at)], pa.binary())],
-                ["id", "d1", "d2", "n_words", "sketches", "bag"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64)))],
+                ["doc_id", "text_hash", "d1", "d2", "n_words", "sketches"],
             )
 
-    wanted = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return wanted.mapInArrow(rows, "id long, d1 long, d2 long, n_words int, sketches array<long>, bag binary")
+    return _rows(in_batches(docs).where(F.col("text").isNotNull())).mapInArrow(rows, "doc_id long, text_hash long, d1 long, d2 long, n_words int, sketches array<long>")
 
 
 def _near(x: str, y: str) -> str:
@@ -240,7 +262,8 @@ def _near(x: str, y: str) -> str:
 
 def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows: key, id, n_words.  Pairs (a, b) with a < b, and the rows of buckets that gave only a star."""
-    count = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "n_words")).alias("first")).where("n > 1")
+    # written first, so that a large bucket's rows can be dealt to several tasks
+    count = stash(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "n_words")).alias("first")).where("n > 1"))
     held = stash(rows.join(count, "key").select("key", "id", "n_words", "n", F.col("first.id").alias("centre"), F.col("first.n_words").alias("centre_words")))
     star = held.where(f"id <> centre and {_near('n_words', 'centre_words')}").select(F.col("centre").alias("a"), F.col("id").alias("b"))
     few = held.where(f"n > 2 and n <= {SMALL} and id <> centre").select("key", "id", "n_words")
@@ -249,23 +272,103 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return star.union(pairs).distinct(), held.where(f"n > {SMALL}").select("key", "id", "n_words")
 
 
-def _open_pairs(wide: DataFrame, bag: DataFrame, found: DataFrame, block: int = 2048) -> DataFrame:
-    """a, b, ca, cb: all pairs of rows of one large bucket in two components (found: node, component) that may align.
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of one row of each class in ids (id)."""
+    wanted = stash(classes.join(ids, "id", "left_semi").select("id", F.col("least.doc_id").alias("_doc_id"), F.col("least.text_hash").alias("_text_hash")))
+    side = F.broadcast(wanted) if wanted.count() <= FEW_ROWS else wanted
+    rows = _rows(in_batches(docs).where(F.col("text").isNotNull()))
+    return rows.join(side, (F.col("text_hash") == F.col("_text_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("id", "text")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, similarity of those pairs of classes that align."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textscan.slices(batches):
+            words, at = textscan.words(part.column("text"))
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(words)])
+            yield pa.RecordBatch.from_arrays([part.column("id"), data.cast(pa.binary())], ["id", "words"])
+
+    packed = _texts(docs, classes, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()).mapInArrow(pack, "id long, words binary")
+    packed = packed.groupBy("id").agg(F.first("words").alias("words"))  # of repeated rows
+    sides = pairs.join(packed.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textscan.slices(batches, "x", 4 << 20):
+            x, y = part.column("x"), part.column("y")
+            got = similar([(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(x, y)])
+            keep = pa.array(got >= 0)
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(got[got >= 0], pa.float64())], ["a", "b", "similarity"])
+
+    return stash(sides.select("a", "b", "x", "y").mapInArrow(align, "a long, b long, similarity double"))
+
+
+def _labelled(words: np.ndarray) -> np.ndarray:
+    """Words with their occurrence number; a text's are all different."""
+    return textscan.mix(words + _occurrences(words).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _frequent(texts: DataFrame) -> np.ndarray:
+    """Up to FREQUENT labelled words that tasks have met more than once, the least frequent first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textscan.slices(batches, limit=8 << 20):
+            words, at = textscan.words(part.column("text"))
+            if len(words):
+                kind, n = np.unique(np.concatenate([_labelled(words[i:j]) for i, j in zip(at, at[1:])]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kind[n > 1].view(np.int64)), pa.array(n[n > 1])], ["word", "n"])
+
+    found = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT)
+    return found.select("word").toArrow().column("word").to_numpy()[::-1].astype(np.int64)
+
+
+def rarest(words: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The words, labelled, of which two texts have one in common if THRESHOLD of the longer's words agree.
+
+    known: sorted words, rank: their order, rarer first; other words come before those.
+    """
+    own = _labelled(words).view(np.int64)
+    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+    place = np.where(known[at] == own, rank[at], -1) if len(known) else np.full(len(own), -1)
+    return own[np.lexsort((own, place))[: int((1 - THRESHOLD) * len(own) + 1e-9) + 1]]
+
+
+def _open_pairs(docs: DataFrame, classes: DataFrame, wide: DataFrame, found: DataFrame, block: int = 2048) -> DataFrame:
+    """a, b, ca, cb: all pairs in two components (found: node, component) that may align, of rows of buckets with several.
 
-    Rows of a bucket meet by length: slot s has those of length classes s - 1 and s,
-    and only pairs with one of class s count there.  Slots of one component are
-    settled, those of the same rows are one; large ones are cut into pairs of blocks.
+    Rows meet at each of their rarest words, by length: slot s has those of length
+    classes s - 1 and s, and only pairs with one of class s count there.  Slots of
+    one component are settled, those of the same rows are one; large ones are cut
+    into pairs of blocks.
     """
     known = wide.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    unsettled = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    left = stash(known.join(unsettled, "key", "left_semi").groupBy("id").agg(F.first("n_words").alias("n_words"), F.first("component").alias("component")))
+    texts = stash(_texts(docs, classes, left.select("id")).groupBy("id").agg(F.first("text").alias("text")))
+    order = _frequent(texts)
+    place = np.argsort(order)
+    frequent, rank = order[place], place
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textscan.slices(batches):
+            words, at = textscan.words(part.column("text"))
+            keys = [rarest(words[i:j], frequent, rank) for i, j in zip(at, at[1:])]
+            cuts = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(keys))), pa.array([b.tobytes() for b in bags(words, at)], pa.binary())], ["id", "keys", "bag"])
+
+    told = stash(texts.mapInArrow(tell, "id long, keys array<long>, bag binary").join(left, "id"))
     # lengths of a pair that may align are in one class or in two that follow each other
-    known = known.withColumn("class", F.floor(F.log("n_words") / float(np.log(1.001 / THRESHOLD))).cast("int"))
-    known = stash(known.select("key", "id", "n_words", "component", "class", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("slot")))
+    length = F.floor(F.log("n_words") / float(np.log(1.001 / THRESHOLD))).cast("int")
+    keyed = told.select("id", "n_words", "component", length.alias("class"), F.explode("keys").alias("key"))
+    several = stash(keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
+    keyed = keyed.join(several, "key")
+    keyed = stash(keyed.select("key", "id", "n_words", "component", "class", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("slot")))
     marks = (F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("class") == F.col("slot")).alias("own"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).alias("m2"))
-    slots = known.groupBy("key", "slot").agg(*marks).where("low <> high and own").groupBy("slot", "n", "m1", "m2").agg(F.min("key").alias("key"))
-    parts = slots.select("key", "slot", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    rows = known.join(parts, ["key", "slot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    slots = keyed.groupBy("key", "slot").agg(*marks).where("low <> high and own").groupBy("slot", "n", "m1", "m2").agg(F.min("key").alias("key"))
+    parts = stash(slots.select("key", "slot", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    rows = keyed.join(parts, ["key", "slot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.join(bag, "id").select("key", "slot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "n_words", "component", (F.col("class") == F.col("slot")).alias("own"), "bag")
+    sent = sent.join(told.select("id", "bag"), "id").select("key", "slot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "n_words", "component", (F.col("class") == F.col("slot")).alias("own"), "bag")
 
     def meet(group: pa.Table) -> pa.Table:
         ids, n_words, component, own, at = (group.column(c).to_numpy() for c in ("id", "n_words", "component", "own", "block"))
@@ -289,59 +392,33 @@ def _open_pairs(wide: DataFrame, bag: DataFrame, found: DataFrame, block: int =
     return sent.groupBy("key", "slot", "first", "second").applyInArrow(meet, "a long, b long, ca long, cb long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, similarity of those pairs that align."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textscan.slices(batches):
-            words, at = textscan.words(part.column("text"))
-            raw = (words >> np.uint64(32)).astype(np.uint32)
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), data.cast(pa.binary())], ["id", "words"])
-
-    # rows that share an id are one document: one of their texts stands for it
-    packed = stash(texts.mapInArrow(pack, "id long, words binary").groupBy("id").agg(F.max("words").alias("words")))
-    sides = pairs.join(packed.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textscan.slices(batches, "x", 4 << 20):
-            x, y = part.column("x"), part.column("y")
-            got = similar([(np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)) for p, q in zip(x, y)])
-            keep = pa.array(got >= 0)
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(got[got >= 0], pa.float64())], ["a", "b", "similarity"])
-
-    return stash(sides.select("a", "b", "x", "y").mapInArrow(align, "a long, b long, similarity double"))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, rows: for every doc_id its class's least doc_id and how many rows bear the doc_id.
-
-    Equal word sequences (or equal texts, if they have no words) and documents
-    linked by a verified similarity of THRESHOLD or more are one class, directly
-    or through others.  Rows that share a doc_id are one document.  A row with a
-    null text is a class of its own; rows with a null doc_id are left out here
-    (`deduplicate` keeps them).  An empty table gives no rows.
+    """doc_id, text_hash, class_id, kept, copies for every different row of doc_id and text.
+
+    class_id is the least doc_id of the row's class: equal word sequences (or
+    equal texts, if they have no words) and rows linked by a verified similarity
+    of THRESHOLD or more, directly or through others.  One row of a class is kept,
+    that with the least doc_id (null last; of rows with one doc_id that with the
+    least text_hash).  copies counts rows equal in both.  A row with a null text
+    is a class of its own and kept; its text_hash is null.  An empty table gives no
+    rows.  Columns other than doc_id and text are ignored.
     """
     rows = stash(_sketches(docs))
-    equal = rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    members = stash(rows.select("id", "d1", "d2").join(equal, ["d1", "d2"]).select("id", "rep"))
-    own = rows.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").where("n_words > 0")
-    banded = own.select("id", "n_words", "sketches", F.posexplode("sketches").alias("band", "value")).select("id", "n_words", "band", F.xxhash64("band", "value").alias("key"))
-    pairs, wide = _candidates(banded.select("key", "id", "n_words").distinct())
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    # classes have numbers of their own, as doc_ids need not be unique
+    classes = rows.groupBy("d1", "d2").agg(least, F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+    classes = stash(classes.withColumn("id", F.monotonically_increasing_id()))
+    pairs, wide = _candidates(classes.select("id", "n_words", F.explode("sketches").alias("key")))
     pairs, wide = stash(pairs), stash(wide)
-    links = _verified(pairs, docs)
-    ties = links.select("a", "b").union(members.where("id <> rep").select("id", "rep").groupBy("id").agg(F.max("rep").alias("b"), F.min("rep").alias("c")).where("b <> c").select("c", "b"))
-    found = stash(components(ties))
+    found = stash(components(_verified(pairs, docs, classes).select("a", "b")))
     # What the stars left open: a few pairs of any two components first, as one that aligns settles all of them.
-    left = stash(_open_pairs(wide, own.groupBy("id").agg(F.max("bag").alias("bag")), found).join(pairs, ["a", "b"], "left_anti"))
+    left = stash(_open_pairs(docs, classes, wide, found).join(pairs, ["a", "b"], "left_anti"))
     for few in (8, None):
         if left.isEmpty():
             break
         share = left.groupBy("ca", "cb").agg((F.lit(float(few)) / F.count("*")).alias("share")) if few else None
         dealt = stash(left.join(share, ["ca", "cb"]).withColumn("now", F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < F.col("share") * (1 << 20))) if few else left.withColumn("now", F.lit(True))
-        links = _verified(dealt.where("now").select("a", "b"), docs)
+        links = _verified(dealt.where("now").select("a", "b"), docs, classes)
         if not links.isEmpty():
             found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))))
         if few:
@@ -349,15 +426,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             for side in ("a", "b"):
                 rest = rest.join(found.select(F.col("node").alias(side), F.col("component").alias("c" + side)), side, "left").withColumn("c" + side, F.coalesce("c" + side, side))
             left = stash(rest.where("ca <> cb"))
-    whole = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
-    seen = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("rows"))
-    least = whole.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    return seen.join(least.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "rows")
+    tied = classes.select("id", "d1", "d2", "least").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = tied.groupBy("component").agg(F.min("least").alias("first"))
+    told = stash(tied.join(first, "component").select("d1", "d2", "first"))
+    seen = stash(rows.groupBy("doc_id", "text_hash", "d1", "d2").agg(F.count("*").alias("copies")))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    named = seen.join(told, ["d1", "d2"]).select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), kept.alias("kept"), "copies")
+    blank = docs.where(F.col("text").isNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("copies"))
+    return named.unionByName(blank.select("doc_id", F.lit(None).cast("long").alias("text_hash"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), "copies"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, the one with the least doc_id; rows without a doc_id stay."""
-    kept = stash(near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept"), "rows"))
-    rest = docs.join(kept.where("rows = 1").select("_kept"), docs["doc_id"] == F.col("_kept"), "left_semi")
-    repeated = docs.join(kept.where("rows > 1").select("_kept"), docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each class of near_duplicates; rows with a null text all stay."""
+    kept = stash(near_duplicates(docs).where("kept and text_hash is not null").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), "copies"))
+    same = (_text_hash() == F.col("_kept_hash")) & docs["doc_id"].eqNullSafe(F.col("_kept_id"))
+    texts = docs.where(F.col("text").isNotNull())
+    one = texts.join(kept.where("copies = 1").drop("copies"), same, "left_semi")
+    repeated = texts.join(kept.where("copies > 1").drop("copies"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.unionByName(repeated).unionByName(docs.where(F.col("text").isNull()))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import credentials, decontamination, language, mixture, order_minhash, range_join, sharding, token_store, warc, wrapper
 from .common import new_dir, table
@@ -32,8 +31,7 @@ def op3_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "copies")
 
 
 def op5_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
