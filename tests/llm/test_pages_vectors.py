@@ -52,12 +52,75 @@ def test_odd_pages(spark):
     assert wrapper.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def infer(*pages):
+    first, *rest = (wrapper.parse(p)[0] for p in pages)
+    for w in rest:
+        first.align(w)
+    return first
+
+
 def test_wrapper_has_optional_and_repeated_groups_and_slots():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x1</p>", "<ul><li>c</li></ul><h2>t</h2><p>x2</p>"]
-    merged = wrapper.merge(*(wrapper.tree(wrapper.blocks(p)) for p in pages))
-    assert wrapper.expression(merged) == "<ul>(<li>#</>)+</>(<h2>t</>)?<p>#</>"
-    pair = wrapper.tree(wrapper.blocks("<dl><dt>a<dd>b<dt>c<dd>d</dl>"))
-    assert wrapper.expression(pair) == "<dl>(<dt>#</>)+(<dd>#</>)+</>"
+    assert infer(*pages).expression() == "<ul>(<li>#</>)+</>(<h2>=</>)?<p>#</>"
+    assert infer("<dl><dt>a<dd>b<dt>c<dd>d</dl>").expression() == "<dl>(<dt>=</><dd>=</>)+</>"
+    assert infer("<p>a<ul><li>b</ul><p>c<h2>d</h2><p>e").expression() == "(<p>=</>(<ul><li>=</></>)?(<h2>=</>)?)+"
+    assert infer("<h1>a</h1><h2>b</h2>", "<h2>b</h2><h1>c</h1>").expression() in ("(<h1>#</><h2>=</>)+", "(<h2>=</><h1>#</>)+")
+    w = infer(*pages)
+    assert wrapper.Wrapper.loads(w.dumps()).dumps() == w.dumps()
+
+
+def test_order_of_alignment_does_not_matter_for_decisions():
+    pages = [f"<div class=a>Same</div><div class=b><p>One {i}</p>" + "<ul><li>x</ul>" * (i % 2) + f"<p>Two {i}</p></div>" for i in range(6)]
+    key = lambda w: sorted((r[1], *r[2:]) for r in wrapper.decisions(w))
+    assert key(infer(*pages)) == key(infer(*pages[::-1])) == key(infer(*pages[:3]).align(infer(*pages[3:])))
+
+
+def test_long_fixed_texts_and_short_posts(spark):
+    legal = "All of this may be read by anyone who keeps to the rules of the house. " * 8
+    page = "<body><div class=x1><p>Site of sites</p></div><div class=x2><p>Short {n}</p><p>Post {m}</p></div><div class=x3><p>" + legal + "</p></div></body>"
+    got = texts(spark, [(i, "http://short.example/", page.format(n=i, m=i * i)) for i in range(8)])
+    assert {r["text"] for r in got.values()} == {f"Short {i}\nPost {i * i}" for i in range(8)}
+    inside = "<body><article><h1>T {n}</h1><p>Text {n} of the story, which is long enough to tell, as it says much about {n} and about other things, of which there are many {n}.</p><p>" + legal[:71] + "</p></article></body>"
+    got = texts(spark, [(i, "http://inside.example/", inside.format(n=i)) for i in range(8)])
+    assert all("T " in r["text"] and "story" in r["text"] and "rules of the house" not in r["text"] for r in got.values())
+
+
+def test_more_kinds_of_children_than_two_dozen_keep_their_order(spark):
+    page = "<body><div class=y>" + "".join(f"<div class=k{chr(97 + i)}><p>{{n}} part {i}</p></div>" for i in range(26)) + "</div></body>"
+    got = texts(spark, [(i, "http://many.example/", page.format(n=i)) for i in range(4)])
+    assert all(r["text"] == "\n".join(f"{i} part {k}" for k in range(26)) for i, r in got.items())
+
+
+def test_menus_and_boxes_without_telling_names(spark):
+    """No container, no class: slots, links and fixed texts tell the article."""
+    page = "<body><div><ul>" + "".join(f"<li><a href=x>Link {{n}}{k}</a></li>" for k in range(5)) + "</ul></div><div><h1>Head {n}</h1><p>The story {n} is told here at some length, with a <a href=y>link</a> in it.</p><blockquote><p>Quote {n}</p></blockquote></div><table><tr><td>Imprint</td><td>Terms of use</td></tr></table></body>"
+    page = page.replace("<div><h1>", "<section><h1>").replace("</blockquote></div>", "</blockquote></section>")
+    got = texts(spark, [(i, "http://plain.example/", page.format(n=i)) for i in range(6)])
+    assert all(r["text"] == f"Head {i}\nThe story {i} is told here at some length, with a link in it.\nQuote {i}" for i, r in got.items())
+
+
+def test_content_with_names_of_boxes_stays_within_an_article(spark):
+    page = "<article><header><h1>On {n}</h1></header><p>Some text {n} <math><mi>x</mi></math> more</p><section class='related-work'><p>Others wrote about {n} at length</p></section><div class=related><ul><li><a href=a>See {n}</a></li><li><a href=b>And {n}</a></li></ul></div><noscript>Told {n} without scripts</noscript></article>"
+    got = texts(spark, [(i, "http://names.example/", page.format(n=i)) for i in range(5)])
+    assert all(r["text"] == f"On {i}\nSome text {i} x more\nOthers wrote about {i} at length\nTold {i} without scripts" for i, r in got.items())
+
+
+def test_a_small_box_named_content_does_not_win(spark):
+    page = "<body><div class=content><p>Tip {n}</p></div><div class=z><p>The story of {n} goes on for much longer than the tip above, {n}.</p><p>And on, {n}</p></div></body>"
+    got = texts(spark, [(i, "http://tip.example/", page.format(n=i)) for i in range(5)])
+    assert all(r["text"].startswith("The story") and "Tip" not in r["text"] for r in got.values())
+
+
+def test_deep_and_broken_pages_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    deep = "<div>" * 5000 + "<p>deep</p>" + "</div>" * 2500 + "</span></div>" * 5000
+    quotes = '<a href="x> ' * 80_000 + "<p>after</p>"
+    stray = "<p title='" + "</b>" * 100_000 + "<<<" * 50_000
+    got = texts(spark, [(1, "http://d.example", deep), (2, "http://d.example", deep), (3, "http://q.example", quotes), (4, "http://s.example", stray), (5, "http://t.example", "<ul>" + "<li>x<div>" * 3000)])
+    assert got[1]["text"] == "deep" and got[5]["text"] == "\n".join("x" * 3000)
+    assert time.time() - began < 30
 
 
 def test_sf_pages_equal_their_articles(spark, sf_dir):
