@@ -214,15 +214,17 @@ class Index:
         return [(row, item, *got) for (row, item), got in sorted(out.items())]
 
 
-def indexes(benchmark: DataFrame, block: int = 20_000) -> Iterator[Index]:
-    """The benchmark's items in blocks of bounded size; each block is one pass over the documents."""
-    ids, texts = [], []
+def indexes(benchmark: DataFrame, block: int = 4 << 20) -> Iterator[Index]:
+    """The benchmark's items in blocks of at most `block` characters (one item at least); each block is one pass over the documents."""
+    ids, texts, size = [], [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        own = len(r["text"] or "") + 16
+        if ids and size + own > block:
+            yield Index(ids, texts)
+            ids, texts, size = [], [], 0
         ids.append(r["item_id"])
         texts.append(r["text"])
-        if len(ids) == block:
-            yield Index(ids, texts)
-            ids, texts = [], []
+        size += own
     if ids:
         yield Index(ids, texts)
 

@@ -96,6 +96,39 @@ def test_changed_passages_equal_brute_force():
     assert {key: s for key, s in got.items() if docs[key[0]][0] == key[1]} == pytest.approx(want)
 
 
+def test_recall_of_long_items_with_scattered_edits():
+    """At least nine of ten passages of 60 to 500 words with 1 to 8 changed words, at each number of changes."""
+    draw, items, docs = np.random.default_rng(12), [], []
+    for n in (60, 100, 120, 150, 200, 300, 500):
+        for edits in range(1, 9):
+            for spaced in (True, False):
+                for _ in range(6):
+                    words = [f"k{len(items)}x{j}" for j in range(n)]
+                    at = {int(n * (e + 1) / (edits + 1)) for e in range(edits)} if spaced else set(draw.choice(n, edits, replace=False).tolist())
+                    lead = int(draw.integers(0, 40))
+                    docs.append([f"p{j}" for j in range(lead)] + [f"c{j}" if j in at else w for j, w in enumerate(words)] + ["q"] * 30)
+                    items.append((edits, " ".join(words), at))
+    index = dc.Index(list(range(len(items))), [t for _, t, _ in items])
+    got = {(row, item) for row, item, *_ in index.search(pa.array([" ".join(d) for d in docs]))}
+    for edits in range(1, 9):
+        true = []
+        for k, (e, t, at) in enumerate(items):
+            m = len(t.split()) - 4
+            lost = len({j for a in at for j in range(max(0, a - 4), min(m, a + 1))})
+            if e == edits and (m - lost) / (m + lost) >= 0.8:
+                true.append(k)
+        assert len(true) > 5 and sum((k, k) in got for k in true) >= 0.9 * len(true), edits
+
+
+def test_blocks_of_items_give_the_same(spark, bench, monkeypatch):
+    docs = spark.createDataFrame([(k, leak(k % 10, k, 20)) for k in range(20)], "doc_id long, text string")
+    want = sorted(map(tuple, dc.contaminations(docs, bench).collect()))
+    assert len(list(dc.indexes(bench, 100))) > 5
+    inner = dc.indexes
+    monkeypatch.setattr(dc, "indexes", lambda b: inner(b, 100))
+    assert sorted(map(tuple, dc.contaminations(docs, bench).collect())) == want and len(want) == 20
+
+
 def test_odd_rows_and_tables(spark, bench):
     docs = spark.createDataFrame([(None, leak(5, 3, 3)), (1, None), (2, ""), (3, passage(20_000, 999)), (4, leak(5, 0, 0)), (4, leak(5, 0, 0)), (5, passage(15, 1234))], "doc_id long, text string")
     got = dc.contaminations(docs, bench).collect()
