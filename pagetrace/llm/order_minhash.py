@@ -31,8 +31,8 @@ from .common import in_batches, stash
 from .components import components
 
 K, SKETCHES, PICKED, SMALL, THRESHOLD = 5, 60, 2, 16, 0.8
-#: Words whose frequency orders the rarest words of a text; any others count as rare.  Only speed depends on it.
-FREQUENT = 1 << 17
+#: Counters by which words are told rare or frequent, each for all words of one hash.  Only speed depends on them.
+COUNTERS = 1 << 22
 #: Wanted rows of up to this number are broadcast to the texts, more are joined with a shuffle.
 FEW_ROWS = 500_000
 #: Bits of a bag, for words and for pairs of words in a row: which of so many bins of their hashes hold at least 1, 2 ... up to so many levels.
@@ -308,29 +308,39 @@ def _labelled(words: np.ndarray) -> np.ndarray:
     return textscan.mix(words + _occurrences(words).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """Up to FREQUENT labelled words that tasks have met more than once, the least frequent first."""
+def _counter(labelled: np.ndarray) -> np.ndarray:
+    return (labelled >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def _levels(texts: DataFrame) -> np.ndarray:
+    """Of each counter, how often its labelled words occur in texts: 0 for once or never, then in eighths of a doubling."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textscan.slices(batches, limit=8 << 20):
+        seen = np.zeros(COUNTERS, np.uint32)
+        for part in textscan.slices(batches):
             words, at = textscan.words(part.column("text"))
-            if len(words):
-                kind, n = np.unique(np.concatenate([_labelled(words[i:j]) for i, j in zip(at, at[1:])]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kind[n > 1].view(np.int64)), pa.array(n[n > 1])], ["word", "n"])
-
-    found = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    return found.select("word").toArrow().column("word").to_numpy()[::-1].astype(np.int64)
+            for i, j in zip(at, at[1:]):
+                np.add.at(seen, _counter(_labelled(words[i:j])), 1)
+        some = np.flatnonzero(seen)
+        for i in range(0, len(some), 1 << 18):
+            own = some[i : i + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(seen[own].astype(np.int64))], ["counter", "n"])
+
+    found = texts.mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).where("n > 1")
+    told = found.select("counter", F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("short").alias("level")).toArrow()  # COUNTERS rows at most
+    out = np.zeros(COUNTERS, np.uint8)
+    out[told.column("counter").to_numpy()] = told.column("level").to_numpy()
+    return out
 
 
-def rarest(words: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def rarest(words: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The words, labelled, of which two texts have one in common if THRESHOLD of the longer's words agree.
 
-    known: sorted words, rank: their order, rarer first; other words come before those.
+    Those of the lowest levels; any order would do that is the same for all texts.
     """
-    own = _labelled(words).view(np.int64)
-    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-    place = np.where(known[at] == own, rank[at], -1) if len(known) else np.full(len(own), -1)
-    return own[np.lexsort((own, place))[: int((1 - THRESHOLD) * len(own) + 1e-9) + 1]]
+    own = _labelled(words)
+    first = np.lexsort((own, levels[_counter(own)]))
+    return own[first[: int((1 - THRESHOLD) * len(own) + 1e-9) + 1]].view(np.int64)
 
 
 def _open_pairs(docs: DataFrame, classes: DataFrame, wide: DataFrame, found: DataFrame, block: int = 2048) -> DataFrame:
@@ -345,14 +355,12 @@ def _open_pairs(docs: DataFrame, classes: DataFrame, wide: DataFrame, found: Dat
     unsettled = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     left = stash(known.join(unsettled, "key", "left_semi").groupBy("id").agg(F.first("n_words").alias("n_words"), F.first("component").alias("component")))
     texts = stash(_texts(docs, classes, left.select("id")).groupBy("id").agg(F.first("text").alias("text")))
-    order = _frequent(texts)
-    place = np.argsort(order)
-    frequent, rank = order[place], place
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(texts))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.slices(batches):
             words, at = textscan.words(part.column("text"))
-            keys = [rarest(words[i:j], frequent, rank) for i, j in zip(at, at[1:])]
+            keys = [rarest(words[i:j], levels.value) for i, j in zip(at, at[1:])]
             cuts = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(keys))), pa.array([b.tobytes() for b in bags(words, at)], pa.binary())], ["id", "keys", "bag"])
 
