@@ -133,21 +133,21 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 15, rate: float = 2.0, d
     return LanguageModel(languages, code.astype(np.float32), weights, bias, trust / trust.mean())
 
 
-def train(docs: DataFrame, sample: int = 800) -> LanguageModel:
+def train(docs: DataFrame, sample: int = 800, in_all: int = 4000, most_languages: int = 1000) -> LanguageModel:
     """Fit on text and lang of a bounded sample of the rows that may be learnt from.
 
     Those are rows whose lang is not null and whose crc32(doc_id as text) mod 5
     is not 0 (a null doc_id counts as empty text).  About `sample` rows of each
-    language, and 4,000 rows in all,
-    at most, chosen by hash, are read; the number of languages is taken
-    to be small.
+    language and `in_all` rows together, chosen by a hash of doc_id and text, are
+    read; rows equal in both count once among them.  The `most_languages` values of
+    lang with the most rows are learnt.
     """
-    known = in_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64("doc_id", F.length("text")).alias("_h"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = in_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64("doc_id", "text").alias("_h"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return fit(np.zeros((0, FEATURES), np.float32), [])
-    share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, min(sample, 4000 / len(counts)) / n)))])
-    chosen = known.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text", "_h")
+    share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, min(sample, in_all / len(counts)) / n)))])
+    chosen = known.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).groupBy("lang", "_h").agg(F.first("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.slices(batches, limit=1 << 18):

@@ -446,9 +446,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of near_duplicates; rows with a null text all stay."""
-    kept = stash(near_duplicates(docs).where("kept and text_hash is not null").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), "copies"))
-    same = (_text_hash() == F.col("_kept_hash")) & docs["doc_id"].eqNullSafe(F.col("_kept_id"))
-    texts = docs.where(F.col("text").isNotNull())
-    one = texts.join(kept.where("copies = 1").drop("copies"), same, "left_semi")
-    repeated = texts.join(kept.where("copies > 1").drop("copies"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(repeated).unionByName(docs.where(F.col("text").isNull()))
+    kept = stash(near_duplicates(docs).where("kept and text_hash is not null").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "copies"))
+    one, more = kept.where("copies = 1").drop("copies"), kept.where("copies > 1").drop("copies")
+    texts = docs.where(docs["text"].isNotNull())
+    same = lambda k: (F.xxhash64(docs["text"]) == k["kept_hash"]) & docs["doc_id"].eqNullSafe(k["kept_id"])
+    repeated = texts.join(more, same(more), "left_semi").dropDuplicates(["doc_id", "text"])
+    return texts.join(one, same(one), "left_semi").unionByName(repeated).unionByName(docs.where(docs["text"].isNull()))

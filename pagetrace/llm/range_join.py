@@ -77,7 +77,7 @@ def _tie(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(vectors: DataFrame, least_cosine: float = 0.98, cell: int = 4096, block: int = 1024, sample: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Of vectors (_row, label, embedding, copies): (_row, n) with how many others each vector links to, possibly in parts, and edges (a, b) that connect what is linked."""
+    """Of vectors (_row, label, embedding, copies), a label's all of one length: (_row, n) with how many others each vector links to, possibly in parts, and edges (a, b) that connect what is linked."""
     spark = vectors.sparkSession
     radius = float(np.sqrt(2 - 2 * least_cosine))
     total = vectors.count()
@@ -158,20 +158,18 @@ def links(vectors: DataFrame, least_cosine: float = 0.98, cell: int = 4096, bloc
 def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings.
 
-    Rows compare within their label.  A null label or vector, a zero vector and
-    one with null or non-finite components link with nothing and are components
-    of their own; so do vectors of another length than most of their label.
-    Vectors equal bit for bit count as one while comparing and as many in the
+    Rows compare within their label, and only with vectors of their length.  A
+    null label or vector, a zero vector and one with null or non-finite components
+    link with nothing and are components of their own.  Vectors equal bit for bit count as one while comparing and as many in the
     result.  Rows with a null vec_id take part and show null.
     """
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     good = F.coalesce(x.isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
     rows = embeddings.select("vec_id", "label", "embedding", good.alias("good"))
-    usual = rows.where("good").groupBy("label", F.size("embedding").alias("size")).count().groupBy("label").agg(F.max_by("size", F.struct("count", "size")).alias("_size"))
-    fits = F.col("good") & F.coalesce(F.size("embedding") == F.col("_size"), F.lit(False))
-    usual = F.broadcast(usual) if usual.count() <= 100_000 else usual  # a row for each label
-    rows = stash(rows.join(usual, "label", "left").select("vec_id", "label", "embedding", fits.alias("good")))
+    # a label's vectors of one length are a group
+    group = F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string"))
+    rows = stash(rows.select("vec_id", group.alias("label"), "embedding", "good"))
     # One of equal vectors stands for all.
     stands = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     stands = stash(stands.withColumn("_row", F.monotonically_increasing_id()))
@@ -180,7 +178,8 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98) -> DataFrame
     found = components(edges).select(F.col("node").alias("_row"), "component")
     told = stash(stands.join(many, "_row", "left").join(found, "_row", "left").select("label", "embedding", "least_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "_row").alias("component")))
     smallest = told.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    told = told.join(smallest, "component").select("label", "embedding", "n_links", "component_id")
+    # written first, so that the copies of one common vector can be dealt to several tasks
+    told = stash(told.join(smallest, "component").select("label", "embedding", "n_links", "component_id"))
     linked = rows.where("good").join(told, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -22,28 +22,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
+from .common import in_batches, stash
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payload hashes of up to this number are broadcast, more are joined with a shuffle.
+FEW_ROWS = 500_000
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, record_type string"
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def _name(page_id: int | None, place: str = "") -> str:
+    return f"<urn:x-page:{'' if page_id is None else page_id}{place and ':' + place}>"
 
 
 def _page(name: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:x-page:(-?\d+)>", name or "")
+    found = re.fullmatch(r"<urn:x-page:(-?\d+)(?::[\d.]+)?>", name or "")
     return int(found[1]) if found else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, first_url: str | None, date: str) -> bytes:
-    """One compressed record; a revisit has the HTTP head of the whole payload, but not the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, first_url: str | None, date: str, place: str = "") -> bytes:
+    """One compressed record; a revisit has the HTTP head of the whole payload, but not the payload.
+
+    place makes the record's name unique where the page_id alone doesn't: there is
+    one response of a page_id, but repeated rows are several revisits.
+    """
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
     line = lambda s: (s or "").replace("\r", "%0D").replace("\n", "%0A")
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", _name(page_id)),
+        ("WARC-Record-ID", _name(page_id, place if revisit or page_id is None else "")),
         ("WARC-Date", date),
         ("WARC-Target-URI", line(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -76,18 +83,23 @@ def parse(member: bytes) -> dict:
 
 def _typed(pages: DataFrame) -> DataFrame:
     """page_id, url, html, sha, revisit, refers_to, first_url of every row."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = in_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     # Only payloads that occur more than once; copies are counted before they are moved.
     each = rows.groupBy("sha", "page_id").agg(F.count("*").alias("n"), F.max("url").alias("url"))
     several = each.groupBy("sha").agg(F.sum("n").alias("copies"), F.max(F.struct("page_id", "url", "n")).alias("last")).where("copies > 1")
     several = several.select("sha", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("first_url"), F.col("last.n").alias("_tied"))
-    typed = rows.join(several, "sha", "left").withColumn("revisit", F.col("_tied").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    # written first, so that the copies of one common page can be dealt to several tasks; mostly it is small and no page is moved
+    several = stash(several)
+    typed = rows.join(F.broadcast(several) if several.count() <= FEW_ROWS else several, "sha", "left")
+    typed = typed.withColumn("revisit", F.col("_tied").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
     if not several.where("_tied > 1").isEmpty():
-        # Repeated rows of the page that is kept: the first of them is the response.
-        tied = F.coalesce(F.col("_tied") > 1, F.lit(False)) & ~F.col("revisit")
-        first = F.row_number().over(Window.partitionBy("sha").orderBy("url")) == 1
-        typed = typed.where(~tied).unionByName(typed.where(tied).withColumn("revisit", ~first))
+        # Of repeated rows of the page that is kept, the first is the response.
+        typed = stash(typed.withColumn("_row", F.monotonically_increasing_id()))
+        first = typed.where("_tied > 1 and not revisit").groupBy("sha").agg(F.min("_row").alias("_first"))
+        first = stash(first.withColumnRenamed("sha", "_sha"))
+        first = F.broadcast(first) if first.count() <= FEW_ROWS else first
+        typed = typed.join(first, F.col("sha") == F.col("_sha"), "left").withColumn("revisit", F.col("revisit") | F.coalesce((F.col("_tied") > 1) & (F.col("_row") != F.col("_first")), F.lit(False)))
     return typed.select("page_id", "url", "html", "sha", "revisit", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to"), "first_url")
 
 
@@ -105,13 +117,15 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> Da
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         file, out, offset = f"pages-{task.partitionId():05d}.warc.gz", None, 0
+        count = 0
         fs, base = pafs.FileSystem.from_uri(f"{path}/{file}")
         draft = f"{base}.{task.taskAttemptId()}"
         for batch in textscan.slices(batches, "html"):
             out, done = out or fs.open_output_stream(draft), []
             for r in batch.to_pylist():
                 digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                member = record(r["page_id"], r["url"], r["html"].encode(), digest, r["refers_to"], r["revisit"], r["first_url"], date)
+                member = record(r["page_id"], r["url"], r["html"].encode(), digest, r["refers_to"], r["revisit"], r["first_url"], date, f"{task.partitionId()}.{count}")
+                count += 1
                 out.write(member)
                 done.append((r["page_id"], r["url"], file, offset, len(member), digest, "revisit" if r["revisit"] else "response"))
                 offset += len(member)

@@ -87,7 +87,7 @@ def test_classes(spark, rows):
 
 
 def test_deduplicate_keeps_one_of_each(spark, rows):
-    df = spark.createDataFrame([(d, t, "x", 7) for d, t in rows] + [(4000, "lone words here for once", "x", 1)] * 2, "doc_id long, text string, id string, rows int")
+    df = spark.createDataFrame([(d, t, "x", 7, 1) for d, t in rows] + [(4000, "lone words here for once", "x", 1, 1)] * 2, "doc_id long, text string, id string, copies int, kept_id int")
     got = om.deduplicate(df)
     assert got.columns == df.columns
     ids = [r["doc_id"] for r in got.collect()]

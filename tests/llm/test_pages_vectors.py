@@ -153,6 +153,12 @@ def test_warc_round_trip(spark, sf_dir):
         assert len(first) == 1 and first[0]["page_id"] == max((r["page_id"] for r in own if r["page_id"] is not None), default=None)
         assert all(r["refers_to"] == first[0]["page_id"] and r["payload"] is None for r in own if r["record_type"] == "revisit")
         assert hashlib.sha1(first[0]["payload"]).digest() == base64.b32decode(first[0]["payload_digest"])
+    members = []
+    for r in index.collect():
+        with open(f"{path.removeprefix('file://')}/{r['file']}", "rb") as f:
+            f.seek(r["offset"])
+            members.append(warc.parse(f.read(r["length"]))["fields"]["WARC-Record-ID"])
+    assert len(members) == len(set(members)) == len(rows)
     few = warc.read(index.where("page_id % 10 = 3"), path)
     assert {r["page_id"] for r in few.collect()} == {p for p, _ in rows if p is not None and p % 10 == 3}
     assert warc.ranges(index.where("page_id < 5"), gap=0).count() >= 1
@@ -168,8 +174,10 @@ def test_damaged_record_is_told():
 
 def brute(rows):
     out = {}
-    for label in {r[2] for r in rows if r[2] is not None}:
-        good = [(v, np.array(e, float)) for v, e, l in rows if l == label and e and all(x is not None and np.isfinite(x) for x in e) and any(e) and len(e) == 8]
+    for label, size in {(r[2], len(r[1] or [])) for r in rows if r[2] is not None}:
+        good = [(v, np.array(e, float)) for v, e, l in rows if l == label and e and all(x is not None and np.isfinite(x) for x in e) and any(e) and len(e) == size]
+        if not good:
+            continue
         x = np.array([e / np.linalg.norm(e) for _, e in good])
         near = x @ x.T >= 0.98
         np.fill_diagonal(near, False)
@@ -188,6 +196,7 @@ def test_range_join_equals_brute_force(spark, cell, block, monkeypatch):
     rows = [(i, (base[i % 12] + draw.normal(size=8) * (0.02 + 0.25 * (i % 5))).astype(np.float32).tolist(), i % 2) for i in range(300)]
     rows += [(1000 + i, rows[0][1], 0) for i in range(30)] + [(2000 + i, (base[0] + draw.normal(size=8) * 0.01).astype(np.float32).tolist(), 0) for i in range(60)]
     rows += [(-1, None, 1), (-2, [0.0] * 8, 1), (-3, [float("nan")] * 8, 1), (-4, [1.0] * 3, 1), (-5, [1.0] * 8, None), (-6, [None] + [1.0] * 7, 1), (-7, [float("inf")] * 8, 0)]
+    rows += [(3000 + i, [1.0, 2.0, 3.0 + i % 3 * 0.1], 1) for i in range(9)] + [(3100 + i, [5.0, float(i)], 0) for i in range(5)]  # rarer lengths
     inner = rj.links
     monkeypatch.setattr(rj, "links", lambda v, c: inner(v, c, cell=cell, block=block))
     df = spark.createDataFrame([(v, e, l, 1) for v, e, l in rows], "vec_id long, embedding array<float>, label int, copies int")
