@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagetrace.llm import credentials, decontamination, language, mixture, order_minhash
-from pagetrace.llm.common import new_dir, table
+from pagetrace.llm.common import new_dir, remove, table
 from pagetrace.llm.queries import vocabulary
 
 
@@ -47,10 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written as Parquet to the shared folder and read again; a stage's input goes once its output is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         at = new_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
