@@ -13,8 +13,9 @@ find nine of ten pairs at a similarity of 0.8 and nearly all from 0.85 on.
 Equal word sequences are one class from the start.  Buckets of up to SMALL
 classes give all their pairs, larger ones a star around their least member.  The
 members of large buckets that are then not all connected go through an exact
-join: of two texts that similar, one of the rarest fifth of the words (and one
-more) of each is common to both.
+join: of two texts that similar, one of the rarest two fifths of the word pairs
+(and two more) of each is common to both.  A large component takes part in it as
+one; its members and those that it may take in are aligned together, in blocks.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from .common import in_batches, stash
 from .components import components
 
 K, SKETCHES, PICKED, SMALL, THRESHOLD = 5, 60, 2, 16, 0.8
-#: Counters by which words are told rare or frequent, each for all words of one hash.  Only speed depends on them.
+#: Counters by which word pairs are told rare or frequent, each for all of one hash.  Only speed depends on them.
 COUNTERS = 1 << 22
+#: Components of more open members than this take part in the exact join as one.
+HUB = 32
 #: Wanted rows of up to this number are broadcast to the texts, more are joined with a shuffle.
 FEW_ROWS = 500_000
 #: Bits of a bag, for words and for pairs of words in a row: which of so many bins of their hashes hold at least 1, 2 ... up to so many levels.
@@ -98,6 +101,12 @@ def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[: len(a) - tail], b[: len(b) - tail]
 
 
+def _binned(a: np.ndarray, b: np.ndarray, bins: int = 1024) -> int:
+    """An upper bound of the words in common, by bins of their hashes."""
+    x, y = (np.bincount((c & np.uint64(bins - 1)).astype(np.int64), minlength=bins) for c in (a, b))
+    return int(np.minimum(x, y).sum())
+
+
 def _unlike(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the edits: words of the longer that the other lacks."""
     ua, ca = np.unique(a, return_counts=True)
@@ -193,7 +202,7 @@ def edits(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int], cells: in
         a, b = _trimmed(a, b)
         if not len(a) or not len(b):
             out[k] = max(len(a), len(b))
-        elif _unlike(a, b) <= limit[k]:
+        elif max(len(a), len(b)) - _binned(a, b) <= limit[k] and _unlike(a, b) <= limit[k]:
             cut[k] = (a, b)
     out[out > limit] = -1
     widest = 32
@@ -303,24 +312,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return stash(sides.select("a", "b", "x", "y").mapInArrow(align, "a long, b long, similarity double"))
 
 
-def _labelled(words: np.ndarray) -> np.ndarray:
-    """Words with their occurrence number; a text's are all different."""
-    return textscan.mix(words + _occurrences(words).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """Pairs of neighbouring words with their occurrence number; a text's are all different."""
+    pairs = textscan.shingles(words, 2)
+    return textscan.mix(pairs + _occurrences(pairs).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _counter(labelled: np.ndarray) -> np.ndarray:
-    return (labelled >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+def _counter(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
 def _levels(texts: DataFrame) -> np.ndarray:
-    """Of each counter, how often its labelled words occur in texts: 0 for once or never, then in eighths of a doubling."""
+    """Of each counter, how often its word pairs occur in texts: 0 for once or never, then in eighths of a doubling."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, np.uint32)
         for part in textscan.slices(batches):
             words, at = textscan.words(part.column("text"))
-            for i, j in zip(at, at[1:]):
-                np.add.at(seen, _counter(_labelled(words[i:j])), 1)
+            if len(words):
+                own, n = np.unique(_counter(np.concatenate([_pairs(words[i:j]) for i, j in zip(at, at[1:])])), return_counts=True)
+                seen[own] += n.astype(np.uint32)
         some = np.flatnonzero(seen)
         for i in range(0, len(some), 1 << 18):
             own = some[i : i + (1 << 18)]
@@ -334,70 +345,125 @@ def _levels(texts: DataFrame) -> np.ndarray:
 
 
 def rarest(words: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The words, labelled, of which two texts have one in common if THRESHOLD of the longer's words agree.
+    """The word pairs, labelled, of which two different texts have one in common if THRESHOLD of the longer's words agree.
 
     Those of the lowest levels; any order would do that is the same for all texts.
+    An edit costs two pairs at most, and the longer text may allow one edit more.
     """
-    own = _labelled(words)
+    own = _pairs(words)
     first = np.lexsort((own, levels[_counter(own)]))
-    return own[first[: int((1 - THRESHOLD) * len(own) + 1e-9) + 1]].view(np.int64)
+    return own[first[: 2 * int((1 - THRESHOLD) * len(words) + 1e-9) + 2]].view(np.int64)
 
 
-def _open_pairs(docs: DataFrame, classes: DataFrame, wide: DataFrame, found: DataFrame, block: int = 2048) -> DataFrame:
-    """a, b, ca, cb: all pairs in two components (found: node, component) that may align, of rows of buckets with several.
+def _halves(rows: DataFrame) -> DataFrame:
+    """rows (unit, parts) sent to every pair of blocks (first, second) of their group."""
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"))
+    return cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other", "parts")
 
-    Rows meet at each of their rarest words, by length: slot s has those of length
-    classes s - 1 and s, and only pairs with one of class s count there.  Slots of
-    one component are settled, those of the same rows are one; large ones are cut
-    into pairs of blocks.
-    """
-    known = wide.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    unsettled = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = stash(known.join(unsettled, "key", "left_semi").groupBy("id").agg(F.first("n_words").alias("n_words"), F.first("component").alias("component")))
-    texts = stash(_texts(docs, classes, left.select("id")).groupBy("id").agg(F.first("text").alias("text")))
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(texts))
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textscan.slices(batches):
-            words, at = textscan.words(part.column("text"))
-            keys = [rarest(words[i:j], levels.value) for i, j in zip(at, at[1:])]
-            cuts = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(keys))), pa.array([b.tobytes() for b in bags(words, at)], pa.binary())], ["id", "keys", "bag"])
+def _meetings(told: DataFrame, block: int = 2048) -> DataFrame:
+    """a, a_hub, b, b_hub: units of two components that may align, each a row or, if it is a hub, a component.
 
-    told = stash(texts.mapInArrow(tell, "id long, keys array<long>, bag binary").join(left, "id"))
-    # lengths of a pair that may align are in one class or in two that follow each other
-    length = F.floor(F.log("n_words") / float(np.log(1.001 / THRESHOLD))).cast("int")
-    keyed = told.select("id", "n_words", "component", length.alias("class"), F.explode("keys").alias("key"))
-    several = stash(keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
-    keyed = keyed.join(several, "key")
-    keyed = stash(keyed.select("key", "id", "n_words", "component", "class", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("slot")))
-    marks = (F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("class") == F.col("slot")).alias("own"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).alias("m2"))
-    slots = keyed.groupBy("key", "slot").agg(*marks).where("low <> high and own").groupBy("slot", "n", "m1", "m2").agg(F.min("key").alias("key"))
-    parts = stash(slots.select("key", "slot", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-    rows = keyed.join(parts, ["key", "slot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.join(told.select("id", "bag"), "id").select("key", "slot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "n_words", "component", (F.col("class") == F.col("slot")).alias("own"), "bag")
+    told: id, n_words, component, size, keys, bag.  Rows meet at each of their
+    rarest word pairs, those of large components as one unit of the component.
+    Groups of the same units are one; large ones are cut into pairs of blocks.
+    """
+    hub = F.col("size") > HUB
+    keyed = told.select(F.when(hub, F.col("component")).otherwise(F.col("id")).alias("unit"), hub.alias("hub"), "component", "n_words", F.explode("keys").alias("key"))
+    keyed = keyed.groupBy("key", "unit", "hub").agg(F.first("component").alias("component"), F.min("n_words").alias("low"), F.max("n_words").alias("high"))
+    keyed = stash(keyed)
+    marks = (F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last"), F.bit_xor(F.xxhash64("unit", "hub")).alias("m1"), F.sum(F.pmod(F.xxhash64("hub", "unit"), F.lit(1 << 40))).alias("m2"))
+    groups = keyed.groupBy("key").agg(*marks).where("first <> last").groupBy("n", "m1", "m2").agg(F.min("key").alias("key"))
+    parts = stash(groups.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    rows = stash(keyed.join(parts, "key"))
+    bags_ = told.where(~hub).select(F.col("id").alias("unit"), "bag")
+    sent = _halves(rows.where("not hub").join(bags_, "unit").unionByName(rows.where("hub").withColumn("bag", F.lit(None).cast("binary"))))
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, n_words, component, own, at = (group.column(c).to_numpy() for c in ("id", "n_words", "component", "own", "block"))
-        bits = np.frombuffer(b"".join(group.column("bag").to_pylist()), np.uint64).reshape(len(ids), -1)
-        n_words, first, second = n_words.astype(np.int64), group.column("first")[0].as_py(), group.column("second")[0].as_py()
+        unit, hub, component, low, high, at = (group.column(c).to_numpy() for c in ("unit", "hub", "component", "low", "high", "block"))
+        width = sum(bins * levels for _, bins, levels in BAGS) // 8
+        bits = np.frombuffer(b"".join(b or b"\0" * width for b in group.column("bag").to_pylist()), np.uint64).reshape(len(unit), -1)
+        low, high, first, second = low.astype(np.int64), high.astype(np.int64), group.column("first")[0].as_py(), group.column("second")[0].as_py()
         left, right, out = np.flatnonzero(at == first), np.flatnonzero(at == second), []
         for i in range(0, len(left), 64):
             a, b = left[i : i + 64, None], right[None, :]
-            near = (component[a] != component[b]) & (own[a] | own[b])
-            near &= np.minimum(n_words[a], n_words[b]) >= THRESHOLD * np.maximum(n_words[a], n_words[b]) - 1e-9
+            near = (component[a] != component[b]) & (high[a] >= THRESHOLD * low[b] - 1e-9) & (high[b] >= THRESHOLD * low[a] - 1e-9)
             if first == second:
-                near &= ids[a] < ids[b]
+                near &= a < b
             x, y = np.nonzero(near)
             x, y = left[i + x], right[y]
-            keep = may_align(bits, n_words, x, y)
+            keep = hub[x] | hub[y]
+            keep[~keep] = may_align(bits, high, x[~keep], y[~keep])
             out.append((x[keep], y[keep]))
         x, y = (np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else ((), ())))
-        x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
-        return pa.table({"a": ids[x], "b": ids[y], "ca": np.minimum(component[x], component[y]), "cb": np.maximum(component[x], component[y])})
+        # a hub takes in rows; of two hubs, that with the greater number takes in the other
+        turn = np.where(hub[x] != hub[y], hub[x], unit[x] > unit[y])
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        return pa.table({"a": unit[x], "a_hub": hub[x], "b": unit[y], "b_hub": hub[y]})
 
-    return sent.groupBy("key", "slot", "first", "second").applyInArrow(meet, "a long, b long, ca long, cb long").distinct()
+    return sent.groupBy("key", "first", "second").applyInArrow(meet, "a long, a_hub boolean, b long, b_hub boolean").distinct()
+
+
+def _taken_in(visits: DataFrame, told: DataFrame, texts: DataFrame, block: int = 512) -> DataFrame:
+    """a, b: a link for each row of visits (hub, id) that aligns with a member of the component hub.
+
+    Members and visitors of a hub meet in pairs of blocks; there, a visitor is
+    aligned with the members most like it first and is done with the first that aligns.
+    """
+    members = told.where(F.col("size") > HUB).select(F.col("component").alias("hub"), "id").join(visits.select("hub").distinct(), "hub", "left_semi").withColumn("member", F.lit(True))
+    rows = members.unionByName(visits.select("hub", "id").withColumn("member", F.lit(False)))
+    counts = stash(rows.groupBy("hub").agg(F.ceil(F.count_if("member") / block).cast("int").alias("member_parts"), F.ceil(F.count_if(~F.col("member")) / block).cast("int").alias("visitor_parts")))
+    dealt = rows.join(counts, "hub").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("member"), F.col("member_parts")).otherwise(F.col("visitor_parts"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("visitor_parts")).otherwise(F.col("member_parts")) - 1)))
+    dealt = dealt.select("hub", "id", "member", F.when(F.col("member"), F.col("own")).otherwise(F.col("other")).alias("m"), F.when(F.col("member"), F.col("other")).otherwise(F.col("own")).alias("v"))
+
+    def align(group: pa.Table) -> pa.Table:
+        ids, member = group.column("id").to_numpy(), group.column("member").to_numpy()
+        words, at = textscan.words(group.column("text").combine_chunks())
+        own, n, bits = [words[i:j] for i, j in zip(at, at[1:])], np.diff(at).astype(np.int64), bags(words, at).view(np.uint64)
+        inside, out = np.flatnonzero(member), []
+        for v in np.flatnonzero(~member).tolist():
+            near = inside[np.minimum(n[inside], n[v]) >= THRESHOLD * np.maximum(n[inside], n[v]) - 1e-9]
+            near = near[may_align(bits, n, near, np.full(len(near), v))]
+            alike = np.bitwise_count(bits[near] & bits[v]).sum(1, dtype=np.int64) / np.maximum(n[near], n[v])
+            near, done = near[np.argsort(-alike, kind="stable")], 0
+            while done < len(near):
+                some = near[done : done + 4 + done]
+                got = np.flatnonzero(similar([(own[v], own[m]) for m in some.tolist()]) >= 0)
+                if len(got):
+                    out.append((ids[v], ids[some[got[0]]]))
+                    break
+                done += len(some)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return dealt.join(texts, "id").select("hub", "m", "v", "id", "member", "text").groupBy("hub", "m", "v").applyInArrow(align, "a long, b long")
+
+
+def _opened(docs: DataFrame, classes: DataFrame, wide: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: links between components (found: node, component) of rows in buckets with several."""
+    known = wide.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    unsettled = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    left = known.join(unsettled, "key", "left_semi").groupBy("id").agg(F.first("n_words").alias("n_words"), F.first("component").alias("component"))
+    left = stash(left)
+    texts = stash(_texts(docs, classes, left.select("id")).groupBy("id").agg(F.first("text").alias("text")))
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(texts))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textscan.slices(batches):
+            words, at = textscan.words(part.column("text"))
+            keys = [rarest(words[i:j], levels.value) for i, j in zip(at, at[1:])]
+            cuts = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(keys))), pa.array([b.tobytes() for b in bags(words, at)], pa.binary())], ["id", "keys", "bag"])
+
+    sizes = left.groupBy("component").agg(F.count("*").alias("size"))
+    told = stash(texts.mapInArrow(tell, "id long, keys array<long>, bag binary").join(left, "id").join(stash(sizes), "component"))
+    met = stash(_meetings(told))
+    single = met.where("not b_hub").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(pairs, ["a", "b"], "left_anti")
+    links = _verified(single, docs, classes).select("a", "b")
+    visits = met.where("b_hub and not a_hub").select(F.col("b").alias("hub"), F.col("a").alias("id"))
+    merged = met.where("b_hub and a_hub").select(F.col("b").alias("hub"), F.col("a").alias("component"))
+    visits = visits.unionByName(merged.join(told.select("component", "id"), "component").select("hub", "id"))
+    return links.unionByName(_taken_in(stash(visits), told, texts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -419,21 +485,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs, wide = _candidates(classes.select("id", "n_words", F.explode("sketches").alias("key")))
     pairs, wide = stash(pairs), stash(wide)
     found = stash(components(_verified(pairs, docs, classes).select("a", "b")))
-    # What the stars left open: a few pairs of any two components first, as one that aligns settles all of them.
-    left = stash(_open_pairs(docs, classes, wide, found).join(pairs, ["a", "b"], "left_anti"))
-    for few in (8, None):
-        if left.isEmpty():
-            break
-        share = left.groupBy("ca", "cb").agg((F.lit(float(few)) / F.count("*")).alias("share")) if few else None
-        dealt = stash(left.join(share, ["ca", "cb"]).withColumn("now", F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < F.col("share") * (1 << 20))) if few else left.withColumn("now", F.lit(True))
-        links = _verified(dealt.where("now").select("a", "b"), docs, classes)
-        if not links.isEmpty():
-            found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))))
-        if few:
-            rest = dealt.where("not now").select("a", "b")
-            for side in ("a", "b"):
-                rest = rest.join(found.select(F.col("node").alias(side), F.col("component").alias("c" + side)), side, "left").withColumn("c" + side, F.coalesce("c" + side, side))
-            left = stash(rest.where("ca <> cb"))
+    links = stash(_opened(docs, classes, wide, pairs, found))
+    if not links.isEmpty():
+        found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
     tied = classes.select("id", "d1", "d2", "least").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = tied.groupBy("component").agg(F.min("least").alias("first"))
     told = stash(tied.join(first, "component").select("d1", "d2", "first"))

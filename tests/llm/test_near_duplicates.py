@@ -120,8 +120,10 @@ def test_longer_copies_do_not_part_base_and_shorter_copy(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
-def test_large_buckets_equal_brute_force(spark):
-    """Classes are those of all pairs that agree in a sketch and align."""
+@pytest.mark.parametrize("hub", [2, 32, 1000])
+def test_large_buckets_equal_brute_force(spark, hub, monkeypatch):
+    """Classes are those of all pairs that agree in a sketch and align, whichever components take part as one."""
+    monkeypatch.setattr(om, "HUB", hub)
     draw, rows = np.random.default_rng(5), []
     for family in range(3):
         base = [f"f{family}x{i}" for i in range(90)]
@@ -149,15 +151,16 @@ def test_large_buckets_equal_brute_force(spark):
     assert got == {i: root(i) for i in range(len(rows))} and 3 < len(set(got.values())) < 100
 
 
-def test_rarest_words_of_similar_texts_meet():
+def test_rarest_word_pairs_of_similar_texts_meet():
     draw = np.random.default_rng(8)
     levels = draw.integers(0, 40, om.COUNTERS).astype(np.uint8)
-    for n in [1, 2, 3, 4, 5, 9, 10, 50, 199, 400]:
+    for n in [5, 6, 8, 9, 10, 11, 14, 50, 199, 400]:
         for _ in range(20):
             a = draw.integers(0, 300, n).astype(np.uint64)
             b = a.copy()
             for _ in range(int(0.2 * n)):
-                b[draw.integers(0, n)] = draw.integers(0, 10**9)
+                at = draw.integers(0, len(b))
+                b = (np.delete(b, at), np.insert(b, at, draw.integers(0, 10**9)), np.r_[b[:at], np.uint64(draw.integers(0, 10**9)), b[at + 1 :]])[draw.integers(0, 3)]
             if om.similar([(a, b)])[0] >= 0:
                 assert np.intersect1d(om.rarest(a, levels), om.rarest(b, levels)).size
 
