@@ -2,8 +2,9 @@
 
 The vocabulary splits at white space before it merges, so a text's ids are the
 ids of its white-space-separated chunks in turn.  Each distinct chunk is encoded
-once in a task and the ids of all texts are gathered from those.  Chunks are
-found by a 64-bit hash and count as known only if their bytes agree.  That holds
+once in a task and the ids of all texts are gathered from those.  Chunks of up to
+seven bytes are found by those bytes, longer ones by a 64-bit hash, and they count
+as known only if their bytes agree.  That holds
 for vocabularies with the normaliser and pre-tokenizer below; any other is
 encoded text by text.
 """
@@ -29,6 +30,11 @@ _RAW = np.arange(1, 257, dtype=np.uint64)
 #: Bytes as the characters that a byte-level vocabulary writes them with.
 _BYTES = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
 _BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)}
+_CHARS = {b: c for b, c in _BYTES.items() if b != 10}
+#: Bytes with ASCII letters in lower case.
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+_SAME = np.arange(256, dtype=np.uint8)
 
 
 #: What a vocabulary does before it merges, if chunks can be encoded by themselves.
@@ -73,15 +79,15 @@ class WordEncoder:
         self.bytes = np.empty(1 << 18, np.uint8)
         self.byte_used = 0
 
-    def _of(self, chunk: bytes) -> list[int]:
-        """Ids of one chunk."""
-        if chunk.isalpha():  # ASCII letters only
-            return [t.id for t in self.whole.model.tokenize(chunk.lower().decode())]
-        text = chunk.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "Ā":
-            # A single word that normalisation leaves as it is, but for case.
-            return [t.id for t in self.whole.model.tokenize("".join(map(_BYTES.__getitem__, text.lower().encode())))]
-        return self.whole.encode(text, add_special_tokens=False).ids
+    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of each chunk: of single words that normalisation leaves as they are, but for case, by the model alone; of others by the library's whole way."""
+        texts = b"\n".join(chunks).decode("utf-8", "replace").split("\n")
+        word = [t.isalpha() and (t.isascii() or max(t) < "Ā") for t in texts]
+        tokenize = self.whole.model.tokenize
+        words = "\n".join([t for t, w in zip(texts, word) if w]).lower().encode().decode("latin-1").translate(_CHARS)
+        found = iter([[t.id for t in tokenize(w)] for w in words.split("\n")] if words else [])
+        rest = iter(self.whole.encode_batch_fast([t for t, w in zip(texts, word) if not w], add_special_tokens=False))
+        return [next(found) if w else next(rest).ids for w in word]
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         found = np.full(len(keys), -1, np.int64)
@@ -93,7 +99,7 @@ class WordEncoder:
         return found
 
     def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        new = [self._of(c) for c in chunks]
+        new = self._ids(chunks)
         lengths = np.fromiter(map(len, new), np.int64, len(new))
         begin, count = self.used + np.cumsum(lengths) - lengths, self.count + len(new)
         used = self.used + int(lengths.sum())
@@ -124,10 +130,10 @@ class WordEncoder:
             self.known.append((both[order], places[order]))
 
     def _differ(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray, fold: np.ndarray) -> np.ndarray:
-        """Places of the chunks whose bytes are not those that their entry was learnt from."""
+        """Places of the chunks whose bytes are not those that their entry was learnt from; short ones differ in length or not at all."""
         first = self.byte_starts[entry]
         wrong = self.byte_starts[entry + 1] - first != lengths
-        rest = np.flatnonzero(~wrong)
+        rest = np.flatnonzero(~wrong & (lengths > 7))
         same = fold[data[textscan.ragged(starts[rest], lengths[rest])]] == fold[self.bytes[textscan.ragged(first[rest], lengths[rest])]]
         if not same.all():
             wrong[rest[np.unique(np.searchsorted(np.cumsum(lengths[rest]), np.flatnonzero(~same), "right"))]] = True
@@ -154,8 +160,12 @@ class WordEncoder:
         cut[cut] = _ALNUM[data[ends[cut] - 2]]
         core = ends - cut
         marked = b"<|" in data.tobytes()  # special tokens are told apart by case
-        fold = _RAW if marked else textscan.LOWER
-        keys = textscan.run_hashes(data, starts, core, fold) ^ (core - starts).astype(np.uint64)
+        fold, size = _SAME if marked else _FOLDED, core - starts
+        keys = textscan.run_hashes(data, starts, core, _RAW if marked else textscan.LOWER) ^ size.astype(np.uint64)
+        short = np.flatnonzero(size <= 7)  # bytes and length, whatever the hash
+        ahead = np.ndarray((len(data),), "<u8", np.r_[fold[data], np.zeros(8, np.uint8)], strides=(1,))[starts[short]]
+        own = size[short].astype(np.uint64)
+        keys[short] = textscan.mix((ahead & ((np.uint64(1) << own * np.uint64(8)) - np.uint64(1))) | own << np.uint64(56))
         if marked:
             keys = ~keys
         coded = pa.array(keys).dictionary_encode()
