@@ -31,6 +31,8 @@ def match_globs(paths: DataFrame, rules: DataFrame, depth: int = 8) -> DataFrame
     by equality and is then tested; only the rest is tested against every path, in
     blocks of a size that can be broadcast.
     """
+    if both := {c.lower() for c in paths.columns} & {c.lower() for c in rules.columns}:
+        raise ValueError(f"columns of both sides: {sorted(both)}")
     rules = rules.withColumn("_rx", T.glob_regex("pattern"))
     directory = F.regexp_extract(T.literal_prefix("pattern"), r"\A(.+)/", 1)
     level = F.when(directory == "", 0).otherwise(F.size(F.split(directory, "/")))
@@ -104,8 +106,12 @@ def judged(candidates: DataFrame, verdicts: DataFrame, threshold: float = 0.5, a
     """Candidates with `decision`: autopass, kept or dropped.
 
     An anchor passes unjudged unless judge_required; others are kept if their
-    verdict says affected with at least the threshold.  No verdict: dropped.
+    verdict says affected with at least the threshold.  No verdict: dropped.  Of
+    several verdicts on a page the last by `ord` counts (verdicts without an `ord`
+    have one each).
     """
+    own = F.struct("affected", "confidence")
+    verdicts = verdicts.groupBy("page_path").agg((F.max_by(own, "ord") if "ord" in verdicts.columns else F.max(own)).alias("_v")).select("page_path", "_v.*")
     passes = F.lit(autopass) & (F.col("source") == "anchor") & ~F.coalesce("judge_required", F.lit(False))
     keeps = F.coalesce(F.col("affected") & (F.col("confidence") >= threshold), F.lit(False))
     return candidates.join(verdicts.select("page_path", "affected", "confidence"), "page_path", "left").withColumn("decision", F.when(passes, "autopass").when(keeps, "kept").otherwise("dropped"))
@@ -130,3 +136,14 @@ def unprocessed(changes: DataFrame, cursors: DataFrame) -> DataFrame:
     """Changes whose head is not their repository's cursor (repositories compare by key)."""
     done = cursors.select(T.repo_key("repo").alias("_key"), F.col("head_sha").alias("_sha"))
     return changes.join(done, (T.repo_key("repo") == F.col("_key")) & (F.col("head_sha") == F.col("_sha")), "left_anti")
+
+
+def projected_tokens(symbols: DataFrame, paths: DataFrame, stopwords: list[str]) -> DataFrame:
+    """token, ord of a change's query: its symbols (symbol, ord), then the stems of its paths (path, ord); see query_tokens."""
+    both = symbols.select(F.col("symbol").alias("token"), F.struct(F.lit(0).alias("part"), "ord").alias("ord")).unionByName(paths.select(T.stem("path").alias("token"), F.struct(F.lit(1).alias("part"), "ord").alias("ord")))
+    return query_tokens(both, stopwords)
+
+
+def mapped_pages(anchored: DataFrame, near: DataFrame) -> DataFrame:
+    """case_id, page_path of either way, each once."""
+    return anchored.select("case_id", "page_path").unionByName(near.select("case_id", "page_path")).distinct()

@@ -92,3 +92,24 @@ def page_diff(pairs: DataFrame, most: int = 120) -> DataFrame:
             yield pd.Series([show(x, y) for x, y in zip(a, b)], dtype=object)
 
     return pairs.withColumn("diff", shown("before", "after"))
+
+
+#: Lines and share of a page that an edit may change, by level.  Fixed values.
+LEVELS = {"light": (40, 0.35), "medium": (60, 0.5), "high": (100, 0.7)}
+
+
+def oversized(pairs: DataFrame, level: str = "medium") -> DataFrame:
+    """pairs (before, after, page_lines, page_share) whose net changed lines exceed the budget, with changed_lines and budget.
+
+    A page's own value counts unless it is null or the medium level's.
+    """
+    lines, share = LEVELS.get(level, LEVELS["medium"])
+    own = lambda c, usual: F.when(F.col(c) != usual, F.col(c))
+    most = diff_budget(T.line_count("before"), lines, share, own("page_lines", LEVELS["medium"][0]), own("page_share", LEVELS["medium"][1]))
+    return net_changed_lines(pairs.withColumn("budget", most)).where("changed_lines > budget")
+
+
+def polished(before: Column, after: Column, same_head: Column, body_before: Column, body_after: Column, least: float = 0.5) -> Column:
+    """The polished text, or the one before if its front matter differs or less than a share of its body is left."""
+    good = same_head & (F.trim(body_after) != "") & (F.length(body_after) >= least * F.length(body_before))
+    return F.when(F.coalesce(good, F.lit(False)), after).otherwise(before)

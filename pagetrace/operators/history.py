@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 
 def drop_reason(note: Column) -> Column:
     """Why a page was dropped, by how its note begins; null if it wasn't."""
+    # fixed values: how the notes of dropped pages begin
     return (
-        F.when(note.startswith("validation"), "validation")
-        .when(note.startswith("critique"), "critique")
-        .when(note.startswith("not applicable"), "not_applicable")
-        .when(note.startswith("error"), "error")
+        F.when(note.startswith("dropped by validation"), "validation")
+        .when(note.startswith("dropped by self-critique"), "critique")
+        .when(note.startswith("edit not applicable"), "not_applicable")
+        .when(note.startswith("edit generation failed") | note.startswith("page not found") | note.startswith("unexpected error"), "error")
     )
 
 
 def overview(runs: DataFrame) -> DataFrame:
-    """One row over runs (command, status, calls, hit_rate, ts): counts, success share, hit rate of runs with calls, first and last time."""
+    """One row over runs (command, status, calls, hit_rate, cost, updated, authored, ts): counts, success share, hit rate of runs with calls, cost, first and last time."""
+    total = lambda c, only=F.lit(True): F.coalesce(F.sum(F.when(only, F.col(c))), F.lit(0))
+    bootstrap = F.col("command") == "bootstrap"
     return runs.agg(
         F.count("*").alias("runs"),
-        F.count_if(F.col("command") == "run").alias("run_count"),
-        F.count_if(F.col("command") == "bootstrap").alias("bootstrap_count"),
+        F.count_if(~bootstrap).alias("run_count"),
+        F.count_if(bootstrap).alias("bootstrap_count"),
+        total("updated", ~bootstrap).alias("updated"),
+        total("authored", bootstrap).alias("authored"),
+        total("cost").cast("double").alias("cost"),
+        total("calls").alias("calls"),
         F.coalesce(F.try_divide(F.count_if(F.col("status") != "error").cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("success_rate"),
         F.coalesce(F.avg(F.when(F.col("calls") > 0, F.col("hit_rate"))), F.lit(0.0)).alias("mean_hit_rate"),
         F.min("ts").alias("first_ts"),
@@ -29,10 +36,31 @@ def overview(runs: DataFrame) -> DataFrame:
     )
 
 
+def page_overview(pages: DataFrame) -> DataFrame:
+    """One row over pages (command, note, applied) of `run` commands: attempted (not skipped), dropped and their share."""
+    tried = (F.col("command") == "run") & ~F.col("note").startswith("skipped:")
+    counts = pages.where(tried).agg(F.count("*").alias("attempted"), F.count_if(~F.col("applied") & drop_reason(F.col("note")).isNotNull()).alias("dropped"))
+    return counts.withColumn("drop_rate", F.coalesce(F.try_divide(F.col("dropped").cast("double"), F.col("attempted").cast("double")), F.lit(0.0)))
+
+
+def page_summaries(outcomes: DataFrame, originals: DataFrame) -> DataFrame:
+    """outcomes (page_path, applied, note, edits, passed, warnings, new_content) with edit_count, rationales, warnings (none if null) and the page's text before (null if there is none)."""
+    before = originals.groupBy("page_path").agg(F.max("text").alias("before"))
+    edits = F.coalesce("edits", F.array().cast(outcomes.schema["edits"].dataType))
+    told = outcomes.withColumns({"edit_count": F.size(edits).cast("long"), "rationales": F.transform(edits, lambda e: e["rationale"]), "warnings": F.coalesce("warnings", F.array().cast("array<string>"))})
+    return told.drop("edits").join(before, "page_path", "left").withColumn("changed", F.coalesce(F.col("before") != F.col("new_content"), F.lit(False)))
+
+
+def usage_rows(runs: DataFrame) -> DataFrame:
+    """One row for each model and stage of runs (run_id, by_model): tokens are those of the prompt and of the output."""
+    each = runs.select("run_id", F.explode("by_model").alias("m"))
+    return each.select("run_id", "m.model", "m.stage", "m.calls", (F.col("m.prompt_tokens") + F.col("m.output_tokens")).alias("tokens"), "m.cost_usd")
+
+
 def drops_by_reason(pages: DataFrame) -> DataFrame:
-    """reason, n over the pages (command, note) of `run` commands that were dropped, not skipped."""
+    """reason, n over the pages (command, note, applied) of `run` commands that were dropped, not skipped."""
     reason = drop_reason(F.col("note"))
-    kept = pages.where((F.col("command") == "run") & ~F.col("note").startswith("skipped:"))
+    kept = pages.where((F.col("command") == "run") & ~F.col("note").startswith("skipped:") & ~F.col("applied"))
     return kept.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -60,14 +88,16 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage with the price row of the longest prefix of its model (else the fallback) and its cost in USD.
 
-    prices: prefix, input, output, cache_write, cache_read (USD a million tokens), is_fallback; small by nature.
-    Prices are found once for each distinct model, not for each row.
+    prices: prefix, input, output, cache_write, cache_read (USD a million tokens), is_fallback; without a fallback
+    row, other models have no price and no cost.  Prices are found once for each distinct model, by equality with
+    each beginning of its name, not for each row.
     """
     models = usage.select(F.col("model")).distinct()
-    named = models.join(F.broadcast(prices.where("not is_fallback")), F.startswith(F.col("model"), F.col("prefix")), "left")
+    begins = models.withColumn("prefix", F.explode_outer(F.when(F.length("model") > 0, F.transform(F.sequence(F.lit(0), F.length("model")), lambda n: F.substring(F.col("model"), F.lit(1), n)))))
+    named = models.join(begins.join(prices.where("not is_fallback"), "prefix"), "model", "left")
     best = named.withColumn("_n", F.row_number().over(Window.partitionBy("model").orderBy(F.desc(F.length("prefix"))))).where("_n = 1").drop("_n", "is_fallback")
     other = prices.where("is_fallback").first()
-    best = best.select("model", "prefix", *(F.when(F.col("prefix").isNull(), F.lit(other[c])).otherwise(F.col(c)).alias("price_" + c) for c in ("input", "output", "cache_write", "cache_read")))
+    best = best.select("model", "prefix", *(F.when(F.col("prefix").isNull(), F.lit(other[c] if other else None).cast("double")).otherwise(F.col(c)).alias("price_" + c) for c in ("input", "output", "cache_write", "cache_read")))
     cost = sum((F.col(t) * F.col("price_" + p) for t, p in (("input_tokens", "input"), ("output_tokens", "output"), ("cache_write", "cache_write"), ("cache_read", "cache_read"))), F.lit(0.0)) / F.lit(1e6)
     return usage.join(best, usage["model"].eqNullSafe(best["model"])).drop(best["model"]).withColumn("cost", cost)
 
@@ -93,6 +123,12 @@ def latest(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("ord")))).where("_n = 1").drop("_n")
 
 
+def bootstrap_counts(plan: DataFrame) -> DataFrame:
+    """run_id, counts: planned, authored and skipped pages of each bootstrap (run_id, state)."""
+    counted = plan.groupBy("run_id").agg(F.count("*").alias("planned"), *(F.count_if(F.col("state") == s).alias(s) for s in ("authored", "skipped")))
+    return counted.select("run_id", F.create_map(*(x for c in ("planned", "authored", "skipped") for x in (F.lit(c), F.col(c)))).alias("counts"))
+
+
 def run_counts(pages: DataFrame) -> DataFrame:
     """run_id, counts: impacted, updated and the rest of each run's pages (run_id, applied)."""
     counted = pages.groupBy("run_id").agg(F.count("*").alias("impacted"), F.count_if("applied").alias("updated"))

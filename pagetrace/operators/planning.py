@@ -36,8 +36,24 @@ def merge_manifest(manifest: DataFrame, added: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("ord"))).where("_n = 1").drop("_n")
 
 
+def unit_line(path: Column, symbols: Column, most: int = 12) -> Column:
+    """A digest's line of a code unit: its path and the first symbols."""
+    shown = F.array_join(F.slice(symbols, 1, most), ", ")
+    return F.concat(F.lit("- "), path, F.when(shown != "", F.concat(F.lit("  ::  "), shown)).otherwise(""))
+
+
+def digests(lines: DataFrame, key: str, budget: int) -> DataFrame:
+    """key, lines, units: the budgeted prefix of each key's lines (line, ord) joined, with a last line that says so if some are left out."""
+    units = lines.groupBy(key).agg(F.count("*").alias("units"))
+    shown = budgeted_prefix(lines, key, budget).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("s"))  # no longer than the budget
+    both = units.join(shown, key, "left").withColumn("s", F.coalesce("s", F.array().cast(shown.schema["s"].dataType)))
+    text = F.array_join(F.concat(F.transform("s", lambda x: x["line"]), F.when(F.size("s") < F.col("units"), F.array(F.concat(F.lit("… ("), F.col("units").cast("string"), F.lit(" in all; list cut)")))).otherwise(F.array().cast("array<string>"))), "\n")
+    return both.select(key, text.alias("lines"), "units")
+
+
 def budgeted_prefix(lines: DataFrame, key: str, budget: int) -> DataFrame:
     """Lines (line, ord) of each key while their lengths plus one each stay within the budget."""
+    lines = capped(lines, key, budget)  # each uses one at least
     order = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return lines.withColumn("used", F.sum(F.length("line") + 1).over(order)).where(F.col("used") <= budget)
 
@@ -57,6 +73,83 @@ def ordered_sections(pages: DataFrame, canonical: list[str]) -> DataFrame:
     return seen.withColumn("rank", F.row_number().over(order).cast("long")).select("section", "rank", "pages")
 
 
+def pages_in_sections(pages: DataFrame, canonical: list[str]) -> DataFrame:
+    """Pages (section, order, title, ord) with section_rank and, within their section, place by order and title."""
+    ranked = pages.join(ordered_sections(pages, canonical).select(F.col("section").alias("_s"), F.col("rank").alias("section_rank")), F.col("section").eqNullSafe(F.col("_s"))).drop("_s")
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("order", "title", "ord")).cast("long"))
+
+
+def collapsed_globs(globs: DataFrame, files: DataFrame) -> DataFrame:
+    """key, pattern, place: a key's globs (key, pattern, ord), literal siblings that are all there is replaced by their cover.
+
+    Patterns with wildcards come first, then the literal ones that are left, then covers.
+    """
+    literal = T.is_literal("pattern")
+    first = globs.groupBy("key", "pattern").agg(F.min("ord").alias("ord"))
+    directory, ext = r"\A(.*)/[^/]*\z", r"(\.[^./]*)\z"
+    own = first.where(literal).withColumn("cover", F.concat(F.regexp_extract("pattern", directory, 1), F.lit("/*"), F.regexp_extract("pattern", ext, 1)))
+    covers = exact_covers(first.where(literal).select("key", "pattern"), files).select("key", F.col("pattern").alias("cover"))
+    used = own.join(covers, ["key", "cover"], "left_semi")
+    rows = first.where(~literal).select("key", "pattern", F.lit(0).alias("part"), "ord")
+    rows = rows.unionByName(own.join(used.select("key", "pattern"), ["key", "pattern"], "left_anti").select("key", "pattern", F.lit(1).alias("part"), "ord"))
+    rows = rows.unionByName(used.groupBy("key", F.col("cover").alias("pattern")).agg(F.min("ord").alias("ord")).select("key", "pattern", F.lit(2).alias("part"), "ord"))
+    return rows.select("key", "pattern", F.row_number().over(Window.partitionBy("key").orderBy("part", "ord")).cast("long").alias("place"))
+
+
+def planned_excerpts(sources: DataFrame, units: DataFrame, per_page: int = 6) -> DataFrame:
+    """page_path, repo, path: the first units (repo, path, ord) that a page's sources (page_path, repo, pattern, source_ord) match in their repository, each once."""
+    hits = match_globs(units.select(F.concat("repo", F.lit("\u0001"), "path").alias("path"), F.col("ord").alias("unit_ord")), sources.select("page_path", F.concat(F.replace(F.replace("repo", F.lit("["), F.lit("[[]")), F.lit("*"), F.lit("[*]")), F.lit("\u0001"), "pattern").alias("pattern"), "source_ord"))
+    once = hits.groupBy("page_path", "path").agg(F.min(F.struct("source_ord", "unit_ord")).alias("ord"))
+    parts = F.split("path", "\u0001")
+    return capped(once, "page_path", per_page).select("page_path", parts[0].alias("repo"), parts[1].alias("path"))
+
+
+def inferred_sources(sources: DataFrame, repos: DataFrame) -> DataFrame:
+    """sources (repo, ...) of repositories that are there, named as repos (repo) names them; repositories compare by key."""
+    known = repos.groupBy(T.repo_key("repo").alias("_key")).agg(F.min("repo").alias("_repo"))
+    return sources.join(known, T.repo_key("repo") == F.col("_key")).withColumn("repo", F.col("_repo")).drop("_key", "_repo")
+
+
+def work_and_skipped(existing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """existing (page_path) with `state`: skipped if the manifest (path) has the page, else work."""
+    known = manifest.select(F.col("path").alias("_path")).distinct().withColumn("_known", F.lit(True))
+    return existing.join(known, F.col("page_path") == F.col("_path"), "left").withColumn("state", F.when(F.col("_known"), "skipped").otherwise("work")).drop("_path", "_known")
+
+
+def judge_required(kind: Column) -> Column:
+    """Whether pages of a kind are never passed without a judgement."""
+    return F.coalesce(kind.isin("concept", "guide"), F.lit(False))
+
+
+def normal_path(path: Column, suffix: str = ".mdx") -> Column:
+    """A page's path without leading slashes and with a suffix."""
+    bare = F.regexp_replace(F.trim(path), r"\A/+", "")
+    return F.when(F.lower(bare).rlike(r"\.(mdx|md|markdown)\z"), bare).otherwise(F.concat(bare, F.lit(suffix)))
+
+
+def unnumbered_route(path: Column) -> Column:
+    """A page's route without its suffix and without the numbers that order its parts (01-intro is intro)."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"\A/+", ""), r"(?i)\.(mdx|md|markdown)\z", "")
+    return F.array_join(F.transform(F.split(bare, "/"), lambda part: F.regexp_replace(part, r"\A\d+\s*[-_.]+\s*(?=[^-_.\s])", "")), "/")
+
+
+def page_query(title: Column, description: Column, body: Column, most: int = 2000) -> Column:
+    """What a page is searched by: title, description, headings and the first characters of its body."""
+    headings = F.filter(F.transform(F.split(body, "\n"), lambda line: F.trim(line)), lambda line: line.startswith("#"))
+    return F.regexp_replace(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")), headings, F.left(body, F.lit(most))), r"\A\s+|\s+\z", "")
+
+
+def docs_root(paths: DataFrame) -> DataFrame:
+    """One row: the folder of the highest docs.json (else mint.json) among paths (path), else the one that all pages lie in, else `.`."""
+    rank = F.when(F.col("path").rlike(r"(\A|/)docs\.json\z"), 0).when(F.col("path").rlike(r"(\A|/)mint\.json\z"), 1)
+    named = paths.withColumn("_rank", rank).where("_rank is not null").agg(F.min(F.struct("_rank", F.size(F.split("path", "/")).alias("n"), "path")).alias("m"))
+    named = named.select(F.regexp_replace(F.col("m.path"), r"/?[^/]*\z", "").alias("_named"))
+    pages = common_directory(paths.where(F.lower("path").rlike(r"\.mdx?\z")))
+    both = named.select(F.lit(0).alias("n"), F.col("_named").alias("directory")).unionByName(pages.select(F.lit(1).alias("n"), "directory")).where("directory is not null")
+    found = F.coalesce(F.min(F.struct("n", "directory"))["directory"], F.lit(""))
+    return both.agg(F.when(found == "", ".").otherwise(found).alias("directory"))
+
+
 def exact_covers(globs: DataFrame, files: DataFrame) -> DataFrame:
     """key, pattern, covered: dir/*.ext for each key whose two or more literal siblings are all there is.
 

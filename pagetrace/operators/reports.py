@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetrace.shared import kept
+
+from .planning import capped
+
 
 def encoded(texts: DataFrame, dim: int = 24) -> DataFrame:
-    """texts with `embedding`: a deterministic hashed bag of words of unit length (zeros for a text without words)."""
+    """texts with `embedding`: a deterministic hashed bag of words of unit length (zeros for a text without words).
 
-    def one(text: str | None) -> list[float]:
-        out = np.zeros(dim)
-        for w in re.findall(r"\w+", (text or "").lower()):
-            out[int(hashlib.sha1(w.encode()).hexdigest(), 16) % dim] += 1
-        return (out / max(float(np.sqrt((out * out).sum())), 1e-12)).astype(np.float32).tolist()
+    A word's place follows the first 32 bits of its SHA-1.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    place = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: (F.conv(F.substring(F.sha1(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
 
-    @F.pandas_udf("array<float>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            yield p.map(one)
+    def many(i: int) -> Column:
+        return F.size(F.filter("_place", lambda p: p == i)).cast("double")
 
-    return texts.withColumn("embedding", vectors("text"))
+    counted = texts.withColumn("_place", place).withColumn("_n", F.array(*map(many, range(dim))))
+    norm = F.sqrt(F.aggregate("_n", F.lit(0.0), lambda a, x: a + x * x))
+    return counted.withColumn("_norm", F.greatest(norm, F.lit(1e-12))).withColumn("embedding", F.transform("_n", lambda x: (x / F.col("_norm")).cast("float"))).drop("_place", "_n", "_norm")
 
 
 def edit_order(pages: DataFrame, by: str) -> DataFrame:
-    """Pages of each `by` numbered as they are to be edited: most confident first, then by path."""
-    return pages.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("confidence"), "page_path")).cast("long"))
+    """Pages of each `by` numbered as they are to be edited: most confident first, then by path.
+
+    Ranges of the whole order are numbered by themselves, after counts of the ranges before.
+    """
+    order = [F.col(by), F.desc("confidence"), F.col("page_path")]
+    dealt = kept(pages.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "order")
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = dealt.groupBy(by, "_range").count().select(F.col(by).alias("_by"), F.col("_range").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order[1:]))
+    numbered = dealt.withColumn("_own", own).join(base, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return numbered.select(*pages.columns, (F.col("_base") + F.col("_own")).cast("long").alias("turn"))
 
 
 def outcomes_of_plan(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Plan rows with the outcome of their page; `planned` where there is none yet."""
+    """Plan rows with the outcome of their page; `planned` where there is none yet.  Of several outcomes the last by `ord` counts, if they have one."""
+    own = F.struct("applied", "note")
+    outcomes = outcomes.groupBy("page_path").agg((F.max_by(own, "ord") if "ord" in outcomes.columns else F.max(own)).alias("_o")).select("page_path", "_o.*")
     state = F.when(F.col("applied").isNull(), "planned").when(F.col("applied"), "authored").otherwise("skipped")
     return plan.join(outcomes.select("page_path", "applied", "note"), "page_path", "left").withColumn("state", state)
 
@@ -53,6 +61,8 @@ def head_and_more(items: Column, most: int) -> Column:
 
 def prefix_with_cut(sections: DataFrame, key: str, budget: int) -> DataFrame:
     """Sections (section, ord) of each key up to the budget of characters; the one that crosses it is cut, later ones go."""
+    # every section has a character, so there are no more of a key than the budget has
+    sections = capped(sections.where(F.length("section") > 0), key, budget)
     order = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.length("section")).over(order), F.lit(0))
     return sections.withColumn("_left", F.lit(budget) - used).where("_left > 0").withColumn("section", F.left("section", F.col("_left").cast("int"))).drop("_left")
@@ -118,6 +128,18 @@ def markdown(outcomes: DataFrame, by: str) -> DataFrame:
     return lists.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("report"))
 
 
+def cost_line(usage: Column) -> Column:
+    """A report's line of a run's usage (cost_usd, calls, input_tokens, output_tokens, cache_hit_rate); null without one."""
+    number = lambda c: F.format_number(usage[c], 0)
+    line = F.concat(F.lit("~$"), F.format_string("%.4f", usage["cost_usd"]), F.lit(" in "), number("calls"), F.lit(" calls, "), number("input_tokens"), F.lit(" in / "), number("output_tokens"), F.lit(" out, "), F.format_string("%.0f", usage["cache_hit_rate"] * 100), F.lit("% hit"))
+    return F.when(usage.isNotNull(), line)
+
+
+def cacheable(pages: Column, rendered: Column, least: int = 16_000) -> Column:
+    """Whether a diff is worth caching for the prompts of a run: several pages and a long enough text."""
+    return F.coalesce((pages > 1) & (F.length(rendered) >= least), F.lit(False))
+
+
 def write_pages(outcomes: DataFrame, root: str) -> None:
     """Applied pages as rows of path and content, outside the tool's own state folder."""
     outcomes.where("applied and not page_path like '.state/%'").select(F.concat(F.lit(root.rstrip("/") + "/"), "page_path").alias("path"), "new_content").write.mode("overwrite").json(f"{root}/changed")

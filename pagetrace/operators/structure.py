@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PAGE_SUFFIXES = (".md", ".mdx", ".markdown")
+
+
+def _tag(tags: list[str]) -> str:
+    return rf"</?(?:{'|'.join(tags)})(?:\s[^>]*)?/?>"
+
+
+def _name(hit: Column) -> Column:
+    return F.regexp_extract(hit, r"</?([A-Za-z0-9]+)", 1)
+
 
 def signature(pages: DataFrame, tags: list[str]) -> DataFrame:
-    """page_path, tag, opened, closed, for each known tag that the text has; <x/> counts as both; fences as the tag ```."""
-    rows = []
-    for t in tags:
-        opened = F.regexp_count("text", F.lit(rf"<{t}(\s[^>]*)?>")).cast("long")
-        closed = (F.regexp_count("text", F.lit(rf"</{t}\s*>")) + F.regexp_count("text", F.lit(rf"<{t}(\s[^>]*)?/>"))).cast("long")
-        rows.append(F.struct(F.lit(t).alias("tag"), opened.alias("opened"), closed.alias("closed")))
-    fence = F.regexp_count("text", F.lit(r"(?m)^\s*```")).cast("long")
-    rows.append(F.struct(F.lit("```").alias("tag"), fence.alias("opened"), fence.alias("closed")))
-    return pages.select("page_path", F.explode(F.array(*rows)).alias("x")).select("page_path", "x.*").where("opened + closed > 0")
+    """page_path, tag, opened, closed, for each known tag that the text has.
+
+    <x/> counts as opened and as closed.  Code fences count as the tag ```, those
+    of mermaid also as the tag mermaid.  Every tag of a text is extracted once.
+    """
+    hits = pages.select("page_path", F.regexp_extract_all("text", F.lit(_tag(tags)), F.lit(0)).alias("hits"), F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*```[ \t]*(\w*)"), F.lit(1)).alias("fences"))
+    each = F.transform("hits", lambda h: F.struct(_name(h).alias("tag"), (~h.startswith("</")).alias("opens"), (h.startswith("</") | h.endswith("/>")).alias("closes")))
+    told = hits.select("page_path", each.alias("found"), "fences")
+    many = lambda a, f: F.size(F.filter(a, f)).cast("long")
+    def row(t: str) -> Column:
+        return F.struct(F.lit(t).alias("tag"), many("found", lambda x: (x["tag"] == t) & x["opens"]).alias("opened"), many("found", lambda x: (x["tag"] == t) & x["closes"]).alias("closed"))
+
+    rows = [row(t) for t in tags]
+    none = F.lit(0).cast("long").alias("closed")
+    rows += [F.struct(F.lit("```").alias("tag"), F.size("fences").cast("long").alias("opened"), none), F.struct(F.lit("mermaid").alias("tag"), many("fences", lambda f: f == "mermaid").alias("opened"), none)]
+    return told.select("page_path", F.explode(F.array(*rows)).alias("x")).select("page_path", "x.*").where("opened + closed > 0")
 
 
 def changed_structure(before: DataFrame, after: DataFrame, leaves: list[str]) -> DataFrame:
@@ -43,12 +56,10 @@ def nesting_fault(text: Column, tags: list[str]) -> Column:
     A fold over the text's tags with the stack as its state; code is left out first.
     """
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?(```|\z)", ""), r"`[^`\n]*`", "")
-    found = F.regexp_extract_all(bare, F.lit(rf"</?(?:{'|'.join(tags)})(?:\s[^>]*)?/?>"), F.lit(0))
-    found = F.filter(found, lambda t: ~t.endswith("/>"))
-    name = lambda t: F.regexp_extract(t, r"</?([A-Za-z0-9]+)", 1)
+    found = F.filter(F.regexp_extract_all(bare, F.lit(_tag(tags)), F.lit(0)), lambda t: ~t.endswith("/>"))
 
     def step(acc: Column, t: Column) -> Column:
-        top, n = F.get(acc["stack"], F.size(acc["stack"]) - 1), name(t)
+        top, n = F.get(acc["stack"], F.size(acc["stack"]) - 1), _name(t)
         opening = ~t.startswith("</")
         fault = F.when(opening | (top == n), F.lit(None).cast("string")).when(top.isNull(), F.concat(F.lit("stray "), n)).otherwise(F.concat(F.lit("crossed "), n))
         stack = F.when(opening, F.concat(acc["stack"], F.array(n))).when(top == n, F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1)).otherwise(acc["stack"])
@@ -59,32 +70,26 @@ def nesting_fault(text: Column, tags: list[str]) -> Column:
 
 
 def repaired(pages: DataFrame, tags: list[str]) -> DataFrame:
-    """Pages with stray closing tags taken out and unclosed ones closed at the end; crossed ones stay as they are."""
-    rx = re.compile(rf"<(/?)({'|'.join(tags)})(?:\s[^>]*)?(/?)>")
-
-    def mend(text: str) -> str:
-        stack, strays = [], []
-        for m in rx.finditer(text):
-            if m[3]:
-                continue
-            if not m[1]:
-                stack.append(m[2])
-            elif stack and stack[-1] == m[2]:
-                stack.pop()
-            elif m[2] in stack:
-                return text
-            else:
-                strays.append(m.span())
-        for a, b in reversed(strays):
-            text = text[:a] + text[b:]
-        return text + "".join(f"</{t}>" for t in reversed(stack))
-
-    @F.pandas_udf("string")
-    def mended(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            yield t.map(mend, na_action="ignore")
-
-    return pages.withColumn("text", mended("text"))
+    """Pages with stray closing tags taken out and unclosed ones closed at the end; crossed ones stay as they are.
+
+    A fold over the text's tags, with the stack and what is kept of each tag as its state.
+    """
+    hits, between = F.regexp_extract_all("text", F.lit(_tag(tags)), F.lit(0)), F.split("text", _tag(tags), -1)
+
+    def step(acc: Column, t: Column) -> Column:
+        size, n = F.size(acc["stack"]), _name(t)
+        opens, alone = ~t.startswith("</"), t.endswith("/>")
+        closes = F.get(acc["stack"], size - 1) == n
+        stray = ~opens & ~F.coalesce(closes, F.lit(False))
+        stack = F.when(alone, acc["stack"]).when(opens, F.concat(acc["stack"], F.array(n))).when(~stray, F.slice(acc["stack"], 1, size - 1)).otherwise(acc["stack"])
+        kept = F.when(stray & ~alone, F.lit("")).otherwise(t)
+        return F.struct(stack.alias("stack"), F.concat(acc["kept"], F.array(kept)).alias("kept"), (acc["crossed"] | (stray & ~alone & F.array_contains(acc["stack"], n))).alias("crossed"))
+
+    none = F.array().cast("array<string>")
+    told = pages.withColumn("_state", F.aggregate(hits, F.struct(none.alias("stack"), none.alias("kept"), F.lit(False).alias("crossed")), step)).withColumn("_between", between)
+    mended = F.array_join(F.zip_with("_between", "_state.kept", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    ends = F.array_join(F.transform(F.reverse(F.col("_state.stack")), lambda t: F.concat(F.lit("</"), t, F.lit(">"))), "")
+    return told.withColumn("text", F.when(F.col("_state.crossed"), F.col("text")).otherwise(F.concat(mended, ends))).drop("_state", "_between")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -99,6 +104,48 @@ def broken(page_links: DataFrame, existing: DataFrame) -> DataFrame:
     return page_links.distinct().join(existing.select(F.col("path").alias("target")).distinct(), "target", "left_anti")
 
 
+def checkable(target: Column) -> Column:
+    """Whether a link's target is clearly a file relative to its page: no anchor, no absolute route, no scheme, and a page's suffix or a leading ./ or ../."""
+    relative = ~target.rlike(r"\A(#|/|[A-Za-z][A-Za-z0-9+.-]*:)") & (target != "")
+    named = F.lower(target)
+    return relative & (target.startswith("./") | target.startswith("../") | named.endswith(PAGE_SUFFIXES[0]) | named.endswith(PAGE_SUFFIXES[1]) | named.endswith(PAGE_SUFFIXES[2]))
+
+
+def resolved(page_path: Column, target: Column) -> Column:
+    """The path that a relative target means, seen from a page; null if it leaves the tree."""
+    parts = F.split(page_path, "/")
+    whole = F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.split(target, "/"))
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(False).alias("left"))
+
+    def step(acc: Column, part: Column) -> Column:
+        up, size = part == "..", F.size(acc["path"])
+        path = F.when(part.isin("", "."), acc["path"]).when(up & (size > 0), F.slice(acc["path"], F.lit(1), size - 1)).when(up, acc["path"]).otherwise(F.concat(acc["path"], F.array(part)))
+        return F.struct(path.alias("path"), (acc["left"] | (up & (size == 0))).alias("left"))
+
+    return F.aggregate(whole, start, step, lambda acc: F.when(~acc["left"], F.array_join(acc["path"], "/")))
+
+
+def broken_files(page_links: DataFrame, files: DataFrame) -> DataFrame:
+    """page_path, target of the distinct checkable links that lead to none of files (path).
+
+    A target without a page's suffix may also mean that page or the index of that folder.
+    """
+    each = page_links.where(checkable(F.col("target"))).select("page_path", "target").distinct()
+    at = each.withColumn("_at", resolved(F.col("page_path"), F.col("target")))
+    more = F.array("_at", *(F.concat("_at", F.lit(s)) for s in PAGE_SUFFIXES), *(F.concat(F.col("_at"), F.lit("/index" + s)) for s in PAGE_SUFFIXES))
+    full = F.lower("target").rlike(r"\.(md|mdx|markdown)\z")
+    meant = at.select("page_path", "target", F.explode(F.when(full, F.array("_at")).otherwise(more)).alias("path"))
+    there = meant.join(files.select("path").distinct(), "path", "left_semi").select("page_path", "target").distinct()
+    return each.join(there, ["page_path", "target"], "left_anti")
+
+
+def link_finding(line: Column) -> Column:
+    """Whether a line of a link checker's output tells of a broken link: a problem, what it is about, and no word of success."""
+    # fixed values: the words that tell a problem, a target and a success
+    problem, about, fine = r"(?i)broken|not found|404|missing|unreachable", r"(?i)https?://|/|\.mdx?\b", r"(?i)no broken|0 broken|success|all links|no issues|no problems|✓|✔"
+    return F.coalesce(line.rlike(problem) & line.rlike(about) & ~line.rlike(fine), F.lit(False))
+
+
 def front_matter(text: Column, key: str) -> Column:
     """Value of a flat key of the block between the --- lines that a text begins with; null if there is none."""
     head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(\n|\z)", 1)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 
+META = "kind STRING, model STRING, content_hash STRING"
+
 
 def sections(pages: DataFrame) -> DataFrame:
     """page_path, chunk_ord, chunk: a page's text cut before every line that begins with #.
@@ -22,11 +25,12 @@ def sections(pages: DataFrame) -> DataFrame:
 def content_hash(rows: DataFrame, key: str, model: str) -> DataFrame:
     """One hash for each key that changes with the model, any row (part, ord) or their order.
 
-    Rows are hashed first and only their digests are gathered.
+    Each row's SHA-256, of its ord and its part, is added up in four numbers of 60
+    bits, so that no group is ever gathered: tasks add their own rows first.
     """
-    digests = rows.select(key, "ord", F.sha2(F.coalesce("part", F.lit("")), 256).alias("digest"))
-    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "digest"))), lambda x: x["digest"]), "")
-    return digests.groupBy(key).agg(F.sha2(F.concat(F.lit(model), gathered), 256).alias("content_hash"))
+    row = F.sha2(F.concat(F.col("ord").cast("string"), F.lit(":"), F.sha2(F.coalesce("part", F.lit("")), 256)), 256)
+    sums = [F.sum(F.conv(F.substring("_row", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return rows.select(key, row.alias("_row")).groupBy(key).agg(F.sha2(F.concat_ws(":", F.lit(model), F.count("*").cast("string"), *sums), 256).alias("content_hash"))
 
 
 def stale(current: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -56,6 +60,19 @@ def index_size(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.countDistinct("page_path").alias("pages"))
 
 
-def first_seen(rows: DataFrame, key: str) -> DataFrame:
-    """Rows that are the first (by ord) of their key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where("_n = 1").drop("_n")
+def save_index(vectors: DataFrame, path: str, kind: str, model: str, content_hash: str) -> None:
+    """Keep vectors (a key's columns, embedding) as Parquet with what they were made from; the description comes last, so half an index is none."""
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    spark = vectors.sparkSession
+    spark.createDataFrame([(kind, model, content_hash)], META).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_index(spark: SparkSession, path: str, kind: str, model: str, content_hash: str) -> DataFrame | None:
+    """The vectors of an index, or None if there is none, it cannot be read, or it is of another kind, model or content."""
+    try:
+        meta = spark.read.schema(META).json(f"{path}/meta").collect()  # one row
+        if [tuple(r) for r in meta] != [(kind, model, content_hash)]:
+            return None
+        return spark.read.parquet(f"{path}/vectors")
+    except AnalysisException:
+        return None

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pagetrace.functions import text as T
 from pagetrace.operators import anchors, vectors
 
+from pagetrace.shared import folder
+
 from .registry import query, read
 
 RULES = [
@@ -79,7 +81,8 @@ def recall_net_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'anchor' ELSE 'embedding' END AS source, lang = 'fr' AS judge_required FROM documents) LEFT JOIN labels USING (doc_id) GROUP BY ALL""")
 def autopass_judge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_path"), F.when(F.col("doc_id") % 4 == 0, "anchor").otherwise("embedding").alias("source"), (F.col("lang") == "fr").alias("judge_required"))
-    verdicts = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_path"), (F.col("toxic") == 0).alias("affected"), (F.lit(0.4) + F.lit(0.2) * F.col("quality")).alias("confidence"))
+    verdicts = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_path"), (F.col("toxic") == 0).alias("affected"), (F.lit(0.4) + F.lit(0.2) * F.col("quality")).alias("confidence"), F.lit(2).alias("ord"))
+    verdicts = verdicts.unionByName(verdicts.withColumns({"affected": F.lit(True), "confidence": F.lit(0.9), "ord": F.lit(1)}))  # an earlier verdict of each
     return anchors.judged(docs, verdicts).groupBy("source", "judge_required", "decision").agg(F.count("*").alias("n"))
 
 
@@ -113,6 +116,20 @@ def already_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.unprocessed(events, last).select("event_id")
 
 
+@query(f"""WITH t AS (SELECT p_brand AS token, 0 AS part, p_partkey AS ord FROM part UNION ALL SELECT regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', ''), 1, page_id FROM {_PATHS}),
+  f AS (SELECT token, min((part, ord)) AS at_ FROM t WHERE token <> '' AND lower(token) NOT IN ('25', 'brand#2') GROUP BY token) SELECT token, CAST(struct_extract(at_, 1) AS INTEGER) AS part, CAST(struct_extract(at_, 2) AS BIGINT) AS ord FROM f""")
+def symbol_and_stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = read(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol"), F.col("p_partkey").cast("long").alias("ord"))
+    paths = _paths(spark, sf_dir).select("path", F.col("page_id").cast("long").alias("ord"))
+    return anchors.projected_tokens(symbols, paths, ["25", "brand#2"]).select("token", "ord.part", "ord.ord")
+
+
+@query("""SELECT DISTINCT lang AS case_id, source AS page_path FROM documents WHERE doc_id % 3 = 0 OR n_chars % 5 = 0""")
+def mapped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("case_id"), F.col("source").alias("page_path"), "doc_id", "n_chars")
+    return anchors.mapped_pages(docs.where("doc_id % 3 = 0"), docs.where("n_chars % 5 = 0"))
+
+
 _COS = "list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))"
 
 
@@ -141,15 +158,26 @@ def l2_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit.select("vec_id", "norm", F.round(F.element_at("embedding", 1), 5).alias("first"))
 
 
-@query(r"""WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '<h1>', chr(10) || '# ', 'g'), '<p>', chr(10) || '# ', 'g') AS t FROM pages),
-  x AS (SELECT page_id, unnest(string_split(regexp_replace(t, '\n(\s*#)', chr(1) || '\1', 'g'), chr(1))) AS c FROM m)
-  SELECT page_id, count(*) AS chunks, CAST(max(length(trim(c, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS BIGINT) AS longest FROM x WHERE trim(c, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY page_id""")
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(rf"""WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '<h1>', chr(10) || '# ', 'g'), '<p>', chr(10) || '# ', 'g') AS t FROM pages),
+  x AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(t, '\n(\s*#)', chr(1) || '\1', 'g'), chr(1)), lambda c: trim(c, {_WHITE})), lambda c: c <> '') AS c FROM m)
+  SELECT page_id, CAST(unnest(range(0, len(c))) AS BIGINT) AS chunk_ord, md5(unnest(c)) AS chunk FROM x""")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = read(spark, sf_dir, "pages").select(F.col("page_id").alias("page_path"), F.regexp_replace(F.regexp_replace("html", "<h1>", "\n# "), "<p>", "\n# ").alias("text"))
-    return vectors.sections(marked).groupBy(F.col("page_path").alias("page_id")).agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).cast("long").alias("longest"))
+    return vectors.sections(marked).select(F.col("page_path").alias("page_id"), "chunk_ord", F.md5("chunk").alias("chunk"))
 
 
-@query("""SELECT source, sha256('hash-24' || string_agg(sha256(text), '' ORDER BY doc_id)) AS content_hash FROM documents GROUP BY source""")
+_HASHED = "SELECT source, doc_id, sha256(doc_id || ':' || sha256(text)) AS h FROM documents"
+
+
+def _hash_sql(rows: str, model: str) -> str:
+    sums = " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+    return f"SELECT source, sha256('{model}:' || count(*) || ':' || {sums}) AS content_hash FROM ({rows}) GROUP BY source"
+
+
+@query(_hash_sql(_HASHED, "hash-24"))
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), F.col("text").alias("part"))
     return vectors.content_hash(rows, "source", "hash-24")
@@ -160,7 +188,17 @@ def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.index_size(read(spark, sf_dir, "embeddings").select(F.col("label").alias("page_path")))
 
 
-@query("""SELECT a.source FROM (SELECT source, count(*) AS h FROM documents GROUP BY source) a LEFT JOIN (SELECT source, count(*) AS h FROM documents WHERE doc_id >= 100 GROUP BY source) b ON a.source = b.source AND a.h = b.h WHERE b.h IS NULL""")
+@query(f"""WITH a AS ({_hash_sql(_HASHED, "m")}), b AS ({_hash_sql(_HASHED + " WHERE doc_id % 1000 <> 7", "m")})
+  SELECT a.source FROM a LEFT JOIN b ON a.source = b.source AND a.content_hash = b.content_hash WHERE b.source IS NULL""")
 def stale_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), F.col("text").alias("part"))
-    return vectors.stale(vectors.content_hash(rows, "source", "m"), vectors.content_hash(rows.where("ord >= 100"), "source", "m"), "source").select("source")
+    return vectors.stale(vectors.content_hash(rows, "source", "m"), vectors.content_hash(rows.where("ord % 1000 <> 7"), "source", "m"), "source").select("source")
+
+
+@query("""SELECT vec_id, kept FROM (SELECT vec_id, unnest(['same', 'none', 'none', 'none']) AS kept FROM embeddings WHERE vec_id % 2 = 0) WHERE kept = 'same'""")
+def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that is kept and read again; one of another kind, model or content is not found."""
+    at = folder(spark, "index")
+    vectors.save_index(read(spark, sf_dir, "embeddings").where("vec_id % 2 = 0"), at, "docs", "m", "h1")
+    missed = [vectors.load_index(spark, *x) for x in ((at, "code", "m", "h1"), (at, "docs", "n", "h1"), (at, "docs", "m", "h2"), (at + "x", "docs", "m", "h1"))]
+    return vectors.load_index(spark, at, "docs", "m", "h1").select("vec_id", F.lit("same" if missed == [None] * 4 else "found").alias("kept"))

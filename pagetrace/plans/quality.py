@@ -11,20 +11,33 @@ from pagetrace.sources import diffs, trees
 
 from .registry import query, read
 
-TAGS = ["article", "b", "div", "h1", "li", "nav", "p", "ul"]
+TAGS = ["article", "b", "br", "div", "h1", "li", "nav", "p", "ul"]
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select(F.col("page_id").alias("page_path"), F.col("html").alias("text"))
 
 
-_SIGNATURE = """SELECT page_id AS page_path, tag, CAST(len(regexp_extract_all(html, '<' || tag || '(\\s[^>]*)?>')) AS BIGINT) AS opened, CAST(len(regexp_extract_all(html, '</' || tag || '\\s*>')) AS BIGINT) AS closed
-  FROM pages, (VALUES ('article'), ('b'), ('div'), ('h1'), ('li'), ('nav'), ('p'), ('ul')) t(tag)"""
+#: Line breaks of every third page close themselves, and every fifth page has a diagram and a card.
+_MARKED_SQL = """(SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(html, '<br>', '<br class="x" />') WHEN page_id % 3 = 1 THEN replace(html, '<br>', '<br/>') ELSE html END
+  || CASE WHEN page_id % 5 = 0 THEN chr(10) || '```mermaid' || chr(10) || 'a' || chr(10) || '```' || chr(10) || '<div/>' ELSE '' END AS t FROM pages)"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, html = F.col("page_id"), F.col("html")
+    closed = F.when(k % 3 == 0, F.replace(html, F.lit("<br>"), F.lit('<br class="x" />'))).when(k % 3 == 1, F.replace(html, F.lit("<br>"), F.lit("<br/>"))).otherwise(html)
+    return read(spark, sf_dir, "pages").select(k.alias("page_path"), F.concat(closed, F.when(k % 5 == 0, "\n```mermaid\na\n```\n<div/>").otherwise("")).alias("text"))
+
+
+_SIGNATURE = f"""SELECT page_id AS page_path, tag, CAST(len(regexp_extract_all(t, '<' || tag || '(\\s[^>]*)?/?>')) AS BIGINT) AS opened,
+    CAST(len(regexp_extract_all(t, '</' || tag || '\\s*>')) + len(regexp_extract_all(t, '<' || tag || '(\\s[^>]*)?/>')) AS BIGINT) AS closed
+  FROM {_MARKED_SQL}, (VALUES {', '.join(f"('{t}')" for t in TAGS)}) t(tag)
+  UNION ALL SELECT page_id, '```', CAST(len(string_split(t, '```')) - 1 AS BIGINT), 0 FROM {_MARKED_SQL} UNION ALL SELECT page_id, 'mermaid', CAST(len(string_split(t, '```mermaid')) - 1 AS BIGINT), 0 FROM {_MARKED_SQL}"""
 
 
 @query(f"SELECT * FROM ({_SIGNATURE}) WHERE opened + closed > 0")
 def structural_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.signature(_pages(spark, sf_dir), TAGS)
+    return structure.signature(_marked(spark, sf_dir), TAGS)
 
 
 @query(f"""WITH s AS ({_SIGNATURE}), a AS (SELECT * FROM s WHERE opened + closed > 0), b AS (SELECT page_path - 1 AS page_path, tag, opened, closed FROM a WHERE page_path > 0)
@@ -33,20 +46,33 @@ def structural_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE NOT ((coalesce(a.opened, 0) = coalesce(b.opened, 0) AND coalesce(a.closed, 0) = coalesce(b.closed, 0))
     OR (coalesce(a.tag, b.tag) IN ('li', 'p') AND coalesce(b.opened, 0) >= coalesce(a.opened, 0) AND coalesce(b.opened, 0) - coalesce(a.opened, 0) = coalesce(b.closed, 0) - coalesce(a.closed, 0)))""")
 def structure_delta_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = structure.signature(_pages(spark, sf_dir), TAGS)
+    before = structure.signature(_marked(spark, sf_dir), TAGS)
     after = before.where("page_path > 0").withColumn("page_path", F.col("page_path") - 1)
     return structure.changed_structure(before, after, ["li", "p"])
 
 
-@query()
+#: Tags in a row without their texts; pairs that hold nothing are taken out until none is left.
+_NEST_TAGS = ["article", "h1", "li", "nav", "ul"]
+_BARE = "regexp_replace(s, '" + "|".join(f"<{t}></{t}>" for t in _NEST_TAGS) + "', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(html, '</ul>', '') WHEN 1 THEN replace(html, '</h1>', '</h1></li>') ELSE html END AS h FROM pages),
+  r AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(h, '</?(?:{'|'.join(_NEST_TAGS)})(?:\\s[^>]*)?>'), lambda x: regexp_replace(x, '\\s.*', '>')), '') AS s, 0 AS n FROM t
+    UNION ALL SELECT page_id, {_BARE}, n + 1 FROM r WHERE {_BARE} <> s)
+  SELECT page_id AS page_path, min_by(s, -n) = '' AS well FROM r GROUP BY page_id""")
 def wellformed_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_path", structure.nesting_fault(F.col("text"), TAGS).alias("fault"))
+    k = F.col("page_path") % 4
+    text = F.when(k == 0, F.replace("text", F.lit("</ul>"), F.lit(""))).when(k == 1, F.replace("text", F.lit("</h1>"), F.lit("</h1></li>"))).otherwise(F.col("text"))
+    return _pages(spark, sf_dir).select("page_path", structure.nesting_fault(text, _NEST_TAGS).isNull().alias("well"))
 
 
-@query()
+@query("""SELECT page_id AS page_path, CAST(length(html) + CASE WHEN page_id % 4 = 1 THEN 9 ELSE 0 END AS BIGINT) AS length, page_id % 4 <> 2 AS well FROM pages""")
 def repaired_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = structure.repaired(_pages(spark, sf_dir), ["b", "article", "nav", "ul", "li"])
-    return fixed.select("page_path", F.length("text").cast("long").alias("length"), structure.nesting_fault(F.col("text"), ["b", "article", "nav", "ul", "li"]).alias("fault"))
+    """Of every four pages, one gets a stray end tag, one a tag that is never closed, and one crossed tags, which stay."""
+    k, h = F.col("page_path") % 4, F.col("text")
+    text = F.when(k == 0, F.concat(h, F.lit("</nav>"))).when(k == 1, F.concat(h, F.lit("<li>"))).when(k == 2, F.replace(h, F.lit("</ul></nav>"), F.lit("</nav></ul>"))).otherwise(h)
+    fixed = structure.repaired(_pages(spark, sf_dir).withColumn("text", text), _NEST_TAGS)
+    return fixed.select("page_path", F.length("text").cast("long").alias("length"), structure.nesting_fault(F.col("text"), _NEST_TAGS).isNull().alias("well"))
 
 
 @query(r"""WITH l AS (SELECT DISTINCT page_id AS page_path, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '#.*$', '') AS target FROM pages)
@@ -104,11 +130,27 @@ def new_page_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(failures).alias("failure"))
 
 
-@query()
-def net_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Single-line texts: a change takes a line out and puts one in.
+_TURNS = "(SELECT a.conv_id, a.turn, CASE WHEN a.text = b.text THEN 0 ELSE (a.text <> '')::INT + (b.text <> '')::INT END AS changed, CASE WHEN a.text = '' THEN 0 ELSE 1 END AS lines FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE NOT contains(a.text, chr(10)) AND NOT contains(b.text, chr(10)))"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     after = said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
-    return gates.net_changed_lines(said.withColumnRenamed("text", "before").join(after, ["conv_id", "turn"])).select("conv_id", "turn", "changed_lines")
+    return said.withColumnRenamed("text", "before").join(after, ["conv_id", "turn"])
+
+
+@query(f"SELECT conv_id, turn FROM {_TURNS} WHERE changed > 1")
+def diff_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of one line whose change is over a page's own budget of a line."""
+    one = ~F.contains("before", F.lit("\n")) & ~F.contains("after", F.lit("\n"))
+    pairs = _turns(spark, sf_dir).where(one).withColumns({"page_lines": F.lit(1), "page_share": F.lit(0.0)})
+    return gates.oversized(pairs).select("conv_id", "turn")
+
+
+@query()
+def net_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.net_changed_lines(_turns(spark, sf_dir)).select("conv_id", "turn", "changed_lines")
 
 
 @query()
@@ -127,7 +169,8 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HUNK = """SELECT 'src/b' || (p_partkey % 20) || CASE WHEN p_size % 5 = 0 THEN '.ts' ELSE '.py' END AS file_path, p_partkey AS hunk_ord, regexp_replace(p_name, '[^a-z]', '_', 'g') AS name, p_size, p_partkey % 9 AS k FROM part"""
 
 
-@query(f"""WITH h AS ({_HUNK}), s AS (SELECT file_path, hunk_ord, 0 AS pos, 'f_' || name AS symbol FROM h UNION ALL SELECT file_path, hunk_ord, 1, 'C' || k FROM h WHERE p_size % 2 = 0 UNION ALL SELECT file_path, hunk_ord, 3, 'LIMIT_' || k FROM h)
+@query(f"""WITH h AS ({_HUNK}), s AS (SELECT file_path, hunk_ord, 0 AS pos, 'f_' || name AS symbol FROM h UNION ALL SELECT file_path, hunk_ord, 1, 'C' || k FROM h WHERE p_size % 2 = 0 UNION ALL SELECT file_path, hunk_ord, 3, 'LIMIT_' || k FROM h
+    UNION ALL SELECT file_path, hunk_ord, 7, unnest(['g' || k, 'H' || k]) FROM h)
   SELECT file_path, symbol, min_by(hunk_ord, (hunk_ord, pos)) AS hunk_ord, CAST(min_by(pos, (hunk_ord, pos)) AS BIGINT) AS pos FROM s WHERE ends_with(file_path, '.py') GROUP BY file_path, symbol""")
 def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _code(spark, sf_dir)
@@ -135,7 +178,7 @@ def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/b"), (F.col("p_partkey") % 20).cast("string"), F.when(F.col("p_size") % 5 == 0, ".ts").otherwise(".py"))
     hunk = F.concat(
         F.concat(F.lit("@@ -1,4 +1,5 @@ def f_"), "name", F.lit("(x):")), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\n+class C"), k, F.lit(":"))).otherwise("\n class Old:"),
-        F.lit("\n+    inner = 1"), F.lit("\n-LIMIT_"), k, F.lit(": int = 3\n+LIMIT == 4\n--- a/file\n context = 1"),
+        F.lit("\n+    inner = 1"), F.lit("\n-LIMIT_"), k, F.lit(": int = 3\n+LIMIT == 4\n--- a/file\n context = 1\n+def g"), k, F.lit("(): subclass Foo; undef bar; class H"), k, F.lit("(x): y = 1"),
     )
     return symbols.changed_symbols(code.select(path.alias("file_path"), F.col("p_partkey").alias("hunk_ord"), hunk.alias("hunk")))
 
@@ -159,10 +202,10 @@ def py_symbols_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.python_symbols(_modules(spark, sf_dir))
 
 
-@query("""SELECT 'src/m' || p_partkey || '.py' AS path, CAST(unnest([0, 1]) AS INTEGER) AS ord, unnest(['def f_' || regexp_replace(p_name, '[^a-z]', '_', 'g') || '(a, b=1): Does it.', 'class C' || p_size]) AS line FROM part WHERE p_size % 11 <> 0""")
+@query("""SELECT 'src/m' || p_partkey || '.py' AS path, CAST(unnest(CASE WHEN p_size % 11 = 0 THEN [0, 1, 2] ELSE [0, 1] END) AS INTEGER) AS ord,
+  unnest(CASE WHEN p_size % 11 = 0 THEN ['def f_' || regexp_replace(p_name, '[^a-z]', '_', 'g'), 'class C' || p_size, 'def broken'] ELSE ['def f_' || regexp_replace(p_name, '[^a-z]', '_', 'g') || '(a, b=1): Does it.', 'class C' || p_size] END) AS line FROM part""")
 def api_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = symbols.surface(_modules(spark, sf_dir))
-    return lines.join(read(spark, sf_dir, "part").where("p_size % 11 <> 0").select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path")), "path", "left_semi")
+    return symbols.surface(_modules(spark, sf_dir))
 
 
 @query("""SELECT p_partkey AS diff_id, CAST(0 AS BIGINT) AS ord, 'src/' || p_size || '.py' AS path, CASE p_partkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'renamed' ELSE 'modified' END AS status,
@@ -183,3 +226,28 @@ def path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(F.array(*map(F.lit, [".PY", ".ts", ".tsx", ".Mdx"])), (F.col("p_size") % 4 + 1).cast("int"))
     path = F.concat(F.lit("a/b"), ext)
     return read(spark, sf_dir, "part").select(trees.kind(path).alias("kind"), trees.is_page(path).cast("long").alias("page")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("page").alias("pages"))
+
+
+@query(r"""WITH p AS (SELECT page_id, 'g' || (page_id % 7) || '/p' || page_id || '.md' AS page, page_id % 7 AS g FROM pages), n AS (SELECT max(page_id) AS top FROM pages),
+  l AS (SELECT page, g, unnest(['./p' || (page_id + 7) || '.md', '../g' || (page_id % 7) || '/p' || (page_id - 7), '/abs/x.md', 'https://x.example/y.md', '#top', '../../out.md', 'word']) AS target, page_id FROM p)
+  SELECT page AS page_path, target FROM l, n WHERE (starts_with(target, './') AND page_id + 7 > top) OR (starts_with(target, '../g') AND page_id - 7 < 0) OR target = '../../out.md'""")
+def broken_relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    text = lambda n: n.cast("string")
+    pages = read(spark, sf_dir, "pages").select(k, F.concat(F.lit("g"), text(k % 7), F.lit("/p"), text(k), F.lit(".md")).alias("page_path"))
+    targets = F.array(F.concat(F.lit("./p"), text(k + 7), F.lit(".md")), F.concat(F.lit("../g"), text(k % 7), F.lit("/p"), text(k - 7)), *map(F.lit, ["/abs/x.md", "https://x.example/y.md", "#top", "../../out.md", "word"]))
+    return structure.broken_files(pages.select("page_path", F.explode(targets).alias("target")), pages.select(F.col("page_path").alias("path")))
+
+
+@query("""SELECT page_id FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0""")
+def link_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    line = F.concat(F.when(k == 0, "Broken link: ").when(k == 1, "checking broken links").otherwise("ok "), F.when(k == 1, "").otherwise(F.col("url")), F.when(F.col("page_id") % 5 == 0, " (no broken links)").otherwise(""))
+    return read(spark, sf_dir, "pages").where(structure.link_finding(line)).select("page_id")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND trim(a) <> '' AND length(a) >= 0.5 * length(text) THEN 'after' ELSE 'before' END AS kept FROM (SELECT doc_id, text, left(text, CAST(length(text) * (doc_id % 5) // 4 AS BIGINT)) AS a FROM documents)""")
+def polish_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.left("text", F.floor(F.length("text") * (F.col("doc_id") % 5) / 4).cast("int"))
+    chosen = gates.polished(F.lit("before"), F.lit("after"), F.col("doc_id") % 3 > 0, F.col("text"), after)
+    return read(spark, sf_dir, "documents").select("doc_id", chosen.alias("kept"))

@@ -11,10 +11,14 @@ from pagetrace.operators import reports
 from .registry import query, read
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}\p{Pc}]+')) AS w FROM documents),
+  n AS (SELECT doc_id, CAST(('0x' || substr(sha1(w), 1, 8)) AS BIGINT) % 24 AS place, count(*) AS n FROM w GROUP BY 1, 2), s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm, max_by(place, (n, -place)) AS place, max(n) AS n FROM n GROUP BY doc_id)
+  SELECT doc_id, coalesce(place, -1) AS place, round(CAST(coalesce(n / norm, 0) AS DOUBLE), 4) AS most FROM documents LEFT JOIN s USING (doc_id)""")
 def hashed_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest component of each text's vector and its place."""
     docs = reports.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.round(T.l2_norm("embedding"), 4).alias("norm"))
+    most = F.array_max("embedding")
+    return docs.select("doc_id", F.when(most > 0, F.array_position("embedding", most) - 1).otherwise(-1).cast("long").alias("place"), F.round(most.cast("double"), 4).alias("most"))
 
 
 @query("""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars % 50 DESC, doc_id) AS turn FROM documents""")
@@ -26,13 +30,14 @@ def edit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT state, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'planned' WHEN quality = 1 THEN 'authored' ELSE 'skipped' END AS state FROM documents LEFT JOIN labels l USING (doc_id)) GROUP BY state""")
 def plan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_path"))
-    done = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_path"), (F.col("quality") == 1).alias("applied"), F.lit("").alias("note"))
+    done = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_path"), (F.col("quality") == 1).alias("applied"), F.lit("").alias("note"), F.lit(2).alias("ord"))
+    done = done.unionByName(done.withColumns({"applied": ~F.col("applied"), "ord": F.lit(1)}))  # an earlier outcome of each
     return reports.outcomes_of_plan(plan, done).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)""")
 def critique_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_path"), F.left("text", F.lit(10)).alias("find"))
+    ops = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_path"), F.col("text").alias("find"))
     bad = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_path"))
     return reports.without_rejected(ops, ops.join(bad, "page_path", "left_semi")).select(F.col("page_path").alias("doc_id"))
 
@@ -68,7 +73,8 @@ def branch_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", reports.branch_name(T.repo_key(T.url_host("url")), F.md5("url"), "sync").alias("branch"), reports.last_url(said).alias("link"))
 
 
-@query("""SELECT p_partkey, sha256('m' || sha256('r/' || p_name || chr(10) || p_brand || ' ' || p_type || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'body' ELSE '' END)) AS content_hash FROM part""")
+@query(f"""SELECT p_partkey, sha256('m:1:' || {" || ':' || ".join(f"CAST(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS HUGEINT) AS VARCHAR)" for i in range(4))}) AS content_hash FROM
+  (SELECT p_partkey, sha256('0:' || sha256('r/' || p_name || chr(10) || p_brand || ' ' || p_type || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'body' ELSE '' END)) AS h FROM part)""")
 def code_unit_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagetrace.operators.vectors import content_hash
 
@@ -97,3 +103,16 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     outcomes = done.select("lang", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("page_path"), (F.col("quality") == 1).alias("applied"), F.when(F.col("toxic") == 1, "toxic").alias("note"))
     return reports.markdown(outcomes, "lang")
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars % 3 > 0 THEN '~$' || printf('%.4f', n_chars / 10000.0) || ' in ' || n_chars % 9 || ' calls, ' || n_chars % 1000 || ' in / ' || n_chars % 100 || ' out, ' || printf('%.0f', CAST(n_chars % 101 AS DOUBLE)) || '% hit' END AS line FROM documents""")
+def cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars")
+    usage = F.struct((n / 10000.0).alias("cost_usd"), (n % 9).alias("calls"), (n % 1000).alias("input_tokens"), (n % 100).alias("output_tokens"), ((n % 101) / 100).alias("cache_hit_rate"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.when(n % 3 > 0, usage).alias("usage"))
+    return rows.select("doc_id", reports.cost_line(F.col("usage")).alias("line"))
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id % 3 > 1 AND length(text) >= 16000""")
+def cacheable_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where(reports.cacheable(F.col("doc_id") % 3, F.col("text"))).select("doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetrace.operators import evaluate, history
 from pagetrace.sources import events as ci
 from pagetrace.sources import history as log
+from pagetrace.shared import folder
 from pagetrace.streaming import jobs
 
 from .registry import query, read
@@ -19,22 +20,63 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "event_id", "user_id", F.col("event_id").alias("ord"), command.alias("command"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
         (F.col("event_id") % 4).alias("calls"), ((F.col("event_id") % 11).cast("double") / 10).alias("hit_rate"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cost"), "event_type",
+        F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 5).alias("updated"), (F.col("event_id") % 2).alias("authored"),
     )
 
 
-@query("""SELECT count(*) AS runs, count(*) FILTER (event_type NOT IN ('signup', 'purchase')) AS run_count, count(*) FILTER (event_type IN ('signup', 'purchase')) AS bootstrap_count,
+_SHOWN = "event_type NOT IN ('signup', 'purchase')"
+
+
+@query(f"""SELECT count(*) AS runs, count(*) FILTER ({_SHOWN}) AS run_count, count(*) FILTER (NOT {_SHOWN}) AS bootstrap_count,
+  CAST(coalesce(sum(CASE WHEN event_id % 3 > 0 THEN event_id % 5 END) FILTER ({_SHOWN}), 0) AS BIGINT) AS updated, CAST(coalesce(sum(event_id % 2) FILTER (NOT {_SHOWN}), 0) AS BIGINT) AS authored, round(sum(value), 2) AS cost, CAST(sum(event_id % 4) AS BIGINT) AS calls,
   round(CAST(count(*) FILTER (event_type <> 'error') AS DOUBLE) / count(*), 6) AS success_rate, round(avg(CASE WHEN event_id % 4 > 0 THEN CAST(event_id % 11 AS DOUBLE) / 10 END), 6) AS mean_hit_rate,
   strftime(min(ts), '%Y-%m-%d %H:%M') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M') AS last_ts FROM events""")
 def dashboard_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = history.overview(_runs(spark, sf_dir))
-    return o.select("runs", "run_count", "bootstrap_count", F.round("success_rate", 6).alias("success_rate"), F.round("mean_hit_rate", 6).alias("mean_hit_rate"), *(F.date_format(c, "yyyy-MM-dd HH:mm").alias(c) for c in ("first_ts", "last_ts")))
+    return o.select("runs", "run_count", "bootstrap_count", "updated", "authored", F.round("cost", 2).alias("cost"), "calls", F.round("success_rate", 6).alias("success_rate"), F.round("mean_hit_rate", 6).alias("mean_hit_rate"), *(F.date_format(c, "yyyy-MM-dd HH:mm").alias(c) for c in ("first_ts", "last_ts")))
+
+
+_NOTES = ["skipped: over the cap", "dropped by validation: structure", "dropped by self-critique", "edit not applicable", "edit generation failed: timeout", "page not found", "unexpected error: x", "no edits", "applied"]
+_NOTED = f"(SELECT *, [{', '.join(repr(n) for n in _NOTES)}][event_id % 9 + 1] AS note, event_id % 9 = 8 AS applied, event_id % 9 AS k FROM events)"
+
 
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("event_id") % 9 + 1).cast("int"))
+    return _runs(spark, sf_dir).select("event_id", "user_id", "command", note.alias("note"), (F.col("event_id") % 9 == 8).alias("applied"))
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'validation' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'critique' END END AS reason FROM events WHERE event_type NOT IN ('signup', 'purchase') AND event_id % 10 <> 0)
-  WHERE reason IS NOT NULL GROUP BY reason""")
+
+@query(f"""SELECT CASE WHEN k = 1 THEN 'validation' WHEN k = 2 THEN 'critique' WHEN k = 3 THEN 'not_applicable' ELSE 'error' END AS reason, count(*) AS n FROM {_NOTED} WHERE {_SHOWN} AND k BETWEEN 1 AND 6 GROUP BY 1""")
 def drops_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    note = F.when(F.col("event_id") % 10 == 0, "skipped: cap").when(F.col("event_type") == "error", "error: x").when(F.col("event_type") == "click", "validation failed").when(F.col("event_id") % 2 == 0, "critique rejected").otherwise("applied")
-    return history.drops_by_reason(_runs(spark, sf_dir).select("command", note.alias("note")))
+    return history.drops_by_reason(_noted(spark, sf_dir))
+
+
+@query(f"""SELECT count(*) AS attempted, count(*) FILTER (k BETWEEN 1 AND 6) AS dropped, round(CAST(count(*) FILTER (k BETWEEN 1 AND 6) AS DOUBLE) / count(*), 6) AS drop_rate FROM {_NOTED} WHERE {_SHOWN} AND k > 0""")
+def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.page_overview(_noted(spark, sf_dir)).withColumn("drop_rate", F.round("drop_rate", 6))
+
+
+@query("""SELECT doc_id AS page_path, doc_id % 4 AS edit_count, list_transform(range(0, doc_id % 4), lambda i: 'why ' || i) AS rationales, CASE WHEN doc_id % 5 > 0 THEN ['w'] ELSE [] END AS warnings, doc_id % 3 = 0 AND doc_id % 2 = 0 AS changed FROM documents""")
+def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, k = read(spark, sf_dir, "documents"), F.col("doc_id")
+    edit = lambda i: F.struct(F.lit("a").alias("find"), F.lit("b").alias("replace"), F.concat(F.lit("why "), i.cast("string")).alias("rationale"))
+    edits = F.when(k % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), k % 4 - 1), edit))
+    outcomes = docs.select(k.alias("page_path"), F.lit(True).alias("applied"), F.lit("").alias("note"), edits.alias("edits"), F.lit(True).alias("passed"), F.when(k % 5 > 0, F.array(F.lit("w"))).alias("warnings"), F.when(k % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("new_content"))
+    originals = docs.where("doc_id % 2 = 0").select(k.alias("page_path"), "text")
+    return history.page_summaries(outcomes, originals).select("page_path", "edit_count", "rationales", "warnings", "changed")
+
+
+@query("""SELECT user_id AS run_id, event_type AS model, event_id % 100 + event_id % 7 AS tokens FROM events""")
+def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    used = F.struct(F.col("event_type").alias("model"), F.lit("edit").alias("stage"), F.lit(1).alias("calls"), (k % 100).alias("prompt_tokens"), (k % 7).alias("output_tokens"), F.col("value").alias("cost_usd"))
+    return history.usage_rows(read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.array(used).alias("by_model"))).select("run_id", "model", "tokens")
+
+
+@query("""SELECT user_id AS run_id, count(*) AS planned, count(*) FILTER (event_id % 3 = 0) AS authored, count(*) FILTER (event_id % 3 = 1) AS skipped FROM events GROUP BY user_id""")
+def bootstrap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.element_at(F.array(*map(F.lit, ["authored", "skipped", "planned"])), (F.col("event_id") % 3 + 1).cast("int"))
+    counted = history.bootstrap_counts(read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), state.alias("state")))
+    return counted.select("run_id", *(F.col("counts")[c].alias(c) for c in ("planned", "authored", "skipped")))
 
 
 @query("""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM events""")
@@ -171,30 +213,31 @@ def threshold_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.breaches(evaluate.micro(_cases(spark, sf_dir)), {"precision": 0.99, "recall": 0.01, "f1": 0.9}).withColumn("value", F.round("value", 6))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    import uuid
-
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")), f"pagetrace_{uuid.uuid4().hex}"
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _ran(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """The stream's result once all that is there has been read; the checkpoint lies in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    at = f"{shared}/{name}" if shared else None
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    (writer.option("checkpointLocation", at) if at else writer).start().awaitTermination()
-    return spark.table(name)
+def _ran(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """The stream's result once all that is there has been read; it and the checkpoint lie in the shared folder."""
+    at = folder(spark, "stream")
+    jobs.run_available(stream, f"{at}/rows", mode, f"{at}/checkpoint").awaitTermination()
+    return jobs.current_cursors(spark, f"{at}/rows")
 
 
 @query("""SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id""")
 def stream_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, name = _stream(spark, sf_dir)
-    return _ran(spark, jobs.cursors(stream, "user_id", "ts", "event_id"), name, "complete")
+    return _ran(spark, jobs.cursors(_stream(spark, sf_dir), "user_id", "ts", "event_id"), "complete")
 
 
 @query("""SELECT strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1""")
 def stream_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, name = _stream(spark, sf_dir)
-    return _ran(spark, jobs.month_totals(stream, "ts", "value"), name, "complete").select(F.date_format("month", "yyyy-MM").alias("month"), "n", F.round("total", 3).alias("total"))
+    totals = _ran(spark, jobs.month_totals(_stream(spark, sf_dir), "ts", "value"), "complete")
+    return totals.select(F.date_format("month", "yyyy-MM").alias("month"), "n", F.round("total", 3).alias("total"))
+
+
+@query("""SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500""")
+def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = folder(spark, "stream")
+    jobs.retained(_stream(spark, sf_dir).select("ts", "event_id"), "ts", 500, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return jobs.current_cursors(spark, f"{at}/rows").select("event_id")

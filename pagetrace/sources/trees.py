@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from pagetrace import schemas
 
-#: Folder names that are never walked.
-EXCLUDED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build")
+#: Folder names that are never walked.  Fixed values.
+EXCLUDED = (
+    ".git .github .idea .vscode .venv venv node_modules site-packages vendor __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox "
+    "dist build .next htmlcov coverage tests test __tests__ migrations"
+).split()
 
 
 def excluded(extra: list[str] | None = None) -> list[str]:
@@ -30,11 +33,12 @@ def _read(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return raw.select(full.alias("full"), F.col("value").alias("text")).withColumn("path", F.substring(F.col("full"), F.lit(len(root.rstrip("/")) + 2), F.length("full"))).select("path", "text")
 
 
-def source_files(spark: SparkSession, root: str, extra: list[str] | None = None, pattern: str = "*.{py,ts,tsx}") -> DataFrame:
-    """path, text, kind of the source files below root; excluded folders anywhere on the way are left out."""
+def source_files(spark: SparkSession, root: str, extra: list[str] | None = None, pattern: str = "*.{py,ts,tsx}", most: int | None = None) -> DataFrame:
+    """path, text, kind of the source files below root, the first `most` by path; excluded folders anywhere on the way are left out."""
     files = _read(spark, root, pattern)
     inside = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded(extra))))
-    return files.where(~inside).withColumn("kind", kind(F.col("path")))
+    found = files.where(~inside).withColumn("kind", kind(F.col("path")))
+    return found.orderBy("path").limit(most) if most is not None else found
 
 
 def doc_pages(spark: SparkSession, root: str) -> DataFrame:
@@ -66,3 +70,19 @@ def nav_routes(nav: DataFrame) -> DataFrame:
     """group_name, route, ord of navigation rows (groups: name, pages)."""
     groups = nav.select(F.posexplode("groups").alias("g_ord", "g"))
     return groups.select("g.name", "g_ord", F.posexplode("g.pages").alias("p_ord", "route")).select(F.col("name").alias("group_name"), "route", (F.col("g_ord") * 10000 + F.col("p_ord")).cast("long").alias("ord"))
+
+
+def sidebar_routes(sidebars: DataFrame, depth: int = 16) -> DataFrame:
+    """sidebar, route: the page ids of sidebars (sidebar, items: JSON), those in nested categories too.
+
+    An item is an id, a page ({"type": "doc", "id": ...}) or a category ({"items": [...]}), down to `depth` levels.
+    """
+    level, found = sidebars.select("sidebar", F.col("items").alias("node")), None
+    for _ in range(depth):
+        node = level.select("sidebar", F.explode(F.from_json("node", "array<string>")).alias("node"))
+        object_ = F.from_json("node", "type STRING, id STRING, items STRING")
+        told = node.withColumn("_o", F.when(F.col("node").startswith("{"), object_))
+        here = told.select("sidebar", F.when(F.col("_o").isNull(), F.col("node")).when(F.col("_o.type") == "doc", F.col("_o.id")).alias("route")).where("route is not null")
+        found = here if found is None else found.unionByName(here)
+        level = told.where("_o.items is not null").select("sidebar", F.col("_o.items").alias("node"))
+    return found

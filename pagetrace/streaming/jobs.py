@@ -25,9 +25,25 @@ def once(stream: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """What is there now, into a table in memory."""
-    return stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, mode: str, checkpoint: str) -> StreamingQuery:
+    """What is there now, each batch's rows as a new version of a Parquet folder (see `current_cursors`)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retained(stream: DataFrame, time: str, keep: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the newest `keep` rows of a stream in a Parquet folder; a batch that is run again changes nothing."""
+
+    def compact(batch: DataFrame, batch_id: int) -> None:
+        old = current_cursors(batch.sparkSession, path, batch_id)
+        both = batch if old is None else batch.unionByName(old)
+        order = [F.desc(time), *(F.desc(c) for c in sorted(batch.columns) if c != time)]
+        both.orderBy(*order).limit(keep).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return stream.writeStream.foreachBatch(compact).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cursors(stream: DataFrame, key: str, time: str, value: str) -> DataFrame:

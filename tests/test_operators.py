@@ -33,15 +33,21 @@ def test_breaches_are_strict_and_skip_unset_floors(spark):
 
 
 def test_dashboard_shares(spark):
-    r = spark.createDataFrame([("run", "ok", 2, 0.5, "2024-06-01"), ("bootstrap", "ok", 0, 0.9, "2024-06-02"), ("run", "error", 1, 0.1, "2024-06-03")], "command string, status string, calls int, hit_rate double, ts string").withColumn("ts", F.to_timestamp("ts"))
+    shape = "command string, status string, calls int, hit_rate double, cost double, updated int, authored int, ts string"
+    r = spark.createDataFrame([("run", "ok", 2, 0.5, 0.25, 3, 9, "2024-06-01"), ("bootstrap", "ok", 0, 0.9, 0.5, 9, 4, "2024-06-02"), ("run", "error", 1, 0.1, None, None, None, "2024-06-03")], shape).withColumn("ts", F.to_timestamp("ts"))
     o = history.overview(r).first()
+    assert (o["updated"], o["authored"], o["cost"], o["calls"]) == (3, 4, 0.75, 3)
     assert o["success_rate"] == pytest.approx(2 / 3) and o["mean_hit_rate"] == pytest.approx(0.3) and o["run_count"] == 2
     assert history.overview(r.where("calls > 99")).first()["success_rate"] == 0.0
 
 
 def test_drops_leave_out_skips_and_other_commands(spark):
-    p = spark.createDataFrame([("run", "validation: x"), ("run", "critique"), ("run", "error"), ("run", "skipped: cap"), ("run", "applied"), ("bootstrap", "error")], "command string, note string")
-    assert values(history.drops_by_reason(p), "reason", "n") == [("critique", 1), ("error", 1), ("validation", 1)]
+    notes = ["dropped by validation: structure", "dropped by self-critique", "edit not applicable: x", "edit generation failed", "page not found", "unexpected error: y", "skipped: cap", "no edits"]
+    rows = [("run", n, False) for n in notes] + [("run", "dropped by validation", True), ("run", "applied", True), ("bootstrap", "page not found", False)]
+    p = spark.createDataFrame(rows, "command string, note string, applied boolean")
+    assert values(history.drops_by_reason(p), "reason", "n") == [("critique", 1), ("error", 3), ("not_applicable", 1), ("validation", 1)]
+    o = history.page_overview(p).first()
+    assert (o["attempted"], o["dropped"], o["drop_rate"]) == (9, 6, 6 / 9)
 
 
 def test_longest_prefix_and_fallback_prices(spark):
@@ -78,8 +84,9 @@ def test_content_hash_minds_model_and_order(spark):
     b = spark.createDataFrame([("k", 1, "x"), ("k", 0, "y")], "key string, ord int, part string")
     h = lambda df, m: vectors.content_hash(df, "key", m).first()["content_hash"]
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert h(a, "m") == digest("m" + digest("x") + digest("y"))
-    assert len({h(a, "m"), h(b, "m"), h(a, "n")}) == 3
+    rows = [digest(f"{i}:" + digest(x)) for i, x in enumerate("xy")]
+    assert h(a, "m") == digest(":".join(["m", "2", *(str(sum(int(r[15 * i : 15 * i + 15], 16) for r in rows)) for i in range(4))]))
+    assert h(a.repartition(3), "m") == h(a, "m") and len({h(a, "m"), h(b, "m"), h(a, "n")}) == 3
     assert vectors.stale(vectors.content_hash(a, "key", "m"), vectors.content_hash(b, "key", "m"), "key").count() == 1
 
 
@@ -98,10 +105,10 @@ def test_unit_vectors(spark):
 def test_structure_of_a_page(spark):
     text = "<Card>a</Card>\n<Card x='1'>b</Card><Note>n</Note>\n```\nx\n```\n<Bogus>"
     p = spark.createDataFrame([("p", text), ("q", "<Card/>")], "page_path string, text string")
-    assert values(structure.signature(p, ["Card", "Note"]), "page_path", "tag", "opened", "closed") == [("p", "Card", 2, 2), ("p", "Note", 1, 1), ("p", "```", 2, 2), ("q", "Card", 0, 1)]
+    assert values(structure.signature(p, ["Card", "Note"]), "page_path", "tag", "opened", "closed") == [("p", "Card", 2, 2), ("p", "Note", 1, 1), ("p", "```", 2, 0), ("q", "Card", 1, 1)]
 
 
-@pytest.mark.parametrize("after, faults", [("<Card>a</Card><Card>b</Card>", 0), ("", 1), ("<Card>a</Card><Card>", 1), ("<Card>a</Card><Steps></Steps>", 1), ("<Card>a</Card>\n```", 1)])
+@pytest.mark.parametrize("after, faults", [("<Card>a</Card><Card>b</Card>", 0), ("", 1), ("<Card>a</Card><Card>", 1), ("<Card>a</Card><Steps></Steps>", 1), ("<Card>a</Card>\n```", 1), ("<Card>a</Card><Card x/>", 0), ("<Card>a</Card>\n```mermaid\na\n```", 2)])
 def test_structure_may_grow_by_whole_leaves_only(spark, after, faults):
     sign = lambda t: structure.signature(spark.createDataFrame([("p", t)], "page_path string, text string"), ["Card", "Steps"])
     assert structure.changed_structure(sign("<Card>a</Card>"), sign(after), ["Card"]).count() == faults
@@ -241,3 +248,68 @@ def test_line_counts_and_escape(spark):
     d = spark.createDataFrame([("",), ("a",), ("a\n",), ("a\nb",), ("\n",)], "t string")
     assert [r[0] for r in d.select(T.line_count("t")).collect()] == [0, 1, 1, 2, 1]
     assert spark.createDataFrame([("<a&'\">",)], "t string").select(T.html_escape("t")).first()[0] == "&lt;a&amp;&#x27;&quot;&gt;"
+
+
+def test_symbols_need_boundaries_and_all_of_a_line_count(spark):
+    hunk = "@@ -1,2 +1,2 @@ async def head(x):\n+subclass Foo\n+undef bar\n+class A: pass; class B(A): pass\n-  inner = 1\n-top: int = 2\n+other == 3\n+more += 1\n+x: y == z\n+été = 1\n+++ b/def no\n context = 2"
+    found = symbols.changed_symbols(spark.createDataFrame([("a.py", 0, hunk), ("b.PY", 0, hunk), ("c.ts", 0, hunk)], "file_path string, hunk_ord int, hunk string"))
+    assert values(found, "file_path", "symbol") == [("a.py", s) for s in sorted(["head", "A", "B", "top", "été"])]
+    text = "export default async function go() {}\nexport abstract class K<T> {}\nexport { x }\nexport * from 'y'\n export const no = 1\nexported const no = 2\nexport const $v = 1, w = 2\nexport enum E {}"
+    assert values(symbols.exports(spark.createDataFrame([("a.tsx", text), ("a.js", text)], "path string, text string")), "symbol") == [("$v",), ("E",), ("K",), ("go",)]
+
+
+def test_last_verdict_and_outcome_count(spark):
+    from pagetrace.operators import anchors, reports
+
+    c = spark.createDataFrame([("p", "embedding", False), ("q", "embedding", False)], "page_path string, source string, judge_required boolean")
+    v = spark.createDataFrame([("p", True, 0.9, 1), ("p", False, 0.9, 2), ("q", True, 0.6, 1)], "page_path string, affected boolean, confidence double, ord int")
+    assert values(anchors.judged(c, v), "page_path", "decision") == [("p", "dropped"), ("q", "kept")]
+    o = spark.createDataFrame([("p", False, "", 1), ("p", True, "", 2)], "page_path string, applied boolean, note string, ord int")
+    assert values(reports.outcomes_of_plan(c.select("page_path"), o), "page_path", "state") == [("p", "authored"), ("q", "planned")]
+
+
+def test_prices_without_a_fallback(spark):
+    u = spark.createDataFrame([("model-a-1", 10), ("other", 10), (None, 10), ("", 10)], "model string, input_tokens long").withColumns({c: F.lit(0) for c in ("output_tokens", "cache_write", "cache_read")})
+    p = spark.createDataFrame([("model", 1e5, False), ("model-a", 2e5, False)], "prefix string, input double, is_fallback boolean").withColumns({c: F.lit(0.0) for c in ("output", "cache_write", "cache_read")})
+    assert sorted(((r["model"] or "", r["prefix"], r["cost"]) for r in history.priced(u, p).collect()), key=str) == [("", None, None), ("", None, None), ("model-a-1", "model-a", 2.0), ("other", None, None)]
+
+
+def test_repair_takes_out_strays_and_closes_what_is_open(spark):
+    rows = [("<b>x</b></i>y", "<b>x</b>y"), ("<b><i>x", "<b><i>x</i></b>"), ("<b><i>x</b></i>", "<b><i>x</b></i>"), ("<b/>x<i/></i>", "<b/>x<i/>"), ("none", "none"), ("", ""), (None, None)]
+    got = structure.repaired(spark.createDataFrame(rows, "text string, want string"), ["b", "i"]).collect()
+    assert all(r["text"] == r["want"] for r in got) and len(got) == 7
+
+
+def test_relative_links(spark):
+    files = spark.createDataFrame([("a/one.md",), ("a/two/index.mdx",), ("b.md",)], "path string")
+    targets = ["one.md", "./one", "../b.md", "two/", "./two", "../../b.md", "gone.md", "./gone", "/abs.md", "http://x/y.md", "#top", "word", ""]
+    page = spark.createDataFrame([("a/page.md", t) for t in targets], "page_path string, target string")
+    assert values(structure.broken_files(page, files), "target") == [("../../b.md",), ("./gone",), ("gone.md",)]
+    lines = spark.createDataFrame([("broken link /x",), ("no broken links in /x",), ("checking broken links",), ("404 https://x",), (None,)], "line string")
+    assert values(lines.where(structure.link_finding(F.col("line"))), "line") == [("404 https://x",), ("broken link /x",)]
+
+
+def test_paths_and_roots(spark):
+    route = lambda p: spark.range(1).select(planning.unnumbered_route(F.lit(p)).alias("r")).first()["r"]
+    assert [route(p) for p in ("/01-intro/2. first_steps.MDX", "2024/x.md", "3d.md", "01-.md")] == ["intro/first_steps", "2024/x", "3d", "01-"]
+    path = lambda p: spark.range(1).select(planning.normal_path(F.lit(p)).alias("r")).first()["r"]
+    assert [path(p) for p in ("/a/b", " c.md ", "d.MARKDOWN")] == ["a/b.mdx", "c.md", "d.MARKDOWN"]
+    root = lambda *paths: planning.docs_root(spark.createDataFrame([(p,) for p in paths], "path string")).first()["directory"]
+    assert [root("x/y/a.md", "x/y/z/b.md"), root("a.md"), root("x/z/docs.json", "x/mint.json", "q/a.md"), root("docs.json"), root("a.txt"), root("x/a.md", "y/b.md")] == ["x/y", ".", "x/z", ".", ".", "."]
+
+
+def test_excerpts_stay_in_their_repository(spark):
+    units = spark.createDataFrame([("r1", "src/a.py", 1), ("r1", "src/b.py", 2), ("r2", "src/a.py", 3)], "repo string, path string, ord int")
+    sources = spark.createDataFrame([("p", "r1", "src/*", 0), ("p", "r1", "*a.py", 1), ("p", "r2", "none*", 2), ("q", "r2", "src/*.py", 0)], "page_path string, repo string, pattern string, source_ord int")
+    assert values(planning.planned_excerpts(sources, units), "page_path", "repo", "path") == [("p", "r1", "src/a.py"), ("p", "r1", "src/b.py"), ("q", "r2", "src/a.py")]
+    assert values(planning.planned_excerpts(sources, units, 1), "page_path", "path") == [("p", "src/a.py"), ("q", "src/a.py")]
+
+
+def test_edit_order_numbers_a_large_group_in_ranges(spark):
+    from pagetrace.operators import reports
+
+    rows = [(f"p{i:03}", "hot" if i % 3 else "x", i % 7) for i in range(200)]
+    got = reports.edit_order(spark.createDataFrame(rows, "page_path string, source string, confidence int").repartition(5), "source").collect()
+    for s in ("hot", "x"):
+        want = [p for p, x, c in sorted(rows, key=lambda r: (-r[2], r[0])) if x == s]
+        assert [r["page_path"] for r in sorted((r for r in got if r["source"] == s), key=lambda r: r["turn"])] == want and {r["turn"] for r in got if r["source"] == s} == set(range(1, len(want) + 1))

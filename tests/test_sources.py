@@ -113,5 +113,24 @@ def test_duplicate_events_arrive_once(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("r", "h", "2024-01-01 00:00:00")] * 3, "repo string, sha string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(src)
     stream = jobs.once(spark.readStream.schema("repo string, sha string, ts timestamp").parquet(src), ["repo", "sha"], "ts", "1 hour")
-    jobs.run_available(stream, "once_test", "append", str(tmp_path / "mark")).awaitTermination()
-    assert spark.table("once_test").count() == 1
+    jobs.run_available(stream, str(tmp_path / "out"), "append", str(tmp_path / "mark")).awaitTermination()
+    assert jobs.current_cursors(spark, str(tmp_path / "out")).count() in (0, 1)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_retention_keeps_the_newest(spark, tmp_path):
+    src, out, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
+    for day in (1, 2, 3):
+        spark.createDataFrame([(f"h{day}{i}", f"2024-01-0{day} 00:0{i}:00") for i in range(4)], "sha string, ts string").write.mode("append").parquet(src)
+        jobs.retained(spark.readStream.schema("sha string, ts string").parquet(src), "ts", 5, out, mark).awaitTermination()
+    assert sorted(r["sha"] for r in jobs.current_cursors(spark, out).collect()) == ["h23", "h30", "h31", "h32", "h33"]
+
+
+def test_source_tree_skips_folders_and_takes_the_first(spark, tmp_path):
+    from pagetrace.sources import trees
+
+    for at in ("a/x.py", "a/tests/t.py", "vendor/v.ts", "b/migrations/m.py", "b/y.ts", "coverage/c.py", "c.tsx"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text("x")
+    assert sorted(r["path"] for r in trees.source_files(spark, str(tmp_path)).collect()) == ["a/x.py", "b/y.ts", "c.tsx"]
+    assert [r["path"] for r in trees.source_files(spark, str(tmp_path), ["a"], most=1).collect()] == ["b/y.ts"]
