@@ -2,10 +2,10 @@
 
 Groups that must stay together (equal texts) are sorted by size and go, largest
 first, to the least-loaded shard of a heap.  The heap sees a bounded number of
-items whatever the input: groups of at least 1/(shards * grain) of all bytes
-each are items of their own (there can be no more than shards * grain of them),
-the smaller ones are bundled by hash into shards * grain bundles.  The final
-imbalance is at most about one such item, 1/grain of a shard.
+items whatever the input: up to shards * grain groups as they are; of more,
+groups of at least 1/(shards * grain) of all bytes each (there can be no more than
+shards * grain of them), and the smaller ones bundled by hash into shards * grain
+bundles.  The final imbalance is at most about one such item, 1/grain of a shard.
 """
 
 from __future__ import annotations
@@ -52,7 +52,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, grain: int = 256) -> Data
     groups = stash(rows.groupBy("_group").agg(F.sum("size").alias("_bytes")))
     total = groups.agg(F.sum("_bytes")).first()[0] or 0
     units = shards * grain
-    least = max(1, -(-total // units))
+    # while they are few, each group is an item of its own
+    least = max(1, -(-total // units)) if groups.count() > units else 0
     large = groups.where(F.col("_bytes") >= least).collect()  # at most `units` rows: each holds 1/units of the bytes
     unit = F.pmod(F.xxhash64("_group", F.lit("unit")), F.lit(units)).cast("int")
     small = groups.where(F.col("_bytes") < least).groupBy(unit.alias("_unit")).agg(F.sum("_bytes").alias("_bytes")).collect()  # at most `units` rows

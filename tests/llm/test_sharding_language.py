@@ -34,6 +34,19 @@ def test_shards_are_near_equal_on_documents(spark, sf_dir):
     assert len(loads) == 24 and max(loads) <= mean + max(mean * 0.02, 33100)
 
 
+def test_placement_of_documents_equals_the_heap(spark, sf_dir):
+    """Each group where longest-processing-time scheduling by hand puts it: groups of one size may change places."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = {}
+    for r in docs.collect():
+        sizes[r["text"] or ""] = sizes.get(r["text"] or "", 0) + len((r["text"] or "").encode()) + 8
+    loads = [0] * 24
+    for n in sorted(sizes.values(), reverse=True):
+        loads[loads.index(min(loads))] += n
+    got = [r["b"] for r in sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert sorted(got) == sorted(loads)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 7, 20):
         code = language.codewords(n)
