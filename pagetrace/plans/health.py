@@ -184,11 +184,11 @@ def judge_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("required", planning.judge_required(F.col("kind")))
 
 
-@query("""SELECT doc_id, md5(trim('t' || chr(10) || source || chr(10) || '# head' || chr(10) || '## tail' || chr(10) || left('# head' || chr(10) || text || chr(10) || ' ## tail ', 2000), ' ' || chr(10))) AS query FROM documents WHERE NOT contains(text, '#') AND text NOT LIKE '% ' AND text NOT LIKE '%' || chr(10)""")
+@query("""WITH b AS (SELECT doc_id, source, '# head' || chr(10) || text || chr(10) || ' ## tail ' AS body FROM documents)
+  SELECT doc_id, md5(trim('t' || chr(10) || source || chr(10) || array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '#')), chr(10)) || chr(10) || left(body, 2000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS query FROM b""")
 def page_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where("not contains(text, '#') and text not like '% ' and text not like '%\n'")
     body = F.concat(F.lit("# head\n"), "text", F.lit("\n ## tail "))
-    return docs.select("doc_id", F.md5(planning.page_query(F.lit("t"), F.col("source"), body)).alias("query"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(planning.page_query(F.lit("t"), F.col("source"), body)).alias("query"))
 
 
 @query("""SELECT page_id, 'guide/intro-' || page_id || CASE WHEN page_id % 2 = 0 THEN '/2024' ELSE '' END AS route FROM pages""")
