@@ -152,82 +152,61 @@ def may_align(bits: np.ndarray, n_words: np.ndarray, x: np.ndarray, y: np.ndarra
     return out
 
 
-def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
-    """Edits of every pair, exact if at most `band`, else more than that; all pairs row by row at once.
+def within(a: list, b: list, most: int) -> int:
+    """Insertions, deletions and substitutions that turn a into b, or -1 if that takes more than `most`.
 
-    Cell c of row i stands for a's first i and b's first i - band + c words.
+    Banded alignment in bits: a row of the band of 2 * most + 2 diagonals is one
+    number for each kind of step (up, down) between its cells.
     """
-    count, width, far = len(pairs), 2 * band + 1, np.int32(1 << 29)
-    n, m = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
-    tall = int(n.max())
-    left = np.zeros((tall, count), np.int64)
-    right = np.full((count, tall + width + int(m.max())), -1, np.int64)
-    for k, (a, b) in enumerate(pairs):
-        left[: len(a), k] = a
-        right[k, band + 1 : band + 1 + len(b)] = b
-    rank = np.arange(width, dtype=np.int32)
-    row = np.where((rank >= band) & (rank - band <= m[:, None]), rank - band, far).astype(np.int32)
-    out = np.where(n == 0, np.minimum(m, far), far).astype(np.int64)
-    for i in range(1, tall + 1):
-        new = row + (right[:, i : i + width] != left[i - 1][:, None])  # b's word before j at c is right[i + c]
-        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
-        if i <= band:
-            new[:, : band - i] = far
-            new[:, band - i] = i
-        new -= rank
-        np.minimum.accumulate(new, axis=1, out=new)
-        new += rank
-        row = new
-        done = np.flatnonzero(n == i)
-        if len(done):
-            at = m[done] - i + band
-            ok = (at >= 0) & (at < width)
-            out[done[ok]] = row[done[ok], at[ok]]
-        if i % 64 == 0 and (row.min(1) > band)[n > i].all():
-            break
-    return out
-
-
-def edits(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int], cells: int = 1 << 17, words: int = 1 << 20) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return -1
+    most = min(most, len(a))
+    places: dict = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    width = 2 * most + 2
+    full, corner, edge = (1 << width) - 1, 1 << width - 1, 1 << width - 2
+    up, down, score, start = full << width - most - 1 & full, 0, most, most + 1 - width
+    for i, word in enumerate(b):
+        same = places.get(word, 0)
+        if same:
+            same = (same >> start if start >= 0 else same << -start) & full
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        right_up, right_down = down | (full & ~(diagonal | up)), diagonal & up
+        if i < len(a) - most:  # the lowest diagonal, which only grows
+            if not diagonal & corner:
+                score += 1
+                if score > 2 * most + len(b) - len(a):
+                    return -1
+        else:  # the last row
+            score += bool(right_up & edge) - bool(right_down & edge)
+            edge >>= 1
+        diagonal >>= 1
+        up, down = right_down | (full & ~(diagonal | right_up)), diagonal & right_up
+        start += 1
+    return score if score <= most else -1
+
+
+def edits(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int]) -> np.ndarray:
     """Insertions, deletions and substitutions that turn a into b, for each pair; -1 if more than its `most`.
 
-    Banded alignment: a narrow band first, four times as wide for what it leaves open.
-    As many pairs go together as make `cells` cells a row and `words` words padded.
+    A band not much wider than the words that differ first, four times as wide for what it leaves open.
     """
     out = np.full(len(pairs), -1, np.int64)
-    cut, limit = {}, np.array(most, np.int64)
     for k, (a, b) in enumerate(pairs):
-        if abs(len(a) - len(b)) > limit[k]:
+        if abs(len(a) - len(b)) > most[k]:
             continue
         a, b = _trimmed(a, b)
+        longer = max(len(a), len(b))
         if not len(a) or not len(b):
-            out[k] = max(len(a), len(b))
-        elif max(len(a), len(b)) - _binned(a, b) <= limit[k] and _unlike(a, b) <= limit[k]:
-            cut[k] = (a, b)
-    out[out > limit] = -1
-    widest = 32
-    while cut:
-        todo = sorted(cut, key=lambda k: (min(limit[k], widest), len(cut[k][0])))
-        while todo:
-            band = int(min(limit[todo[0]], widest))
-            size, tall = 1, sum(map(len, cut[todo[0]])) + band
-            while size < len(todo) and size < max(1, cells // (2 * band + 1)):
-                tall = max(tall, sum(map(len, cut[todo[size]])) + band)
-                if (size + 1) * tall > words:
-                    break
-                next_band = int(min(limit[todo[size]], widest))
-                if next_band > 1.25 * band + 4:
-                    break
-                size += 1
-            part, todo = todo[:size], todo[size:]
-            band = max(int(min(limit[k], widest)) for k in part)
-            for k, e in zip(part, _banded([cut[k] for k in part], band).tolist()):
-                if e <= min(band, limit[k]):
-                    out[k] = e
-                    del cut[k]
-                elif band >= limit[k]:
-                    del cut[k]
-        widest *= 4
+            out[k] = longer if longer <= most[k] else -1
+        elif longer - _binned(a, b) <= most[k] and (least := _unlike(a, b)) <= most[k]:
+            x, y, band = a.tolist(), b.tolist(), min(least + least // 4 + 16, most[k])
+            while (found := within(x, y, band)) < 0 and band < most[k]:
+                band = min(4 * band, most[k])
+            out[k] = found
     return out
 
 
@@ -366,25 +345,30 @@ def _meetings(told: DataFrame, block: int = 2048) -> DataFrame:
 
     told: id, n_words, component, size, keys, bag.  Rows meet at each of their
     rarest word pairs, those of large components as one unit of the component.
-    Groups of the same units are one; large ones are cut into pairs of blocks.
+    Large groups are cut into pairs of blocks.  A
+    pair of rows counts where it meets first, at the rarest pair that both have.
     """
     hub = F.col("size") > HUB
-    keyed = told.select(F.when(hub, F.col("component")).otherwise(F.col("id")).alias("unit"), hub.alias("hub"), "component", "n_words", F.explode("keys").alias("key"))
-    keyed = keyed.groupBy("key", "unit", "hub").agg(F.first("component").alias("component"), F.min("n_words").alias("low"), F.max("n_words").alias("high"))
-    keyed = stash(keyed)
-    marks = (F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last"), F.bit_xor(F.xxhash64("unit", "hub")).alias("m1"), F.sum(F.pmod(F.xxhash64("hub", "unit"), F.lit(1 << 40))).alias("m2"))
-    groups = keyed.groupBy("key").agg(*marks).where("first <> last").groupBy("n", "m1", "m2").agg(F.min("key").alias("key"))
-    parts = stash(groups.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    keyed = told.select(F.when(hub, F.col("component")).otherwise(F.col("id")).alias("unit"), hub.alias("hub"), "component", "n_words", F.posexplode("keys").alias("place", "key"))
+    keyed = keyed.groupBy("key", "unit", "hub").agg(F.first("component").alias("component"), F.min("n_words").alias("low"), F.max("n_words").alias("high"), F.min("place").alias("place"))
+    marks = (F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last"))
+    parts = stash(keyed.groupBy("key").agg(*marks).where("first <> last").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
     rows = stash(keyed.join(parts, "key"))
-    bags_ = told.where(~hub).select(F.col("id").alias("unit"), "bag")
-    sent = _halves(rows.where("not hub").join(bags_, "unit").unionByName(rows.where("hub").withColumn("bag", F.lit(None).cast("binary"))))
+    own = rows.where("not hub").join(told.where(~hub).select(F.col("id").alias("unit"), "bag", "keys"), "unit").withColumn("before", F.slice("keys", F.lit(1), F.col("place"))).drop("keys")
+    sent = _halves(own.unionByName(rows.where("hub").withColumns({"bag": F.lit(None).cast("binary"), "before": F.lit(None).cast("array<long>")})).drop("place"))
 
     def meet(group: pa.Table) -> pa.Table:
         unit, hub, component, low, high, at = (group.column(c).to_numpy() for c in ("unit", "hub", "component", "low", "high", "block"))
         width = sum(bins * levels for _, bins, levels in BAGS) // 8
         bits = np.frombuffer(b"".join(b or b"\0" * width for b in group.column("bag").to_pylist()), np.uint64).reshape(len(unit), -1)
         low, high, first, second = low.astype(np.int64), high.astype(np.int64), group.column("first")[0].as_py(), group.column("second")[0].as_py()
-        left, right, out = np.flatnonzero(at == first), np.flatnonzero(at == second), []
+        left, right, out, column, seen = np.flatnonzero(at == first), np.flatnonzero(at == second), [], group.column("before"), {}
+
+        def before(i: int) -> set:
+            if i not in seen:
+                seen[i] = set(column[i].as_py())
+            return seen[i]
+
         for i in range(0, len(left), 64):
             a, b = left[i : i + 64, None], right[None, :]
             near = (component[a] != component[b]) & (high[a] >= THRESHOLD * low[b] - 1e-9) & (high[b] >= THRESHOLD * low[a] - 1e-9)
@@ -394,6 +378,8 @@ def _meetings(told: DataFrame, block: int = 2048) -> DataFrame:
             x, y = left[i + x], right[y]
             keep = hub[x] | hub[y]
             keep[~keep] = may_align(bits, high, x[~keep], y[~keep])
+            for k in np.flatnonzero(keep & ~hub[x] & ~hub[y]).tolist():
+                keep[k] = before(int(x[k])).isdisjoint(before(int(y[k])))
             out.append((x[keep], y[keep]))
         x, y = (np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else ((), ())))
         # a hub takes in rows; of two hubs, that with the greater number takes in the other
@@ -445,6 +431,8 @@ def _opened(docs: DataFrame, classes: DataFrame, wide: DataFrame, pairs: DataFra
     unsettled = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     left = known.join(unsettled, "key", "left_semi").groupBy("id").agg(F.first("n_words").alias("n_words"), F.first("component").alias("component"))
     left = stash(left)
+    if left.isEmpty():
+        return left.select(F.col("id").alias("a"), F.col("id").alias("b"))
     texts = stash(_texts(docs, classes, left.select("id")).groupBy("id").agg(F.first("text").alias("text")))
     levels = docs.sparkSession.sparkContext.broadcast(_levels(texts))
 
