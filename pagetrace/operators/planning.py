@@ -110,6 +110,13 @@ def inferred_sources(sources: DataFrame, repos: DataFrame) -> DataFrame:
     return sources.join(known, T.repo_key("repo") == F.col("_key")).withColumn("repo", F.col("_repo")).drop("_key", "_repo")
 
 
+def with_manifest(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Candidates (page_path) with the columns of the first manifest row (path, ord, ...) of their page; nulls where there is none."""
+    own = [c for c in manifest.columns if c not in ("path", "ord")]
+    first = manifest.groupBy(F.col("path").alias("_path")).agg(F.min_by(F.struct(*own), "ord").alias("_page"))
+    return candidates.join(first, F.col("page_path") == F.col("_path"), "left").select(*candidates.columns, "_page.*")
+
+
 def work_and_skipped(existing: DataFrame, manifest: DataFrame) -> DataFrame:
     """existing (page_path) with `state`: skipped if the manifest (path) has the page, else work."""
     known = manifest.select(F.col("path").alias("_path")).distinct().withColumn("_known", F.lit(True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 from pagetrace.operators import planning
-from pagetrace.sources import trees
+from pagetrace.sources import dialects, trees
 
 from .registry import query, read
 
@@ -204,3 +204,26 @@ def sidebar_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"type": "category", "label": "c", "items": [{"type": "category", "items": ["deep'), n, F.lit('"]}]}'))).otherwise('{"type": "link", "href": "x"}')
     items = F.concat(F.lit('["p'), n, F.lit('", {"type": "doc", "id": "q'), n, F.lit('"}, '), deep, F.lit("]"))
     return trees.sidebar_routes(read(spark, sf_dir, "part").select(F.col("p_brand").alias("sidebar"), items.alias("items")), 4)
+
+
+@query("""SELECT d.doc_id, quality AS max_lines, CASE WHEN l.doc_id IS NOT NULL THEN 'first' END AS note FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their manifest row, of which there are two for each label."""
+    rows = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), F.lit(1).alias("ord"), F.col("quality").alias("max_lines"), F.lit("first").alias("note"))
+    manifest = rows.unionByName(rows.withColumns({"ord": F.lit(2), "max_lines": F.col("max_lines") + 7, "note": F.lit("second")}))
+    found = planning.with_manifest(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_path")), manifest)
+    return found.withColumnRenamed("page_path", "doc_id")
+
+
+@query("""SELECT doc_id, md5(CASE WHEN length(text) > 8000 THEN left(text, 8000) || chr(10) || '... (truncated)' ELSE text END) AS excerpt FROM documents""")
+def unit_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(trees.excerpt(F.col("text"))).alias("excerpt"))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 14 WHEN 1 THEN 9 ELSE 0 END AS tags, CASE page_id % 3 WHEN 0 THEN 8 ELSE 0 END AS leaves FROM pages""")
+def page_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tags and leaves each page's dialect knows."""
+    name = F.element_at(F.array(*map(F.lit, dialects.DIALECTS)), (F.col("page_id") % 3 + 1).cast("int"))
+    known = F.broadcast(dialects.table(spark))  # a row for each tag
+    both = read(spark, sf_dir, "pages").select("page_id", name.alias("dialect")).join(known, "dialect")
+    return both.groupBy("page_id").agg(F.count("tag").alias("tags"), F.count_if("leaf").alias("leaves"))

@@ -215,7 +215,7 @@ def threshold_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.event_stream(spark, f"{sf_dir}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ran(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -241,3 +241,12 @@ def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark, "stream")
     jobs.retained(_stream(spark, sf_dir).select("ts", "event_id"), "ts", 500, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
     return jobs.current_cursors(spark, f"{at}/rows").select("event_id")
+
+
+@query("""SELECT event_type AS status, count(*) AS n, round(sum(value), 3) AS cost FROM events GROUP BY event_type""")
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that a stream appends to a log, read from there."""
+    at = folder(spark, "log")
+    runs = _stream(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_type").alias("status"), F.struct(F.col("value").alias("cost_usd")).alias("usage"))
+    jobs.append_log(runs, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return log.read_log(spark, f"{at}/rows/*.json").groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("usage.cost_usd"), 3).alias("cost"))

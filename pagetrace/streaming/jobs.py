@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pagetrace.sources.events import parse_events
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
-    """Rows of the Parquet or JSON files that arrive in a folder."""
+def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
+    """Rows of the Parquet files that arrive at a path."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
@@ -34,6 +34,11 @@ def run_available(stream: DataFrame, path: str, mode: str, checkpoint: str) -> S
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream's rows to a log of JSON lines; each is written once."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def retained(stream: DataFrame, time: str, keep: int, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the newest `keep` rows of a stream in a Parquet folder; a batch that is run again changes nothing."""
 
