@@ -103,7 +103,24 @@ class LanguageModel:
         return names, score.clip(0, 1), ~letters | (score - second < 0.1)
 
 
-def fit(x: np.ndarray, labels: list[str], rounds: int = 15, rate: float = 2.0, decay: float = 1e-5) -> LanguageModel:
+class Rows:
+    """Feature rows of which only those asked for are dense at a time."""
+
+    def __init__(self, lengths: np.ndarray, at: np.ndarray, value: np.ndarray):
+        self.begin, self.at, self.value = np.r_[0, np.cumsum(lengths)], at, value
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        lengths = np.diff(self.begin)[rows]
+        own = textscan.ragged(self.begin[rows], lengths)
+        out = np.zeros((len(rows), FEATURES), np.float32)
+        out[np.repeat(np.arange(len(rows)), lengths), self.at[own]] = self.value[own]
+        return out
+
+
+def fit(x: Rows | np.ndarray, labels: list[str], rounds: int = 15, rate: float = 2.0, decay: float = 1e-5) -> LanguageModel:
     """Logistic regression of every bit at once, by Adagrad over shuffled mini-batches."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
@@ -119,14 +136,15 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 15, rate: float = 2.0, d
         draw = np.random.default_rng(1)
         for _ in range(rounds):
             for part in np.array_split(draw.permutation(len(own)), max(1, len(own) // 256)):
-                p = 1 / (1 + np.exp(-(x[part] @ weights + bias)))
+                own = x[part]
+                p = 1 / (1 + np.exp(-(own @ weights + bias)))
                 err = each[part] * (p - y[part]) / len(part)
-                grad, down = x[part].T @ err + decay * weights, err.sum(0)
+                grad, down = own.T @ err + decay * weights, err.sum(0)
                 past += grad * grad
                 past_bias += down * down
                 weights -= rate * 0.1 * grad / np.sqrt(past)
                 bias -= rate * 0.1 * down / np.sqrt(past_bias)
-        right = ((x @ weights + bias > 0) == (y > 0)).mean(0)
+        right = sum(((x[part] @ weights + bias > 0) == (y[part] > 0)).sum(0) for part in np.array_split(np.arange(len(labels)), len(labels) // 256 + 1)) / len(labels)
         trust = np.maximum(right - 0.5, 1e-3)
     else:
         trust = np.ones(code.shape[1])
@@ -142,6 +160,7 @@ def train(docs: DataFrame, sample: int = 800, in_all: int = 4000, most_languages
     read; rows equal in both count once among them.  The `most_languages` values of
     lang with the most rows are learnt.
     """
+    textscan.lean()  # the driver's Python has the sample once and gives it back
     known = in_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64("doc_id", "text").alias("_h"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
@@ -163,15 +182,13 @@ def train(docs: DataFrame, sample: int = 800, in_all: int = 4000, most_languages
 
     got = chosen.mapInArrow(rows, "lang string, _h long, letters boolean, at array<int>, value array<float>").where("letters").toArrow()
     got = got.sort_by([("_h", "ascending"), ("lang", "ascending")]).combine_chunks()  # the same whatever order the rows came in
-    labels = got.column("lang").to_pylist()
-    x = np.zeros((got.num_rows, FEATURES), np.float32)
-    if got.num_rows:
-        at, value = got.column("at").combine_chunks(), got.column("value").combine_chunks()
-        lengths = at.value_lengths().to_numpy()
-        x[np.repeat(np.arange(len(lengths)), lengths), at.flatten().to_numpy()] = value.flatten().to_numpy()
-        del at, value
-    del got
-    return fit(x, labels)
+    if not got.num_rows:
+        return fit(np.zeros((0, FEATURES), np.float32), [])
+    at, value = got.column("at").combine_chunks(), got.column("value").combine_chunks()
+    model = fit(Rows(at.value_lengths().to_numpy(), at.flatten().to_numpy(), value.flatten().to_numpy()), got.column("lang").to_pylist())
+    del got, at, value
+    textscan.trim()
+    return model
 
 
 def held_out():
