@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import in_batches, stash
+from .common import in_batches, release, stash
 from .components import components
 
 K, SKETCHES, PICKED, SMALL, THRESHOLD = 5, 60, 2, 16, 0.8
@@ -351,11 +351,16 @@ def _meetings(told: DataFrame, block: int = 2048) -> DataFrame:
     hub = F.col("size") > HUB
     keyed = told.select(F.when(hub, F.col("component")).otherwise(F.col("id")).alias("unit"), hub.alias("hub"), "component", "n_words", F.posexplode("keys").alias("place", "key"))
     keyed = keyed.groupBy("key", "unit", "hub").agg(F.first("component").alias("component"), F.min("n_words").alias("low"), F.max("n_words").alias("high"), F.min("place").alias("place"))
+    keyed = stash(keyed)
     marks = (F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last"))
     parts = stash(keyed.groupBy("key").agg(*marks).where("first <> last").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
     rows = stash(keyed.join(parts, "key"))
-    own = rows.where("not hub").join(told.where(~hub).select(F.col("id").alias("unit"), "bag", "keys"), "unit").withColumn("before", F.slice("keys", F.lit(1), F.col("place"))).drop("keys")
-    sent = _halves(own.unionByName(rows.where("hub").withColumns({"bag": F.lit(None).cast("binary"), "before": F.lit(None).cast("array<long>")})).drop("place"))
+    # a row's own keys that are left, those before each with it: as many as it has rarest pairs at most
+    own = rows.where("not hub").groupBy("unit").agg(F.first("component").alias("component"), F.first("low").alias("low"), F.first("high").alias("high"), F.sort_array(F.collect_list(F.struct("place", "key", "parts"))).alias("left"))
+    own = own.select("unit", "component", "low", "high", F.transform("left", lambda x: x["key"]).alias("all"), F.posexplode("left").alias("n", "x"))
+    own = own.select("x.key", "unit", F.lit(False).alias("hub"), "component", "low", "high", "x.parts", F.slice("all", F.lit(1), F.col("n")).alias("before"))
+    own = own.join(told.where(~hub).select(F.col("id").alias("unit"), "bag"), "unit")
+    sent = _halves(own.unionByName(rows.where("hub").drop("place").withColumns({"bag": F.lit(None).cast("binary"), "before": F.lit(None).cast("array<long>")})))
 
     def meet(group: pa.Table) -> pa.Table:
         unit, hub, component, low, high, at = (group.column(c).to_numpy() for c in ("unit", "hub", "component", "low", "high", "block"))
@@ -446,8 +451,10 @@ def _opened(docs: DataFrame, classes: DataFrame, wide: DataFrame, pairs: DataFra
     sizes = left.groupBy("component").agg(F.count("*").alias("size"))
     told = stash(texts.mapInArrow(tell, "id long, keys array<long>, bag binary").join(left, "id").join(stash(sizes), "component"))
     met = stash(_meetings(told))
+    release(docs.sparkSession)
     single = met.where("not b_hub").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(pairs, ["a", "b"], "left_anti")
     links = _verified(single, docs, classes).select("a", "b")
+    release(docs.sparkSession)
     visits = met.where("b_hub and not a_hub").select(F.col("b").alias("hub"), F.col("a").alias("id"))
     merged = met.where("b_hub and a_hub").select(F.col("b").alias("hub"), F.col("a").alias("component"))
     visits = visits.unionByName(merged.join(told.select("component", "id"), "component").select("hub", "id"))
@@ -470,10 +477,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # classes have numbers of their own, as doc_ids need not be unique
     classes = rows.groupBy("d1", "d2").agg(least, F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
     classes = stash(classes.withColumn("id", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
     pairs, wide = _candidates(classes.select("id", "n_words", F.explode("sketches").alias("key")))
     pairs, wide = stash(pairs), stash(wide)
+    release(docs.sparkSession)
     found = stash(components(_verified(pairs, docs, classes).select("a", "b")))
+    release(docs.sparkSession)
     links = stash(_opened(docs, classes, wide, pairs, found))
+    release(docs.sparkSession)
     if not links.isEmpty():
         found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
     tied = classes.select("id", "d1", "d2", "least").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
