@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import credentials, decontamination, language, mixture, order_minhash, range_join, sharding, token_store, warc, wrapper
+from . import credentials, decontamination, dominance, language, mixture, negatives, order_minhash, range_join, sharding, token_store, vector_codes, warc, wrapper
 from .common import new_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +63,24 @@ def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id"]).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, seventh = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 7 == 0
+    return negatives.hard_negatives(rows.withColumn("label", F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label"))), F.col("vec_id") % 100 == 0)
+
+
+def op12_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = dominance.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_sliced_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    told = vector_codes.with_label_errors(coded).withColumn("codebooks_sha256", F.lit(vector_codes.sha256(books)))
+    return told.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -75,9 +94,28 @@ QUERIES: dict[str, Query] = {
         op8_pivot_range_join,
         op9_mixture_packing,
         op10_language_codes,
+        op11_residue_negatives,
+        op12_dominance_packing,
+        op13_sliced_codes,
     )
 }
 
+
+
+def _refined(round_: int) -> str:
+    """The codebook after a round: c{n} from c{n-1}."""
+    return f"""
+n{round_} AS MATERIALIZED (
+  SELECT part, entry, v FROM (
+    SELECT p.vec_id, p.part, any_value(p.v) AS v, arg_min(c.entry, {{'d': list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, c.v) + list_dot_product(c.v, c.v), 'e': c.entry}}) AS entry
+    FROM p JOIN c{round_ - 1} c USING (part) GROUP BY p.r, p.vec_id, p.part)
+), s{round_} AS (
+  SELECT part, entry, place, floor(sum(v[place]) / count(*)) AS x FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS place FROM n{round_}) GROUP BY part, entry, place
+), c{round_} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{round_ - 1} c LEFT JOIN (SELECT part, entry, list(x ORDER BY place) AS v FROM s{round_} GROUP BY part, entry) m USING (part, entry)
+)"""
+
+
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = {
     "op8_pivot_range_join": """
@@ -112,5 +150,40 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_di
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> last THEN last END AS refers_to
 FROM d
+""",
+    "op11_residue_negatives": """
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM k a JOIN k b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT r, anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.r, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+  s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s USING (r) WHERE NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.r, p.positive_id ORDER BY s.score DESC, s.other_id) <= 5
+""",
+    "op13_sliced_codes": f"""
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT r, vec_id, part, e[CAST(part * len(e) // 4 + 1 AS BIGINT):CAST((part + 1) * len(e) // 4 AS BIGINT)] AS v FROM k, range(4) t(part)
+), c0 AS MATERIALIZED (
+  SELECT part, first.entry, p.v FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 256) first USING (r)
+), {",".join(_refined(n) for n in range(1, 5))}, told AS (
+  SELECT p.r, p.part, min({{'d': list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, c.v) + list_dot_product(c.v, c.v), 'e': c.entry}}) AS best
+  FROM p JOIN c4 c USING (part) GROUP BY p.r, p.part
+), coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM told JOIN k USING (r) GROUP BY k.r, k.vec_id, k.label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256
+FROM coded
 """,
 }

@@ -65,10 +65,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.most, self.by_chunk = most, _by_chunk(path)
+        self.most, self.by_chunk = most, self._splits(path)
         self.stops = {c: self.whole.encode(chr(c), add_special_tokens=False).ids for c in (44, 46)}
         self.forget()
 
+    def _splits(self, path: str) -> bool:
+        return _by_chunk(path)
+
     def forget(self) -> None:
         self.known = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
         self.count = self.used = 0
@@ -145,23 +148,15 @@ class WordEncoder:
         self._learn(np.empty(0, np.uint64), chunks)
         return np.arange(begin, self.count)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and where each text's ids begin (one more entry: the end)."""
-        if not self.by_chunk:
-            found = [e.ids for e in self.whole.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            return np.fromiter((i for x in found for i in x), np.uint32), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
-        data, at = textscan.joined(texts)
-        starts, ends = textscan.runs(_SPACE[data])
-        if not len(starts):
-            return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
-        # "word," and "word." are the word and a mark of its own; case is ignored.
-        last = data[ends - 1]
-        cut = _STOP[last] & (ends - starts > 1)
-        cut[cut] = _ALNUM[data[ends[cut] - 2]]
-        core = ends - cut
-        marked = b"<|" in data.tobytes()  # special tokens are told apart by case
-        fold, size = _SAME if marked else _FOLDED, core - starts
-        keys = textscan.run_hashes(data, starts, core, _RAW if marked else textscan.LOWER) ^ size.astype(np.uint64)
+    def _each(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() without chunks."""
+        found = [e.ids for e in self.whole.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), np.uint32), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
+
+    def _entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, fold: np.ndarray, marked: bool) -> np.ndarray:
+        """The entry of each chunk data[start:end]; new ones are learnt.  fold says which bytes count as equal, values hashes them alike."""
+        size = ends - starts
+        keys = textscan.run_hashes(data, starts, ends, values) ^ size.astype(np.uint64)
         short = np.flatnonzero(size <= 7)  # bytes and length, whatever the hash
         ahead = np.ndarray((len(data),), "<u8", np.r_[fold[data], np.zeros(8, np.uint8)], strides=(1,))[starts[short]]
         own = size[short].astype(np.uint64)
@@ -177,11 +172,28 @@ class WordEncoder:
         entry = self._find(distinct)
         if len(new := np.flatnonzero(entry < 0)):
             view, new = memoryview(data), new[np.argsort(distinct[new])]
-            self._learn(distinct[new], [bytes(view[starts[i] : core[i]]) for i in first[new]])
+            self._learn(distinct[new], [bytes(view[starts[i] : ends[i]]) for i in first[new]])
             entry = self._find(distinct)
         entry = entry[code]
-        if len(other := self._differ(data, starts, core - starts, entry, fold)):  # two chunks with one hash
-            entry[other] = self._apart([data[starts[i] : core[i]].tobytes() for i in other])
+        if len(other := self._differ(data, starts, size, entry, fold)):  # two chunks with one hash
+            entry[other] = self._apart([data[starts[i] : ends[i]].tobytes() for i in other])
+        return entry
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and where each text's ids begin (one more entry: the end)."""
+        if not self.by_chunk:
+            return self._each(texts)
+        data, at = textscan.joined(texts)
+        starts, ends = textscan.runs(_SPACE[data])
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
+        # "word," and "word." are the word and a mark of its own; case is ignored.
+        last = data[ends - 1]
+        cut = _STOP[last] & (ends - starts > 1)
+        cut[cut] = _ALNUM[data[ends[cut] - 2]]
+        core = ends - cut
+        marked = b"<|" in data.tobytes()  # special tokens are told apart by case
+        entry = self._entries(data, starts, core, _RAW if marked else textscan.LOWER, _SAME if marked else _FOLDED, marked)
         lengths = self.lengths[entry]
         # a mark has one id, after those of its word
         total = lengths + cut
@@ -194,18 +206,18 @@ class WordEncoder:
         return out, np.r_[begin, len(out)][docs]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[type, str], WordEncoder] = {}
 
 
-def encoding(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoding(path: str, batches: Iterator[pa.RecordBatch], kind: type[WordEncoder] = WordEncoder) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches, the flat ids of their texts and where each text's ids begin.
 
     The vocabulary stays with the worker, which outlives its tasks; what was
     learnt goes with the task.
     """
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    encoder = _ENCODERS[path]
+    if (kind, path) not in _ENCODERS:
+        _ENCODERS[kind, path] = kind(path)
+    encoder = _ENCODERS[kind, path]
     try:
         for part in textscan.slices(batches, limit=textscan.SLICE):
             yield part, *encoder.encode(part.column("text"))
