@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagetrace.plans import health, impact, quality, reports, runs  # noqa: F401  registering
+from pagetrace.plans import health, impact, quality, reports, runs, trees  # noqa: F401  registering
 from pagetrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _java(regex: str) -> str:
+    """A translated glob as Java reads it, where brackets within a set mean sets of their own."""
+    out, first, i = [], None, 0  # first: place of the set's first member
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            out.append(regex[i : i + 2])
+            i += 1
+        elif first is None:
+            out.append(c)
+            if c == "[":
+                first = i + 1 + (regex[i + 1 : i + 2] == "^")
+        elif c == "[" or (c == "]" and i == first):
+            out.append("\\" + c)
+        else:
+            out.append(c)
+            if c == "]":
+                first = None
+        i += 1
+    return "".join(out)
+
+
 def glob_regex(pattern: Column | str) -> Column:
     """Regular expression of a shell glob: * crosses /, ? is one character, [..] and [!..] are sets.
 
@@ -22,7 +44,7 @@ def glob_regex(pattern: Column | str) -> Column:
 
     @F.pandas_udf("string")
     def translated(globs: pd.Series) -> pd.Series:
-        return globs.map(lambda g: fnmatch.translate(g).removesuffix(r"\Z").removesuffix(r"\z") + r"\z", na_action="ignore")
+        return globs.map(lambda g: _java(fnmatch.translate(g).removesuffix(r"\Z").removesuffix(r"\z")) + r"\z", na_action="ignore")
 
     return F.concat(F.lit(r"\A"), translated(_col(pattern)))
 

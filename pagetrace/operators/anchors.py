@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
+from pagetrace.shared import kept
 
 
 def in_blocks(rows: DataFrame, size: int = 5000) -> Iterator[DataFrame]:
@@ -22,29 +23,75 @@ def in_blocks(rows: DataFrame, size: int = 5000) -> Iterator[DataFrame]:
         yield rows.sparkSession.createDataFrame(held, rows.schema)
 
 
+#: Columns that match_globs makes for itself.
+RESERVED = ("_rx", "_dir", "_level", "_up", "_gram", "_grams")
+#: Longest run of literal characters that paths are looked up by.
+GRAM = 3
+
+
+def literal_runs(pattern: Column) -> Column:
+    """The runs of a glob that stand for themselves: what lies between its wildcards and sets."""
+    return F.split(F.regexp_replace(pattern, r"\[!?\]?[^\]]*\]", "*"), r"[*?]+")
+
+
+def _grams(runs: Column, longest: int = GRAM) -> Column:
+    """All pieces of `longest` characters of the runs; shorter runs are pieces as they are."""
+    cut = F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - longest + 1)), lambda i: F.substring(r, i, F.lit(longest))))
+    return F.array_distinct(F.flatten(cut))
+
+
+def _by_gram(paths: DataFrame, patterns: DataFrame) -> DataFrame:
+    """path, pattern of the pairs that match, for distinct paths and for patterns (pattern, _rx) with a literal run.
+
+    A path that a pattern matches has all pieces of the pattern's runs, so each
+    pattern looks only at the paths that have its rarest piece.
+    """
+    pieces = patterns.select("pattern", "_rx", F.explode(_grams(literal_runs(F.col("pattern")))).alias("_gram"))
+    wanted = pieces.select("_gram").distinct()
+    whole = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("path") - n + 1)), lambda i: F.substring(F.col("path"), i, n))))
+    index = kept(paths.select("path", F.explode(F.array_distinct(whole)).alias("_gram")).join(wanted, "_gram", "left_semi"), "grams")
+    often = index.groupBy("_gram").agg(F.count("*").alias("_n"))
+    # a pattern with a piece that no path has matches none
+    rarest = pieces.join(often, "_gram", "left").groupBy("pattern", "_rx").agg(F.min_by("_gram", F.coalesce("_n", F.lit(0))).alias("_gram"))
+    return index.join(rarest, "_gram").where(F.rlike(F.col("path"), F.col("_rx"))).select("path", "pattern")
+
+
 def match_globs(paths: DataFrame, rules: DataFrame, depth: int = 8) -> DataFrame:
     """All (path row, rule row) pairs whose path matches the rule's pattern; rows of both sides.
 
-    paths: path, ...; rules: pattern, ...; no other column in common.  Rules are
-    dealt to three joins, each into one: a pattern without wildcards is an
-    equality; one with a literal directory meets the paths below that directory
-    by equality and is then tested; only the rest is tested against every path, in
-    blocks of a size that can be broadcast.
+    paths: path, ...; rules: pattern, ...; no other column in common, and none of
+    the names in RESERVED.  Rules are dealt to joins, each into one: a pattern
+    without wildcards is an equality; one with a literal directory meets the paths
+    below that directory by equality and is then tested; one without meets the
+    paths that have its rarest piece of literal text.  Only patterns without any
+    literal character are tested against every path, in blocks of a size that can
+    be broadcast; distinct ones of those are few.
     """
-    if both := {c.lower() for c in paths.columns} & {c.lower() for c in rules.columns}:
-        raise ValueError(f"columns of both sides: {sorted(both)}")
+    both = {c.lower() for c in paths.columns} & {c.lower() for c in rules.columns} | {c for x in (paths, rules) for c in x.columns if c.lower() in RESERVED}
+    if both:
+        raise ValueError(f"columns of both sides, or reserved: {sorted(both)}")
+    out = [*paths.columns, *rules.columns]
     rules = rules.withColumn("_rx", T.glob_regex("pattern"))
     directory = F.regexp_extract(T.literal_prefix("pattern"), r"\A(.+)/", 1)
     level = F.when(directory == "", 0).otherwise(F.size(F.split(directory, "/")))
     rules = rules.withColumn("_dir", directory).withColumn("_level", F.when(T.is_literal("pattern"), -1).when(level > depth, 0).otherwise(level))
-    out = [c for c in (*paths.columns, *(c for c in rules.columns if not c.startswith("_")))]
     equal = paths.join(rules.where("_level = -1"), F.col("path") == F.col("pattern"))
     parts = F.split("path", "/")
     above = paths.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(depth), F.size(parts) - 1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     below = above.join(rules.where("_level > 0"), (F.col("_up") == F.col("_dir")) & F.rlike(F.col("path"), F.col("_rx")))
     found = equal.select(*out).unionByName(below.select(*out))
-    for block in in_blocks(rules.where("_level = 0")):
-        found = found.unionByName(paths.join(F.broadcast(block), F.rlike(F.col("path"), F.col("_rx"))).select(*out))
+    rest = kept(rules.where("_level = 0").select("pattern", "_rx").distinct(), "patterns")
+    literal = F.exists(literal_runs(F.col("pattern")), lambda r: r != "")
+    only = paths.select("path").distinct()
+    pairs = None if rest.where(literal).isEmpty() else _by_gram(only, rest.where(literal))
+    for block in in_blocks(rest.where(~literal)):
+        tested = only.join(F.broadcast(block), F.rlike(F.col("path"), F.col("_rx"))).select("path", "pattern")
+        pairs = tested if pairs is None else pairs.unionByName(tested)
+    if pairs is not None:
+        # nulls of either side match nothing, so plain equality joins the rows again
+        pairs = pairs.select(F.col("path").alias("_up"), F.col("pattern").alias("_dir"))
+        own = rules.select(*rules.columns[: len(out) - len(paths.columns)])
+        found = found.unionByName(pairs.join(paths, F.col("_up") == F.col("path")).join(own, F.col("_dir") == F.col("pattern")).select(*out))
     return found
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
+from pagetrace.shared import kept
 
 from .anchors import in_blocks, match_globs
 
@@ -193,6 +197,68 @@ def missing_symbols(symbols: DataFrame, texts: DataFrame) -> DataFrame:
     return left
 
 
+#: Symbols that one row of a text is searched for at once.
+NEEDLES = 4096
+
+
+def found_needles(texts: DataFrame) -> DataFrame:
+    """path, needle of the needles that each text contains, from path, text, needles (an array without empty ones).
+
+    An automaton over a row's needles reads its text once, whatever they are.
+    """
+    import ahocorasick
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[list, ahocorasick.Automaton] | None = None
+        for batch in batches:
+            paths, found = [], []
+            for path, text, needles in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "needles"))):
+                if not needles:
+                    continue
+                if known is None or known[0] != needles:
+                    automaton = ahocorasick.Automaton()
+                    for n in needles:
+                        automaton.add_word(n, n)
+                    automaton.make_automaton()
+                    known = needles, automaton
+                hits = sorted({n for _, n in known[1].iter(text)})
+                paths += [path] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string())], ["path", "needle"])
+
+    return texts.select("path", "text", "needles").mapInArrow(search, "path string, needle string")
+
+
+def missing_rule_symbols(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """page_path, source_ord, repo, symbol of each source's symbols that none of its own files contains.
+
+    sources: page_path, source_ord, repo, globs, symbols (arrays); files: repo, path,
+    text.  A source's files are those of its repository (by key) that one of its
+    globs matches; a symbol that ends in * stands for what comes before.  Symbols
+    that are then empty are never missing; those of a source whose globs match no
+    file all are.  Sources of repositories without files are left out, as are null
+    texts.
+    """
+    files = files.select(T.repo_key("repo").alias("key"), "path", "text")
+    there = files.select(F.col("key").alias("_key")).distinct()
+    own = kept(sources.withColumn("_source", F.sha2(F.to_json(F.struct("page_path", "source_ord", "repo")), 256)).withColumn("_repo", T.repo_key("repo")).join(there, F.col("_repo") == F.col("_key"), "left_semi"), "sources")
+    # a repository is the beginning of its files' paths, its wildcards taken literally
+    escaped = F.regexp_replace("_repo", r"([\[*?])", "[$1]")
+    globs = own.select("_source", F.explode("globs").alias("glob"), escaped.alias("_repo")).select("_source", F.concat("_repo", F.lit("\u0001"), "glob").alias("pattern"))
+    full = files.select(F.concat("key", F.lit("\u0001"), "path").alias("path"), "text")
+    hits = match_globs(full.select("path").distinct(), globs.select("pattern").distinct())
+    matched = kept(hits.join(globs, "pattern").select("_source", "path").distinct(), "matched")
+    symbol = own.select("_source", F.explode("symbols").alias("symbol")).distinct()
+    needles = kept(symbol.withColumn("needle", F.regexp_replace("symbol", r"\*\z", "")).where("needle <> ''"), "needles")
+    asked = matched.join(needles, "_source").select("path", "needle").distinct()
+    parts = asked.groupBy("path").agg(F.ceil(F.count("*") / NEEDLES).alias("_parts"))
+    lists = asked.join(parts, "path").groupBy("path", F.pmod(F.xxhash64("needle"), F.col("_parts")).alias("_part")).agg(F.sort_array(F.collect_list("needle")).alias("needles"))
+    found = found_needles(full.where("text is not null").join(lists, "path"))
+    alive = matched.join(found, "path").select("_source", "needle").distinct()
+    missing = needles.join(alive, ["_source", "needle"], "left_anti")
+    return own.select("_source", "page_path", "source_ord", "repo").join(missing, "_source").select("page_path", "source_ord", "repo", "symbol")
+
+
 def missing_pages(rules: DataFrame, pages: DataFrame) -> DataFrame:
     return rules.join(pages.select("page_path").distinct(), "page_path", "left_anti")
 

@@ -195,6 +195,32 @@ def stale_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.stale(vectors.content_hash(rows, "source", "m"), vectors.content_hash(rows.where("ord % 1000 <> 7"), "source", "m"), "source").select("source")
 
 
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 50 = 0),
+  s AS (SELECT query_id, vec_id AS id, round(list_dot_product(e, q) / (greatest(sqrt(list_dot_product(e, e)), 1e-12) * greatest(sqrt(list_dot_product(q, q)), 1e-12)), 12) AS score FROM q, v)
+  SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score >= 0.2
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    at = folder(spark, "index")
+    found, cells = vectors.in_cells(rows, 64)
+    vectors.save_index(found, at, "code", "m", "h1")
+    queries = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    best = vectors.top_k_each(vectors.load_index(spark, at, "code", "m", "h1"), cells, queries, 5, 0.2)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH v AS (SELECT vec_id, vec_id // 4 AS page, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 50 = 0),
+  s AS (SELECT query_id, page AS id, max(round(list_dot_product(e, q) / (greatest(sqrt(list_dot_product(e, e)), 1e-12) * greatest(sqrt(list_dot_product(q, q)), 1e-12)), 12)) AS score FROM q, v GROUP BY query_id, page)
+  SELECT query_id, id, round(score, 6) AS score FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3""")
+def indexed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    found, cells = vectors.in_cells(rows.select(F.floor(F.col("vec_id") / 4).alias("id"), "embedding"), 64)
+    best = vectors.top_k_each(found, cells, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 3, 0.2)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("""SELECT vec_id, 'same' AS kept FROM embeddings""")
 def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index that is kept and read again; one of another kind, model or content is not found."""

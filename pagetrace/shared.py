@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -23,3 +24,14 @@ def kept(df: DataFrame, tag: str = "rows") -> DataFrame:
     at = folder(df.sparkSession, tag)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `number`, from 0, in that order over all of them: ranges are sorted by themselves and counted, so no task holds more than one."""
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # an id has its partition above 33 bits, and its place in it below
+    placed = kept(ranges.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = placed.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(base), part == F.col("_part")).withColumn("number", F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_base")

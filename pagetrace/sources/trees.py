@@ -7,11 +7,32 @@ from pyspark.sql import functions as F
 
 from pagetrace import schemas
 
-#: Folder names that are never walked.  Fixed values.
+# Folder names that are never walked.
 EXCLUDED = (
-    ".git .github .idea .vscode .venv venv node_modules site-packages vendor __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox "
-    "dist build .next htmlcov coverage tests test __tests__ migrations"
-).split()
+    ".git",
+    ".github",
+    ".idea",
+    ".mypy_cache",
+    ".next",
+    ".pytest_cache",
+    ".ruff_cache",
+    ".tox",
+    ".venv",
+    ".vscode",
+    "__pycache__",
+    "__tests__",
+    "build",
+    "coverage",
+    "dist",
+    "htmlcov",
+    "migrations",
+    "node_modules",
+    "site-packages",
+    "test",
+    "tests",
+    "vendor",
+    "venv",
+)
 
 
 def excluded(extra: list[str] | None = None) -> list[str]:
@@ -63,13 +84,13 @@ def anchor_rules(manifest: DataFrame) -> DataFrame:
     """page_path, rule_ord, repo, rule_kind, pattern from nested rows (path, sources: repo, globs, symbols)."""
     src = manifest.select("path", F.posexplode("sources").alias("i", "s"))
     rules = src.select("path", "i", F.posexplode(F.concat(F.transform("s.globs", lambda g: F.struct(F.lit("glob").alias("rule_kind"), g.alias("pattern"))), F.transform("s.symbols", lambda g: F.struct(F.lit("symbol").alias("rule_kind"), g.alias("pattern"))))).alias("j", "r"), F.coalesce("s.repo", F.lit("")).alias("repo"))
-    return rules.select(F.col("path").alias("page_path"), (F.col("i") * 1000 + F.col("j")).cast("long").alias("rule_ord"), "repo", "r.rule_kind", "r.pattern")
+    return rules.select(F.col("path").alias("page_path"), F.struct(F.col("i").alias("source"), F.col("j").alias("rule")).alias("rule_ord"), "repo", "r.rule_kind", "r.pattern")
 
 
 def nav_routes(nav: DataFrame) -> DataFrame:
     """group_name, route, ord of navigation rows (groups: name, pages)."""
     groups = nav.select(F.posexplode("groups").alias("g_ord", "g"))
-    return groups.select("g.name", "g_ord", F.posexplode("g.pages").alias("p_ord", "route")).select(F.col("name").alias("group_name"), "route", (F.col("g_ord") * 10000 + F.col("p_ord")).cast("long").alias("ord"))
+    return groups.select("g.name", "g_ord", F.posexplode("g.pages").alias("p_ord", "route")).select(F.col("name").alias("group_name"), "route", F.struct("g_ord", "p_ord").alias("ord"))
 
 
 def sidebar_routes(sidebars: DataFrame, depth: int = 16) -> DataFrame:

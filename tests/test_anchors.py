@@ -1,5 +1,7 @@
 import fnmatch
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
@@ -95,3 +97,34 @@ def test_processed_repos_compare_by_key(spark):
     c = spark.createDataFrame([("Team/App", "h1"), ("team/app", "h2")], "repo string, head_sha string")
     k = spark.createDataFrame([("x/team/app.git", "h1")], "repo string, head_sha string")
     assert [r["head_sha"] for r in anchors.unprocessed(c, k).collect()] == ["h2"]
+
+
+def globs(spark, paths, patterns):
+    p, r = spark.createDataFrame([(x,) for x in paths], "path string"), spark.createDataFrame(list(enumerate(patterns)), "_id int, pattern string")
+    return {(x["path"], x["_id"]) for x in anchors.match_globs(p, r).collect()}
+
+
+def test_rules_without_directory_equal_fnmatch(spark):
+    rng = random.Random(4)
+    piece = lambda n: "".join(rng.choice("ab/.x-[]é") for _ in range(rng.randint(0, n)))
+    paths = {piece(9) for _ in range(300)} | {"src/a.py", "a[1].md", "x" * 300}
+    patterns = [rng.choice(["*", "?", "[!b]", "[ab]", "", "["]) + piece(4) + rng.choice(["*", "??", "[]x]*", ""]) + piece(2) for _ in range(200)] + ["*", "**", "?", "[ab]*", "*.py", "", "*é*"]
+    want = {(p, i) for p in paths for i, g in enumerate(patterns) if fnmatch.fnmatchcase(p, g)}
+    assert globs(spark, sorted(paths), patterns) == want and len(want) > 300
+
+
+def test_many_rules_without_directory_are_no_nested_loop(spark):
+    n = 200_000
+    rules = spark.range(n).select(F.concat(F.lit("*mod_"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("?.py")).alias("pattern"), "id")
+    paths = spark.range(0, n, 40).select(F.concat(F.lit("src/mod_"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("x.py")).alias("path"))
+    hits = anchors.match_globs(paths, rules)
+    assert "NestedLoop" not in hits._jdf.queryExecution().toString() and "Cartesian" not in hits._jdf.queryExecution().toString()
+    assert hits.count() == n // 40 and hits.where("path <> concat('src/mod_', lpad(cast(id as string), 6, '0'), 'x.py')").count() == 0
+
+
+def test_columns_of_rules_are_kept_or_refused(spark):
+    p, r = spark.createDataFrame([("a.md",)], "path string"), spark.createDataFrame([("*.md", 1)], "pattern string, _mine int")
+    assert anchors.match_globs(p, r).columns == ["path", "pattern", "_mine"]
+    for name in anchors.RESERVED:
+        with pytest.raises(ValueError):
+            anchors.match_globs(p, r.withColumnRenamed("_mine", name))

@@ -313,3 +313,24 @@ def test_edit_order_numbers_a_large_group_in_ranges(spark):
     for s in ("hot", "x"):
         want = [p for p, x, c in sorted(rows, key=lambda r: (-r[2], r[0])) if x == s]
         assert [r["page_path"] for r in sorted((r for r in got if r["source"] == s), key=lambda r: r["turn"])] == want and {r["turn"] for r in got if r["source"] == s} == set(range(1, len(want) + 1))
+
+
+def test_symbols_live_in_the_rules_own_files(spark, monkeypatch):
+    monkeypatch.setattr(planning, "NEEDLES", 2)
+    files = spark.createDataFrame([("org/App.git", "src/a.py", "def run_all(): pass"), ("app", "src/b.py", "LIMIT = 1"), ("app", "lib/c.py", "only_here"), ("app", "src/n.py", None), ("x[1]", "src/a.py", "other")], "repo string, path string, text string")
+    sources = [
+        ("p.md", 0, "app", ["src/*.py"], ["run_all", "run_*", "LIMIT", "only_here", "*", "", "run_all"]),
+        ("p.md", 1, "app", ["lib/*", "src/a.py"], ["only_here", "LIMIT"]),
+        ("q.md", 0, "app", ["none/*"], ["run_all", "*"]),
+        ("q.md", 1, "gone", ["src/*"], ["run_all"]),
+        ("r.md", 0, "x[1]", ["*.py"], ["other", "run_all"]),
+        ("s.md", 0, "app", [], ["run_all"]),
+        ("t.md", 0, "app", ["*"], []),
+    ]
+    got = planning.missing_rule_symbols(spark.createDataFrame(sources, "page_path string, source_ord int, repo string, globs array<string>, symbols array<string>"), files)
+    assert sorted(map(tuple, got.collect())) == [("p.md", 0, "app", "only_here"), ("p.md", 1, "app", "LIMIT"), ("q.md", 0, "app", "run_all"), ("r.md", 0, "x[1]", "run_all"), ("s.md", 0, "app", "run_all")]
+
+
+def test_needles_that_lie_in_one_another(spark):
+    rows = spark.createDataFrame([("a", "abcabcd", ["abc", "bc", "abcd", "bcd", "zz"]), ("b", "", ["x"]), ("c", "x", [])], "path string, text string, needles array<string>")
+    assert sorted(map(tuple, planning.found_needles(rows).collect())) == [("a", "abc"), ("a", "abcd"), ("a", "bc"), ("a", "bcd")]
