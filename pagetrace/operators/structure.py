@@ -92,6 +92,67 @@ def repaired(pages: DataFrame, tags: list[str]) -> DataFrame:
     return told.withColumn("text", F.when(F.col("_state.crossed"), F.col("text")).otherwise(F.concat(mended, ends))).drop("_state", "_between")
 
 
+#: Beginnings of the lines that container blocks are made of; a bare closing line is matched whole.
+_CONTAINER = r"(?m)^[ \t]*(?:```|:{3,}[ \t]*(?:[A-Za-z]+|\r?\n|\z))"
+
+
+def _containers(text: Column) -> Column:
+    """A fold over a text's container lines outside of code fences.
+
+    Its state: fence (within one), stack (open kinds), found (kind, opens of each
+    opening and closing line; the kind of a closing line is the one that it closes,
+    null if it is stray) and kept (what is left of each matched line without stray ones).
+    """
+    found = F.array().cast("array<struct<kind:string,opens:boolean>>")
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(False).alias("fence"), none.alias("stack"), found.alias("found"), none.alias("kept"))
+
+    def step(acc: Column, line: Column) -> Column:
+        mark, size = F.ltrim(F.regexp_replace(line, r"[\r\n]", "")), F.size(acc["stack"])
+        kind = F.lower(F.regexp_extract(mark, r":+[ \t]*([A-Za-z]*)", 1))
+        fence = mark.startswith("`")
+        ignored = acc["fence"] | fence
+        opens, stray = ~ignored & (kind != ""), ~ignored & (kind == "") & (size == 0)
+        closes = ~ignored & (kind == "") & (size > 0)
+        stack = F.when(opens, F.concat(acc["stack"], F.array(kind))).when(closes, F.slice(acc["stack"], F.lit(1), size - 1)).otherwise(acc["stack"])
+        told = F.struct(F.when(opens, kind).when(closes, F.get(acc["stack"], size - 1)).alias("kind"), opens.alias("opens"))
+        return F.struct(
+            (acc["fence"] != fence).alias("fence"),
+            stack.alias("stack"),
+            F.when(ignored, acc["found"]).otherwise(F.concat(acc["found"], F.array(told))).alias("found"),
+            F.concat(acc["kept"], F.array(F.when(stray, F.lit("")).otherwise(line))).alias("kept"),
+        )
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_CONTAINER), F.lit(0)), start, step)
+
+
+def container_signature(pages: DataFrame, kinds: list[str]) -> DataFrame:
+    """page_path, kind, opened, closed of the container blocks (:::kind ... :::) of each page.
+
+    Other kinds than `kinds` take part in the nesting but are not told; closing
+    lines without an opening one are of kind _unmatched.
+    """
+    each = pages.select("page_path", F.explode(_containers(F.col("text"))["found"]).alias("f"))
+    named = each.select("page_path", F.coalesce("f.kind", F.lit("_unmatched")).alias("kind"), "f.opens").where(F.col("kind").isin("_unmatched", *kinds))
+    return named.groupBy("page_path", "kind").agg(F.count_if("opens").alias("opened"), F.count_if(~F.col("opens")).alias("closed"))
+
+
+def container_fault(text: Column) -> Column:
+    """Null if container blocks are closed as often as opened, else what is wrong first: `stray :::` or `unclosed :::kind` (the innermost)."""
+    state = _containers(text)
+    stray = F.exists(state["found"], lambda f: f["kind"].isNull())
+    return F.when(stray, F.lit("stray :::")).when(F.size(state["stack"]) > 0, F.concat(F.lit("unclosed :::"), F.element_at(state["stack"], -1)))
+
+
+def repaired_containers(text: Column) -> Column:
+    """The text without stray closing lines, and with a closing line at its end for each block that is open there."""
+    state = _containers(text)
+    # the last part has no line after it
+    whole = F.array_join(F.zip_with(F.split(text, _CONTAINER, -1), state["kept"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    depth = F.size(state["stack"])
+    return F.when(depth == 0, whole).otherwise(F.concat(F.regexp_replace(whole, r"\s+\z", ""), F.lit("\n"), F.repeat(F.lit("\n:::"), depth), F.lit("\n")))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_path, target of every link ([text](target) or href), cut at its #; outside addresses are left out."""
     found = F.concat(F.regexp_extract_all("text", F.lit(r"\]\(([^)\s]+)\)"), F.lit(1)), F.regexp_extract_all("text", F.lit(r'href="([^"]*)"'), F.lit(1)))

@@ -9,7 +9,7 @@ from pagetrace.operators import evaluate, history
 from pagetrace.sources import events as ci
 from pagetrace.sources import history as log
 from pagetrace.shared import folder
-from pagetrace.streaming import jobs
+from pagetrace.streaming import heads, jobs
 
 from .registry import query, read
 
@@ -249,4 +249,20 @@ def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark, "log")
     runs = _stream(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_type").alias("status"), F.struct(F.col("value").alias("cost_usd")).alias("usage"))
     jobs.append_log(runs, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
-    return log.read_log(spark, f"{at}/rows/*.json").groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("usage.cost_usd"), 3).alias("cost"))
+    return log.read_log(spark, f"{at}/rows").groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("usage.cost_usd"), 3).alias("cost"))
+
+
+@query("""WITH e AS (SELECT event_id // 4 AS h, event_id % 4 AS k, ts FROM events), heads AS (SELECT h, ts FROM e WHERE k = 0),
+  whole AS (SELECT h FROM heads WHERE h % 3 = 0 UNION SELECT a.h FROM e a JOIN e b ON a.h = b.h WHERE a.k = 1 AND b.k = 2 AND a.h % 5 <> 0)
+  SELECT h % 50 AS repo, max_by('h' || h, (ts, 'h' || h)) AS head_sha FROM heads JOIN whole USING (h) GROUP BY 1""")
+def stream_held_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth event is a head of two pages (of none in a third of them), the next two are its pages (one is missing in a fifth of them), and one comes twice."""
+    h, k = F.floor(F.col("event_id") / 4), F.col("event_id") % 4
+    events = _stream(spark, sf_dir).where(~((h % 5 == 0) & (k == 2))).select(
+        (h % 50).cast("string").alias("repo"), F.when(k == 0, "head").otherwise("page").alias("kind"), F.concat(F.lit("h"), h.cast("string")).alias("head_sha"),
+        F.when(k == 3, "1").otherwise(k.cast("string")).alias("page_path"), F.when(h % 3 == 0, 0).otherwise(2).alias("pages"), "ts",
+    )
+    at = folder(spark, "stream")
+    released = heads.released_heads(events, 10 * 366 * 24).where("status = 'released'")
+    heads.start(lambda: jobs.upsert_cursors(released, "repo", "ts", "head_sha", f"{at}/rows", f"{at}/checkpoint"), spark).awaitTermination()
+    return jobs.current_cursors(spark, f"{at}/rows").select(F.col("repo").cast("long").alias("repo"), "head_sha")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
-from pagetrace.operators import anchors, planning, snapshots
+from pagetrace.operators import anchors, navigation, planning, snapshots, structure
 
 from .registry import query, read
 
@@ -78,3 +78,67 @@ def rule_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = docs.where("doc_id % 20 = 0 and text is not null and lang is not null")
     sources = rules.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("page_path"), F.lit(0).alias("source_ord"), repo(F.col("lang")).alias("repo"), globs.alias("globs"), symbols.alias("symbols"))
     return planning.missing_rule_symbols(sources, files).select("page_path", "symbol")
+
+
+# Documents in lines, with container lines and fences where words begin with certain letters.
+_MARKS = [(" an", "\n:::tip\nan"), (" th", "\n:::\nth"), (" en", "\n```\nen"), (" of", "\n  ::::Custom Title\nof"), (" la", "\n:::note[x]\nla"), (" un", "\n:::{x}\nun"), (" de", "\n::: \t\nde"), (". ", ".\n")]
+
+
+def _blocks_sql() -> str:
+    text = "coalesce(text, '')"
+    for a, b in _MARKS:
+        text = f"replace({text}, '{a}', '{b}')".replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+    return f"""b AS MATERIALIZED (SELECT doc_id, {text} AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM b),
+k AS (SELECT *, regexp_matches(line, '^[ \\t]*```') AS fence, lower(regexp_extract(line, '^[ \\t]*:{{3,}}[ \\t]*([a-zA-Z]+)', 1)) AS kind, regexp_full_match(line, '[ \\t]*:{{3,}}[ \\t]*') AS bare FROM l),
+o AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 OR fence AS code FROM k),
+d AS (SELECT *, CASE WHEN code THEN 0 WHEN kind <> '' THEN 1 WHEN bare THEN -1 ELSE 0 END AS step FROM o),
+s AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY n) AS total FROM d),
+m AS (SELECT *, least(0, coalesce(min(total) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM s),
+x AS MATERIALIZED (SELECT *, step = -1 AND total < low AS stray, CASE WHEN step = 1 THEN total - low ELSE total - low + 1 END AS level FROM m)"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    for a, b in _MARKS:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_path"), text.alias("text"))
+
+
+@query(f"""WITH {_blocks_sql()}, y AS (SELECT doc_id, step, stray, CASE WHEN step = 1 THEN kind WHEN stray THEN '_unmatched' ELSE lag(kind) OVER (PARTITION BY doc_id, level, stray ORDER BY n) END AS kind FROM x WHERE step <> 0)
+SELECT doc_id AS page_path, kind, count(*) FILTER (step = 1) AS opened, count(*) FILTER (step = -1) AS closed FROM y WHERE kind IN ('tip', 'note', '_unmatched') GROUP BY ALL""")
+def container_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.container_signature(_blocks(spark, sf_dir), ["tip", "note", "info"])
+
+
+@query(rf"""WITH {_blocks_sql()}, e AS (SELECT doc_id, bool_or(stray) AS stray, sum(step) - least(0, min(total)) AS depth, string_agg(line, chr(10) ORDER BY n) FILTER (NOT stray) AS kept, max_by(stray, n) AS last FROM x GROUP BY doc_id)
+SELECT doc_id AS page_path, stray OR depth > 0 AS faulty, md5(CASE WHEN depth > 0 THEN regexp_replace(coalesce(kept, ''), '\s+$', '') || chr(10) || repeat(chr(10) || ':::', CAST(depth AS BIGINT)) || chr(10) WHEN last THEN CASE WHEN kept IS NULL THEN '' ELSE kept || chr(10) END ELSE kept END) AS repaired FROM e""")
+def container_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fault = structure.container_fault(F.col("text"))
+    return _blocks(spark, sf_dir).select("page_path", fault.isNotNull().alias("faulty"), F.md5(structure.repaired_containers(F.col("text"))).alias("repaired"))
+
+
+def _sidebars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A navigation for each brand, a sidebar for each part of it: a page, one in as many categories as the part's size, and a link."""
+    n, deep = F.col("p_partkey").cast("string"), F.col("p_size") % 14
+    inner = F.concat(F.repeat(F.lit('{"type": "category", "label": "c", "items": ["x", '), deep), F.lit('{"id": "deep'), n, F.lit('", "type": "doc"}'), F.repeat(F.lit("]}"), deep))
+    items = F.concat(F.lit('["p'), n, F.lit('", '), inner, F.lit(', {"type": "link", "href": "/'), n, F.lit('"}]'))
+    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("nav"), F.col("p_partkey").alias("sidebar_ord"), F.concat(F.lit("s"), n).alias("sidebar"), items.alias("items"))
+
+
+@query("""SELECT p_brand AS nav, 's' || p_partkey AS sidebar, unnest(['p' || p_partkey] || list_transform(range(p_size), lambda i: 'x') || ['deep' || p_partkey]) AS route,
+  unnest(['0'] || list_transform(range(1, p_size + 1), lambda i: '1' || repeat('.1', CAST(i - 1 AS BIGINT)) || '.0') || ['1' || repeat('.1', CAST(p_size AS BIGINT))]) AS at FROM (SELECT p_brand, p_partkey, p_size % 14 AS p_size FROM part)""")
+def nested_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigation.routes(navigation.nodes(_sidebars(spark, sf_dir))).select("nav", "sidebar", "route", F.array_join(F.col("at").cast("array<string>"), ".").alias("at"))
+
+
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_size % 14 AS p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1 AS first FROM part),
+  c AS (SELECT *, min(p_partkey) FILTER (p_size > 0) OVER (PARTITION BY p_brand) AS holder FROM p)
+  SELECT p_brand AS nav, 's' || p_partkey AS sidebar, '["p' || p_partkey || '",' || repeat('{"label":"c","type":"category","items":["x",', CAST(p_size AS BIGINT)) || '{"id":"deep' || p_partkey || '","type":"doc"}'
+    || repeat(']}', CAST(p_size - (CASE WHEN p_partkey = holder THEN 1 ELSE 0 END) AS BIGINT)) || CASE WHEN p_partkey = holder THEN ',"new1"]}' ELSE '' END || ',{"href":"/' || p_partkey || '","type":"link"}'
+    || CASE WHEN first THEN ',{"label":"Extra","type":"category","items":["new2"]}' ELSE '' END || ']' AS items FROM c""")
+def nested_nav_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sidebars = _sidebars(spark, sf_dir)
+    rows = [("c", "new1", 0), ("c", "x", 1), ("Extra", "new2", 2), ("Extra", "new1", 3), ("Extra", None, 4)]
+    added = sidebars.select("nav").distinct().join(spark.createDataFrame(rows, "section string, route string, ord int"))
+    return navigation.written(navigation.with_routes(navigation.nodes(sidebars), sidebars, added), sidebars).select("nav", "sidebar", "items")
