@@ -103,12 +103,16 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def month_budget(costs: DataFrame, now: str, budget: float) -> DataFrame:
-    """Spend of the month of `now` (UTC), its projection to the month's end, and whether that is over the budget."""
-    at = F.to_timestamp(F.lit(now))
-    start = F.date_trunc("month", at)
-    end = F.add_months(start, 1).cast("timestamp")
+    """Spend of the month of `now`, its projection to the month's end, and whether that is over the budget.
+
+    `now` and the month's ends are in UTC, whatever the session's zone is; ts is a timestamp.
+    """
+    at = F.to_timestamp_ntz(F.lit(now))
+    month = F.date_trunc("month", at).cast("timestamp_ntz")
+    utc = lambda t: F.convert_timezone(F.lit("UTC"), F.current_timezone(), t).cast("timestamp")
+    start, end = utc(month), utc(F.add_months(month, 1).cast("timestamp_ntz"))
     seconds = lambda a, b: (F.unix_timestamp(b) - F.unix_timestamp(a)).cast("double")
-    part = F.least(F.lit(1.0), seconds(start, at) / seconds(start, end))
+    part = F.least(F.lit(1.0), seconds(start, utc(at)) / seconds(start, end))
     spent = costs.where((F.col("ts") >= start) & (F.col("ts") < end)).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spent"))
     return spent.withColumn("projected", F.coalesce(F.try_divide(F.col("spent"), part), F.col("spent"))).withColumn("over", F.col("projected") > budget)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +218,101 @@ def front_matter(text: Column, key: str) -> Column:
     return F.when(head.rlike(rf"(?m)^{key}:"), F.regexp_replace(F.trim(value), "\\A[\"']|[\"']\\z", ""))
 
 
+def _scalar(value: str) -> str | None:
+    """A value as it is meant: without quotes, or without the remark after it; null stays null."""
+    if value[:1] in ("'", '"'):
+        end = value.find(value[0], 1)
+        if end < 0:
+            raise ValueError(value)
+        return value[1:end]
+    value = re.sub(r"(\A|\s)#.*", "", value).strip()
+    return None if value in ("", "~", "null") else value
+
+
+def _entries(head: str) -> list[tuple[list[str], str | None]]:
+    """(path, value) of a head's values, by a stack of indentations; list items are numbered from 0.  ValueError if a line is none of what a head may have."""
+    out: list[tuple[list[str], str | None]] = []
+    stack: list[tuple[int, list[str]]] = []  # indentation, path
+    counts: dict[tuple, int] = {}
+    parents: set[tuple] = set()
+    block: tuple[int, list[str], str, list[str]] | None = None  # indentation, path, joint, lines
+
+    def close() -> None:
+        nonlocal block
+        if block:
+            out.append((block[1], block[2].join(x.strip() for x in block[3]).strip()))
+            block = None
+
+    for line in re.split(r"\r?\n", head):
+        content, indent = line.strip(), len(line) - len(line.lstrip(" "))
+        if block and (not content or indent > block[0]):
+            block[3].append(line)
+            continue
+        close()
+        if not content or content.startswith("#"):
+            continue
+        item = content == "-" or content.startswith("- ")
+        # a list may begin at the indentation of its key
+        while stack and (stack[-1][0] > indent or (stack[-1][0] == indent and not item)):
+            stack.pop()
+        above = stack[-1][1] if stack else []
+        if item:
+            n = counts.get(tuple(above), 0)
+            counts[tuple(above)] = n + 1
+            parents.add(tuple(above))
+            above = [*above, str(n)]
+            stack.append((indent + 1, above))
+            indent, content = indent + 2, content[1:].strip()
+            if not content:
+                continue
+        found = re.match(r"([^\s:'\"\[{][^:]*?|'[^']*'|\"[^\"]*\")\s*:(?:\s+(.*))?\Z", content)
+        if not found:
+            if not item:
+                raise ValueError(content)
+            out.append((above, _scalar(content)))
+            continue
+        path, value = [*above, found[1].strip("'\"")], (found[2] or "").strip()
+        parents.add(tuple(above))
+        if re.fullmatch(r"[|>][+-]?", value):
+            block = (indent, path, "\n" if value[0] == "|" else " ", [])
+        elif value.startswith("[") and value.endswith("]"):
+            out += [([*path, str(i)], _scalar(v.strip())) for i, v in enumerate(x for x in value[1:-1].split(",") if x.strip())]
+        elif value and not value.startswith("#"):
+            out.append((path, _scalar(value)))
+        else:
+            out.append((path, None))
+            stack.append((indent, path))
+    close()
+    # a key whose value follows below it has none of its own
+    return [(p, v) for p, v in out if v is not None or tuple(p) not in parents]
+
+
+def front_matter_values(pages: DataFrame) -> DataFrame:
+    """page_path, path, value of every value in the block between the --- lines that a text begins with.
+
+    path: names of nested maps, and numbers of list items from 0.  Quotes go, a
+    remark after a value too; a name without a value has a null; | and > begin
+    texts of several lines.  A text without such a block, or whose block has a line
+    that is none of these, has no rows.  Line ends may be those of any system.
+    """
+    head = F.regexp_extract("text", r"(?s)\A---[ \t]*\r?\n(.*?\r?\n)?---[ \t]*(\r?\n|\z)", 1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, values = [], [], []
+            for i, h in enumerate(batch.column("_head").to_pylist()):
+                try:
+                    found = _entries(h or "")
+                except ValueError:
+                    continue
+                at += [i] * len(found)
+                paths += [p for p, _ in found]
+                values += [v for _, v in found]
+            yield pa.RecordBatch.from_arrays([batch.column("page_path").take(pa.array(at, pa.int64())), pa.array(paths, pa.list_(pa.string())), pa.array(values, pa.string())], ["page_path", "path", "value"])
+
+    return pages.select("page_path", head.alias("_head")).where("_head <> ''").mapInArrow(rows, f"page_path {dict(pages.dtypes)['page_path']}, path array<string>, value string")
+
+
 def body(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A---\n.*?\n---(\n|\z)", "")
 

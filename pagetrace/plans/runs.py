@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrace.operators import evaluate, history
+from pagetrace.operators import evaluate, history, replies
 from pagetrace.sources import events as ci
 from pagetrace.sources import history as log
 from pagetrace.shared import folder
@@ -266,3 +266,42 @@ def stream_held_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     released = heads.released_heads(events, 10 * 366 * 24).where("status = 'released'")
     heads.start(lambda: jobs.upsert_cursors(released, "repo", "ts", "head_sha", f"{at}/rows", f"{at}/checkpoint"), spark).awaitTermination()
     return jobs.current_cursors(spark, f"{at}/rows").select(F.col("repo").cast("long").alias("repo"), "head_sha")
+
+
+# Conversation turns in a reply: reasoning before it, a string with braces and quotes in it, an inner object, and more after it.
+_REPLY = """'<think>{ not "this' || chr(10) || '}</think> So: ' || CASE WHEN turn % 3 = 0 THEN '```json' || chr(10) ELSE '\\" ' END || '{"role": "' || role || '", "note": "a } b { \\" c ' || (conv_id % 7) || '", "in": {"turn": ' || turn || '}}'
+  || CASE WHEN turn % 3 = 0 THEN chr(10) || '```' ELSE '' END || ' and {"more": 1} }'"""
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda c: F.col(c).cast("string")
+    third = F.col("turn") % 3 == 0
+    text = F.concat(
+        F.lit('<think>{ not "this\n}</think> So: '), F.when(third, "```json\n").otherwise('\\" '), F.lit('{"role": "'), F.col("role"), F.lit('", "note": "a } b { \\" c '), (F.col("conv_id") % 7).cast("string"),
+        F.lit('", "in": {"turn": '), n("turn"), F.lit("}}"), F.when(third, "\n```").otherwise(""), F.lit(' and {"more": 1} }'),
+    )
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("reply"))
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {_REPLY} AS reply FROM conversations),
+  b AS (SELECT conv_id, turn, regexp_replace(reply, '<think>[^<]*</think>', '') AS t FROM r), c AS (SELECT conv_id, turn, CASE WHEN contains(t, '```') THEN string_split(t, '```')[2] ELSE t END AS t FROM b)
+  SELECT conv_id, turn, substr(t, CAST(instr(t, '{{') AS BIGINT), CAST(instr(t, '}}}}') + 2 - instr(t, '{{') AS BIGINT)) AS object FROM c""")
+def reply_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replies(spark, sf_dir).select("conv_id", "turn", replies.first_object(replies.without_reasoning(F.col("reply"))).alias("object"))
+
+
+@query("""WITH i AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN ['t' || (turn % 4)] END AS tags FROM conversations WHERE role IS NOT NULL),
+  u AS (SELECT conv_id, 'p' || turn || '-' || role AS path, role AS title, tags FROM i UNION ALL SELECT conv_id, 'inner', 't', NULL FROM i WHERE turn % 5 = 0)
+  SELECT conv_id, path, title, array_to_string(tags, ',') AS tags, count(*) AS n FROM (SELECT DISTINCT * FROM u) GROUP BY ALL""")
+def salvaged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply for each conversation, whose turns lie in invented sections at different depths, with objects that are no items."""
+    turn = F.col("turn").cast("string")
+    tags = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(', "tags": ["t'), (F.col("turn") % 4).cast("string"), F.lit('"]'))).otherwise(F.lit(', "tags": null'))
+    item = F.concat(F.lit('{"path": "p'), turn, F.lit("-"), F.col("role"), F.lit('", "title": "'), F.col("role"), F.lit('"'), tags)
+    deep = F.when(F.col("turn") % 5 == 0, F.lit(', "more": {"x": [{"path": "inner", "title": "t"}]}}')).otherwise(F.lit("}"))
+    wrong = F.lit('{"path": 3, "title": "t"}, {"title": "only"}, {"path": "p", "title": "t", "tags": "no list"}')
+    each = F.concat(F.lit('{"pages": ['), item, deep, F.lit(", "), item, deep, F.lit(", "), wrong, F.lit("]}"))
+    rows = read(spark, sf_dir, "conversations").where("role is not null")
+    whole = rows.groupBy("conv_id").agg(F.concat(F.lit('{"plan": {"sections": ['), F.array_join(F.array_sort(F.collect_list(each)), ", "), F.lit("]}}")).alias("reply"))
+    found = replies.salvaged(whole, "conv_id", {"path": "string", "title": "string"}, {"tags": "strings"})
+    return found.groupBy("conv_id", "path", "title", F.array_join("tags", ",").alias("tags")).agg(F.count("*").alias("n"))

@@ -142,3 +142,17 @@ def nested_nav_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("c", "new1", 0), ("c", "x", 1), ("Extra", "new2", 2), ("Extra", "new1", 3), ("Extra", None, 4)]
     added = sidebars.select("nav").distinct().join(spark.createDataFrame(rows, "section string, route string, ord int"))
     return navigation.written(navigation.with_routes(navigation.nodes(sidebars), sidebars, added), sidebars).select("nav", "sidebar", "items")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)
+  SELECT page_id AS page_path, 'seo.title' AS path, title AS value FROM p WHERE page_id % 5 <> 0 AND title <> '' UNION ALL SELECT page_id, 'seo.og.site', host FROM p WHERE page_id % 5 <> 0 UNION ALL
+  SELECT page_id, 'tags.' || i, 't' || (page_id + i) FROM p, range(0, 3) r(i) WHERE page_id % 5 <> 0 AND i < page_id % 4 UNION ALL SELECT page_id, 'tags', NULL FROM p WHERE page_id % 20 IN (4, 8, 12, 16) UNION ALL SELECT page_id, 'text', 'a' || chr(10) || page_id FROM p WHERE page_id % 5 <> 0""")
+def front_matter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads with nested names, lists of up to three and a text of two lines, every other one with line ends of another system; every fifth is broken."""
+    n, id_ = F.col("page_id").cast("string"), F.col("page_id")
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    tags = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < id_ % 4, F.concat(F.lit("\n  - t"), (id_ + i).cast("string"))).otherwise("")), "")
+    head = F.concat(F.lit("---\nseo:\n"), F.when(title != "", F.concat(F.lit('  title: "'), title, F.lit('"\n'))).otherwise(""), F.lit("  og:\n    site: "), T.url_host("url"), F.lit(" # host\ntags:"), tags, F.lit("\ntext: |\n  a\n  "), n, F.when(id_ % 5 == 0, "\nbroken").otherwise(""), F.lit("\n---\nbody"))
+    text = F.when(id_ % 2 == 0, F.replace(head, F.lit("\n"), F.lit("\r\n"))).otherwise(head)
+    found = structure.front_matter_values(read(spark, sf_dir, "pages").select(id_.alias("page_path"), text.alias("text")))
+    return found.select("page_path", F.array_join("path", ".").alias("path"), "value")
