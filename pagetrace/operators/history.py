@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetrace.shared import in_ranges
+
 
 def drop_reason(note: Column) -> Column:
     """Why a page was dropped, by how its note begins; null if it wasn't."""
@@ -65,9 +67,18 @@ def drops_by_reason(pages: DataFrame) -> DataFrame:
 
 
 def cost_over_time(runs: DataFrame, by: str) -> DataFrame:
-    """Runs with cumulative cost in time order within `by`; a null cost is 0."""
-    order = Window.partitionBy(by).orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return runs.withColumn("cumulative", F.sum(F.coalesce("cost", F.lit(0.0))).over(order))
+    """Runs with cumulative cost in time order within `by`; a null cost is 0.
+
+    Costs are added up within ranges of that order, and ranges after each other, so
+    no task holds all runs of one `by`.
+    """
+    cost = F.coalesce("cost", F.lit(0.0))
+    placed = in_ranges(runs, by, "ts", "ord")
+    own = Window.partitionBy(by, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("_by").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = placed.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_r")).agg(F.sum(cost).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    both = placed.withColumn("_own", F.sum(cost).over(own)).join(base, (F.col("_range") == F.col("_r")) & F.col(by).eqNullSafe(F.col("_by")))
+    return both.withColumn("cumulative", F.col("_base") + F.col("_own")).drop("_range", "_place", "_own", "_by", "_r", "_sum", "_base")
 
 
 def model_stages(usage: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
-from pagetrace.shared import kept
+from pagetrace.shared import kept, numbered
 
 from .anchors import in_blocks, match_globs
 
@@ -62,7 +62,7 @@ def budgeted_prefix(lines: DataFrame, key: str, budget: int) -> DataFrame:
     return lines.withColumn("used", F.sum(F.length("line") + 1).over(order)).where(F.col("used") <= budget)
 
 
-def capped(rows: DataFrame, key: str, per_key: int) -> DataFrame:
+def capped(rows: DataFrame, key: Column | str, per_key: int) -> DataFrame:
     """The first per_key rows of each key by ord; groups too large for one task are cut in parts first."""
     part = F.pmod(F.xxhash64("ord"), F.lit(32))
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, part).orderBy("ord"))).where(F.col("_n") <= per_key)
@@ -80,7 +80,9 @@ def ordered_sections(pages: DataFrame, canonical: list[str]) -> DataFrame:
 def pages_in_sections(pages: DataFrame, canonical: list[str]) -> DataFrame:
     """Pages (section, order, title, ord) with section_rank and, within their section, place by order and title."""
     ranked = pages.join(ordered_sections(pages, canonical).select(F.col("section").alias("_s"), F.col("rank").alias("section_rank")), F.col("section").eqNullSafe(F.col("_s"))).drop("_s")
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("order", "title", "ord")).cast("long"))
+    placed = kept(numbered(ranked, "section", "order", "title", "ord"), "places")
+    first = placed.groupBy(F.col("section").alias("_s")).agg(F.min("number").alias("_first"))
+    return placed.join(first, F.col("section").eqNullSafe(F.col("_s"))).withColumn("place", F.col("number") - F.col("_first") + 1).drop("number", "_s", "_first")
 
 
 def collapsed_globs(globs: DataFrame, files: DataFrame) -> DataFrame:

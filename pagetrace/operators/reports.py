@@ -70,8 +70,7 @@ def prefix_with_cut(sections: DataFrame, key: str, budget: int) -> DataFrame:
 
 def two_caps(lines: DataFrame, key: str, inner: str, per_inner: int, per_key: int) -> DataFrame:
     """At most per_inner lines of each inner group, and of those at most per_key of each key, by ord."""
-    few = lines.withColumn("_n", F.row_number().over(Window.partitionBy(key, inner).orderBy("ord"))).where(F.col("_n") <= per_inner)
-    return few.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where(F.col("_n") <= per_key).drop("_n")
+    return capped(capped(lines, F.struct(key, inner), per_inner), key, per_key)
 
 
 def token_budget(base: Column, level: Column) -> Column:
@@ -114,18 +113,23 @@ def health_panel(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.size("sources")), F.lit(0)).alias("anchors"))
 
 
-def markdown(outcomes: DataFrame, by: str) -> DataFrame:
-    """A report for each `by`: numbers of changed and dropped pages and the first pages of each, in order.
+def markdown(outcomes: DataFrame, by: str, usage: DataFrame | None = None) -> DataFrame:
+    """A report for each `by`: numbers of changed and dropped pages and the first pages of each, in order, and what the run cost.
 
     Lists are cut at 20 pages before they are gathered, so a report's size does
-    not follow the run's.
+    not follow the run's.  usage: by, usage (see cost_line); a run without has no
+    section on costs.
     """
-    part = F.when(F.col("applied"), "changed").otherwise("dropped")
-    marked = outcomes.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(by, part).orderBy("page_path")))
-    line = F.when(F.col("_n") <= 20, F.struct("_n", F.concat(F.lit("- `"), "page_path", F.lit("`"), F.coalesce(F.concat(F.lit(": "), "note"), F.lit(""))).alias("line")))
-    lists = marked.groupBy(by, "_part").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("lines"))
+    marked = outcomes.select(by, F.when(F.col("applied"), "changed").otherwise("dropped").alias("_part"), F.col("page_path").alias("ord"), "note")
+    line = F.struct("ord", F.concat(F.lit("- `"), "ord", F.lit("`"), F.coalesce(F.concat(F.lit(": "), "note"), F.lit(""))).alias("line"))
+    shown = capped(marked, F.struct(by, "_part"), 20).select(by, "_part", line.alias("_line"), F.lit(0).cast("long").alias("_n"))
+    both = shown.unionByName(marked.groupBy(by, "_part").agg(F.count("*").alias("_n")), allowMissingColumns=True)
+    lists = both.groupBy(by, "_part").agg(F.sum("_n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("_line")), lambda x: x["line"]), "\n").alias("lines"))
     text = F.concat(F.lit("## "), F.initcap("_part"), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), F.col("lines"))
-    return lists.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("report"))
+    told = lists.select(by, "_part", text.alias("t"))
+    if usage is not None:
+        told = told.unionByName(usage.select(by, F.lit("~").alias("_part"), F.concat(F.lit("## Cost\n"), cost_line(F.col("usage"))).alias("t")).where("t is not null").join(marked.select(by).distinct(), by, "left_semi"))
+    return told.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "t"))), lambda x: x["t"]), "\n\n").alias("report"))
 
 
 def cost_line(usage: Column) -> Column:

@@ -26,12 +26,17 @@ def kept(df: DataFrame, tag: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with `number`, from 0, in that order over all of them: ranges are sorted by themselves and counted, so no task holds more than one."""
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `_range` and `_place`: ranges of that order, and the place in each of them.  What would need a whole group in order can be done by range and added up."""
     ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # an id has its partition above 33 bits, and its place in it below
-    placed = kept(ranges.withColumn("_id", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_id", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    base = placed.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    return placed.join(F.broadcast(base), part == F.col("_part")).withColumn("number", F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_base")
+    placed = kept(ranges.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    return placed.withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `number`, from 0, in that order over all of them; no task holds more than a range."""
+    placed = in_ranges(rows, *order)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = placed.groupBy(F.col("_range").alias("_r")).count().select("_r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(base), F.col("_range") == F.col("_r")).withColumn("number", F.col("_base") + F.col("_place")).drop("_range", "_place", "_r", "_base")

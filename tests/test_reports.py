@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pagetrace.operators import reports
+from pagetrace.operators import history, reports
 
 
 def first(spark, *columns):
@@ -55,3 +55,20 @@ def test_pages_are_written_outside_the_state_folder(spark, tmp_path):
     o = spark.createDataFrame([("a.md", True, "x"), (".state/y", True, "y"), ("b.md", False, "z")], "page_path string, applied boolean, new_content string")
     reports.write_pages(o, f"file://{tmp_path}")
     assert [r["new_content"] for r in spark.read.json(f"file://{tmp_path}/changed").collect()] == ["x"]
+
+
+def test_report_with_costs(spark):
+    rows = [("a", "p", True, None), ("a", "q", False, "dropped: x"), ("b", "p", True, None)]
+    usage = spark.sql("SELECT 'a' AS run, struct(1.5D AS cost_usd, 3L AS calls, 1200L AS input_tokens, 50L AS output_tokens, 0.25D AS cache_hit_rate) AS usage UNION ALL SELECT 'b', NULL UNION ALL SELECT 'c', struct(1.0D, 1L, 1L, 1L, 0.0D)")
+    got = {r["run"]: r["report"] for r in reports.markdown(spark.createDataFrame(rows, "run string, page_path string, applied boolean, note string"), "run", usage).collect()}
+    assert got == {"a": "## Changed (1)\n- `p`\n\n## Dropped (1)\n- `q`: dropped: x\n\n## Cost\n~$1.5000 in 3 calls, 1,200 in / 50 out, 25% hit", "b": "## Changed (1)\n- `p`"}
+
+
+def test_running_costs_over_many_ranges(spark):
+    rows = [("hot" if i % 3 else None, i // 2, i, float(i % 7) if i % 5 else None) for i in range(400)]
+    got = history.cost_over_time(spark.createDataFrame(rows, "user string, ts int, ord int, cost double").repartition(7), "user").collect()
+    total, want = {}, set()
+    for user, _, i, cost in rows:
+        total[user] = total.get(user, 0) + (cost or 0)
+        want.add((i, total[user]))
+    assert {(r["ord"], r["cumulative"]) for r in got} == want and len(got) == 400
