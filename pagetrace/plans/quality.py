@@ -66,13 +66,14 @@ def wellformed_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_path", structure.nesting_fault(text, _NEST_TAGS).isNull().alias("well"))
 
 
-@query("""SELECT page_id AS page_path, CAST(length(html) + CASE WHEN page_id % 4 = 1 THEN 9 ELSE 0 END AS BIGINT) AS length, page_id % 4 <> 2 AS well FROM pages""")
+@query("""SELECT page_id AS page_path, md5(CASE page_id % 4 WHEN 1 THEN html || '<li></li>' WHEN 2 THEN replace(html, '</ul></nav>', '</nav></ul>') ELSE html END) AS text,
+  page_id % 4 <> 2 OR NOT contains(html, '</ul></nav>') AS well FROM pages""")
 def repaired_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every four pages, one gets a stray end tag, one a tag that is never closed, and one crossed tags, which stay."""
     k, h = F.col("page_path") % 4, F.col("text")
     text = F.when(k == 0, F.concat(h, F.lit("</nav>"))).when(k == 1, F.concat(h, F.lit("<li>"))).when(k == 2, F.replace(h, F.lit("</ul></nav>"), F.lit("</nav></ul>"))).otherwise(h)
     fixed = structure.repaired(_pages(spark, sf_dir).withColumn("text", text), _NEST_TAGS)
-    return fixed.select("page_path", F.length("text").cast("long").alias("length"), structure.nesting_fault(F.col("text"), _NEST_TAGS).isNull().alias("well"))
+    return fixed.select("page_path", F.md5(F.col("text")).alias("text"), structure.nesting_fault(F.col("text"), _NEST_TAGS).isNull().alias("well"))
 
 
 @query(r"""WITH l AS (SELECT DISTINCT page_id AS page_path, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '#.*$', '') AS target FROM pages)
