@@ -1,4 +1,7 @@
+import heapq
+import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,16 +11,56 @@ from pagetrace.llm import language, sharding
 SCHEMA = "doc_id long, text string, shard string, _group int"  # names that clash with the operator's own
 
 
+def by_hand(sizes, shards):
+    """Loads after every single group went to the least-loaded shard."""
+    heap = [(0, s) for s in range(shards)]
+    for n in sorted(sizes, reverse=True):
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + n, s))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
 def test_longest_first_is_least_loaded():
-    placed = sharding.longest_first([(1, 7), (2, 5), (3, 4), (4, 3), (5, 1)], 2)
-    loads = [sum(s for i, s in ((1, 7), (2, 5), (3, 4), (4, 3), (5, 1)) if placed[i] == k) for k in (0, 1)]
-    assert sorted(loads) == [10, 10]
+    assert sharding.longest_first([(7, 1), (5, 1), (4, 1), (3, 1), (1, 1)], 2) == ([7, 5, 4, 3, 1], [1] * 5, [0, 1, 1, 0, 1])
+    assert sharding.longest_first([], 3) == ([], [], [])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_are_placed_as_the_heap_places_single_groups(seed):
+    draw = random.Random(seed)
+    sizes = [draw.choice([8, 9, 10, 50, draw.randint(8, 90), draw.randint(8, 40000)]) for _ in range(50000)] + [10**7] * (seed % 3)
+    runs = list(Counter(sizes).items())
+    for shards in (1, 5, 24):
+        loads, last = [0] * shards, {}
+        for size, end, shard in zip(*sharding.longest_first(runs, shards)):
+            loads[shard] += size * (end - last.get(size, 0))
+            last[size] = end
+        assert last == dict(runs) and loads == by_hand(sizes, shards)
+
+
+@pytest.mark.parametrize("most", [sharding.NARROW, 0])
+def test_many_groups_are_placed_as_by_the_heap(spark, monkeypatch, most):
+    """20,000 groups, one with a third of all rows, and most of one size; with groups broadcast and moved."""
+    monkeypatch.setattr(sharding, "NARROW", most)
+    monkeypatch.setattr(sharding, "HOT", 8)
+    df = spark.range(0, 30000, numPartitions=7).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy").otherwise(F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.repeat(F.lit("x"), F.when(F.col("id") % 5 == 0, (F.col("id") % 700).cast("int")).otherwise(0)))).alias("text"))
+    bytes_ = Counter()
+    for r in df.collect():
+        bytes_[r["text"]] += len(r["text"]) + 8
+    got = sharding.shard_documents(df).collect()
+    loads, slots = Counter(), {}
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 30000 and [loads[s] for s in range(24)] == by_hand(bytes_.values(), 24)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({(r["shard"]) for r in got if r["doc_id"] % 3 == 0}) == 1
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None, "x", 1)] * 3 + [(1, "", "", 0), (1, "a", "", 0), (1, "a", "", 0), (2, "é" * 5000, "", 0)] + [(i, "same", "", 0) for i in range(50)] + [(i, f"t{i}" * (i % 7 + 1), "", 0) for i in range(200)]])
 def test_every_row_has_a_shard_and_groups_stay_together(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    got = sharding.shard_documents(df, shards=5, grain=8).collect()
+    got = sharding.shard_documents(df, shards=5).collect()
     assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got)) == sorted((d is not None, d or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
     of = {}
     for r in got:
