@@ -15,12 +15,17 @@ The wrapper decides what the article is.  Every node has a weight, the text that
 its slots hold on a page, without links and fixed texts.  From the root, the node
 is followed that holds most of that; it is the article where a repeated group or
 a text has the most.  <article>, <main> and containers named so are believed if
-they hold half of the weight.  Within the article, groups that are mostly links,
-fixed texts and what markup names a menu, an advert and so on are left out; names
-that content may have as well count only where the wrapper confirms them.
+they hold half of the weight.  Within the article, what markup names a menu, an
+advert and so on is left out, as are groups of links that are the same on all
+pages; names that content may have as well count only where the wrapper confirms
+them.  Fixed texts go at the article's edges, before its first slot and after its
+last: those between are headings and the like that the host's articles share.
+Groups of links that differ by page stay within a container, as lists of
+references do; where only the weight tells the article they go at its edges.
 
 A wrapper has a node for every different path of keys of a host, however many
 pages have it; that, not the number of pages, is what one task holds of a host.
+Names that only one page has are folded into one key where they are many.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +63,11 @@ BOILER_NAMES = set(
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "breadcrumb breadcrumbs pagination pager comment comments disqus respond toolbar hidden adsbygoogle".split()
 )
+#: Parts of a name that say where or what kind of box it is; with them, a boilerplate word still names the box.
+BOX_PARTS = set(
+    "site page global main primary secondary left right top bottom upper lower mobile desktop sticky fixed default wp google article post entry story blog single "
+    "box bar wrapper wrap container inner outer area block section list item items link links slot unit panel strip row col column content body title text form icon button btn close message policy tabs".split()
+)
 #: Names that content may have as well.
 MAYBE_NAMES = set("header foot rail share sharing social related recommended widget widgets toc skip".split())
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu"}
@@ -67,6 +78,18 @@ NO_ARTICLE = set("comment comments reply related teaser promo ad ads advert spon
 _LISTS = {"ul", "ol", "dl", "menu", "div", "section", "table", "header"}
 
 
+def _boilerplate(name: str) -> bool:
+    """Whether a name as a whole is of boilerplate: site-footer is, hidden-gems and notice-board are not."""
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    return name in BOILER_NAMES or bool(BOILER_NAMES & set(parts)) and all(p in BOILER_NAMES or p in BOX_PARTS or re.fullmatch(r"\d+(x\d+)?", p) for p in parts)
+
+
+def bare(key: str) -> str:
+    """The key without its names."""
+    return key[: key.index(".")] + ".~" + key[len(key.rstrip("!?*")) :] if "." in key else key
+
+
+@lru_cache(maxsize=1 << 14)
 def _key(tag: str, attributes: str) -> str:
     """Key of an element: tag and names, then ! for boilerplate by markup, ? if its names may be of boilerplate, * for a content container."""
     found: dict[str, str] = {}
@@ -74,11 +97,12 @@ def _key(tag: str, attributes: str) -> str:
         found.setdefault(k.lower(), v.strip("\"'").lower())
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
     # has-sidebar is no sidebar
-    parts = {p for n in names if not re.match(r"(has|with|no|without|is)[-_]", n) for p in (n, *re.split(r"[-_]+", n))}
+    own = [n for n in names if not re.match(r"(has|with|no|without|is)[-_]", n)]
+    parts = {p for n in own for p in (n, *re.split(r"[-_]+", n))}
     content = tag in ("article", "main") or found.get("role") in ("main", "article") or (tag in ("div", "section") and bool(CONTENT_NAMES & set(names)))
     boiler = tag in BOILER_TAGS or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in BOILER_ROLES or "display:none" in found.get("style", "").replace(" ", "")
-    boiler = (boiler or bool((NO_ARTICLE & set(names)) if content else (BOILER_NAMES & parts))) and tag not in ("html", "body")
-    maybe = not boiler and not content and (tag == "header" or bool(MAYBE_NAMES & parts)) and tag not in ("html", "body")
+    boiler = (boiler or bool((NO_ARTICLE & set(names)) if content else any(map(_boilerplate, own)))) and tag not in ("html", "body")
+    maybe = not boiler and not content and (tag == "header" or bool((MAYBE_NAMES | BOILER_NAMES) & parts)) and tag not in ("html", "body")
     return "".join((tag, *("." + n for n in sorted(re.sub(r"\d{3,}", "#", n) for n in names)[:4]), "!" * boiler, "?" * maybe, "*" * (content and not boiler)))
 
 
@@ -149,6 +173,35 @@ class Wrapper:
             self.order[i], self.n[i], self.chars[i], self.links[i], self.fixed[i] = other.order[j], other.n[j], other.chars[j], other.links[j], other.fixed[j]
             todo += [(i, k) for k in other.kids[j].values()]
 
+    def lean(self, most: int = 64) -> Wrapper:
+        """The wrapper with names folded that one page only has, where an element has more than `most` of them with one tag."""
+        out, todo = Wrapper(), [([0], 0)]
+        while todo:
+            sources, at = todo.pop()  # nodes that become one
+            out.n[at], out.chars[at], out.links[at] = (sum(column[i] for i in sources) for column in (self.n, self.chars, self.links))
+            out.fixed[at] = {k: v for k, v in self.fixed[sources[0]].items() if all(k in self.fixed[i] for i in sources)}
+            kids = [(key, k) for i in sources for key, k in self.kids[i].items()]
+            seen: dict[str, int] = {}
+            for key, k in kids:
+                seen[key] = seen.get(key, 0) + self.n[k]
+            rare = Counter(bare(key) for key, n in seen.items() if n == 1)
+            to = {key: bare(key) if n == 1 and rare[bare(key)] > most else key for key, n in seen.items()}
+            order: list[list] | None = None
+            for i in sources:
+                entries: dict[str, list] = {}
+                for key, *flags in self.order[i] or []:
+                    if to[key] in entries:
+                        entries[to[key]][1:3] = [1, 1]
+                    else:
+                        entries[to[key]] = [to[key], *flags]
+                order = list(entries.values()) if order is None else aligned(order, list(entries.values()))
+            out.order[at] = order
+            groups: dict[str, list[int]] = {}
+            for key, k in kids:
+                groups.setdefault(to[key], []).append(k)
+            todo += [(nodes, out.node(at, key)) for key, nodes in groups.items()]
+        return out
+
     def expression(self) -> str:
         """The wrapper as text: tags, slots (#) and fixed texts (=), ? for optional, + for repeated and * for both."""
         inner = [""] * len(self.key)
@@ -358,20 +411,25 @@ def parse(page: str) -> tuple[Wrapper, list[tuple[int, str]]]:
 
 
 def decisions(w: Wrapper) -> list[list]:
-    """[parent, key, weight, fixed chars, kind, fixed digests] of every node; kind 1: never text of the page, 2: content container."""
+    """[parent, key, weight, fixed chars, kind, fixed digests] of every node; kind 1: never text of the page, 2: content container, 3: links that differ by page."""
     size = len(w.key)
     told = any(w.chars[i] - w.n[i] * sum(w.fixed[i].values()) > 0 for i in range(size) if w.n[i] >= 3)  # else nothing tells a template from copies
     weight, fixed, chars, links, kind = [0.0] * size, [0.0] * size, list(w.chars), list(w.links), [0] * size
+    alike = [0.0] * size  # characters of fixed texts on all pages together
     repeated = {(i, e[0]) for i in range(size) for e in w.order[i] or [] if e[2]}
     for i in range(size - 1, -1, -1):
         p, key = w.parent[i], w.key[i]
         if key == "#":
             fixed[i] = float(sum(w.fixed[i].values())) if told and w.n[i] >= 3 else 0.0
+            alike[i] = fixed[i] * w.n[i]
             weight[i] = max(0.0, w.chars[i] / w.n[i] - fixed[i]) * (1 - w.links[i] / max(1, w.chars[i]))
         else:
             tag = re.split(r"[.!?*]", key)[0]
             listed = tag in _LISTS and ((p, key) in repeated or any((i, k) in repeated for k in w.kids[i]))
-            if key.endswith("!") or listed and links[i] > 0.8 * chars[i] or key.endswith("?") and (links[i] > 0.5 * chars[i] or fixed[i] > weight[i]):
+            of_links = listed and links[i] > 0.8 * chars[i]
+            if of_links and alike[i] < 0.5 * chars[i] and not key.endswith(("!", "?")):
+                kind[i], weight[i], fixed[i] = 3, 0.0, 0.0
+            elif key.endswith("!") or of_links or key.endswith("?") and (links[i] > 0.5 * chars[i] or fixed[i] > weight[i]):
                 kind[i], weight[i], fixed[i] = 1, 0.0, 0.0
             elif key.endswith("*"):
                 kind[i] = 2
@@ -379,6 +437,7 @@ def decisions(w: Wrapper) -> list[list]:
             share = w.n[i] / w.n[p]
             weight[p] += weight[i] * share
             fixed[p] += fixed[i] * share
+            alike[p] += alike[i]
             chars[p] += chars[i]
             links[p] += links[i]
     return [[w.parent[i], w.key[i], round(weight[i], 3), round(fixed[i], 3), kind[i], sorted(w.fixed[i]) if fixed[i] else []] for i in range(size)]
@@ -397,20 +456,27 @@ class Decider:
         w, blocks = parse(page)
         rows, size = self.rows, len(w.key)
         at, gone = [0] * size, [False] * size
+        told = [rows[0]] * size
+        linked = [False] * size
         for i in range(1, size):
-            at[i] = self.child[at[w.parent[i]], w.key[i]]
-            gone[i] = gone[w.parent[i]] or rows[at[i]][4] == 1
-        weight = lambda i: rows[at[i]][2]
+            above, key = at[w.parent[i]], w.key[i]
+            at[i] = self.child.get((above, key), self.child.get((above, bare(key)), -1))
+            # a name that was folded elsewhere has no decisions of its own
+            told[i] = rows[at[i]] if at[i] >= 0 else [above, key, 0.0, 0.0, 1 if key.endswith("!") else 2 if key.endswith("*") else 0, []]
+            gone[i] = gone[w.parent[i]] or told[i][4] == 1
+            linked[i] = linked[w.parent[i]] or told[i][4] == 3
+        weight = lambda i: told[i][2]
         inside = [False] * size
         boxes = []
         boxed = [False] * size  # below a content container
         for i in range(1, size):
-            boxed[i] = boxed[w.parent[i]] or rows[at[w.parent[i]]][4] == 2
-            if rows[at[i]][4] == 2 and not gone[i] and not boxed[i]:
+            boxed[i] = boxed[w.parent[i]] or told[w.parent[i]][4] == 2
+            if told[i][4] == 2 and not gone[i] and not boxed[i]:
                 boxes.append(i)
         of_page = sum(weight(i) for i in range(size) if w.key[i] == "#" and not gone[i])
         of_boxes = sum(weight(i) for i in range(size) if w.key[i] == "#" and not gone[i] and (boxed[i] or w.parent[i] in boxes))
-        if boxes and of_boxes >= 0.5 * of_page:
+        contained = bool(boxes) and of_boxes >= 0.5 * of_page
+        if contained:
             for i in boxes:
                 inside[i] = True
         else:
@@ -419,12 +485,12 @@ class Decider:
             inside[i] = inside[i] or inside[w.parent[i]]
         texts = [i for i in range(size) if w.key[i] == "#" and inside[i] and not gone[i]]
         # where more stays the same than differs, the pages are copies of each other and not a template
-        template = sum(weight(i) for i in texts) >= sum(rows[at[i]][3] for i in texts)
-        out = []
-        for i, text in blocks:
-            if inside[i] and not gone[i] and not (template and at[i] in self.fixed and _digest(text) in self.fixed[at[i]]):
-                out.append(text)
-        return "\n".join(out)
+        template = sum(weight(i) for i in texts) >= sum(told[i][3] for i in texts)
+        found = [(i, text) for i, text in blocks if inside[i] and not gone[i]]
+        edge = [linked[i] and not contained or template and at[i] in self.fixed and _digest(text) in self.fixed[at[i]] for i, text in found]
+        first = next((k for k, e in enumerate(edge) if not e), len(edge))
+        last = next((k for k in range(len(edge) - 1, -1, -1) if not edge[k]), -1)
+        return "\n".join(text for _, text in found[first : last + 1])
 
     @staticmethod
     def _most(w: Wrapper, weight, gone: list[bool]) -> int:
@@ -449,10 +515,14 @@ def _host():
 def _folding(batches: Iterator[pa.RecordBatch], pages: bool) -> Iterator[pa.RecordBatch]:
     """One wrapper for each host of the task, from its pages or its wrappers."""
     held: dict[str, Wrapper] = {}
+    bound: dict[str, int] = {}
     for batch in batches:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("source").to_pylist()):
             own = parse(source)[0] if pages else Wrapper.loads(source)
             held[host] = held[host].align(own) if host in held else own
+            if len(held[host].key) > bound.get(host, 2000):
+                held[host] = held[host].lean()
+                bound[host] = max(2000, 2 * len(held[host].key))
     for host, w in held.items():
         yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([w.dumps()])], ["host", "source"])
 
@@ -466,13 +536,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return salted.repartition("host").mapInArrow(lambda b: _folding(b, False), shape)
 
 
-def main_texts(pages: DataFrame, most: int = 16 << 20) -> DataFrame:
+def main_texts(pages: DataFrame, most: int = 16 << 20, salts: int = 32) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     A null or empty html has an empty text; pages with a null url share a host.
     Repeated rows and null page_ids are rows like any other.  No text is cut.  A
     text is fixed if three pages or more have its place and all of them have it.
-    Decisions of up to `most` bytes are broadcast, more are joined by host.
+    Decisions of up to `most` bytes are broadcast, more are joined by host and one
+    of `salts` numbers, each of which has all decisions.
     """
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,7 +554,14 @@ def main_texts(pages: DataFrame, most: int = 16 << 20) -> DataFrame:
     decided = stash(wrappers(pages).mapInArrow(decide, "host string, told string"))
     # A host's decisions are some kilobytes; while those of all hosts are small, no page is moved.
     size = decided.agg(F.sum(F.length("host") + F.length("told"))).first()[0] or 0
-    rows = in_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("_host")).join((F.broadcast(decided) if size <= most else decided).withColumnRenamed("host", "_h"), F.col("_host") == F.col("_h"))
+    rows = in_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("_host"))
+    own = decided.withColumnRenamed("host", "_h")
+    if size <= most:
+        rows = rows.join(F.broadcast(own), F.col("_host") == F.col("_h"))
+    else:
+        salted = own.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(salts)).cast("int")
+        rows = rows.withColumn("_salt", salt).join(salted, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Decider] = {}

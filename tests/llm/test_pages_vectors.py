@@ -105,6 +105,41 @@ def test_content_with_names_of_boxes_stays_within_an_article(spark):
     assert all(r["text"] == f"On {i}\nSome text {i} x more\nOthers wrote about {i} at length\nTold {i} without scripts" for i, r in got.items())
 
 
+REFERENCES = """<body><nav><ul><li><a href=/>Home</a></li></ul></nav>{open}<h1>On {n}</h1><p>The text about {n} is told at length here, with {m} and more.</p><h2>Summary</h2><p>In short, {n} it is.</p>
+<div class="hidden-gems"><p>A gem of {n}</p></div><div class="notice-board"><p>Pinned on {n}</p></div><table><tr><th>Name</th><th>Value</th></tr><tr><td><a href=a>Row {n}</a></td><td><a href=b>Cell {m}</a></td></tr></table>
+<h2>References</h2><ul><li><a href=c>Source {n}</a></li><li><a href=d>Source {m}</a></li></ul>{last}{close}<div class="site-footer">{n}</div><div class="left-sidebar-box"><p>Side {n}</p></div></body>"""
+
+
+@pytest.mark.parametrize("tag, last", [("article", ""), ("main", ""), ("div", "<p>The end of {n}</p>")])
+def test_shared_headings_lists_of_links_and_names_with_a_telling_word_stay(spark, tag, last):
+    page = REFERENCES.replace("{last}", last).replace("{open}", f"<{tag}>").replace("{close}", f"</{tag}>")
+    got = texts(spark, [(i, "http://refs.example/", page.format(n=f"n{i}", m=f"m{i * i}")) for i in range(8)])
+    for i, r in got.items():
+        n, m = f"n{i}", f"m{i * i}"
+        want = [f"On {n}", f"The text about {n} is told at length here, with {m} and more.", "Summary", f"In short, {n} it is.", f"A gem of {n}", f"Pinned on {n}", "Name", "Value", f"Row {n}", f"Cell {m}", "References", f"Source {n}", f"Source {m}"]
+        assert r["text"] == "\n".join(want + [f"The end of {n}"] * bool(last))
+
+
+def test_links_of_the_host_within_an_article_go(spark):
+    page = "<body><article><h1>On {n}</h1><p>Text about {n}, long enough to count</p><ul>" + "".join(f"<li><a href=x>Topic {k}</a></li>" for k in range(6)) + "</ul><p>More about {n}</p><p>Share this with all</p></article></body>"
+    got = texts(spark, [(i, "http://topics.example/", page.format(n=i)) for i in range(8)])
+    assert all(r["text"] == f"On {i}\nText about {i}, long enough to count\nMore about {i}" for i, r in got.items())
+
+
+def word(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+
+def test_names_of_one_page_are_folded(spark):
+    page = "<body><div class=top><p>Site of sites</p></div><div class=u{a}><div class=v{a}><h1>Head {n}</h1><p>The story {n} goes on</p></div></div><div class='ad w{a}'><p>Buy {n}</p></div><div class=end>All rights kept</div></body>"
+    pages = [page.format(a=word(i), n=i) for i in range(1500)]
+    held = list(wrapper._folding(iter([wrapper.pa.record_batch([wrapper.pa.array(["h"] * 1500), wrapper.pa.array(pages)], ["host", "source"])]), True))
+    w = wrapper.Wrapper.loads(held[0].column(1)[0].as_py())
+    assert len(w.key) < 2500 and len(w.lean().key) < 250 and w.n[0] == 1500
+    got = texts(spark, [(i, "http://unique.example/", p) for i, p in enumerate(pages)])
+    assert all(r["text"] == f"Head {i}\nThe story {i} goes on" for i, r in got.items())
+
+
 def test_a_small_box_named_content_does_not_win(spark):
     page = "<body><div class=content><p>Tip {n}</p></div><div class=z><p>The story of {n} goes on for much longer than the tip above, {n}.</p><p>And on, {n}</p></div></body>"
     got = texts(spark, [(i, "http://tip.example/", page.format(n=i)) for i in range(5)])
