@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import in_batches
+from .common import in_batches, stash
 
 WORDS, RADIUS, BLOCKS, THRESHOLD = 5, 3, 4, 0.8
+#: Row numbers that are broadcast at most.
+NARROW = 500_000
 #: Window sizes in words; under five words there is one shingle of them all.
 GRID = (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 19, 24, 30, 37, 46, 58)
 
@@ -168,8 +170,17 @@ class Index:
         by_kind = np.searchsorted(kind[order], np.arange(len(kinds)))
         place = np.empty(len(kind), np.int64)
         place[order] = np.arange(len(kind)) - by_kind[kind[order]]  # how often the shingle has come before
+        # What a start can reach at most: the item's shingles from there on.  A best passage begins with one of them.
+        left = np.bincount(kind, minlength=len(kinds))[kind] - place  # how often the shingle comes from here on
+        reach = np.zeros(len(grams) + 1, np.int64)
+        reach[of_item] = left <= has[kind]
+        reach = np.cumsum(reach[::-1])[::-1] / len(bag)
+        begins = np.zeros(len(grams), bool)
+        begins[of_item] = True
         for a in sorted(range(low, min(start + n if most else start, high - size) + 1), key=lambda a: abs(a - start)):
             first = a - low
+            if not begins[first] or reach[first] < THRESHOLD - 1e-9 or reach[first] <= best[0]:
+                continue
             later = of_item >= first
             before = np.bincount(kind[~later], minlength=len(kinds))
             counts = np.zeros(len(grams) - first, np.int64)
@@ -253,16 +264,46 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long, n_words long")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark passage, unchanged; no shuffle."""
-    docs = in_batches(docs)
-    for index in indexes(benchmark):
+def decontaminated(docs: DataFrame, benchmark: DataFrame, block: int = 4 << 20) -> DataFrame:
+    """The rows of docs that hold no benchmark passage, unchanged.
 
-        def rows(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    A benchmark of one block filters the rows on their way, without a shuffle.  Of
+    a larger one, each block is a job of its own that tells the numbers of the rows
+    that hold its passages, so no task and not the driver has two blocks; the rows
+    are written once, with their numbers, to the shared folder.
+    """
+    docs, blocks = in_batches(docs), indexes(benchmark, block)
+    size = benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16)).first()[0]
+    if size is None:
+        return docs
+    if size <= block:
+        index = next(blocks)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in textscan.slices(batches):
                 keep = np.ones(part.num_rows, bool)
                 keep[[f[0] for f in index.search(part.column("text"))]] = False
                 yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(rows, docs.schema)
-    return docs
+        return docs.mapInArrow(rows, docs.schema)
+    number = "_row"
+    while number in map(str.lower, docs.columns):
+        number += "_"
+    numbered, hits = stash(docs.withColumn(number, F.monotonically_increasing_id())), None
+    for found in blocks:
+        told = stash(numbered.select(number, "text").mapInArrow(_holders(found, number), f"{number} long"))
+        hits = told if hits is None else hits.unionByName(told)
+    hits = hits.distinct()
+    few = hits.count() <= NARROW
+    return numbered.join(F.broadcast(hits) if few else hits, number, "left_anti").drop(number)
+
+
+def _holders(index: Index, number: str):
+    """Finds the numbers of the rows that hold a passage of the index."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textscan.slices(batches):
+            found = sorted({f[0] for f in index.search(part.column("text"))})
+            yield pa.RecordBatch.from_arrays([part.column(number).take(pa.array(found, pa.int64()))], [number])
+
+    return rows

@@ -129,6 +129,34 @@ def test_blocks_of_items_give_the_same(spark, bench, monkeypatch):
     assert sorted(map(tuple, dc.contaminations(docs, bench).collect())) == want and len(want) == 20
 
 
+@pytest.mark.parametrize("narrow", [dc.NARROW, -1])
+def test_a_benchmark_of_many_blocks_filters_the_same_rows(spark, monkeypatch, narrow):
+    """Twenty blocks of items; the plan has one Python stage, however many there are."""
+    monkeypatch.setattr(dc, "NARROW", narrow)
+    items = spark.createDataFrame([(i, passage(30, 5000 + i)) for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, None if k == 7 else f"{passage(9, k)} {passage(30, 5000 + k) if k < 20 else passage(30, k)} end", k) for k in [*range(40), 3, 33]], "doc_id long, text string, _row long")
+    kept = dc.decontaminated(docs, items, block=150)
+    assert len(list(dc.indexes(items, 150))) == 20 and kept.schema == docs.schema
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([7, *range(20, 40), 33])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, dc.decontaminated(docs, items).collect()))
+    assert dc.decontaminated(docs, items.limit(0), block=150).count() == 42
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
+
+
+def test_a_very_long_item_is_verified_in_time():
+    import time
+
+    words = passage(3000, 6).split()
+    changed = [f"z{i}" if i % 120 == 60 else w for i, w in enumerate(words)]
+    index = dc.Index([1], [" ".join(words)])
+    text = np.array(textscan.words(pa.array([" ".join([passage(500, 7), *changed, passage(500, 8)])]))[0])
+    began = time.time()
+    similarity, first, many = index.verify(0, text, 500)
+    lost = len({j for i in range(60, 3000, 120) for j in range(i - 4, i + 1)})
+    assert (first, many) == (500, 3000) and abs(similarity - (2996 - lost) / (2996 + lost)) < 1e-9
+    assert time.time() - began < 1
+
+
 def test_odd_rows_and_tables(spark, bench):
     docs = spark.createDataFrame([(None, leak(5, 3, 3)), (1, None), (2, ""), (3, passage(20_000, 999)), (4, leak(5, 0, 0)), (4, leak(5, 0, 0)), (5, passage(15, 1234))], "doc_id long, text string")
     got = dc.contaminations(docs, bench).collect()
