@@ -8,7 +8,9 @@ Documents that agree in a sketch are candidates; a banded alignment of their
 words verifies that 1 - edits / words of the longer is at least the threshold.
 Two documents with a share r of edited words share s = (1 - r) ** k of their
 k-mers and agree in a sketch with about (s / (2 - s)) ** picked, so SKETCHES = 60
-find nine of ten pairs at a similarity of 0.8 and nearly all from 0.85 on.
+find nine of ten pairs at a similarity of 0.8 and nearly all from 0.85 on.  Short
+texts vary more around that and have more sketches, and in the shortest few
+k-mers or none outlive the edits: those have sketches of pairs of words besides.
 
 Equal word sequences are one class from the start.  Buckets of up to SMALL
 classes give all their pairs, larger ones a star around their least member.  The
@@ -32,6 +34,10 @@ from .common import in_batches, release, stash
 from .components import components
 
 K, SKETCHES, PICKED, SMALL, THRESHOLD = 5, 60, 2, 16, 0.8
+#: Texts of up to so many words have so many sketches.
+SHORT, SHORT_SKETCHES = 128, 180
+#: Texts of 3 words to so many have so many more, of k-mers of two words.
+TINY, TINY_K, TINY_SKETCHES = 30, 2, 64
 #: Counters by which word pairs are told rare or frequent, each for all of one hash.  Only speed depends on them.
 COUNTERS = 1 << 22
 #: Components of more open members than this take part in the exact join as one.
@@ -76,6 +82,14 @@ def sketch(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picked: int
     return out
 
 
+def keys_of(words: np.ndarray) -> np.ndarray:
+    """All sketches of a text of that many words; the first SKETCHES are of every text."""
+    if len(words) > SHORT:
+        return sketch(words)
+    own = sketch(words, sketches=SHORT_SKETCHES)
+    return np.r_[own, sketch(words, TINY_K, TINY_SKETCHES)] if 3 <= len(words) <= TINY else own
+
+
 def digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts, where each begins, and two 64-bit digests of each text's word sequence."""
     words, at = textscan.words(texts)
@@ -234,8 +248,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
             sizes = np.diff(at)
             for i in np.flatnonzero(sizes == 0):  # no words: the text itself
                 digest[i] = np.frombuffer(textscan.hashlib.blake2b((part.column("text")[int(i)].as_py() or "").encode(), digest_size=16).digest(), np.uint64)
-            keys = np.concatenate([sketch(words[at[i] : at[i + 1]]) for i in np.flatnonzero(sizes)]) if len(words) else np.empty(0, np.uint64)
-            cuts = np.r_[0, np.cumsum(np.where(sizes > 0, SKETCHES, 0))].astype(np.int32)
+            each = [keys_of(words[at[i] : at[i + 1]]) if sizes[i] else np.empty(0, np.uint64) for i in range(len(sizes))]
+            keys = np.concatenate([*each, np.empty(0, np.uint64)])
+            cuts = np.r_[0, np.cumsum([len(e) for e in each])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_hash"), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64)))],
                 ["doc_id", "text_hash", "d1", "d2", "n_words", "sketches"],

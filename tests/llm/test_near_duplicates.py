@@ -189,6 +189,44 @@ def test_recall_at_alignment_similarity(spark):
     assert not [i for i in range(300) if got[2 * i] not in (2 * i,)]
 
 
+def changed(words, edits, draw):
+    """The words with that many edits: replaced, left out or put in."""
+    out = list(words)
+    for e, at in enumerate(sorted(draw.choice(len(words), edits, replace=False), reverse=True)):
+        kind = int(draw.integers(0, 3))
+        out[at : at + (kind != 2)] = [f"new{e}x{draw.integers(1 << 30)}"] * (kind != 1)
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 10, 15, 20, 30, 45, 60, 100])
+def test_recall_of_short_texts(n):
+    """Nine of ten pairs at similarities of 0.80 to 0.85 agree in a sketch, at every length."""
+    draw = np.random.default_rng(n)
+    of = lambda ws: set(om.keys_of(textscan.words(pa.array([" ".join(ws)]))[0]).tolist())
+    met = tried = 0
+    while tried < 150:
+        words = [f"w{draw.integers(1 << 30)}" for _ in range(n)]
+        other = changed(words, max(1, int(0.2 * n)), draw)
+        similarity = 1 - brute_edits(words, np.array(other)) / max(len(words), len(other))
+        if 0.8 - 1e-9 <= similarity <= 0.85:
+            tried += 1
+            met += bool(of(words) & of(other))
+    assert met >= 0.9 * tried, met / tried
+
+
+def test_classes_of_tiny_texts_equal_brute_force(spark):
+    draw = np.random.default_rng(9)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(int(draw.integers(1, 25)))]
+        rows.append((len(rows), " ".join(words)))
+        rows += [(len(rows) + c, " ".join(changed(words, int(0.15 * len(words)), draw))) for c in range(2)]
+    links = [(a, b) for a, x in rows for b, y in rows if a < b and a // 3 == b // 3 and 1 - brute_edits(x.split(), np.array(y.split())) / max(len(x.split()), len(y.split()), 1) >= 0.8 - 1e-9]
+    of = {r["doc_id"]: r["class_id"] for r in om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(of[a] == of[b] for a, b in links) >= 0.97 * len(links)
+    assert all(of[a] != of[b] for a in of for b in of if a // 3 != b // 3)
+
+
 def test_recall_of_all_aligned_pairs_of_the_table(spark):
     """Every pair of a source's documents that shares a word in twenty, aligned by brute force."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
