@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import in_batches
+from .common import in_batches, stash
 
 UNKNOWN = "und"
 FEATURES = 1 << 13
@@ -151,22 +151,25 @@ def fit(x: Rows | np.ndarray, labels: list[str], rounds: int = 15, rate: float =
     return LanguageModel(languages, code.astype(np.float32), weights, bias, trust / trust.mean())
 
 
-def train(docs: DataFrame, sample: int = 800, in_all: int = 4000, most_languages: int = 1000) -> LanguageModel:
+def train(docs: DataFrame, sample: int = 800, in_all: int = 4000, least: int = 16) -> LanguageModel:
     """Fit on text and lang of a bounded sample of the rows that may be learnt from.
 
     Those are rows whose lang is not null and whose crc32(doc_id as text) mod 5
-    is not 0 (a null doc_id counts as empty text).  About `sample` rows of each
-    language and `in_all` rows together, chosen by a hash of doc_id and text, are
-    read; rows equal in both count once among them.  The `most_languages` values of
-    lang with the most rows are learnt.
+    is not 0 (a null doc_id counts as empty text).  Every value of lang is learnt.
+    About `sample` rows of each and `in_all` rows together, but `least` of each
+    however many values there are, are chosen by a hash of doc_id and text; rows
+    equal in both count once among them.
     """
     textscan.lean()  # the driver's Python has the sample once and gives it back
     known = in_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64("doc_id", "text").alias("_h"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not counts:
+    counts = stash(known.groupBy("lang").agg(F.count("*").alias("_n")))
+    languages = counts.count()
+    if not languages:
         return fit(np.zeros((0, FEATURES), np.float32), [])
-    share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, min(sample, in_all / len(counts)) / n)))])
-    chosen = known.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).groupBy("lang", "_h").agg(F.first("text").alias("text"))
+    each = min(sample, max(least, in_all / languages))
+    # a row for each language, as the model on the driver has
+    told = known.join(F.broadcast(counts), "lang")
+    chosen = told.where(F.shiftrightunsigned("_h", 11) < F.lit(each) / F.col("_n") * 2.0**53).groupBy("lang", "_h").agg(F.first("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.slices(batches, limit=1 << 18):

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,12 @@ def test_odd_texts_and_tables(spark):
     assert language.identify(odd.limit(0), model).count() == 0
     one = language.train(odd.where("lang = 'fr'"))
     assert one.languages in (["fr"], [])
+
+
+def test_every_language_is_learnt(spark):
+    """1,100 values of lang, one of which has most rows."""
+    rows = [(5 * i + 1, f"w{i % 97} v{i % 89} " + "abcdefghij"[i % 10] * 5, f"l{i:04d}") for i in range(1100)] + [(5 * i + 2, f"the cat {i}", "l0000") for i in range(3000)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) >= 850 and {len(np.unique(c)) for c in model.code.T} == {2}
+    held = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert set(model.languages) == held
