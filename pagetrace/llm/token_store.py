@@ -115,7 +115,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2, part_bytes:
 
     wanted = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = wanted.repartitionByRange(max(1, -(-size // part_bytes)), "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    # few bytes still go to all cores, a megabyte each at least
+    parts = max(1, -(-size // part_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
+    ordered = wanted.repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     return stash(ordered.mapInArrow(rows, "part long, file string, docs long, tokens long"))
 
 
