@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +73,36 @@ def prefix_with_cut(sections: DataFrame, key: str, budget: int) -> DataFrame:
     return sections.withColumn("_left", F.lit(budget) - used).where("_left > 0").withColumn("section", F.left("section", F.col("_left").cast("int"))).drop("_left")
 
 
+def rendered_diffs(diffs: DataFrame, files: DataFrame, budget: int = 12_000) -> DataFrame:
+    """diff_id, text: what a prompt shows of each diff (diff_id, repo, title), a header and its files in order, up to the budget of characters.
+
+    files: diff_id, ord, path, status, symbols, hunks.  The header is never cut; the
+    file that crosses the budget is, later ones go, and a mark tells that they did.
+    A diff without files is its header.
+    """
+    named = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("(none)"))
+    header = F.concat(F.lit("repo: "), F.coalesce("repo", F.lit("")), F.lit("\npr_title: "), named(F.col("title")), F.lit("\n"))
+    about = F.concat(F.lit("\n## file: "), "path", F.lit(" ("), "status", F.lit(")\nchanged symbols: "), named(F.array_join("symbols", ", ")))
+    hunks = F.coalesce("hunks", F.array().cast("array<string>"))
+    sections = files.select("diff_id", "ord", F.concat_ws("\n", about, F.when(F.size(hunks) > 0, F.array_join(hunks, "\n"))).alias("section"))
+    whole = sections.groupBy("diff_id").agg(F.sum(F.length("section")).alias("_whole"))
+    # what is gathered of a diff is no longer than the budget
+    begun = prefix_with_cut(sections, "diff_id", budget).groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "section"))), lambda x: x["section"]), "").alias("_begun"))
+    both = diffs.select("diff_id", header.alias("_header")).join(whole, "diff_id", "left").join(begun, "diff_id", "left")
+    room = F.greatest(F.lit(0), F.lit(budget) - F.length("_header"))
+    mark = F.when(F.coalesce("_whole", F.lit(0)) > F.lit(budget) - F.length("_header"), F.when(F.col("_whole").isNotNull(), "\n... (diff truncated)"))
+    return both.select("diff_id", F.concat("_header", F.left(F.coalesce("_begun", F.lit("")), room), F.coalesce(mark, F.lit(""))).alias("text"))
+
+
+def heads(rows: DataFrame, key: str, item: str, most: int) -> DataFrame:
+    """key, shown: the first of each key's different items, comma-joined, and how many more there are; no key's items are gathered beyond `most`, and null keys are left out."""
+    each = rows.select(key, F.col(item).alias("ord")).where("ord is not null").distinct()
+    first = capped(each, key, most).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("ord")), ", ").alias("_first"))
+    more = F.col("_n") - most
+    told = each.groupBy(key).agg(F.count("*").alias("_n")).join(first, key)
+    return told.select(key, F.when(more > 0, F.concat("_first", F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(F.col("_first")).alias("shown"))
+
+
 def two_caps(lines: DataFrame, key: str, inner: str, per_inner: int, per_key: int) -> DataFrame:
     """At most per_inner lines of each inner group, and of those at most per_key of each key, by ord."""
     return capped(capped(lines, F.struct(key, inner), per_inner), key, per_key)
@@ -144,15 +179,30 @@ def cacheable(pages: Column, rendered: Column, least: int = 16_000) -> Column:
     return F.coalesce((pages > 1) & (F.length(rendered) >= least), F.lit(False))
 
 
-def write_pages(outcomes: DataFrame, root: str) -> None:
-    """Applied pages as rows of path and content, outside the tool's own state folder."""
-    outcomes.where("applied and not page_path like '.state/%'").select(F.concat(F.lit(root.rstrip("/") + "/"), "page_path").alias("path"), "new_content").write.mode("overwrite").json(f"{root}/changed")
-
+def write_pages(outcomes: DataFrame, root: str, docs_root: str = "") -> DataFrame:
+    """Writes every applied page (page_path, applied, new_content) to its file below root; path and n_bytes of each file.
 
-def dashboard_html(overview: DataFrame, drops: DataFrame) -> str:
-    """A self-contained page of two small aggregates (one row, and a row for each reason)."""
-    o = overview.first().asDict()
-    escape = lambda v: str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    row = lambda k, v: f"<tr><th>{escape(k)}</th><td>{escape(v)}</td></tr>"
-    reasons = drops.orderBy("reason").limit(50).collect()
-    return "<!doctype html><title>Runs</title><table>" + "".join(row(k, v) for k, v in o.items()) + "</table><table>" + "".join(row(r["reason"], r["n"]) for r in reasons) + "</table>"
+    path is page_path below docs_root.  Pages of the tool's own state folder stay
+    unwritten.  Of several outcomes of a page that with the greatest text counts; a
+    null text is an empty file.  A path that would leave the root fails the job.
+    Tasks write to a draft and move it into place, so one that runs again does no harm.
+    """
+    pages = outcomes.where("applied and page_path is not null and not page_path like '.state/%'").groupBy("page_path").agg(F.coalesce(F.max("new_content"), F.lit("")).alias("content"))
+    outside = F.col("page_path").startswith("/") | F.array_contains(F.split("page_path", "/"), "..")
+    path = F.when(outside, F.raise_error(F.concat(F.lit("outside the root: "), "page_path"))).otherwise(F.concat_ws("/", F.lit(docs_root.strip("/") or None), "page_path"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            sizes = []
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                at, data = f"{base}/{name}", content.as_buffer()
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                draft = f"{at}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(draft) as out:
+                    out.write(data)
+                fs.move(draft, at)
+                sizes.append(data.size)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
+
+    return kept(pages.select(path.alias("path"), "content").mapInArrow(write, "path string, n_bytes long"), "pages")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
-from pagetrace.operators import reports
+from pagetrace.operators import dashboard, reports
+from pagetrace.shared import folder
 
 from .registry import query, read
 
@@ -44,8 +45,46 @@ def critique_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_brand, array_to_string(s[1:3], ', ') || CASE WHEN len(s) > 3 THEN ' (+' || (len(s) - 3) || ' more)' ELSE '' END AS shown FROM (SELECT p_brand, list_sort(list_distinct(list(p_name))) AS s FROM part GROUP BY p_brand)""")
 def symbol_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("s"))
-    return names.select("p_brand", reports.head_and_more(F.col("s"), 3).alias("shown"))
+    return reports.heads(read(spark, sf_dir, "part"), "p_brand", "p_name", 3)
+
+
+@query("""WITH s AS (SELECT source, doc_id, chr(10) || '## file: d' || doc_id || ' (' || CASE WHEN doc_id % 2 = 0 THEN 'added' ELSE 'modified' END || ')' || chr(10) || 'changed symbols: ' || CASE WHEN doc_id % 3 = 0 THEN '(none)' ELSE 'd' || doc_id || ', s' END
+    || CASE WHEN doc_id % 5 > 0 THEN chr(10) || '@@ 1 @@' || chr(10) || coalesce(text, '') ELSE '' END AS section FROM documents WHERE source IS NOT NULL),
+  b AS (SELECT *, 12000 - length('repo: ' || source || chr(10) || 'pr_title: (none)' || chr(10)) AS room, coalesce(sum(length(section)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s)
+  SELECT source, length(text) AS n, md5(text) AS digest FROM (SELECT source, 'repo: ' || source || chr(10) || 'pr_title: (none)' || chr(10) || string_agg(left(section, CAST(greatest(0, room - used) AS BIGINT)), '' ORDER BY doc_id) || CASE WHEN sum(length(section)) > max(room) THEN chr(10) || '... (diff truncated)' ELSE '' END AS text FROM b GROUP BY source)""")
+def prompt_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as one diff, its documents as the files."""
+    d = read(spark, sf_dir, "documents").where("source is not null")
+    name, n = F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("doc_id")
+    hunk = F.concat(F.lit("@@ 1 @@\n"), F.coalesce("text", F.lit("")))
+    files = d.select(F.col("source").alias("diff_id"), n.alias("ord"), name.alias("path"), F.when(n % 2 == 0, "added").otherwise("modified").alias("status"), F.when(n % 3 > 0, F.array(name, F.lit("s"))).alias("symbols"), F.when(n % 5 > 0, F.array(hunk)).alias("hunks"))
+    diffs = d.select(F.col("source").alias("diff_id"), F.col("source").alias("repo"), F.lit("").alias("title")).distinct()
+    return reports.rendered_diffs(diffs, files).select(F.col("diff_id").alias("source"), F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+@query("""SELECT 'docs/guide/p' || page_id || '.html' AS path, strlen(coalesce(html, '')) AS n_bytes, md5(coalesce(html, '')) AS digest FROM pages WHERE page_id % 10 > 0 AND page_id % 3 < 2""")
+def written_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files, and the files read back."""
+    at, n = folder(spark, "site"), F.col("page_id")
+    name = F.concat(F.when(n % 10 == 0, ".state/p").otherwise("guide/p"), n.cast("string"), F.lit(".html"))
+    reports.write_pages(read(spark, sf_dir, "pages").select(name.alias("page_path"), (n % 3 < 2).alias("applied"), F.col("html").alias("new_content")), at, "docs")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{at}/docs")
+    return files.select(F.regexp_extract("path", "docs/guide/[^/]+$", 0).alias("path"), F.col("length").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+@query("""SELECT strftime(day, '%Y-%m-%d') AS day, round(CAST(sum(cost) OVER (ORDER BY day) AS DOUBLE), 2) AS cumulative FROM (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS cost FROM orders GROUP BY 1)""")
+def dashboard_cost_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = dashboard.cost_curve(read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_totalprice").cast("double").alias("cost")))
+    return curve.select(F.col("day").cast("string").alias("day"), F.round("cumulative", 2).alias("cumulative"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders QUALIFY place <= 8),
+  p AS (SELECT o_orderkey AS run_id, l_linenumber AS ord, place, count(*) OVER (PARTITION BY o_orderkey) AS "all", row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS n FROM r JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 5)
+  SELECT run_id, ord, place, "all" FROM p WHERE n <= 3""")
+def dashboard_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("ord"))
+    pages = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ord"), (F.col("l_quantity") > 5).alias("applied"))
+    return dashboard.recent_changes(runs, pages, most=3).select("run_id", "ord", "place", "all")
 
 
 @query("""SELECT source, doc_id, CAST(length(left(text, CAST(least(length(text), room) AS BIGINT))) AS BIGINT) AS length FROM (SELECT source, doc_id, text, 5000 - coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM documents) WHERE room > 0""")

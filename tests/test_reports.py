@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from pagetrace.operators import history, reports
+from pagetrace.operators import dashboard, history, reports
 
 
 def first(spark, *columns):
@@ -43,18 +44,56 @@ def test_base_comes_from_the_first_cursor(spark):
     assert sorted((r["repo_key"], r["base_sha"] or "") for r in reports.base_of(c, k).collect()) == [("r", "b"), ("r", "old"), ("s", "")]
 
 
-def test_report_and_dashboard(spark):
+def test_report(spark):
     rows = [("r", f"p{i:02}", i % 2 == 0, None if i else "note") for i in range(60)]
     text = reports.markdown(spark.createDataFrame(rows, "run string, page_path string, applied boolean, note string"), "run").first()["report"]
     assert text.startswith("## Changed (30)\n- `p00`: note\n- `p02`") and "## Dropped (30)" in text and text.count("- `") == 40
-    html = reports.dashboard_html(spark.createDataFrame([(3,)], "runs int"), spark.createDataFrame([("<b>", 2)], "reason string, n int"))
-    assert "<td>3</td>" in html and "&lt;b&gt;" in html
 
 
-def test_pages_are_written_outside_the_state_folder(spark, tmp_path):
-    o = spark.createDataFrame([("a.md", True, "x"), (".state/y", True, "y"), ("b.md", False, "z")], "page_path string, applied boolean, new_content string")
-    reports.write_pages(o, f"file://{tmp_path}")
-    assert [r["new_content"] for r in spark.read.json(f"file://{tmp_path}/changed").collect()] == ["x"]
+def test_dashboard(spark):
+    runs = spark.sql("""SELECT concat('r', id) AS run_id, timestamp '2024-05-01 00:00:00' + make_dt_interval(CAST(id AS INT)) AS ts, id AS ord, IF(id = 0, 'bootstrap', 'run') AS command, IF(id = 3, 'error', 'ok') AS status,
+        '<script>' AS repo, id AS calls, 0.5D AS hit_rate, IF(id = 4, NULL, 1.25D) AS cost, id AS updated, 7L AS authored FROM range(12)""")
+    pages = spark.sql("""SELECT concat('r', id % 12) AS run_id, id AS ord, 'run' AS command, concat('p', id, '&.md') AS page_path, id % 12 <> 9 AS applied, IF(id % 12 = 9, 'edit not applicable', '') AS note,
+        IF(id = 11, array('why <b>'), NULL) AS rationales, CAST(NULL AS array<string>) AS warnings, IF(id = 11, '@@ -1 @@\\n-a\\n+<b>\\n c', NULL) AS diff FROM range(1500)""")
+    usage = spark.sql("SELECT 'm' AS model, 'edit' AS stage, 2L AS calls, 30L AS tokens, 0.5D AS cost")
+    page = dashboard.html(runs, pages, usage, reports.health_panel(spark.sql("SELECT array('a', 'b') AS sources")), "2024-05-07 00:00:00", 10.0)
+    assert "<script>" not in page and "&lt;script&gt;" in page and "<b>" not in page and "<li>why &lt;b&gt;</li>" in page
+    assert page.count("<details>") == 7 and "<summary>r11: 125 pages</summary>" in page and page.count("<p>25 more.</p>") == 7  # r9 has none applied
+    assert '<span class="place">@@ -1 @@</span>\n<span class="old">-a</span>\n<span class="new">+&lt;b&gt;</span>\n<span class="same"> c</span>' in page
+    assert "Cost so far: $13.75" in page and page.count(" L") == 12 and "<td>not_applicable</td><td>125</td>" in page
+    empty = dashboard.html(runs.limit(0), pages.limit(0), usage.limit(0), runs.limit(0).select("ord"), "2024-05-07 00:00:00", 10.0)
+    assert "<svg " not in empty and empty.count("<p>None.</p>") == 5
+
+
+def test_pages_are_written_as_files_outside_the_state_folder(spark, tmp_path):
+    o = spark.createDataFrame([("a.md", True, "é\n"), ("a.md", True, "a"), ("deep/er/c.md", True, None), (".state/y", True, "y"), ("b.md", False, "z"), (None, True, "n")], "page_path string, applied boolean, new_content string")
+    for _ in range(2):  # again over what is there
+        got = {tuple(r) for r in reports.write_pages(o, f"file://{tmp_path}", "docs/").collect()}
+        assert got == {("docs/a.md", 3), ("docs/deep/er/c.md", 0)}
+        assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {"docs/a.md": "é\n", "docs/deep/er/c.md": ""}
+    assert reports.write_pages(o.limit(0), f"file://{tmp_path}").count() == 0
+    for bad in ("../x", "/etc/x", "a/../../x"):
+        with pytest.raises(Exception, match="outside the root"):
+            reports.write_pages(spark.createDataFrame([(bad, True, "x")], o.schema), f"file://{tmp_path}")
+
+
+def test_rendered_diffs(spark):
+    diffs = spark.createDataFrame([("a", "r", "t"), ("b", "r", None), ("c", "r", ""), ("d", "r" * 40, "t")], "diff_id string, repo string, title string")
+    files = spark.createDataFrame([("a", 0, "x.py", "added", ["f", "g"], ["@@ 1", "@@ 2"]), ("a", 1, "y.py", "removed", None, None), ("b", 0, "x", "modified", [], ["@" * 100]), ("d", 0, "x", "added", None, None)], "diff_id string, ord int, path string, status string, symbols array<string>, hunks array<string>")
+    whole = {r["diff_id"]: r["text"] for r in reports.rendered_diffs(diffs, files).collect()}
+    a = "repo: r\npr_title: t\n\n## file: x.py (added)\nchanged symbols: f, g\n@@ 1\n@@ 2\n## file: y.py (removed)\nchanged symbols: (none)"
+    assert whole["a"] == a and whole["c"] == "repo: r\npr_title: (none)\n"
+    for budget in (len(a) - 1, len(a), 50, 1):
+        got = {r["diff_id"]: r["text"] for r in reports.rendered_diffs(diffs, files, budget).collect()}
+        for k, text in whole.items():
+            head = text.index("\n", text.index("pr_title")) + 1
+            assert got[k] == (text if len(text) <= budget or len(text) == head else text[: max(budget, head)] + "\n... (diff truncated)")
+
+
+def test_heads_of_hot_keys(spark):
+    rows = [("hot", f"n{i % 300:03}") for i in range(3000)] + [("one", "x"), ("one", None), (None, "y")]
+    got = {tuple(r) for r in reports.heads(spark.createDataFrame(rows, "k string, item string"), "k", "item", 2).collect()}
+    assert {("hot", "n000, n001 (+298 more)"), ("one", "x")} <= got
 
 
 def test_report_with_costs(spark):
