@@ -1,14 +1,17 @@
 """Nested navigation: sidebars as rows, and rows as sidebars, however deep they are.
 
 A node is a row with `at`, its places from the top down, so rows of all levels
-sort in reading order.  Reading goes down some levels in each job, over all
-sidebars at once, until a level is empty; writing is one aggregation.
+sort in reading order.  Reading is one pass over the sidebars, however deep they
+are; writing is one aggregation.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,56 +20,106 @@ from pagetrace.shared import kept
 KEYS = ["nav", "sidebar_ord", "sidebar"]
 
 
-def _text(v: Column, path: str) -> Column:
-    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+#: Nodes that are handed over at once.
+_BATCH = 50_000
+_NODE = "at array<int>, route string, label string, category boolean, fields map<string,string>, other string, has_items boolean"
 
 
-def _items(v: Column) -> Column:
-    """An array of variants; what is no array counts as its only member."""
-    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+class _Number(str):
+    """A number as it is written."""
 
 
-def _level(level: DataFrame) -> DataFrame:
-    """The nodes of _items (KEYS, _above, _items), with what is in them as _inner."""
-    node = level.select(*KEYS, "_above", F.posexplode("_items").alias("_place", "_v"))
-    kind, v = F.schema_of_variant(F.col("_v")), F.col("_v")
-    object_ = kind.startswith("OBJECT")
-    fields = F.when(object_, F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: k != "items"))
-    doc = F.when(_text(v, "$.type") == "doc", _text(v, "$.id"))
-    return node.select(
-        *KEYS,
-        F.concat("_above", F.array("_place")).alias("at"),
-        F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(doc).alias("route"),
-        F.when(object_, _text(v, "$.label")).alias("label"),
-        F.coalesce(object_ & (_text(v, "$.type") == "category"), F.lit(False)).alias("category"),
-        F.transform_values(fields, lambda _, x: F.to_json(x)).alias("fields"),
-        F.to_json(F.when(~object_ & (kind != "STRING"), v)).alias("other"),
-        F.to_json(F.when(object_, F.try_variant_get(v, "$.items", "variant"))).alias("_inner"),
-    )
+def _whole(s: str) -> str:
+    """A string that can be written: what is no character becomes ?."""
+    return s.encode("utf-8", "replace").decode() if not s.isascii() else s
+
+
+def _object(pairs: list) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a name occurs twice")
+    return found
+
+
+def _json(v) -> str:
+    """JSON without blanks, names in order, numbers as they were."""
+    if isinstance(v, _Number):
+        return v
+    if isinstance(v, dict):
+        return "{" + ",".join([f"{_json(k)}:{_json(v[k])}" for k in sorted(v)]) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join([_json(x) for x in v]) + "]"
+    return _whole(json.dumps(v, ensure_ascii=False))
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(name)
 
 
-def nodes(sidebars: DataFrame, step: int = 2) -> DataFrame:
+def _read(text: str | None) -> list:
+    """A sidebar's items; none if it isn't JSON."""
+    try:
+        found = json.loads(text or "", object_pairs_hook=_object, parse_int=_Number, parse_float=_Number, parse_constant=_no_number)
+    except (ValueError, RecursionError):
+        return []
+    return found if isinstance(found, list) else [found]
+
+
+def _nodes(text: str | None) -> Iterator[tuple]:
+    """A sidebar's nodes in reading order, by a stack of what is still to be read."""
+    string = lambda v: _whole(v) if isinstance(v, str) and not isinstance(v, _Number) else None
+    stack = [((), enumerate(_read(text)))]
+    while stack:
+        above, rest = stack[-1]
+        place, v = next(rest, (None, None))
+        if place is None:
+            stack.pop()
+            continue
+        at = (*above, place)
+        if not isinstance(v, dict):
+            route = string(v)
+            yield at, route, None, False, None, _json(v) if route is None else None, False
+            continue
+        kind, holds = string(v.get("type")), "items" in v
+        fields = [(_whole(k), _json(x)) for k, x in v.items() if k != "items"]
+        yield at, string(v.get("id")) if kind == "doc" else None, string(v.get("label")), kind == "category", fields, None, holds
+        if holds:
+            inner = v["items"]
+            stack.append((at, enumerate(inner if isinstance(inner, list) else [inner])))
+
+
+def nodes(sidebars: DataFrame) -> DataFrame:
     """KEYS, at, route, label, category, fields, other, has_items of every node of sidebars (KEYS, items: JSON).
 
     A node is a page's id, or an object; route is the id of a page, be it plain or
     an object of type doc.  fields: an object's JSON values by name, but for its
     items; null for a plain id.  Items that are no array count as an array of one.
-    Sidebars that aren't JSON have no nodes.  Each job goes `step` levels down.
+    Sidebars that aren't JSON, or have an object with one name twice, have no nodes.
+    Each sidebar's text is read once, whatever its depth.
     """
-    level = sidebars.select(*KEYS, F.array().cast("array<int>").alias("_above"), _items(F.try_parse_json("items")).alias("_items")).where(F.col("_items").isNotNull())
-    found: list[DataFrame] = []
-    while True:
-        levels: list[DataFrame] = []
-        for _ in range(step):
-            levels.append(_level(level))
-            level = levels[-1].where("_inner is not null").select(*KEYS, F.col("at").alias("_above"), _items(F.parse_json("_inner")).alias("_items"))
-        told = kept(reduce(DataFrame.unionByName, levels), "nav")
-        found.append(told.withColumn("has_items", F.col("_inner").isNotNull()).drop("_inner"))
-        last = told.where((F.size("at") == step * len(found)) & F.col("_inner").isNotNull())
-        if last.isEmpty():
-            break
-        level = last.select(*KEYS, F.col("at").alias("_above"), _items(F.parse_json("_inner")).alias("_items"))
-    return reduce(DataFrame.unionByName, found)
+    rows = sidebars.select(*KEYS, "items")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+        types = [pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_()]
+
+        def handed(batch: pa.RecordBatch, of: list[int], found: list[tuple]) -> pa.RecordBatch:
+            keys = [batch.column(k).take(pa.array(of, pa.int64())) for k in KEYS]
+            return pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(zip(*found), types))], [*KEYS, *(x.split()[0] for x in _NODE.split(", "))])
+
+        for batch in batches:
+            of, found = [], []
+            for i, text in enumerate(batch.column("items").to_pylist()):
+                for node in _nodes(text):
+                    of.append(i)
+                    found.append(node)
+                    if len(found) >= _BATCH:
+                        yield handed(batch, of, found)
+                        of, found = [], []
+            if found:
+                yield handed(batch, of, found)
+
+    return rows.mapInArrow(read, f"{', '.join(f'{k} {t}' for k, t in rows.dtypes if k in KEYS)}, {_NODE}")
 
 
 def routes(tree: DataFrame) -> DataFrame:
@@ -112,6 +165,7 @@ def with_routes(tree: DataFrame, sidebars: DataFrame, added: DataFrame) -> DataF
     order of `added`.  Routes that any sidebar has already, at any depth, are left
     out, and so are repeated ones and null ones; adding twice changes nothing.
     """
+    tree = kept(tree, "nav")  # used several times
     tops = tree.where(F.size("at") == 1)
     place = F.struct("sidebar_ord", "sidebar", "at")
     known = tops.where("category and label is not null").groupBy("nav", F.col("label").alias("section")).agg(F.min(place).alias("_known"))

@@ -26,6 +26,12 @@ def kept(df: DataFrame, tag: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt out to some tasks for each core: a table in one file of one block is read by a single task, which would also do all the work on its rows."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
     """rows with `_range` and `_place`: ranges of that order, and the place in each of them.  What would need a whole group in order can be done by range and added up."""
     ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)

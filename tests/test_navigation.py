@@ -27,6 +27,18 @@ def test_routes_of_every_depth_in_reading_order(spark):
     assert [r for _, _, r in routes(spark, ("n", 0, "s", deep(40)))] == want
 
 
+def test_very_deep_sidebars_are_read_in_one_pass(spark):
+    n = 700
+    text = "".join(f'["before{i}", {{"type": "category", "label": "c", "items": ' for i in range(n)) + '["end"]' + "}]" * n
+    assert [r for _, _, r in routes(spark, ("n", 0, "s", text))] == [f"before{i}" for i in range(n)] + ["end"]
+
+
+def test_sidebars_of_one_file_are_read_by_several_tasks(spark, sf_dir):
+    from pagetrace.plans import trees
+
+    assert trees.nested_routes(spark, sf_dir).rdd.getNumPartitions() > 1
+
+
 def test_odd_items(spark):
     rows = [
         ("n", 0, "a", ["p", {"type": "doc", "id": "q"}, {"type": "doc", "id": 7}, {"type": "link", "id": "no"}, {"type": "doc", "id": "r", "items": ["s"]}, 3, None, ["t"], {"items": "one"}, {"items": {"type": "doc", "id": "two"}}, {"items": []}]),
