@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagetrace.operators import evaluate, history, replies
 from pagetrace.sources import events as ci
 from pagetrace.sources import history as log
-from pagetrace.shared import folder
+from pagetrace.shared import dealt, folder
 from pagetrace.streaming import heads, jobs
 
 from .registry import query, read
@@ -145,9 +145,9 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as lines of a run log, every seventh cut short and every eleventh blank."""
-    record = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.lit("run").alias("command"), F.col("event_type").alias("status"), F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repo"), F.col("event_id").cast("string").alias("head_sha"), F.struct(F.col("value").alias("cost_usd")).alias("usage")))
+    record = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.lit("run").alias("command"), F.col("event_type").alias("status"), F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repo"), F.col("event_id").cast("string").alias("head_sha"), F.struct(F.col("value").alias("cost_usd")).alias("usage")))
     k = F.col("event_id")
-    return read(spark, sf_dir, "events").select(F.when(k % 7 == 0, F.substring(record, 1, 40)).when(k % 11 == 0, "  ").otherwise(record).alias("value"))
+    return dealt(read(spark, sf_dir, "events")).select(F.when(k % 7 == 0, F.substring(record, 1, 40)).when(k % 11 == 0, "  ").otherwise(record).alias("value"))
 
 
 @query("""SELECT event_type AS status, count(*) AS n, round(sum(value), 3) AS cost FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 GROUP BY event_type""")
@@ -157,7 +157,8 @@ def log_tolerant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT head_sha, timestamp FROM (SELECT CAST(event_id AS VARCHAR) AS head_sha, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, ts FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0) ORDER BY ts DESC LIMIT 500""")
 def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.newest(log.parse_lines(_log_lines(spark, sf_dir)), 500).select("head_sha", "timestamp")
+    # the log's times are whole, so that runs of one second are in order; shown are seconds
+    return log.newest(log.parse_lines(_log_lines(spark, sf_dir)), 500).select("head_sha", F.left("timestamp", F.lit(19)).alias("timestamp"))
 
 
 def _ci(spark: SparkSession, sf_dir: str) -> DataFrame:

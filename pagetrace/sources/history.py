@@ -23,9 +23,9 @@ def append(runs: DataFrame, path: str) -> None:
 
 
 def newest(runs: DataFrame, keep: int = 1000) -> DataFrame:
-    """The newest runs by parsed time, oldest first."""
+    """The newest runs by parsed time, oldest first; of runs of one time the later head_sha counts as newer."""
     at = F.try_to_timestamp("timestamp")
-    return runs.orderBy(at.desc_nulls_last(), F.desc("timestamp")).limit(keep).orderBy(at, "timestamp")
+    return runs.orderBy(at.desc_nulls_last(), F.desc("timestamp"), F.desc("head_sha")).limit(keep).orderBy(at, "timestamp", "head_sha")
 
 
 def latest_cursors(runs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from pagetrace.plans import runs
 from pagetrace.sources import diffs, events, history, trees
 from pagetrace.streaming import jobs
 
@@ -52,6 +53,15 @@ def test_null_shas(spark):
     assert [r[0] for r in d.collect()] == [True, False, False, False]
 
 
+def test_retention_within_one_second(spark, tmp_path):
+    rows = spark.range(1300).selectExpr("id as event_id", "timestamp_micros(1700000000000000 + (id * 7919) % 1300) as ts", "1L as user_id", "'view' as event_type", "1.0D as value")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    left = sorted(((i * 7919) % 1300, str(i)) for i in range(1300) if i % 7 and i % 11)[-500:]
+    got = runs.log_retention(spark, str(tmp_path)).collect()
+    assert [r["head_sha"] for r in got] == [i for _, i in left]
+    assert {r["timestamp"] for r in got} == {"2023-11-14T22:13:20"}
+
+
 def test_events(spark):
     raw = [{"client_payload": {"repo": "r", "base_sha": "000", "head_sha": "h", "pr_number": "7"}}, {"before": "b", "after": "a", "repository": {"full_name": "x"}}, {"odd": 1}]
     rows = events.parse_events(spark.createDataFrame([(json.dumps(x),) for x in raw] + [("no json",), (None,)], "value string")).collect()
