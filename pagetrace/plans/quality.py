@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 from pagetrace.operators import gates, structure, symbols
+from pagetrace.shared import dealt
 from pagetrace.sources import diffs, trees
 
 from .registry import query, read
@@ -157,7 +158,7 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small module for each part: a definition, a constant, sometimes a class, and a comparison that defines nothing."""
     name = F.regexp_replace("p_name", "[^a-z]", "_")
     n = F.col("p_partkey").cast("string")
-    return read(spark, sf_dir, "part").select("p_partkey", "p_size", name.alias("name"), n.alias("n"))
+    return dealt(read(spark, sf_dir, "part")).select("p_partkey", "p_size", name.alias("name"), n.alias("n"))
 
 
 _HUNK = """SELECT 'src/b' || (p_partkey % 20) || CASE WHEN p_size % 5 = 0 THEN '.ts' ELSE '.py' END AS file_path, p_partkey AS hunk_ord, regexp_replace(p_name, '[^a-z]', '_', 'g') AS name, p_size, p_partkey % 9 AS k FROM part"""

@@ -321,6 +321,12 @@ def test_edit_order_numbers_a_large_group_in_ranges(spark):
         assert [r["page_path"] for r in sorted((r for r in got if r["source"] == s), key=lambda r: r["turn"])] == want and {r["turn"] for r in got if r["source"] == s} == set(range(1, len(want) + 1))
 
 
+def test_modules_of_one_file_are_read_by_several_tasks(spark, sf_dir):
+    from pagetrace.plans import quality
+
+    assert quality.api_surface(spark, sf_dir).rdd.getNumPartitions() > 1 and quality.py_symbols_ast(spark, sf_dir).rdd.getNumPartitions() > 1
+
+
 def test_symbols_live_in_the_rules_own_files(spark, monkeypatch):
     monkeypatch.setattr(planning, "NEEDLES", 2)
     files = spark.createDataFrame([("org/App.git", "src/a.py", "def run_all(): pass"), ("app", "src/b.py", "LIMIT = 1"), ("app", "lib/c.py", "only_here"), ("app", "src/n.py", None), ("x[1]", "src/a.py", "other")], "repo string, path string, text string")
