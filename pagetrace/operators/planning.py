@@ -199,8 +199,8 @@ def missing_symbols(symbols: DataFrame, texts: DataFrame) -> DataFrame:
     return left
 
 
-#: Symbols that one row of a text is searched for at once.
-NEEDLES = 4096
+#: Symbols that a text is searched for at once, and bytes of texts that one group of them is searched in.
+NEEDLES, SEARCHED = 32_768, 16 << 20
 
 
 def found_needles(texts: DataFrame) -> DataFrame:
@@ -231,6 +231,38 @@ def found_needles(texts: DataFrame) -> DataFrame:
     return texts.select("path", "text", "needles").mapInArrow(search, "path string, needle string")
 
 
+def found_in_classes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_class, needle of the needles (wanted: _class, needle) that any text of their class contains (texts: _class, path, text).
+
+    A class's needles and texts are dealt into parts, and each part of the needles
+    meets each part of the texts in one group, so that no group grows with the
+    input and needles are not repeated for each text.
+    """
+    import ahocorasick
+
+    parts = wanted.groupBy("_class").agg(F.ceil(F.count("*") / NEEDLES).alias("_parts"))
+    sizes = texts.groupBy("_class").agg(F.ceil((F.sum(F.octet_length("text")) + 1) / SEARCHED).alias("_salts"))
+    counts = kept(parts.join(sizes, "_class"), "parts")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = texts.join(counts, "_class").select("_class", each("_parts").alias("_part"), F.pmod(F.xxhash64("path"), "_salts").alias("_salt"), "text")
+    right = wanted.join(counts, "_class").select("_class", F.pmod(F.xxhash64("needle"), "_parts").alias("_part"), each("_salts").alias("_salt"), "needle")
+
+    def search(key: tuple, texts: pa.Table, needles: pa.Table) -> pa.Table:
+        found: set[str] = set()
+        if needles.num_rows:
+            automaton = ahocorasick.Automaton()
+            for n in needles.column("needle").to_pylist():
+                automaton.add_word(n, n)
+            automaton.make_automaton()
+            for chunk in texts.select(["text"]).to_batches(max_chunksize=1000):
+                for text in chunk.column(0).to_pylist():
+                    found.update(n for _, n in automaton.iter(text))
+        return pa.table({"_class": pa.array([key[0].as_py()] * len(found), pa.string()), "needle": pa.array(sorted(found), pa.string())})
+
+    keys = ["_class", "_part", "_salt"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "_class string, needle string").distinct()
+
+
 def missing_rule_symbols(sources: DataFrame, files: DataFrame) -> DataFrame:
     """page_path, source_ord, repo, symbol of each source's symbols that none of its own files contains.
 
@@ -249,14 +281,19 @@ def missing_rule_symbols(sources: DataFrame, files: DataFrame) -> DataFrame:
     globs = own.select("_source", F.explode("globs").alias("glob"), escaped.alias("_repo")).select("_source", F.concat("_repo", F.lit("\u0001"), "glob").alias("pattern"))
     full = files.select(F.concat("key", F.lit("\u0001"), "path").alias("path"), "text")
     hits = match_globs(full.select("path").distinct(), globs.select("pattern").distinct())
-    matched = kept(hits.join(globs, "pattern").select("_source", "path").distinct(), "matched")
     symbol = own.select("_source", F.explode("symbols").alias("symbol")).distinct()
     needles = kept(symbol.withColumn("needle", F.regexp_replace("symbol", r"\*\z", "")).where("needle <> ''"), "needles")
-    asked = matched.join(needles, "_source").select("path", "needle").distinct()
-    parts = asked.groupBy("path").agg(F.ceil(F.count("*") / NEEDLES).alias("_parts"))
-    lists = asked.join(parts, "path").groupBy("path", F.pmod(F.xxhash64("needle"), F.col("_parts")).alias("_part")).agg(F.sort_array(F.collect_list("needle")).alias("needles"))
-    found = found_needles(full.where("text is not null").join(lists, "path"))
-    alive = matched.join(found, "path").select("_source", "needle").distinct()
+    # what each of a source's globs is asked for; many sources share a glob
+    asked = kept(globs.distinct().join(needles.select("_source", "needle").distinct(), "_source"), "asked")
+    # files that the same globs match are of one class, and are searched for what any of these is asked for
+    listed = hits.groupBy("path").agg(F.sort_array(F.collect_set("pattern")).alias("_globs"))
+    member = kept(listed.withColumn("_class", F.sha2(F.to_json("_globs"), 256)), "matched")
+    classes = kept(member.groupBy("_class").agg(F.first("_globs").alias("_globs")).select("_class", F.explode("_globs").alias("pattern")), "classes")
+    wanted = kept(classes.join(asked.select("pattern", "needle").distinct(), "pattern").select("_class", "needle").distinct(), "wanted")
+    found = found_in_classes(full.where("text is not null").join(member.select("path", "_class"), "path").select("_class", "path", "text"), wanted)
+    # a symbol is alive for a glob if a file of any of the glob's classes has it
+    there = found.join(classes, "_class").select("pattern", "needle").distinct()
+    alive = asked.join(there, ["pattern", "needle"]).select("_source", "needle").distinct()
     missing = needles.join(alive, ["_source", "needle"], "left_anti")
     return own.select("_source", "page_path", "source_ord", "repo").join(missing, "_source").select("page_path", "source_ord", "repo", "symbol")
 

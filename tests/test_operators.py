@@ -343,6 +343,24 @@ def test_symbols_live_in_the_rules_own_files(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [("p.md", 0, "app", "only_here"), ("p.md", 1, "app", "LIMIT"), ("q.md", 0, "app", "run_all"), ("r.md", 0, "x[1]", "run_all"), ("s.md", 0, "app", "run_all")]
 
 
+def test_symbols_of_many_rules_are_not_repeated_for_each_file(spark, monkeypatch):
+    def repeated(*_):
+        raise AssertionError("needles are listed for each file")
+
+    monkeypatch.setattr(planning, "found_needles", repeated)
+    monkeypatch.setattr(planning, "NEEDLES", 3)
+    monkeypatch.setattr(planning, "SEARCHED", 40)
+    files = spark.createDataFrame([("app", f"{'src' if i % 2 else 'lib'}/{i}.py", f"x has_{i} y") for i in range(40)], "repo string, path string, text string")
+    sources = [(f"p{i}", 0, "app", ["src/*"] if i % 3 else ["src/*", "lib/*", "*"], [f"has_{i}", "has_*", f"none_{i}*"]) for i in range(60)]
+    got = planning.missing_rule_symbols(spark.createDataFrame(sources, "page_path string, source_ord int, repo string, globs array<string>, symbols array<string>"), files)
+    want = []
+    for page, _, _, globs, _ in sources:
+        i = int(page[1:])
+        texts = [f"x has_{k} y" for k in range(40) if k % 2 or len(globs) > 1]
+        want += [(page, s) for s in (f"has_{i}", f"none_{i}*") if not any(s.removesuffix("*") in t for t in texts)]
+    assert values(got, "page_path", "symbol") == sorted(want)
+
+
 def test_needles_that_lie_in_one_another(spark):
     rows = spark.createDataFrame([("a", "abcabcd", ["abc", "bc", "abcd", "bcd", "zz"]), ("b", "", ["x"]), ("c", "x", [])], "path string, text string, needles array<string>")
     assert sorted(map(tuple, planning.found_needles(rows).collect())) == [("a", "abc"), ("a", "abcd"), ("a", "bc"), ("a", "bcd")]
