@@ -100,34 +100,47 @@ def repaired(pages: DataFrame, tags: list[str]) -> DataFrame:
 _CONTAINER = r"(?m)^[ \t]*(?:```|:{3,}[ \t]*(?:[A-Za-z]+|\r?\n|\z))"
 
 
+def _nested(marks: list[str]) -> tuple[list[tuple[str | None, bool]], list[str], list[bool]]:
+    """found, stack, stray of a text's container lines; see _containers."""
+    fence, stack, found, stray = False, [], [], []
+    for line in marks:
+        mark = line.strip(" \t\r\n")
+        lost = False
+        if mark.startswith("`"):
+            fence = not fence
+        elif not fence:
+            kind = mark.lstrip(":").strip(" \t").lower()
+            if kind:
+                stack.append(kind)
+                found.append((kind, True))
+            else:
+                lost = not stack
+                found.append((None if lost else stack.pop(), False))
+        stray.append(lost)
+    return found, stack, stray
+
+
 def _containers(text: Column) -> Column:
-    """A fold over a text's container lines outside of code fences.
+    """What a text's container lines outside of code fences come to, in one pass over them.
 
-    Its state: fence (within one), stack (open kinds), found (kind, opens of each
-    opening and closing line; the kind of a closing line is the one that it closes,
-    null if it is stray) and kept (what is left of each matched line without stray ones).
+    found (kind, opens of each opening and
+    closing line; the kind of a closing line is the one that it closes, null if it is
+    stray); stack (kinds open at the end); stray (whether a matched line is one).
     """
-    found = F.array().cast("array<struct<kind:string,opens:boolean>>")
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(False).alias("fence"), none.alias("stack"), found.alias("found"), none.alias("kept"))
-
-    def step(acc: Column, line: Column) -> Column:
-        mark, size = F.ltrim(F.regexp_replace(line, r"[\r\n]", "")), F.size(acc["stack"])
-        kind = F.lower(F.regexp_extract(mark, r":+[ \t]*([A-Za-z]*)", 1))
-        fence = mark.startswith("`")
-        ignored = acc["fence"] | fence
-        opens, stray = ~ignored & (kind != ""), ~ignored & (kind == "") & (size == 0)
-        closes = ~ignored & (kind == "") & (size > 0)
-        stack = F.when(opens, F.concat(acc["stack"], F.array(kind))).when(closes, F.slice(acc["stack"], F.lit(1), size - 1)).otherwise(acc["stack"])
-        told = F.struct(F.when(opens, kind).when(closes, F.get(acc["stack"], size - 1)).alias("kind"), opens.alias("opens"))
-        return F.struct(
-            (acc["fence"] != fence).alias("fence"),
-            stack.alias("stack"),
-            F.when(ignored, acc["found"]).otherwise(F.concat(acc["found"], F.array(told))).alias("found"),
-            F.concat(acc["kept"], F.array(F.when(stray, F.lit("")).otherwise(line))).alias("kept"),
-        )
-
-    return F.aggregate(F.regexp_extract_all(text, F.lit(_CONTAINER), F.lit(0)), start, step)
+    found = pa.struct([("kind", pa.string()), ("opens", pa.bool_())])
+    kind = pa.struct([("found", pa.list_(found)), ("stack", pa.list_(pa.string())), ("stray", pa.list_(pa.bool_()))])
+
+    @F.arrow_udf("found array<struct<kind:string,opens:boolean>>, stack array<string>, stray array<boolean>")
+    def nested(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for each in lists:
+            told = [None if marks is None else _nested(marks) for marks in each.to_pylist()]
+            yield pa.array([None if t is None else {"found": [{"kind": k, "opens": o} for k, o in t[0]], "stack": t[1], "stray": t[2]} for t in told], kind)
+
+    return nested(_lines(text))
+
+
+def _lines(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_CONTAINER), F.lit(0))
 
 
 def container_signature(pages: DataFrame, kinds: list[str]) -> DataFrame:
@@ -151,8 +164,9 @@ def container_fault(text: Column) -> Column:
 def repaired_containers(text: Column) -> Column:
     """The text without stray closing lines, and with a closing line at its end for each block that is open there."""
     state = _containers(text)
+    kept = F.zip_with(_lines(text), state["stray"], lambda line, stray: F.when(stray, F.lit("")).otherwise(line))
     # the last part has no line after it
-    whole = F.array_join(F.zip_with(F.split(text, _CONTAINER, -1), state["kept"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(F.split(text, _CONTAINER, -1), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     depth = F.size(state["stack"])
     return F.when(depth == 0, whole).otherwise(F.concat(F.regexp_replace(whole, r"\s+\z", ""), F.lit("\n"), F.repeat(F.lit("\n:::"), depth), F.lit("\n")))
 

@@ -114,6 +114,17 @@ def test_containers(spark):
     assert signature == {(0, "note", 1, 1), (1, "tip", 1, 1), (1, "note", 1, 1), (2, "_unmatched", 0, 1), (2, "note", 1, 0), (3, "_unmatched", 0, 1), (4, "note", 1, 1), (8, "note", 1, 1), (8, "_unmatched", 0, 1)}
 
 
+def test_long_texts_are_repaired_in_one_pass(spark):
+    import time
+
+    n = 30_000
+    text = ":::a\n" * n + ":::\n" * (n - 1) + "x"
+    began = time.time()
+    [(fault, fixed)], signature = told(spark, text)
+    assert fault == "unclosed :::a" and fixed == text + "\n\n:::\n" and signature == set()
+    assert time.time() - began < 60
+
+
 def test_repair_leaves_nothing_to_repair(spark):
     got, _ = told(spark, ":::\n:::a\n```\n:::\n```\n:::b\n", ":::a\n:::b\nx", ":::\n:::\n")
     again, _ = told(spark, *(x for _, x in got))
