@@ -43,27 +43,45 @@ class HeldHeads(StatefulProcessor):
             self.pages.removeKey(tuple(key))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now, timers = timerValues.getCurrentWatermarkInMs(), set()
+        now = timerValues.getCurrentWatermarkInMs()
         last = tuple(self.last.get()) if self.last.exists() else None
+        # what the rows bring; only what is left of it in the end becomes state
+        heads: dict[str, tuple] = {}
+        pages: dict[str, dict[str, int]] = {}
         for r in rows:
             until = max(self._until(r["micros"]), now + 1)
-            timers.add(until)
             if r["kind"] == "page":
-                self.pages.updateValue((r["head_sha"], r["page_path"]), (until,))
+                pages.setdefault(r["head_sha"], {})[r["page_path"]] = until
             elif last is None or (r["micros"], r["head_sha"]) > last:
-                self.heads.updateValue((r["head_sha"],), (r["micros"], r["pages"] or 0, until))
+                heads[r["head_sha"]] = (r["micros"], r["pages"] or 0, until)
+        before = {k[0]: tuple(v) for k, v in self.heads.iterator()}
+        committed = {sha: len(paths) for sha, paths in pages.items()}
+        stored = set(before)
+        for sha, path in self.pages.keys():
+            stored.add(sha)
+            if path not in pages.get(sha, ()):
+                committed[sha] = committed.get(sha, 0) + 1
+        held = before | heads
+        whole = max(((ts, sha) for sha, (ts, n, _) in held.items() if committed.get(sha, 0) >= n), default=None)
+        done: set[str] = set()
+        if whole:
+            self.last.update(whole)
+            done = {sha for sha, (ts, _, _) in held.items() if (ts, sha) <= whole}
+            self._drop(done & stored)
+        timers = set()
+        for sha, head in heads.items():
+            if sha not in done:
+                self.heads.updateValue((sha,), head)
+                timers.add(head[2])
+        for sha, paths in pages.items():
+            if sha not in done:
+                for path, until in paths.items():
+                    self.pages.updateValue((sha, path), (until,))
+                    timers.add(until)
         for until in timers:
             self.handle.registerTimer(until)
-        committed: dict[str, int] = {}
-        for sha, _ in self.pages.keys():
-            committed[sha] = committed.get(sha, 0) + 1
-        held = {k[0]: (v[0], k[0], v[1]) for k, v in self.heads.iterator()}
-        whole = sorted((ts, sha) for sha, (ts, _, pages) in held.items() if committed.get(sha, 0) >= pages)
         if whole:
-            last = whole[-1]
-            self.last.update(last)
-            self._drop({sha for sha, (ts, _, _) in held.items() if (ts, sha) <= last})
-            yield Row(repo=key[0], head_sha=last[1], micros=last[0], status="released")
+            yield Row(repo=key[0], head_sha=whole[1], micros=whole[0], status="released")
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()

@@ -73,3 +73,50 @@ def test_heads_that_wait_too_long_expire(spark, tmp_path):
     job.run(head("a", "a1", 1, 1), sink=sink)
     job.run(head("b", "b1", 0, 30), sink=sink)
     assert seen == [("b", "b1", "released"), ("a", "a1", "expired")]
+
+
+class Kept(dict):
+    """A map state that counts its writes."""
+
+    writes = 0
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+class Last(list):
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self[-1]
+
+    def update(self, value):
+        self.append(value)
+
+
+def test_state_is_written_only_for_what_a_batch_leaves():
+    proc = heads.HeldHeads(48)
+    proc.heads, proc.pages, proc.last = Kept(), Kept(), Last()
+    timers = []
+    proc.handle = type("H", (), {"registerTimer": staticmethod(timers.append)})
+    clock = type("T", (), {"getCurrentWatermarkInMs": staticmethod(lambda: 0)})
+
+    def run(*rows):
+        keys = ("kind", "head_sha", "page_path", "pages", "micros")
+        return [(r["head_sha"], r["micros"]) for r in proc.handleInputRows(("r",), iter([dict(zip(keys, x)) for x in rows]), clock)]
+
+    rows = [r for i in range(500) for r in (("head", f"h{i}", None, 1, i), ("page", f"h{i}", "p", None, i))]
+    assert run(*rows, ("head", "late", None, 2, 900), ("page", "late", "p", None, 900)) == [("h499", 499)]
+    assert (proc.heads.writes, proc.pages.writes, len(timers)) == (1, 1, 1)
+    # the stored page comes again, and then the other one
+    assert run(("page", "late", "p", None, 901)) == []
+    assert run(("page", "late", "q", None, 902)) == [("late", 900)]
+    assert not proc.heads and not proc.pages and proc.last.get() == (900, "late")
