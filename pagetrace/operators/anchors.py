@@ -95,6 +95,17 @@ def match_globs(paths: DataFrame, rules: DataFrame, depth: int = 8) -> DataFrame
     return found
 
 
+def glob_hits(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules (pattern, ...) that match any of paths (path), with `hits`: how many rows they match.
+
+    Equal patterns are matched once, and so are equal paths: pairs of rows are
+    counted and never made, so that a pattern of many rules is no hot key.
+    """
+    many = paths.groupBy("path").agg(F.count("*").alias("_many"))
+    told = match_globs(many, rules.select("pattern").distinct()).groupBy("pattern").agg(F.sum("_many").alias("hits"))
+    return rules.join(told, "pattern")
+
+
 def match_symbols(symbols: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of a symbol and a rule: equality for exact rules, common beginnings for those ending in *."""
     out = [*symbols.columns, *rules.columns]

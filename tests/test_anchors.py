@@ -128,3 +128,18 @@ def test_columns_of_rules_are_kept_or_refused(spark):
     for name in anchors.RESERVED:
         with pytest.raises(ValueError):
             anchors.match_globs(p, r.withColumnRenamed("_mine", name))
+
+
+def test_hits_of_equal_patterns_and_paths_are_counted_once_each(spark, monkeypatch):
+    seen = []
+
+    def match(paths, rules, real=anchors.match_globs):
+        seen.append((paths.count(), rules.count()))
+        return real(paths, rules)
+
+    monkeypatch.setattr(anchors, "match_globs", match)
+    paths = spark.createDataFrame([("a/x.py",)] * 30 + [("b/y.py",)] * 2 + [(None,)], "path string")
+    rules = spark.createDataFrame([(i, "*x*") for i in range(20)] + [(20, "*.py"), (21, "b/*"), (22, "none*"), (23, None)], "rule int, pattern string")
+    got = {r["rule"]: r["hits"] for r in anchors.glob_hits(paths, rules).collect()}
+    assert got == {**{i: 30 for i in range(20)}, 20: 32, 21: 2}
+    assert seen == [(3, 5)]
