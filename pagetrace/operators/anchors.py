@@ -27,6 +27,8 @@ def in_blocks(rows: DataFrame, size: int = 5000) -> Iterator[DataFrame]:
 RESERVED = ("_rx", "_dir", "_level", "_up", "_gram", "_grams")
 #: Longest run of literal characters that paths are looked up by.
 GRAM = 3
+#: Pairs of a path and a pattern with one piece that are tested in one part.
+TESTED = 1_000_000
 
 
 def literal_runs(pattern: Column) -> Column:
@@ -53,7 +55,12 @@ def _by_gram(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     often = index.groupBy("_gram").agg(F.count("*").alias("_n"))
     # a pattern with a piece that no path has matches none
     rarest = pieces.join(often, "_gram", "left").groupBy("pattern", "_rx").agg(F.min_by("_gram", F.coalesce("_n", F.lit(0))).alias("_gram"))
-    return index.join(rarest, "_gram").where(F.rlike(F.col("path"), F.col("_rx"))).select("path", "pattern")
+    rarest = kept(rarest, "rarest")
+    # a piece that many paths and many patterns have is tested in parts of its paths
+    loads = often.join(rarest.groupBy("_gram").agg(F.count("*").alias("_asked")), "_gram").select("_gram", F.ceil(F.col("_n") * F.col("_asked") / TESTED).alias("_salts"))
+    dealt = index.join(loads, "_gram").select("_gram", F.pmod(F.xxhash64("path"), "_salts").alias("_salt"), "path")
+    asked = rarest.join(loads, "_gram").select("_gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"), "pattern", "_rx")
+    return dealt.join(asked, ["_gram", "_salt"]).where(F.rlike(F.col("path"), F.col("_rx"))).select("path", "pattern")
 
 
 def match_globs(paths: DataFrame, rules: DataFrame, depth: int = 8) -> DataFrame:

@@ -143,3 +143,11 @@ def test_hits_of_equal_patterns_and_paths_are_counted_once_each(spark, monkeypat
     got = {r["rule"]: r["hits"] for r in anchors.glob_hits(paths, rules).collect()}
     assert got == {**{i: 30 for i in range(20)}, 20: 32, 21: 2}
     assert seen == [(3, 5)]
+
+
+def test_a_piece_of_many_paths_is_tested_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "TESTED", 50)
+    names = [f"p/abc{i}" for i in range(60)]
+    rules = [f"*abc{i}*" for i in range(10)] + ["*abc*"]
+    got = anchors.match_globs(spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame([(r,) for r in rules], "pattern string"))
+    assert sorted(map(tuple, got.collect())) == sorted((n, r) for n in names for r in rules if r.strip("*") in n)
