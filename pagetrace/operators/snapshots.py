@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrace.shared import kept, numbered
 
+#: Pairs of this similarity are taken before less similar contents are compared.
+_FIRST = 0.875
+
 
 def _nth(rows: DataFrame, key: str, order: str) -> DataFrame:
     """rows with `nth`, from 0, within their key, in that order; no task holds a whole key."""
@@ -21,31 +25,38 @@ def _lines(texts: DataFrame) -> DataFrame:
     return each.groupBy("content", F.xxhash64("_line").alias("line")).agg(F.count("*").alias("many"), F.first(F.octet_length("_line") + 1).cast("long").alias("bytes"))
 
 
-def _rare(lines: DataFrame, sizes: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """content, line of each content's rarest lines that hold more than 1 - least of its bytes: two contents as similar as `least` share one."""
-    order = Window.partitionBy("content").orderBy("n", "line")
-    before = F.sum(F.col("many") * F.col("bytes")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("many") * F.col("bytes")
-    ranked = lines.join(frequency, "line").join(sizes, "content").withColumn("_before", before)
-    return ranked.where(F.col("_before") <= (1 - least) * F.col("size")).select("content", "line")
+def _ranked(lines: DataFrame, frequency: DataFrame) -> DataFrame:
+    """lines with the `size` of their content, and `before`: how many of its bytes are in lines that are rarer."""
+    bytes_, own = F.col("many") * F.col("bytes"), Window.partitionBy("content")
+    before = F.sum(bytes_).over(own.orderBy("n", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - bytes_
+    told = lines.join(frequency, "line").withColumn("size", F.sum(bytes_).over(own)).withColumn("before", before)
+    return kept(told.drop("n"), "ranked")
+
+
+def ranked_lines(removed: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of both sides' contents (content, text), ranked by how many of all contents have them."""
+    a, b = kept(_lines(removed), "lines"), kept(_lines(added), "lines")
+    frequency = kept(a.select("line").unionByName(b.select("line")).groupBy("line").agg(F.count("*").alias("n")), "frequency")
+    return _ranked(a, frequency), _ranked(b, frequency)
+
 
+def _rare(ranked: DataFrame, contents: DataFrame, least: float) -> DataFrame:
+    """content, line, size of these contents' rarest lines that hold more than 1 - least of their bytes: two contents as similar as `least` share one."""
+    return ranked.where(F.col("before") <= (1 - least) * F.col("size") + 0.5).join(contents, "content", "left_semi").select("content", "line", "size")
 
-def similar_contents(removed: DataFrame, added: DataFrame, least: float) -> DataFrame:
-    """old, new, similarity of contents (content, text) that share at least that part of the larger one's bytes, by lines.
+
+def similar_contents(a: DataFrame, b: DataFrame, removed: DataFrame, added: DataFrame, least: float) -> DataFrame:
+    """old, new, similarity of contents (content) that share at least that part of the larger one's bytes, by their ranked lines.
 
     A line counts as often as both have it.  Only contents that share one of their
     rarest lines are compared, which loses no pair; lines that many have are never
-    the meeting point unless they are most of a text.
+    the meeting point unless they are most of a text.  Half a byte is allowed for
+    rounding where pairs are left out unseen.
     """
-    # a side's lines are used several times
-    a, b = kept(_lines(removed), "lines"), kept(_lines(added), "lines")
-    size = lambda x: x.groupBy("content").agg(F.sum(F.col("many") * F.col("bytes")).alias("size"))
-    sizes_a, sizes_b = kept(size(a), "sizes"), kept(size(b), "sizes")
-    frequency = kept(a.select("line").unionByName(b.select("line")).groupBy("line").agg(F.count("*").alias("n")), "frequency")
-    rare_a, rare_b = _rare(a, sizes_a, frequency, least), _rare(b, sizes_b, frequency, least)
-    met = rare_a.withColumnRenamed("content", "old").join(rare_b.withColumnRenamed("content", "new"), "line").select("old", "new").distinct()
-    sized = met.join(sizes_a.toDF("old", "size_old"), "old").join(sizes_b.toDF("new", "size_new"), "new")
-    near = sized.where(F.least("size_old", "size_new") >= least * F.greatest("size_old", "size_new"))
-    both = near.join(a.toDF("old", "line", "many_old", "bytes"), "old").join(b.select(F.col("content").alias("new"), "line", F.col("many").alias("many_new")), ["new", "line"])
+    rare_a, rare_b = _rare(a, removed, least).toDF("old", "line", "size_old"), _rare(b, added, least).toDF("new", "line", "size_new")
+    sized = F.least("size_old", "size_new") + 0.5 >= least * F.greatest("size_old", "size_new")
+    near = rare_a.join(rare_b, "line").where(sized).select("old", "new", "size_old", "size_new").distinct()
+    both = near.join(a.select(F.col("content").alias("old"), "line", F.col("many").alias("many_old"), "bytes"), "old").join(b.select(F.col("content").alias("new"), "line", F.col("many").alias("many_new")), ["new", "line"])
     shared = both.groupBy("old", "new", "size_old", "size_new").agg(F.sum(F.least("many_old", "many_new") * F.col("bytes")).alias("shared"))
     told = shared.select("old", "new", (F.col("shared") / F.greatest("size_old", "size_new")).alias("similarity"))
     return told.where(F.col("similarity") >= least)
@@ -55,21 +66,73 @@ def _base(path: str) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def matched(pairs: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """u, v: v is the smallest node that u is connected with, for all u but these smallest; edges are pairs u, v of numbers.
+
+    Neighbours are linked to the smallest of them, first the larger, then the
+    smaller ones, until nothing changes: about the logarithm of the longest chain in rounds.
+    """
+    seen, edges = None, kept(edges.distinct(), "edges")
+    while True:
+        each = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = each.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
+        large = each.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = kept(least.withColumnRenamed("m", "v").unionByName(small).distinct(), "edges")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == seen:
+            return edges
+        seen = now
+
+
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """pairs with `group`: equal for pairs that are connected by their paths (others may have the same by chance)."""
+    ends = pairs.withColumn("u", F.xxhash64(F.lit("old"), "previous_path")).withColumn("v", F.xxhash64(F.lit("new"), "path"))
+    stars = _stars(ends.select("u", "v")).toDF("u", "_star")
+    return ends.join(stars, "u", "left").withColumn("group", F.coalesce("_star", "u")).drop("u", "v", "_star")
+
+
+def _in_turn(rows: pa.Table) -> pa.Table:
+    """Pairs taken one after the other, each path once on its side."""
+    rows = rows.sort_by([("similarity", "descending"), ("_renamed", "ascending"), ("previous_path", "ascending"), ("path", "ascending")])
+    old, new, taken = set(), set(), []
+    for i, (o, n) in enumerate(zip(rows["previous_path"].to_pylist(), rows["path"].to_pylist())):
+        if o not in old and n not in new:
+            old.add(o)
+            new.add(n)
+            taken.append(i)
+    return rows.take(pa.array(taken, pa.int64())).select(["previous_path", "path", "similarity"])
+
+
+def matched(pairs: DataFrame, rounds: int = 2, block: int = 200_000) -> DataFrame:
     """previous_path, path, similarity: pairs, the most similar first, each path once on its side.
 
     Ties: equal base names first, then by previous_path and path.  Pairs that are
     the best of both their paths are what taking one after the other would take;
-    the others go on without those paths, until there are none.
+    the others go on without those paths.  Equally similar files wait for each
+    other, so after these rounds the connected pairs that are left are taken in
+    turn within a task, the best `block` of each group at a time.
     """
     rank = F.struct((-F.col("similarity")).alias("s"), (_base("previous_path") != _base("path")).alias("b"), "previous_path", "path")
-    left, found = kept(pairs.withColumn("_rank", rank), "pairs"), None
+    left, found, grouped = kept(pairs.withColumn("_rank", rank), "pairs"), None, False
     while not left.isEmpty():
-        best = left.groupBy("previous_path").agg(F.min("_rank").alias("_rank")).join(left.groupBy("path").agg(F.min("_rank").alias("_rank")).select("_rank"), "_rank")
-        best = kept(best.select("_rank.previous_path", "_rank.path", (-F.col("_rank.s")).alias("similarity")), "matched")
+        if rounds:
+            best = left.groupBy("previous_path").agg(F.min("_rank").alias("_rank")).join(left.groupBy("path").agg(F.min("_rank").alias("_rank")).select("_rank"), "_rank")
+            best = best.select("_rank.previous_path", "_rank.path", (-F.col("_rank.s")).alias("similarity"))
+            rounds -= 1
+        else:
+            if not grouped:
+                left, grouped = kept(_grouped(left), "pairs"), True
+            first = left
+            if not left.groupBy("group").count().where(F.col("count") > block).isEmpty():
+                first = _nth(left, "group", "_rank").where(F.col("nth") < block)
+            each = first.select("group", "previous_path", "path", "similarity", F.col("_rank.b").alias("_renamed"))
+            best = each.groupBy("group").applyInArrow(_in_turn, "previous_path string, path string, similarity double")
+        best = kept(best, "matched")
         found = best if found is None else found.unionByName(best)
         left = kept(left.join(best.select("previous_path"), "previous_path", "left_anti").join(best.select("path"), "path", "left_anti"), "pairs")
-    return found if found is not None else pairs
+    return found if found is not None else left.drop("_rank")
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, least: float = 0.5) -> DataFrame:
@@ -101,11 +164,18 @@ def snapshot_changes(before: DataFrame, after: DataFrame, least: float = 0.5) ->
         added = kept(added.join(pairs.select("path"), "path", "left_anti"), "added")
 
     # equal contents are compared once, and their files are paired by number
-    texts = lambda rows, side: rows.select("content").distinct().join(side.groupBy("content").agg(F.first("text").alias("text")), "content").where("text <> ''")
-    near = similar_contents(texts(removed, old), texts(added, new), least)
-    a = _nth(removed, "content", "path").select(F.col("content").alias("old"), "nth", F.col("path").alias("previous_path"))
-    b = _nth(added, "content", "path").select(F.col("content").alias("new"), "nth", "path")
-    renamed = exact.unionByName(matched(near.join(a, "old").join(b, ["new", "nth"]).select("previous_path", "path", "similarity")))
+    texts = lambda rows, side: side.join(rows.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")).where("text <> ''")
+    lines_a, lines_b = ranked_lines(texts(removed, old), texts(added, new))
+    a = kept(_nth(removed, "content", "path").select(F.col("content").alias("old"), "nth", F.col("path").alias("previous_path")), "left")
+    b = kept(_nth(added, "content", "path").select(F.col("content").alias("new"), "nth", "path"), "left")
+    # the most similar come first, so files that have found theirs needn't be compared with the less similar
+    renamed = exact
+    for step in [_FIRST, least] if least < _FIRST else [least]:
+        near = similar_contents(lines_a, lines_b, a.select(F.col("old").alias("content")), b.select(F.col("new").alias("content")), step)
+        pairs = matched(near.join(a, "old").join(b, ["new", "nth"]).select("previous_path", "path", "similarity"))
+        renamed = renamed.unionByName(pairs)
+        if step > least:
+            a, b = kept(a.join(pairs, "previous_path", "left_anti"), "left"), kept(b.join(pairs, "path", "left_anti"), "left")
 
     rest = told.join(renamed.select("path"), "path", "left_anti").join(renamed.select(F.col("previous_path").alias("path")), "path", "left_anti")
     none = rest.select("path", "status", F.lit(None).cast("string").alias("previous_path"), F.lit(None).cast("double").alias("similarity"))

@@ -78,6 +78,51 @@ def test_renames_equal_taking_the_best_pair_first(spark, least):
     assert got == greedy(before, after, least) and len(got) > 5
 
 
+PAIRS = "previous_path string, path string, similarity double"
+
+
+def in_turn(pairs):
+    """Pairs one after the other, the most similar first."""
+    out, old, new = set(), set(), set()
+    for s, _, o, n in sorted((-s, o.split("/")[-1] != n.split("/")[-1], o, n) for o, n, s in pairs):
+        if o not in old and n not in new:
+            old.add(o)
+            new.add(n)
+            out.add((o, n, -s))
+    return out
+
+
+def test_files_that_are_equally_similar_do_not_take_a_round_each(spark, monkeypatch):
+    writes, kept = [], snapshots.kept
+    monkeypatch.setattr(snapshots, "kept", lambda rows, tag="rows": (writes.append(tag), kept(rows, tag))[1])
+    pairs = [(f"a/{i:02}", f"b/n{j:02}", 0.75) for i in range(12) for j in range(12)]
+    got = snapshots.matched(spark.createDataFrame(pairs, PAIRS))
+    assert {tuple(r) for r in got.collect()} == {(f"a/{i:02}", f"b/n{i:02}", 0.75) for i in range(12)}
+    assert len(writes) < 20
+
+
+@pytest.mark.parametrize("rounds, block", [(0, 30), (1, 200_000)])
+def test_connected_pairs_are_taken_in_turn(spark, rounds, block):
+    rng = random.Random(3)
+    pairs = {(f"a/{rng.randint(0, 12)}", f"b/{rng.randint(0, 12)}"): rng.choice([0.5, 0.6, 1 / 3]) for _ in range(60)}
+    pairs |= {(f"c/{i}", f"{d}/{i + j}"): 0.5 for i in range(12) for j, d in enumerate("de")}  # a chain
+    pairs |= {(f"c/{i + 1}", f"d/{i}"): 0.5 for i in range(12)}
+    rows = [(o, n, s) for (o, n), s in pairs.items()]
+    got = snapshots.matched(spark.createDataFrame(rows, PAIRS), rounds, block)
+    assert {tuple(r) for r in got.collect()} == in_turn(rows)
+
+
+def test_less_similar_contents_of_files_with_a_better_one_are_not_compared(spark, monkeypatch):
+    seen, matched = [], snapshots.matched
+    monkeypatch.setattr(snapshots, "matched", lambda pairs: (seen.append(pairs.count()), matched(pairs))[1])
+    shared = [f"shared line {i}" for i in range(6)]
+    before = [(f"a/{i}", lines(*shared, *(f"own {i} {j}" for j in range(6)))) for i in range(12)]
+    after = [(f"b/{i}", t + "\nx") for i, (_, t) in enumerate(before)]
+    got = changes(spark, before, after)
+    assert {(p, q) for q, _, p, _ in got} == {(f"a/{i}", f"b/{i}") for i in range(12)}
+    assert sum(seen) == 12  # of 144 pairs that share half
+
+
 def test_empty_snapshots(spark):
     assert changes(spark, [], []) == set()
     assert changes(spark, [], [("a", "t")]) == {("a", "added", None, None)}
