@@ -8,8 +8,10 @@ are; writing is one aggregation.
 from __future__ import annotations
 
 import json
-import sys
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
+from json.scanner import NUMBER_RE
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +22,8 @@ from pagetrace.shared import kept
 KEYS = ["nav", "sidebar_ord", "sidebar"]
 
 
-#: Nodes that are handed over at once.
-_BATCH = 50_000
+#: Nodes, and places of them, that are handed over at once.
+_BATCH, _PLACES = 50_000, 2_000_000
 _NODE = "at array<int>, route string, label string, category boolean, fields map<string,string>, other string, has_items boolean"
 
 
@@ -42,25 +44,96 @@ def _object(pairs: list) -> dict:
 
 
 def _json(v) -> str:
-    """JSON without blanks, names in order, numbers as they were."""
-    if isinstance(v, _Number):
-        return v
-    if isinstance(v, dict):
-        return "{" + ",".join([f"{_json(k)}:{_json(v[k])}" for k in sorted(v)]) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join([_json(x) for x in v]) + "]"
-    return _whole(json.dumps(v, ensure_ascii=False))
+    """JSON without blanks, names in order, numbers as they were, however deep it is."""
+    out, rest = [], [(v, False)]
+    while rest:
+        x, done = rest.pop()
+        if done or isinstance(x, _Number):
+            out.append(x)
+        elif isinstance(x, dict):
+            rest.append(("}", True))
+            for i, k in reversed(list(enumerate(sorted(x)))):
+                rest += [(x[k], False), (f"{',' if i else ''}{_json(k)}:", True)]
+            rest.append(("{", True))
+        elif isinstance(x, list):
+            rest.append(("]", True))
+            for i, y in reversed(list(enumerate(x))):
+                rest += [(y, False), ("," if i else "", True)]
+            rest.append(("[", True))
+        else:
+            out.append(_whole(json.dumps(x, ensure_ascii=False)))
+    return "".join(out)
 
 
 def _no_number(name: str) -> None:
     raise ValueError(name)
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _deep(text: str):
+    """What json.loads gives, with a stack of its own: for texts that are nested deeper than that goes."""
+    found: list = []
+    stack, i = [found], _BLANK.match(text).end()
+    while True:
+        holder, name = stack[-1], None
+        if isinstance(holder, dict):
+            if text[i : i + 1] != '"':
+                raise ValueError("no name")
+            name, i = scanstring(text, i + 1, True)
+            i = _BLANK.match(text, i).end()
+            if name in holder or text[i : i + 1] != ":":
+                raise ValueError("a name occurs twice or has no value")
+            i = _BLANK.match(text, i + 1).end()
+        c, inner = text[i : i + 1], None
+        if c == "[" or c == "{":
+            v = inner = [] if c == "[" else {}
+            i = _BLANK.match(text, i + 1).end()
+        elif c == '"':
+            v, i = scanstring(text, i + 1, True)
+        elif number := NUMBER_RE.match(text, i):
+            v, i = _Number(number.group()), number.end()
+        else:
+            word = next((w for w in _WORDS if text.startswith(w, i)), None)
+            if word is None:
+                raise ValueError("no value")
+            v, i = _WORDS[word], i + len(word)
+        if name is None:
+            holder.append(v)
+        else:
+            holder[name] = v
+        if inner is not None:
+            stack.append(inner)
+            if text[i : i + 1] != ("]" if c == "[" else "}"):
+                continue
+        while True:  # what ends here
+            i = _BLANK.match(text, i).end()
+            c = text[i : i + 1]
+            if stack[-1] is found:
+                if c:
+                    raise ValueError("more than a value")
+                return found[0]
+            if c == ",":
+                i = _BLANK.match(text, i + 1).end()
+                break
+            if c != ("}" if isinstance(stack[-1], dict) else "]"):
+                raise ValueError("no end")
+            stack.pop()
+            i += 1
+
+
 def _read(text: str | None) -> list:
     """A sidebar's items; none if it isn't JSON."""
     try:
         found = json.loads(text or "", object_pairs_hook=_object, parse_int=_Number, parse_float=_Number, parse_constant=_no_number)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            found = _deep(text)
+        except ValueError:
+            return []
+    except ValueError:
         return []
     return found if isinstance(found, list) else [found]
 
@@ -100,7 +173,6 @@ def nodes(sidebars: DataFrame) -> DataFrame:
     rows = sidebars.select(*KEYS, "items")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         types = [pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_()]
 
         def handed(batch: pa.RecordBatch, of: list[int], found: list[tuple]) -> pa.RecordBatch:
@@ -108,14 +180,15 @@ def nodes(sidebars: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(zip(*found), types))], [*KEYS, *(x.split()[0] for x in _NODE.split(", "))])
 
         for batch in batches:
-            of, found = [], []
+            of, found, places = [], [], 0
             for i, text in enumerate(batch.column("items").to_pylist()):
                 for node in _nodes(text):
                     of.append(i)
                     found.append(node)
-                    if len(found) >= _BATCH:
+                    places += len(node[0])
+                    if len(found) >= _BATCH or places >= _PLACES:
                         yield handed(batch, of, found)
-                        of, found = [], []
+                        of, found, places = [], [], 0
             if found:
                 yield handed(batch, of, found)
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagetrace.operators import navigation, structure
@@ -33,6 +34,36 @@ def test_very_deep_sidebars_are_read_in_one_pass(spark):
     assert [r for _, _, r in routes(spark, ("n", 0, "s", text))] == [f"before{i}" for i in range(n)] + ["end"]
 
 
+def test_sidebars_deeper_than_the_json_reader_goes_are_whole(spark):
+    n = 6_000
+    text = "".join(f'["b{i}", {{"type": "category", "label": "c", "items": ' for i in range(n)) + '["end", {"type": "link", "custom": ' + "[" * n + '{"b": [1.50, "\\u00e9"], "a": null}' + "]" * n + "}]" + "}]" * n
+    tree = navigation.nodes(bars(spark, ("n", 0, "s", text), ("n", 1, "broken", text[:-1]), ("n", 2, "after", ["p"])))
+    got = navigation.routes(tree).select("sidebar", "route", F.size("at").alias("depth")).orderBy("sidebar", "depth").collect()
+    assert [tuple(r) for r in got] == [("after", "p", 1), *(("s", f"b{i}", i + 1) for i in range(n)), ("s", "end", n + 1)]
+    [link] = tree.where("fields['type'] = '\"link\"'").collect()
+    assert link["fields"]["custom"] == "[" * n + '{"a":null,"b":[1.50,"é"]}' + "]" * n
+
+
+def test_deep_json_is_read_as_json_is():
+    texts = ['[]', ' {} ', '[1, -2.50e3, true, false, null, "a\\n\\u00e9", [], {}]', '{"a": [{"b": {}}, []], "c": "d"}', '"x"', "7"]
+    broken = ["", "[", "]", "[1,]", "[1 2]", '{"a"}', '{"a": 1,}', '{"a": 1, "a": 2}', "[1]]", "{1: 2}", "[NaN]", "[-Infinity]", '["a', '[tru]', '{"a": 1]', '["a\tb"]'.replace("\\t", "\t")]
+    for text in texts:
+        assert navigation._json(navigation._deep(text)) == navigation._json(json.loads(text, parse_int=navigation._Number, parse_float=navigation._Number))
+    for text in broken:
+        with pytest.raises(ValueError):
+            navigation._deep(text)
+
+
+def test_a_part_has_as_many_categories_as_its_size(spark, sf_dir):
+    from pagetrace.plans import trees
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert part.agg(F.max("p_size")).first()[0] > 14
+    got = trees.nested_routes(spark, sf_dir).groupBy("sidebar").agg((F.count("*") - 2).alias("n"))
+    want = part.select(F.concat(F.lit("s"), "p_partkey").alias("sidebar"), F.col("p_size").cast("long").alias("n"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_sidebars_of_one_file_are_read_by_several_tasks(spark, sf_dir):
     from pagetrace.plans import trees
 
