@@ -123,6 +123,62 @@ def test_less_similar_contents_of_files_with_a_better_one_are_not_compared(spark
     assert sum(seen) == 12  # of 144 pairs that share half
 
 
+def test_all_copies_of_similar_contents_find_a_partner(spark):
+    page = [f"line {i}" for i in range(20)]
+    near = lines(*page[:19], "other")
+    before = [(f"a/{i}", lines(*page)) for i in "123"]
+    # the best pair takes a/1, so the copies of the other content go with a/2 and a/3
+    after = [("b/x", lines(*page) + "\nz"), ("b/y", near), ("c/3", near), ("c/z", near)]
+    got = {(p, q) for q, status, p, _ in changes(spark, before, after) if status == "renamed"}
+    assert got == {("a/1", "b/x"), ("a/2", "b/y"), ("a/3", "c/3")}
+    assert got == {(p, q) for q, _, p, _ in greedy(dict(before), dict(after), 0.5)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_renames_of_copies_equal_taking_the_best_pair_first(spark, seed):
+    rng = random.Random(seed)
+    texts = [lines(*(f"w{rng.randint(0, 15)}" for _ in range(10)), f"t{i}") for i in range(6)]
+    texts += [lines(*t.split("\n")[:-1], f"u{i}") for i, t in enumerate(texts)]
+    # contents are on one side only, so that none is equal to another
+    before = {f"{rng.choice('abc')}{i}/{rng.randint(0, 9)}": rng.choice(texts[:9]) for i in range(40)}
+    after = {f"{rng.choice('xyz')}{i}/{rng.randint(0, 9)}": rng.choice(texts[3:]) + "\nv" * (i % 3) for i in range(40)}
+    got = {x for x in changes(spark, list(before.items()), list(after.items())) if x[1] == "renamed"}
+    assert got == greedy(before, after, 0.5) and len(got) > 20
+
+
+@pytest.mark.parametrize("rounds, block", [(2, 200_000), (1, 40), (0, 5)])
+def test_pairs_of_copies_are_taken_as_pairs_of_all_their_files(spark, rounds, block):
+    rng = random.Random(rounds)
+
+    def side(name):
+        made = sorted({f"{name}{rng.randint(0, 40)}/{rng.randint(0, 5)}" for _ in range(40)})
+        groups, i = {}, 0
+        rng.shuffle(made)
+        while i < len(made):
+            n = rng.choice([1, 1, 2, 5])
+            groups[min(made[i : i + n])] = made[i : i + n]
+            i += n
+        return groups
+
+    old, new = side("a"), side("b")
+    edges = [(o, n, rng.choice([0.5, 0.6, 1 / 3])) for o in old for n in new if rng.random() < 0.3]
+    rows = [(o, n, s, None) for o, n, s in edges]
+    rows += [(x, None, None, o) for o, files in old.items() if len(files) > 1 for x in files]
+    rows += [(None, x, None, n) for n, files in new.items() if len(files) > 1 for x in files]
+    got = snapshots.matched(spark.createDataFrame(rows, PAIRS + ", copy_of string"), rounds, block)
+    assert {tuple(r) for r in got.collect()} == in_turn([(x, y, s) for o, n, s in edges for x in old[o] for y in new[n]])
+
+
+def test_copies_are_not_made_into_pairs_of_each_with_each(spark, monkeypatch):
+    seen, matched = [], snapshots.matched
+    monkeypatch.setattr(snapshots, "matched", lambda pairs: (seen.append(pairs.count()), matched(pairs))[1])
+    text = lines(*(f"line {i}" for i in range(30)))
+    before = [(f"a/{i}", text) for i in range(100, 200)]
+    after = [(f"b/{i}", f"{text}\n{i}") for i in range(100, 200)]
+    assert {(p, q) for q, _, p, _ in changes(spark, before, after)} == {(f"a/{i}", f"b/{i}") for i in range(100, 200)}
+    assert sum(seen) == 200  # each new content with the old one, and the old one's files
+
+
 def test_empty_snapshots(spark):
     assert changes(spark, [], []) == set()
     assert changes(spark, [], [("a", "t")]) == {("a", "added", None, None)}
